@@ -3,104 +3,87 @@
 The predicates are staged projections: token arrays first, then the first
 differing position, then the two tokens there. A stage is only filled in for
 rows that still need it, so token arrays are never built for settled rows.
+Expressions are SQL text: one parse instead of hundreds of calls into the JVM.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cmdlode.functions.text import clip_bytes
 from cmdlode.params import DEFAULTS, Params
 
 
-def edit_ratio_at_least(a: Column, b: Column, longest: Column, floor: float) -> Column:
-    """``1 - distance / longest >= floor`` with an early exit of the distance.
+def edit_ratio_at_least(a: str, b: str, longest: str, floor: float) -> str:
+    """SQL: ``1 - distance / longest >= floor`` with an early exit of the distance.
 
     The distance is bounded one above what the ratio allows; beyond the bound
     Spark returns -1 and the ratio is certainly lower.
     """
-    bound = F.floor(longest * F.lit(1.0 - floor)).cast("int") + F.lit(1)
-    distance = F.call_function("levenshtein", a, b, bound)
-    ratio = F.lit(1.0) - distance.cast("double") / longest.cast("double")
-    return F.when(longest == 0, False).otherwise((distance >= 0) & (ratio >= F.lit(floor)))
-
-
-def token_similar(a: Column, b: Column, params: Params = DEFAULTS) -> Column:
-    """Two tokens are a typo fix or an extension of each other."""
-    a, b = F.btrim(a, F.lit("\"'")), F.btrim(b, F.lit("\"'"))
-    len_a, len_b = F.octet_length(a), F.octet_length(b)
-    longest = F.greatest(len_a, len_b)
-    extends = (len_a >= 3) & (len_b >= 3) & (a.startswith(b) | b.startswith(a))
-    gap = F.abs(F.char_length(a) - F.char_length(b))
-    hopeless = gap > longest * F.lit(1.0 - params.token_sim)
+    bound = f"CAST(floor({longest} * {1.0 - floor}D) AS INT) + 1"
+    distance = f"levenshtein({a}, {b}, {bound})"
     return (
-        F.when(extends, True)
-        .when(hopeless, False)
-        .otherwise(edit_ratio_at_least(a, b, longest, params.token_sim))
+        f"CASE WHEN {longest} = 0 THEN false ELSE {distance} >= 0 AND "
+        f"1D - CAST({distance} AS DOUBLE) / CAST({longest} AS DOUBLE) >= {floor}D END"
     )
 
 
+def token_similar(a: str, b: str, params: Params = DEFAULTS) -> str:
+    """SQL: two tokens without outer quotes are a typo fix or an extension of each other."""
+    len_a, len_b = f"octet_length({a})", f"octet_length({b})"
+    longest = f"greatest({len_a}, {len_b})"
+    extends = f"{len_a} >= 3 AND {len_b} >= 3 AND (startswith({a}, {b}) OR startswith({b}, {a}))"
+    hopeless = f"abs(char_length({a}) - char_length({b})) > {longest} * {1.0 - params.token_sim}D"
+    close = edit_ratio_at_least(a, b, longest, params.token_sim)
+    return f"CASE WHEN {extends} THEN true WHEN {hopeless} THEN false ELSE {close} END"
+
+
+def clipped(c: str, limit: int) -> str:
+    """SQL: the first ``limit`` bytes; a character cut in half becomes U+FFFD."""
+    head = f"make_valid_utf8(CAST(substring(encode({c}, 'UTF-8'), 1, {limit}) AS STRING))"
+    return f"CASE WHEN octet_length({c}) > {limit} THEN {head} ELSE {c} END"
+
+
 def with_same_intent(
-    df: DataFrame,
-    a: Column,
-    b: Column,
-    out: str,
-    when: Column | None = None,
-    params: Params = DEFAULTS,
+    df: DataFrame, a: str, b: str, out: str, when: str = "true", params: Params = DEFAULTS
 ) -> DataFrame:
-    """Add boolean ``out``: normalised ``a`` and ``b`` share an intent.
+    """Add boolean ``out``: normalised texts ``a`` and ``b`` (SQL) share an intent.
 
     Where ``when`` does not hold the result is false and nothing is computed.
     """
-    asked = F.lit(True) if when is None else F.coalesce(when, F.lit(False))
-    staged = df.withColumn("_ask", asked).withColumn("_equal", F.col("_ask") & (a == b))
-    pending = F.col("_ask") & ~F.col("_equal")
-    staged = staged.withColumn("_ta", F.when(pending, F.split(a, " ")))
-    staged = staged.withColumn("_tb", F.when(pending, F.split(b, " ")))
+    pending = f"{when} AND {a} <> {b}"
+    staged = df.withColumns(
+        {"_ta": F.expr(f"IF({pending}, split({a}, ' '), NULL)"), "_tb": F.expr(f"IF({pending}, split({b}, ' '), NULL)")}
+    )
     # 1-based place of the first differing token, 0 when one is a prefix.
-    differs = F.zip_with("_ta", "_tb", lambda x, y: x != y)
-    staged = staged.withColumn("_k", F.array_position(differs, True).cast("int"))
-    near = params.near_tokens
-    k, token_a, token_b = F.col("_k"), F.col("_xa"), F.col("_xb")
-    staged = staged.withColumn("_xa", F.when(k > 0, F.get("_ta", k - 1)))
-    staged = staged.withColumn("_xb", F.when(k > 0, F.get("_tb", k - 1)))
-    inserted = F.array_contains(F.slice("_tb", k + 1, near), token_a) | F.array_contains(
-        F.slice("_ta", k + 1, near), token_b
+    first = "CAST(array_position(zip_with(_ta, _tb, (x, y) -> x <> y), true) AS INT)"
+    staged = staged.withColumn("_k", F.expr(first))
+    staged = staged.withColumns(
+        {
+            "_xa": F.expr("""IF(_k > 0, btrim(get(_ta, _k - 1), '"\\''), NULL)"""),
+            "_xb": F.expr("""IF(_k > 0, btrim(get(_tb, _k - 1), '"\\''), NULL)"""),
+            "_near": F.expr(
+                f"IF(_k > 0, array_contains(slice(_tb, _k + 1, {params.near_tokens}), get(_ta, _k - 1)) OR "
+                f"array_contains(slice(_ta, _k + 1, {params.near_tokens}), get(_tb, _k - 1)), NULL)"
+            ),
+        }
     )
     verdict = (
-        F.when(F.col("_equal"), True)
-        .when(~F.col("_ask"), False)
-        .when(k == 0, True)
-        .when(inserted, True)
-        .otherwise(token_similar(token_a, token_b, params))
+        f"CASE WHEN NOT coalesce(({when}), false) THEN false WHEN {a} = {b} THEN true WHEN _k = 0 THEN true "
+        f"WHEN _near THEN true ELSE {token_similar('_xa', '_xb', params)} END"
     )
-    return staged.withColumn(out, F.coalesce(verdict, F.lit(False))).drop(
-        "_ask", "_equal", "_ta", "_tb", "_k", "_xa", "_xb"
+    return staged.withColumn(out, F.expr(f"coalesce({verdict}, false)")).drop(
+        "_ta", "_tb", "_k", "_xa", "_xb", "_near"
     )
 
 
 def with_similar(
-    df: DataFrame,
-    a: Column,
-    b: Column,
-    out: str,
-    when: Column | None = None,
-    params: Params = DEFAULTS,
+    df: DataFrame, a: str, b: str, out: str, when: str = "true", params: Params = DEFAULTS
 ) -> DataFrame:
     """Add boolean ``out``: different text, same intent, close in edit distance."""
-    asked = F.lit(True) if when is None else F.coalesce(when, F.lit(False))
-    staged = with_same_intent(df, a, b, "_intent", asked & (a != b), params)
     limit = params.sim_max_bytes
-    staged = staged.withColumn(
-        "_longest",
-        F.when(
-            F.col("_intent"),
-            F.greatest(F.least(F.octet_length(a), F.lit(limit)), F.least(F.octet_length(b), F.lit(limit))),
-        ),
-    )
-    close = edit_ratio_at_least(
-        clip_bytes(a, limit), clip_bytes(b, limit), F.col("_longest"), params.sim_low
-    )
-    verdict = F.when(F.col("_intent"), close).otherwise(False)
-    return staged.withColumn(out, F.coalesce(verdict, F.lit(False))).drop("_intent", "_longest")
+    staged = with_same_intent(df, a, b, "_intent", f"({when}) AND {a} <> {b}", params)
+    longest = f"greatest(least(octet_length({a}), {limit}), least(octet_length({b}), {limit}))"
+    close = edit_ratio_at_least(clipped(a, limit), clipped(b, limit), longest, params.sim_low)
+    verdict = f"CASE WHEN _intent THEN {close} ELSE false END"
+    return staged.withColumn(out, F.expr(f"coalesce({verdict}, false)")).drop("_intent")

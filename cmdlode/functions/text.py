@@ -14,6 +14,17 @@ _RARE_WS = r"\t-\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\
 _WS = f"[ {_RARE_WS}]"
 
 
+def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later filters read without evaluating them again.
+
+    Catalyst pushes a filter below the projection that computes its columns and
+    copies their expressions into it, at every step anew. Filters stop at the
+    output of a generator, so costly text expressions pass through one.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def trim_ws(c: Column) -> Column:
     """Trim all Unicode white space (plain ``trim`` only removes blanks)."""
     return F.regexp_replace(c, rf"^{_WS}+|{_WS}+\z", "")
@@ -54,25 +65,17 @@ def with_classification(df: DataFrame, cmd: str) -> DataFrame:
     """Add ``tool``, ``help_target`` and ``is_help`` for normalised text ``cmd``.
 
     ``tool`` is empty when nothing is left after the prefixes. ``help_target``
-    is null unless the row is a help lookup. The steps are separate projections
-    so that Catalyst evaluates each of them once.
+    is null unless the row is a help lookup.
     """
     flags = "|".join(re.escape(f) for f in HELP_FLAGS)
     rest, tool = F.col("_rest"), F.col("tool")
     asks_page = tool.isin(*HELP_TOOLS)
-    return (
-        df.withColumn("_rest", strip_prefixes(F.col(cmd)))
-        .withColumn("tool", base_name(F.lower(F.substring_index(rest, " ", 1))))
-        .withColumn(
-            "help_target",
-            F.when(
-                asks_page,
-                F.when(rest.contains(" "), base_name(F.lower(F.substring_index(rest, " ", -1)))),
-            ).when(rest.rlike(rf" (?:{flags})(?: |\z)"), tool),
-        )
-        .withColumn("is_help", F.col("help_target").isNotNull())
-        .drop("_rest")
-    )
+    page = F.when(rest.contains(" "), base_name(F.lower(F.substring_index(rest, " ", -1))))
+    target = F.when(asks_page, page).when(rest.rlike(rf" (?:{flags})(?: |\z)"), tool)
+    df = compute_once(df, _rest=strip_prefixes(F.col(cmd)))
+    df = compute_once(df, tool=base_name(F.lower(F.substring_index(rest, " ", 1))))
+    df = compute_once(df, help_target=target).drop("_rest")
+    return df.withColumn("is_help", F.col("help_target").isNotNull())
 
 
 def is_usage() -> Column:
@@ -89,10 +92,8 @@ def is_help_lookup() -> Column:
 def with_tool_of(df: DataFrame, cmd: str, out: str = "tool_of") -> DataFrame:
     """Add the tool a raw command belongs to; empty for help, noise or nothing."""
     keep = df.columns
-    classified = with_classification(
-        df.select(*[F.col(c).alias(f"_in_{c}") for c in keep], normalize(F.col(cmd)).alias("_cmd")),
-        "_cmd",
-    )
+    named = df.select(*[F.col(c).alias(f"_in_{c}") for c in keep])
+    classified = with_classification(compute_once(named, _cmd=normalize(F.col(f"_in_{cmd}"))), "_cmd")
     return classified.select(
         *[F.col(f"_in_{c}").alias(c) for c in keep],
         F.when(is_usage(), F.col("tool")).otherwise("").alias(out),

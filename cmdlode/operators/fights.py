@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cmdlode.functions.redaction import redact
 from cmdlode.functions.similarity import with_same_intent
-from cmdlode.functions.text import is_usage, normalize, with_classification
+from cmdlode.functions.text import compute_once, is_usage, normalize, with_classification
 from cmdlode.operators.sequence import linked_runs
 from cmdlode.params import DEFAULTS, Params
 
@@ -20,8 +20,9 @@ def journal_usage(journal: DataFrame) -> DataFrame:
     Scrubbing comes before classifying, and again on stored rows: normalising
     can bring an option and its value next to each other.
     """
-    cleaned = journal.withColumn("cmd", redact(normalize(F.col("cmd"))))
-    cleaned = with_classification(cleaned.where(F.col("cmd") != ""), "cmd")
+    cleaned = compute_once(journal.withColumnRenamed("cmd", "_raw"), _text=normalize(F.col("_raw")))
+    cleaned = compute_once(cleaned.where(F.col("_text") != ""), cmd=redact(F.col("_text")))
+    cleaned = with_classification(cleaned.drop("_raw", "_text"), "cmd")
     return cleaned.where(is_usage()).select("scope", "tool", "shell", "seq", *_FIELDS)
 
 
@@ -46,11 +47,9 @@ def fights(usage: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     limit = params.max_fight_gap_s * 1_000_000
 
     def link(df: DataFrame, prev: str, cur: str, out: str) -> DataFrame:
-        gap = F.timestamp_diff("MICROSECOND", F.col(f"{prev}.ts"), F.col(f"{cur}.ts"))
-        goes_on = (F.col(f"{prev}.exit") != 0) & (gap <= limit)
-        return with_same_intent(
-            df, F.col(f"{prev}.cmd"), F.col(f"{cur}.cmd"), out, goes_on, params
-        )
+        gap = f"timestampdiff(MICROSECOND, {prev}.ts, {cur}.ts)"
+        goes_on = f"({prev}.exit <> 0 AND {gap} <= {limit})"
+        return with_same_intent(df, f"{prev}.cmd", f"{cur}.cmd", out, goes_on, params)
 
     won = (F.col("last.exit") == 0) & (F.col("n") > 1)
     runs = linked_runs(usage, ["scope", "tool", "shell"], "seq", _FIELDS, link, won, None, params)

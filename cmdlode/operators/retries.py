@@ -21,8 +21,8 @@ def retry_chains(usage: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     window, size = params.chain_window, params.bucket_rows
 
     def link(df: DataFrame, prev: str, cur: str, out: str) -> DataFrame:
-        near = (F.col(f"{cur}.pos") - F.col(f"{prev}.pos")) <= window
-        return with_similar(df, F.col(f"{prev}.cmd"), F.col(f"{cur}.cmd"), out, near, params)
+        near = f"{cur}.pos - {prev}.pos <= {window}"
+        return with_similar(df, f"{prev}.cmd", f"{cur}.cmd", out, near, params)
 
     edge = (F.col("first.pos") - F.col("bucket") * size < window) | (
         (F.col("bucket") + 1) * size - F.col("last.pos") <= window

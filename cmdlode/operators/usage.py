@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cmdlode.functions.redaction import redact
 from cmdlode.functions.text import (
+    compute_once,
     has_arguments,
     is_help_lookup,
     is_usage,
@@ -19,8 +20,9 @@ from cmdlode.params import DEFAULTS, Params
 
 def classify_commands(commands: DataFrame) -> DataFrame:
     """``commands(scope, source, pos, command)`` with ``cmd`` normalised and classified."""
-    cleaned = commands.select("scope", "source", "pos", normalize(F.col("command")).alias("cmd"))
-    return with_classification(cleaned.where(F.col("cmd") != ""), "cmd")
+    cleaned = compute_once(commands, cmd=normalize(F.col("command")))
+    cleaned = cleaned.where(F.col("cmd") != "").select("scope", "source", "pos", "cmd")
+    return with_classification(cleaned, "cmd")
 
 
 def usage_rows(classified: DataFrame) -> DataFrame:
@@ -91,7 +93,7 @@ def repeated_lines(
 ) -> DataFrame:
     """Most repeated multi-word lines of any text, per ``keys``; not redacted."""
     counted = (
-        lines.select(*keys, normalize(F.col(text)).alias("line"))
+        compute_once(lines, line=normalize(F.col(text)))
         .where(F.col("line") != "")
         .groupBy(*keys, "line")
         .agg(F.count("*").alias("count"))
