@@ -33,9 +33,9 @@ def shell_totals(usage: DataFrame) -> DataFrame:
     )
 
 
-def journal_totals(usage: DataFrame) -> DataFrame:
-    """``(scope, tool, total)`` over journal usage."""
-    return usage.groupBy("scope", "tool").agg(F.count("*").alias("total"))
+def journal_totals(totals: DataFrame) -> DataFrame:
+    """``(scope, tool, total)``: ``shell_totals`` over all shells."""
+    return totals.groupBy("scope", "tool").agg(F.sum("total").alias("total"))
 
 
 def fights(usage: DataFrame, params: Params = DEFAULTS) -> DataFrame:

@@ -44,45 +44,50 @@ def help_lookups(classified: DataFrame) -> DataFrame:
     )
 
 
-def usage_with_help(classified: DataFrame) -> DataFrame:
-    """``(scope, tool, total, help_lookups)``, including tools only asked about.
+def command_counts(classified: DataFrame) -> DataFrame:
+    """``(scope, tool, cmd, count)``: how often each command was typed.
 
-    One aggregate over both kinds of row gives the full outer join of
-    ``tool_usage`` and ``help_lookups`` with a single shuffle.
+    Help lookups are counted in the same pass, under the tool they ask about and
+    with a null ``cmd``; hits and totals both derive from this one shuffle.
     """
     used, asked = is_usage(), is_help_lookup()
     return (
-        classified.select(
+        classified.where(used | asked)
+        .select(
             "scope",
-            F.when(used, F.col("tool")).when(asked, F.col("help_target")).alias("tool"),
-            F.when(used, 1).otherwise(0).alias("used"),
-            F.when(asked, 1).otherwise(0).alias("asked"),
+            F.when(used, F.col("tool")).otherwise(F.col("help_target")).alias("tool"),
+            F.when(used, F.col("cmd")).alias("cmd"),
         )
-        .where(F.col("tool").isNotNull())
-        .groupBy("scope", "tool")
-        .agg(F.sum("used").alias("total"), F.sum("asked").alias("help_lookups"))
+        .groupBy("scope", "tool", "cmd")
+        .agg(F.count("*").alias("count"))
     )
 
 
-def help_only_tools(classified: DataFrame) -> DataFrame:
-    """``(scope, tool)`` of tools that were looked up but never used."""
-    return usage_with_help(classified).where(F.col("total") == 0).select("scope", "tool")
+def usage_with_help(counts: DataFrame) -> DataFrame:
+    """``(scope, tool, total, help_lookups)``, including tools only asked about.
+
+    The full outer join of ``tool_usage`` and ``help_lookups``, as one more
+    aggregate over ``command_counts``.
+    """
+    used = F.when(F.col("cmd").isNotNull(), F.col("count")).otherwise(0)
+    asked = F.when(F.col("cmd").isNull(), F.col("count")).otherwise(0)
+    return counts.groupBy("scope", "tool").agg(
+        F.sum(used).alias("total"), F.sum(asked).alias("help_lookups")
+    )
 
 
-def command_counts(usage: DataFrame) -> DataFrame:
-    """``(scope, tool, cmd, count)``: how often each command was typed."""
-    return usage.groupBy("scope", "tool", "cmd").agg(F.count("*").alias("count"))
+def help_only_tools(counts: DataFrame) -> DataFrame:
+    """``(scope, tool)`` of tools that were looked up but never used."""
+    return usage_with_help(counts).where(F.col("total") == 0).select("scope", "tool")
 
 
-def greatest_hits(usage: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+def greatest_hits(counts: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """``(scope, tool, rank, command, count)``: most repeated commands per tool.
 
     Redaction follows counting: two raw commands that read the same once
     scrubbed stay two rows.
     """
-    hits = command_counts(usage).where(
-        (F.col("count") >= params.min_hits) & has_arguments(F.col("cmd"))
-    )
+    hits = counts.where((F.col("count") >= params.min_hits) & has_arguments(F.col("cmd")))
     hits = hits.select("scope", "tool", redact(F.col("cmd")).alias("command"), "count")
     best = [F.col("count").desc(), F.col("command").asc()]
     return top_per_group(hits, ["scope", "tool"], best, params.max_hits)

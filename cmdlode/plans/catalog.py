@@ -86,12 +86,12 @@ def help_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def tool_usage_with_help(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage.usage_with_help(_classified(spark, sf_dir))
+    return usage.usage_with_help(usage.command_counts(_classified(spark, sf_dir)))
 
 
 @_query
 def help_only_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage.help_only_tools(_classified(spark, sf_dir))
+    return usage.help_only_tools(usage.command_counts(_classified(spark, sf_dir)))
 
 
 @_query
@@ -101,13 +101,13 @@ def source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def greatest_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage.greatest_hits(usage.usage_rows(_classified(spark, sf_dir)))
+    return usage.greatest_hits(usage.command_counts(_classified(spark, sf_dir)))
 
 
 @_query
 def greatest_hits_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = as_commands(_fleet(event_log(spark, sf_dir)))
-    return usage.greatest_hits(usage.usage_rows(usage.classify_commands(log)))
+    return usage.greatest_hits(usage.command_counts(usage.classify_commands(log)))
 
 
 @_query
@@ -187,7 +187,8 @@ def fight_rollup_fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def journal_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fight_ops.journal_totals(fight_ops.journal_usage(event_log(spark, sf_dir)))
+    used = fight_ops.journal_usage(event_log(spark, sf_dir))
+    return fight_ops.journal_totals(fight_ops.shell_totals(used))
 
 
 # --- reports --------------------------------------------------------------------
@@ -385,7 +386,9 @@ def history_lines(log: DataFrame, format: str) -> DataFrame:
             F.lit(""),
         ),
         "fish": F.array(F.concat(F.lit("- cmd: "), cmd), F.concat(F.lit("  when: "), second)),
-        "pwsh": F.array(F.concat(head, F.lit(" `")), F.concat(F.lit("   "), tail)),
+        "pwsh": F.when(
+            cmd.contains(" "), F.array(F.concat(head, F.lit(" `")), F.concat(F.lit("   "), tail))
+        ).otherwise(F.array(cmd, F.lit(""))),
     }[format]
     return log.select(
         "scope", F.lit(format).alias("source"), F.posexplode(two).alias("_i", "line"), "seq"

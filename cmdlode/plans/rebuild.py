@@ -35,9 +35,13 @@ class Rebuild:
     def usage(self) -> DataFrame:
         return usage.usage_rows(self.classified)
 
+    @cached_property
+    def counts(self) -> DataFrame:
+        return usage.command_counts(self.classified)
+
     @cached_property
     def hits(self) -> DataFrame:
-        return usage.greatest_hits(self.usage, self.params)
+        return usage.greatest_hits(self.counts, self.params)
 
     @cached_property
     def heuristic(self) -> DataFrame:
@@ -51,9 +55,13 @@ class Rebuild:
     def fights(self) -> DataFrame:
         return fight_ops.fights(self.journal_usage, self.params)
 
+    @cached_property
+    def shell_totals(self) -> DataFrame:
+        return fight_ops.shell_totals(self.journal_usage)
+
     @cached_property
     def fight_rollup(self) -> DataFrame:
-        return fight_ops.fight_rollup(self.fights, fight_ops.shell_totals(self.journal_usage))
+        return fight_ops.fight_rollup(self.fights, self.shell_totals)
 
     @cached_property
     def hard_won(self) -> DataFrame:
@@ -62,9 +70,9 @@ class Rebuild:
     @cached_property
     def totals(self) -> DataFrame:
         return reports.report_totals(
-            usage.usage_with_help(self.classified),
+            usage.usage_with_help(self.counts),
             self.fight_rollup,
-            fight_ops.journal_totals(self.journal_usage),
+            fight_ops.journal_totals(self.shell_totals),
         )
 
     @cached_property
@@ -98,11 +106,12 @@ def project_listing(
     The cut per tool comes before the project filter.
     """
     used = fight_ops.journal_usage(journal)
-    rollup = fight_ops.fight_rollup(fight_ops.fights(used, params), fight_ops.shell_totals(used))
+    totals = fight_ops.shell_totals(used)
+    rollup = fight_ops.fight_rollup(fight_ops.fights(used, params), totals)
     none = rollup.limit(0).select("scope", "tool", "command", "attempts")
     hard_won = reports.certify(none, rollup, params)
     here = projects.project_fights(hard_won, roots, key)
-    return here.join(fight_ops.journal_totals(used), ["scope", "tool"]).orderBy(
+    return here.join(fight_ops.journal_totals(totals), ["scope", "tool"]).orderBy(
         "scope", F.col("total").desc(), "tool", "rank"
     )
 
