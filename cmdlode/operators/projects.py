@@ -23,9 +23,7 @@ def resolve_roots(
     if roots is None:
         found = known.withColumn("_root", F.lit(None).cast("string"))
     else:
-        marked = roots.groupBy("scope", normalize_path(F.col("root")).alias("_at")).agg(
-            F.min("root").alias("root")
-        )
+        marked = _keyed_roots(roots)
         climbed = known.select(
             "scope", "dir", F.posexplode(ancestors(F.col("_own"), params.max_ancestors)).alias("_up", "_at")
         )
@@ -46,6 +44,34 @@ def resolve_roots(
     )
 
 
+def _keyed_roots(roots: DataFrame) -> DataFrame:
+    """``(scope, _at, root)``: one root per normalised path."""
+    return roots.groupBy("scope", normalize_path(F.col("root")).alias("_at")).agg(
+        F.min("root").alias("root")
+    )
+
+
+def _with_root_by_depth(df: DataFrame, roots: DataFrame, cwd: str, params: Params) -> DataFrame:
+    """Add ``_root``, the nearest listed root, by one equi-join per depth of roots.
+
+    For streams, which cannot expand a row and bring it together again. There
+    are at most ``max_ancestors`` depths to look at, in practice a handful.
+    """
+    keyed = _keyed_roots(roots)
+    depth = F.size(F.split("_at", "/"))
+    depths = sorted(row[0] for row in keyed.select(depth).distinct().collect())
+    parts = F.split(normalize_path(clean_path(F.col(cwd))), "/")
+    df = df.withColumn("_parts", F.when(F.col(cwd) != "", parts))
+    size, root = F.size("_parts"), F.lit(None).cast("string")
+    for number in depths:
+        reachable = (size >= number) & (size - number < params.max_ancestors)
+        at = F.when(reachable, F.array_join(F.slice("_parts", 1, number), "/"))
+        listed = keyed.where(depth == number).withColumnRenamed("root", f"_root{number}")
+        df = df.withColumn("_at", at).join(listed, ["scope", "_at"], "left").drop("_at")
+        root = F.coalesce(F.col(f"_root{number}"), root)
+    return df.withColumn("_root", root).drop("_parts", *[f"_root{n}" for n in depths])
+
+
 def with_project(
     df: DataFrame, roots: DataFrame | None = None, cwd: str = "cwd", params: Params = DEFAULTS
 ) -> DataFrame:
@@ -56,6 +82,14 @@ def with_project(
         return df.withColumn("project_key", F.when(cwd_col != "", normalize_path(own))).withColumn(
             "label", F.when(cwd_col != "", leaf_label(own)).otherwise("")
         )
+    if df.isStreaming:
+        placed = _with_root_by_depth(df, roots, cwd, params)
+        root = F.coalesce(F.col("_root"), clean_path(cwd_col))
+        return (
+            placed.withColumn("project_key", F.when(cwd_col != "", normalize_path(root)))
+            .withColumn("label", F.when(cwd_col != "", leaf_label(root)).otherwise(""))
+            .drop("_root")
+        )
     resolved = resolve_roots(df.select("scope", cwd_col.alias("dir")), roots, params)
     resolved = resolved.select("scope", F.col("dir").alias(cwd), "project_key", "label")
     return df.join(resolved, ["scope", cwd], "left").withColumn("label", F.coalesce("label", F.lit("")))

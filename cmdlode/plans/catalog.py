@@ -22,9 +22,12 @@ from cmdlode.operators.cooldown import apply_cooldown
 from cmdlode.params import DEFAULTS
 from cmdlode.plans.eventlog import as_commands, event_log, project_roots
 from cmdlode.plans.rebuild import Rebuild, back_test, project_listing
-from cmdlode.session import configure
+from cmdlode.session import configure, work_folder
 from cmdlode.sources.histories import PARSERS
 from cmdlode.sources.journal import accepted, rejected, resolve_capture
+from cmdlode.sources.snapshots import read_victories, write_snapshot
+from cmdlode.streaming import operators as streams
+from cmdlode.streaming.replay import replay
 
 Query = Callable[[SparkSession, str], DataFrame]
 DAY = replace(DEFAULTS, max_fight_gap_s=86_400)
@@ -405,3 +408,45 @@ def _history(format: str) -> Query:
 
 for _format in PARSERS:
     _query(_history(_format))
+
+
+# --- streams ------------------------------------------------------------------
+
+
+@_query
+def stream_fights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as a stream: same fights as ``fights_1d``."""
+    log = event_log(spark, sf_dir)
+    return replay(log, lambda journal: streams.stream_fights(journal, params=DAY))
+
+
+@_query
+def stream_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures of a stream meet stored victories and the rate limit."""
+    job = _job(spark, sf_dir)
+    stored = f"{work_folder(spark, 'victories')}/table"
+    write_snapshot(job.victories, stored)
+    by_tool = suggest.victories_by_tool(read_victories(spark, stored), job.roots, DAY)
+
+    def transform(journal: DataFrame) -> DataFrame:
+        return streams.stream_cooldown(streams.stream_suggestions(journal, by_tool, job.roots, DAY), params=DAY)
+
+    spoken = replay(job.journal, transform)
+    return spoken.select(
+        "scope", "tool", "seq", "ts_us", "cmd", "suggested", "attempts", "cost_ms", "won_at_us", "line"
+    )
+
+
+@_query
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capture events as a stream: same rows as ``ingest_journal``."""
+    rows = replay(capture_events(event_log(spark, sf_dir)), lambda events: streams.ingest(events)[0])
+    return rows.select("scope", "event_id", "cmd", "exit", "dur_ms", "cwd", "shell", "month")
+
+
+@_query
+def stream_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running counts over a stream of commands, after its end."""
+    log = event_log(spark, sf_dir)
+    counts = replay(log, lambda rows: streams.running_counts(as_commands(rows)), mode="complete")
+    return usage.usage_with_help(counts)

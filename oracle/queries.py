@@ -303,6 +303,16 @@ def _history(source: str) -> str:
     return _with(["log"], f"SELECT scope, '{source}' AS source, seq AS pos, cmd AS command FROM log")
 
 
+def _ingested() -> str:
+    return _with(
+        ["log"],
+        f"""SELECT scope, event_id, {redact("cut")} AS cmd, exit, dur_ms,
+          CASE WHEN event_id % 3 = 0 THEN '/b64' || cwd ELSE cwd END AS cwd, shell,
+          strftime(ts, '%Y-%m') AS month
+        FROM (SELECT *, regexp_replace({_TEXT}, '^[ {WS}]+|[ {WS}]+$', '', 'g') AS cut FROM log) WHERE cut <> ''""",
+    )
+
+
 def _cooldown(keys: str, rows: str, columns: str) -> str:
     same = " AND ".join(f"r.{k} = e.{k}" for k in keys.split(", "))
     back = ", ".join(f"e.{k}" for k in keys.split(", "))
@@ -420,18 +430,18 @@ def oracle_sql() -> dict[str, str]:
             f"""SELECT event_id, CASE WHEN exit = 0 THEN 'ok' ELSE 'exit ' || exit END AS status,
             {line("ts", "shell", "exit", "dur_ms", "cmd")} AS line, {duration("dur_ms")} AS took FROM log""",
         ),
-        "ingest_journal": _with(
-            ["log"],
-            f"""SELECT scope, event_id, {redact("cut")} AS cmd, exit, dur_ms,
-              CASE WHEN event_id % 3 = 0 THEN '/b64' || cwd ELSE cwd END AS cwd, shell,
-              strftime(ts, '%Y-%m') AS month
-            FROM (SELECT *, regexp_replace({_TEXT}, '^[ {WS}]+|[ {WS}]+$', '', 'g') AS cut FROM log) WHERE cut <> ''""",
-        ),
+        "ingest_journal": _ingested(),
         "ingest_rejected": _with(
             ["log"],
             f"""SELECT event_id, CASE WHEN {_PAYLOAD} IS NOT NULL THEN 'invalid payload' ELSE 'no command' END AS problem
             FROM log WHERE {_TEXT} IS NULL""",
         ),
+        "stream_fights": _with(["fought"], f"SELECT {_FIGHT_COLS} FROM fought"),
+        "stream_suggestions": _with(
+            ["advised"], _cooldown("scope, tool", "advised", _ADVISED), recursive=True
+        ),
+        "stream_ingest": _ingested(),
+        "stream_usage": _with(["used_helped"], "SELECT * FROM used_helped"),
         "history_bash": _history("bash"),
         "history_zsh": _history("zsh"),
         "history_fish": _history("fish"),
