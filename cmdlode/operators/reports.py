@@ -34,39 +34,27 @@ def certify(heuristic: DataFrame, rollup: DataFrame, params: Params = DEFAULTS)
     return top_per_group(merged, ["scope", "tool"], best, params.max_hard_won)
 
 
-def report_totals(usage: DataFrame, rollup: DataFrame, journal_totals: DataFrame) -> DataFrame:
-    """``(scope, tool, total, help_lookups)`` of every reported tool.
-
-    A tool of the history keeps its history total; one seen only in the journal
-    is reported when it has a fight.
-    """
-    keys = ["scope", "tool"]
-    fought = rollup.select(*keys).distinct().join(
-        journal_totals.withColumnRenamed("total", "_journal"), keys, "left"
-    )
-    return usage.join(fought, keys, "full_outer").select(
-        *keys,
-        F.coalesce("total", "_journal").alias("total"),
-        F.coalesce("help_lookups", F.lit(0)).alias("help_lookups"),
-    )
-
-
-def tool_reports(totals: DataFrame, hard_won: DataFrame, hits: DataFrame) -> DataFrame:
+def tool_reports(
+    usage: DataFrame, hard_won: DataFrame, hits: DataFrame, journal_totals: DataFrame
+) -> DataFrame:
     """``(scope, tool, total, help_lookups, hard_won, hits)`` with ranked arrays.
 
-    Both arrays are short: their inputs are cut per tool. ``hard_won`` carries
-    the project ``label`` that ``with_project`` adds.
+    A tool of the history keeps its history total; one seen only in the journal
+    is reported, with its journal total, when it has a fight. Both arrays are
+    short: their inputs are cut per tool. ``hard_won`` carries the project
+    ``label`` that ``with_project`` adds.
     """
     keys = ["scope", "tool"]
     won = hard_won.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*HARD_WON))).alias("hard_won"))
     hit = hits.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("rank", "command", "count"))).alias("hits")
     )
-    joined = totals.join(won, keys, "left").join(hit, keys, "left")
+    journal = journal_totals.withColumnRenamed("total", "_journal")
+    joined = usage.join(won, keys, "full_outer").join(journal, keys, "left").join(hit, keys, "left")
     return joined.select(
         *keys,
-        "total",
-        "help_lookups",
+        F.coalesce("total", "_journal").alias("total"),
+        F.coalesce("help_lookups", F.lit(0)).alias("help_lookups"),
         F.coalesce("hard_won", F.array().cast(won.schema["hard_won"].dataType)).alias("hard_won"),
         F.coalesce("hits", F.array().cast(hit.schema["hits"].dataType)).alias("hits"),
     )
@@ -82,22 +70,22 @@ def with_content(reports: DataFrame) -> DataFrame:
     return reports.where((F.size("hard_won") + F.size("hits") > 0) & is_safe_tool(F.col("tool")))
 
 
-def biggest_fights(
-    hard_won: DataFrame, totals: DataFrame, params: Params = DEFAULTS, per_scope: bool = True
-) -> DataFrame:
+def biggest_fights(reports: DataFrame, params: Params = DEFAULTS, per_scope: bool = True) -> DataFrame:
     """Tools by the attempts of their first hard-won command; the top few.
 
     Ties go to the tool used more, then by name. ``per_scope=False`` ranks the
     whole fleet at once.
     """
-    first = hard_won.where((F.col("rank") == 1) & is_safe_tool(F.col("tool"))).drop("rank")
-    named = first.join(totals, ["scope", "tool"])
+    first = reports.where((F.size("hard_won") > 0) & is_safe_tool(F.col("tool"))).select(
+        "scope", "tool", F.element_at("hard_won", 1).alias("_first"), "total"
+    )
+    named = first.select(
+        "scope", "tool", "_first.command", "_first.attempts", "_first.certified", "_first.cost_ms", "total"
+    )
     best = [F.col("attempts").desc(), F.col("total").desc(), F.col("tool").asc()]
-    columns = ["scope", "tool", "command", "attempts", "certified", "cost_ms", "total"]
     if per_scope:
-        top = top_per_group(named, ["scope"], best, params.top_fights)
-        return top.select(*columns, "rank")
-    return named.select(*columns).orderBy(*best, "scope").limit(params.top_fights)
+        return top_per_group(named, ["scope"], best, params.top_fights)
+    return named.orderBy(*best, "scope").limit(params.top_fights)
 
 
 def first_tool(reports: DataFrame) -> DataFrame:

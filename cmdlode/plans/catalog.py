@@ -22,7 +22,7 @@ from cmdlode.operators.cooldown import apply_cooldown
 from cmdlode.params import DEFAULTS
 from cmdlode.plans.eventlog import as_commands, event_log, project_roots
 from cmdlode.plans.rebuild import Rebuild, back_test, project_listing
-from cmdlode.session import configure, work_folder
+from cmdlode.session import configure, stored, work_folder
 from cmdlode.sources.histories import PARSERS
 from cmdlode.sources.journal import accepted, rejected, resolve_capture
 from cmdlode.sources.snapshots import read_victories, write_snapshot
@@ -54,8 +54,8 @@ def _fleet(log: DataFrame) -> DataFrame:
 
 def _job(spark: SparkSession, sf_dir: str) -> Rebuild:
     """The rebuild over the derived log, with a day between attempts and known roots."""
-    log = event_log(spark, sf_dir)
-    return Rebuild(as_commands(log), log.drop("event_id"), project_roots(log), DAY)
+    log = stored(event_log(spark, sf_dir).drop("event_id"), "log")
+    return Rebuild(as_commands(log), log, project_roots(log), DAY)
 
 
 def _micros(name: str):
@@ -199,7 +199,7 @@ def journal_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _job(spark, sf_dir).totals
+    return _job(spark, sf_dir).reports.select("scope", "tool", "total", "help_lookups")
 
 
 @_query
@@ -224,8 +224,7 @@ def tool_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def biggest_fights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    job = _job(spark, sf_dir)
-    return reports.biggest_fights(job.hard_won, job.totals, DAY, per_scope=False)
+    return reports.biggest_fights(_job(spark, sf_dir).reports, DAY, per_scope=False)
 
 
 @_query
@@ -248,7 +247,8 @@ def sheet_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sheets of all tools; those of odd-length scopes existed before, with notes."""
     job = _job(spark, sf_dir)
     marker = sheets.keep_marker()
-    old = job.totals.where(F.length("scope") % 2 == 1).select(
+    used = usage.usage_with_help(job.counts)
+    old = used.where(F.length("scope") % 2 == 1).select(
         "scope",
         "tool",
         F.to_date(F.lit("2024-01-01")).alias("generated_on"),
@@ -293,9 +293,9 @@ def project_root_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def project_fights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Certified commands of every scope's own first project."""
-    log = event_log(spark, sf_dir)
+    log = stored(event_log(spark, sf_dir).drop("event_id"), "log")
     key = F.concat(F.lit("c:/users/u"), (F.col("scope").cast("bigint") % 50).cast("string"), F.lit("/proj0"))
-    listed = project_listing(log.drop("event_id"), key, project_roots(log), DAY)
+    listed = project_listing(log, key, project_roots(log), DAY)
     return listed.select("scope", "tool", "rank", "command", "attempts", "cost_ms", "total", "label")
 
 

@@ -68,25 +68,21 @@ class Rebuild:
         return reports.certify(self.heuristic, self.fight_rollup, self.params)
 
     @cached_property
-    def totals(self) -> DataFrame:
-        return reports.report_totals(
+    def reports(self) -> DataFrame:
+        return reports.tool_reports(
             usage.usage_with_help(self.counts),
-            self.fight_rollup,
+            projects.with_project(self.hard_won, self.roots, params=self.params),
+            self.hits,
             fight_ops.journal_totals(self.shell_totals),
         )
 
-    @cached_property
-    def reports(self) -> DataFrame:
-        labelled = projects.with_project(self.hard_won, self.roots, params=self.params)
-        return reports.tool_reports(self.totals, labelled, self.hits)
-
     @cached_property
     def victories(self) -> DataFrame:
         return suggest.victories(self.hard_won, self.params)
 
     @cached_property
     def biggest_fights(self) -> DataFrame:
-        return reports.biggest_fights(self.hard_won, self.totals, self.params)
+        return reports.biggest_fights(self.reports, self.params)
 
     def sheets(self, existing: DataFrame, generated_on: str) -> DataFrame:
         return sheets.render_sheets(reports.with_content(self.reports), existing, generated_on)

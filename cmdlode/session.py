@@ -39,6 +39,17 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared.rstrip('/')}/cmdlode-{purpose}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back.
+
+    For a derived input that several branches of a job scan: each branch then
+    reads only its columns instead of deriving the rows again.
+    """
+    path = work_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Eager reliable checkpoint, so that iterations do not replay each other."""
     context = df.sparkSession.sparkContext

@@ -290,7 +290,7 @@ You reached for help on `' || s.tool || '` ' || s.help_lookups || ' time(s). The
   FROM shown s) n
 FULL JOIN (SELECT scope, tool, '# old
 {_MARK}
-note of ' || scope AS old FROM totals WHERE length(scope) % 2 = 1) USING (scope, tool)"""
+note of ' || scope AS old FROM used_helped WHERE length(scope) % 2 = 1) USING (scope, tool)"""
 _ENCODED = "to_base64(encode(cmd))"
 _PAYLOAD = f"""CASE event_id % 5 WHEN 0 THEN 'not_base64!!!' || {_ENCODED} WHEN 1 THEN {_ENCODED} || chr(10)
     WHEN 2 THEN {_ENCODED} END"""

@@ -1,0 +1,63 @@
+from __future__ import annotations
+
+import os
+import sys
+from datetime import datetime, timedelta, timezone
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+os.environ.setdefault("TZ", "UTC")
+
+from pyspark.sql import SparkSession  # noqa: E402
+
+from cmdlode.session import configure  # noqa: E402
+
+T0 = datetime(2026, 7, 11, 10, 0, tzinfo=timezone.utc)
+JOURNAL = "scope string, seq bigint, ts timestamp, cmd string, exit int, dur_ms bigint, cwd string, shell string"
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    session = (
+        SparkSession.builder.master("local[4]")
+        .config("spark.sql.shuffle.partitions", "4")
+        .config("spark.ui.enabled", "false")
+        .config("spark.driver.memory", "4g")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .getOrCreate()
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    return configure(session)
+
+
+@pytest.fixture
+def history(spark):
+    def make(*commands, source="bash", scope=""):
+        """Commands in order; an item may be (source, command)."""
+        rows = []
+        for pos, item in enumerate(commands):
+            src, text = item if isinstance(item, tuple) else (source, item)
+            rows.append((scope, src, pos, text))
+        return spark.createDataFrame(rows, "scope string, source string, pos bigint, command string")
+
+    return make
+
+
+@pytest.fixture
+def journal(spark):
+    def make(*entries, shell="bash", cwd="/proj", scope=""):
+        """Entries (minutes, command, exit, dur_ms[, shell[, cwd]])."""
+        rows = []
+        for seq, e in enumerate(entries):
+            at = T0 + timedelta(minutes=e[0])
+            rows.append((scope, seq, at, e[1], e[2], e[3], e[5] if len(e) > 5 else cwd, e[4] if len(e) > 4 else shell))
+        return spark.createDataFrame(rows, JOURNAL)
+
+    return make
+
+
+def dicts(df):
+    return [row.asDict(recursive=True) for row in df.collect()]
