@@ -210,16 +210,17 @@ def hard_won(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def tool_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per entry of each report."""
-    listed = _job(spark, sf_dir).reports
-    won = listed.select("scope", "tool", "total", "help_lookups", F.explode("hard_won").alias("e")).select(
-        "scope", "tool", "total", "help_lookups", F.lit("hard_won").alias("kind"), "e.rank", "e.command",
-        F.col("e.attempts").alias("n"), F.col("e.label").alias("label"),
+    def entry(kind: str, count: str, label):
+        return lambda e: F.struct(
+            F.lit(kind).alias("kind"), e["rank"].alias("rank"), e["command"].alias("command"),
+            e[count].alias("n"), label(e).alias("label"),
+        )
+
+    won = F.transform("hard_won", entry("hard_won", "attempts", lambda e: e["label"]))
+    hit = F.transform("hits", entry("hit", "count", lambda e: F.lit("")))
+    return _job(spark, sf_dir).reports.select(
+        "scope", "tool", "total", "help_lookups", F.inline(F.concat(won, hit))
     )
-    hit = listed.select("scope", "tool", "total", "help_lookups", F.explode("hits").alias("e")).select(
-        "scope", "tool", "total", "help_lookups", F.lit("hit").alias("kind"), "e.rank", "e.command",
-        F.col("e.count").alias("n"), F.lit("").alias("label"),
-    )
-    return won.unionByName(hit)
 
 
 @_query

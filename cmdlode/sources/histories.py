@@ -118,20 +118,21 @@ class Probe:
     path: str
 
 
-# --- fixed values: usual place of each history below a home folder -----------
-HOME_HISTORIES = (
-    ("pwsh", "AppData/Roaming/Microsoft/Windows/PowerShell/PSReadLine/ConsoleHost_history.txt"),
-    ("bash", ".bash_history"),
-    ("zsh", ".zsh_history"),
-    ("fish", ".local/share/fish/fish_history"),
+# --- fixed values: name of each landed history --------------------------------
+# As the shells name them, without the leading dot: Spark skips hidden files.
+LANDED_HISTORIES = (
+    ("pwsh", "ConsoleHost_history.txt"),
+    ("bash", "bash_history"),
+    ("zsh", "zsh_history"),
+    ("fish", "fish_history"),
 )
 # ------------------------------------------------------------------------------
 
 
 def discover(root: str, scoped: bool = True) -> list[Probe]:
-    """Probes for the usual places below ``root`` (one ``scope=...`` folder per home)."""
+    """Probes for histories landed below ``root``, in one ``scope=...`` folder per scope."""
     base = f"{root.rstrip('/')}/scope=*" if scoped else root.rstrip("/")
-    return [Probe(name, name, f"{base}/{place}") for name, place in HOME_HISTORIES]
+    return [Probe(name, name, f"{base}/{place}") for name, place in LANDED_HISTORIES]
 
 
 def read_history(spark: SparkSession, probe: Probe, params: Params = DEFAULTS) -> DataFrame:

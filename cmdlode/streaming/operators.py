@@ -1,8 +1,10 @@
 """Streaming forms of the batch operators.
 
-``lateness`` (such as ``"10 minutes"``) sets a watermark: rows are put in event
-order before they count, state is dropped by event time, and rows later than
-that are discarded. Without it micro-batches count in arrival order.
+``lateness`` (such as ``"10 minutes"``) sets a watermark on the journal, before
+any filter. (Catalyst may still move a filter below it; then only rows that pass
+move time on, and results are the same but later.) Rows are then put in event order
+before they count, state is dropped by event time, and rows later than that are
+discarded. Without it micro-batches count in arrival order.
 """
 
 from __future__ import annotations
@@ -28,16 +30,17 @@ FIGHTS_SCHEMA = (
 )
 
 
-def _keyed(rows: DataFrame, keys: list[str], lateness: str | None, make, out: str) -> DataFrame:
+def _late(journal: DataFrame, lateness: str | None) -> DataFrame:
+    return journal if lateness is None else journal.withWatermark("ts", lateness)
+
+
+def _keyed(rows: DataFrame, keys: list[str], ordered: bool, make, out: str | None = None) -> DataFrame:
     """Run an ordered processor over ``rows``, which have ``ts`` and ``seq``."""
     rows = rows.withColumn("micros", F.unix_micros("ts"))
-    if lateness is not None:
-        rows = rows.withWatermark("ts", lateness)
     plain = rows.drop("ts").schema
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.fields)
-    timed = lateness is not None
-    processor = make(plain.names, schema, timed, timed)
-    mode = "EventTime" if timed else "None"
+    processor, out = make(plain.names, schema, ordered), out or schema
+    mode = "EventTime" if ordered else "None"
     return rows.groupBy(*keys).transformWithStateInPandas(processor, out, "append", mode)
 
 
@@ -55,28 +58,35 @@ def stream_fights(journal: DataFrame, lateness: str | None = None, params: Param
             *base, params.max_fight_gap_s * 1_000_000, params.near_tokens, params.token_sim
         )
 
-    return _keyed(journal_usage(journal), ["scope", "tool", "shell"], lateness, make, FIGHTS_SCHEMA)
+    used = journal_usage(_late(journal, lateness))
+    return _keyed(used, ["scope", "tool", "shell"], lateness is not None, make, FIGHTS_SCHEMA)
 
 
 def stream_suggestions(
-    journal: DataFrame, by_tool: DataFrame, roots: DataFrame | None = None, params: Params = DEFAULTS
+    journal: DataFrame,
+    by_tool: DataFrame,
+    roots: DataFrame | None = None,
+    params: Params = DEFAULTS,
+    lateness: str | None = None,
 ) -> DataFrame:
     """Suggestions for failures of a journal stream; ``by_tool`` is the static side."""
-    return suggest(failures(journal_usage(journal), roots, params), by_tool)
+    used = journal_usage(_late(journal, lateness))
+    return suggest(failures(used, roots, params), by_tool)
 
 
 def stream_cooldown(
-    suggestions: DataFrame, lateness: str | None = None, params: Params = DEFAULTS
+    suggestions: DataFrame, ordered: bool = False, params: Params = DEFAULTS
 ) -> DataFrame:
-    """Rate limit per scope and tool. Only rows with a suggestion restart the clock."""
+    """Rate limit per scope and tool. Only rows with a suggestion restart the clock.
+
+    Set ``ordered`` when the suggestions were made with a ``lateness``.
+    """
     rows = suggestions.withColumn("won_at_us", F.unix_micros("won_at")).drop("won_at")
 
     def make(*base):
         return state.CooldownProcessor(*base, params.cooldown_s * 1_000_000)
 
-    plain = rows.withColumn("micros", F.unix_micros("ts")).drop("ts").schema
-    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.fields)
-    return _keyed(rows, ["scope", "tool"], lateness, make, out).withColumnRenamed("micros", "ts_us")
+    return _keyed(rows, ["scope", "tool"], ordered, make).withColumnRenamed("micros", "ts_us")
 
 
 def running_counts(commands: DataFrame) -> DataFrame:

@@ -50,9 +50,9 @@ class OrderedProcessor(StatefulProcessor):
 
     state_schema = ""
 
-    def __init__(self, columns: list[str], row_schema: str, reorder: bool, timed: bool) -> None:
+    def __init__(self, columns: list[str], row_schema: str, reorder: bool) -> None:
         self.columns, self.row_schema = columns, row_schema
-        self.reorder, self.timed = reorder, timed
+        self.reorder = reorder
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -105,7 +105,7 @@ class OrderedProcessor(StatefulProcessor):
             self.state.clear()
         else:
             self.state.update(state)
-            if self.timed:
+            if self.reorder:
                 self._wake(self.forget_after(state))
         if out:
             yield pd.DataFrame(out)
@@ -116,8 +116,8 @@ class FightProcessor(OrderedProcessor):
 
     state_schema = "first bigint, last bigint, cmd string, failures bigint"
 
-    def __init__(self, columns, row_schema, reorder, timed, gap_micros: int, near: int, floor: float) -> None:
-        super().__init__(columns, row_schema, reorder, timed)
+    def __init__(self, columns, row_schema, reorder, gap_micros: int, near: int, floor: float) -> None:
+        super().__init__(columns, row_schema, reorder)
         self.gap, self.near, self.floor = gap_micros, near, floor
 
     def forget_after(self, state: tuple) -> int:
@@ -150,8 +150,8 @@ class CooldownProcessor(OrderedProcessor):
 
     state_schema = "spoken bigint"
 
-    def __init__(self, columns, row_schema, reorder, timed, cooldown_micros: int) -> None:
-        super().__init__(columns, row_schema, reorder, timed)
+    def __init__(self, columns, row_schema, reorder, cooldown_micros: int) -> None:
+        super().__init__(columns, row_schema, reorder)
         self.cooldown = cooldown_micros
 
     def forget_after(self, state: tuple) -> int:
