@@ -33,12 +33,24 @@ _FLAG_NAMES = "|".join(
 _ASSIGN_NAMES = "|".join(_fold(w) for w in ("token", "secret", "password", "passwd", "api_?key"))
 _SCHEMES = f"{_fold('bearer')}|{_fold('basic')}"
 
+_END = rf"(?!{_WORD})"
+
+
+def _lead(text: str) -> str:
+    """``text`` at the start of a word. The literal comes first, as it fails fastest."""
+    return rf"{text}(?<!{_WORD}{text})"
+
+
 # --- fixed values: the scrubbing rules, applied in this order ----------------
 NAMED_RULES = (
     # value of a secret-looking option
     (rf"(?i)(^|{_BLANK})(--?(?:{_FLAG_NAMES})[= ]){_SOLID}+", "$1$2" + PLACEHOLDER),
     # value of a secret-looking assignment
-    (rf"(?i){_EDGE}({_NAME}*(?:{_ASSIGN_NAMES}){_NAME}*=){_SOLID}+", "$1" + PLACEHOLDER),
+    # (the look-ahead skips names without a value before any backtracking)
+    (
+        rf"(?i){_EDGE}(?={_NAME}++=)({_NAME}*(?:{_ASSIGN_NAMES}){_NAME}*=){_SOLID}+",
+        "$1" + PLACEHOLDER,
+    ),
     # authorization header
     (
         rf"(?i)(authorization:{_BLANK}*(?:{_SCHEMES}){_BLANK}+)[A-Za-z0-9._~+/={_EXTRA}-]+",
@@ -46,19 +58,25 @@ NAMED_RULES = (
     ),
 )
 SHAPE_RULES = (
-    (rf"{_EDGE}gh[pousr]_[A-Za-z0-9]{{20,}}{_EDGE}", PLACEHOLDER),
-    (rf"{_EDGE}github_pat_[A-Za-z0-9_]{{20,}}{_EDGE}", PLACEHOLDER),
-    (rf"{_EDGE}xox[baprs]-[A-Za-z0-9-]{{10,}}{_EDGE}", PLACEHOLDER),
-    (rf"{_EDGE}AKIA[0-9A-Z]{{16}}{_EDGE}", PLACEHOLDER),
-    (rf"{_EDGE}(?:sk|pk|rk)_(?:live|test)_[A-Za-z0-9]{{16,}}{_EDGE}", PLACEHOLDER),
+    (rf"{_lead('gh[pousr]_')}[A-Za-z0-9]{{20,}}{_END}", PLACEHOLDER),
+    (rf"{_lead('github_pat_')}[A-Za-z0-9_]{{20,}}{_END}", PLACEHOLDER),
+    (rf"{_lead('xox[baprs]-')}[A-Za-z0-9-]{{10,}}{_EDGE}", PLACEHOLDER),
+    (rf"{_lead('AKIA')}[0-9A-Z]{{16}}{_END}", PLACEHOLDER),
+    (rf"{_lead('[spr]k_')}(?:live|test)_[A-Za-z0-9]{{16,}}{_END}", PLACEHOLDER),
     (
-        rf"{_EDGE}eyJ[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]{{5,}}{_EDGE}",
+        rf"{_lead('eyJ')}[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]{{5,}}{_EDGE}",
         PLACEHOLDER,
     ),
 )
-# Literals of which every match of a rule group contains at least one.
-NAMED_HINTS = ("-", "=", ":")
-SHAPE_HINTS = ("gh", "xox", "AKIA", "_live_", "_test_", "eyJ")
+# Every match of a named rule contains one of these in lower case, or a letter
+# that only folds to ASCII; every match of a shape rule one of the others.
+NAMED_HINTS = (
+    "passw", "pwd", "token", "secret", "apikey", "api_key", "api-key",
+    "accesskey", "access_key", "access-key", "-auth", "authorization:", "ſ",
+)
+SHAPE_HINTS = (
+    "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "xox", "AKIA", "_live_", "_test_", "eyJ",
+)
 # -----------------------------------------------------------------------------
 
 Rules = tuple[tuple[str, str], ...]
@@ -77,17 +95,16 @@ def _any(c: Column, literals: tuple[str, ...]) -> Column:
     return found
 
 
-def redact(c: Column, extra_rules: Rules = ()) -> Column:
+def redact(c: Column, extra_rules: Rules = (), lowered: Column | None = None) -> Column:
     """Replace likely secrets with the placeholder.
 
     Byte searches for the hints decide which rule group can match at all, so
-    most rows never reach the shape rules. A replacement cannot create a hint:
-    it puts the placeholder between what stays. ``extra_rules`` are Java
+    most rows never meet a regular expression. A replacement cannot create a
+    hint: it puts the placeholder between what stays. For long texts pass
+    ``lowered``, the lower-case text computed once. ``extra_rules`` are Java
     patterns applied last, to every row.
     """
-    scrubbed = (
-        F.when(_any(c, SHAPE_HINTS), _apply(_apply(c, NAMED_RULES), SHAPE_RULES))
-        .when(_any(c, NAMED_HINTS), _apply(c, NAMED_RULES))
-        .otherwise(c)
-    )
+    low = F.lower(c) if lowered is None else lowered
+    named = F.when(_any(low, NAMED_HINTS), _apply(c, NAMED_RULES)).otherwise(c)
+    scrubbed = F.when(_any(c, SHAPE_HINTS), _apply(named, SHAPE_RULES)).otherwise(named)
     return _apply(scrubbed, extra_rules)

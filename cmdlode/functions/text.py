@@ -12,6 +12,9 @@ from cmdlode.params import HELP_FLAGS, HELP_TOOLS, NOISE_TOOLS, SAFE_TOOL, TOOL_
 # Unicode white space other than the plain blank, as one character class body.
 _RARE_WS = r"\t-\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _WS = f"[ {_RARE_WS}]"
+# The same characters by code point: control characters, and the wider ones.
+_CONTROL_WS = [0x09, 0x0A, 0x0B, 0x0C, 0x0D]
+_WIDE_WS = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
 
 def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -25,17 +28,29 @@ def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(row)))
 
 
+def _contains_any(c: Column, characters: list[int]) -> Column:
+    found = F.lit(False)
+    for code in characters:
+        found = found | c.contains(chr(code))
+    return found
+
+
 def trim_ws(c: Column) -> Column:
     """Trim all Unicode white space (plain ``trim`` only removes blanks)."""
-    return F.regexp_replace(c, rf"^{_WS}+|{_WS}+\z", "")
+    ends = F.concat(F.left(c, F.lit(1)), F.right(c, F.lit(1)))
+    return F.when(ends.rlike(_WS), F.regexp_replace(c, rf"^{_WS}+|{_WS}+\z", "")).otherwise(c)
 
 
 def normalize(c: Column) -> Column:
     """Collapse white-space runs to one blank and trim.
 
-    Text that is already clean matches nothing and is passed through.
+    Byte searches decide whether there is anything to collapse; most text
+    never meets the regular expression.
     """
-    return F.btrim(F.regexp_replace(c, rf"{_WS}{{2,}}|[{_RARE_WS}]", " "))
+    wide = (F.octet_length(c) != F.char_length(c)) & _contains_any(c, _WIDE_WS)
+    untidy = c.contains("  ") | _contains_any(c, _CONTROL_WS) | wide
+    collapsed = F.regexp_replace(c, rf"{_WS}{{2,}}|[{_RARE_WS}]", " ")
+    return F.btrim(F.when(untidy, collapsed).otherwise(c))
 
 
 def clip_bytes(c: Column, limit: int) -> Column:

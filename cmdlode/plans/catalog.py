@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cmdlode.functions.format import duration, journal_line, status_text
 from cmdlode.functions.paths import leaf_label, normalize_path
 from cmdlode.functions.redaction import redact
-from cmdlode.functions.text import is_safe_tool
+from cmdlode.functions.text import compute_once, is_safe_tool
 from cmdlode.operators import fights as fight_ops
 from cmdlode.operators import projects, reports, retries, sheets, suggest, usage
 from cmdlode.operators.cooldown import apply_cooldown
@@ -138,7 +138,9 @@ SECRETS = (
 def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     secret = F.get(F.array(*[F.lit(s) for s in SECRETS]), (F.col("doc_id") % len(SECRETS)).cast("int"))
-    clean = documents.select("doc_id", redact(F.concat("text", F.lit(" "), secret)).alias("clean"))
+    texts = documents.select("doc_id", F.concat("text", F.lit(" "), secret).alias("raw"))
+    texts = compute_once(texts, low=F.lower("raw"))
+    clean = compute_once(texts, clean=redact(F.col("raw"), lowered=F.col("low")))
     return clean.select(
         "doc_id", F.md5("clean").alias("digest"), F.length("clean").cast("bigint").alias("n_chars")
     )
