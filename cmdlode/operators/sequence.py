@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cmdlode.params import DEFAULTS, Params
+from cmdlode.session import cut_lineage
 
 # link(df, prev, cur, out): add boolean ``out``, true where the row struct
 # ``cur`` continues the run that the row struct ``prev`` belongs to.
@@ -96,6 +97,10 @@ def linked_runs(
     )
 
 
+# Hot keys are broadcast up to this many; each is a key value and a flag.
+_BROADCAST_KEYS = 50_000
+
+
 def hot_keys(rows: DataFrame, keys: list[str], params: Params = DEFAULTS) -> DataFrame:
     """Keys with more rows than one task should sort; there are few by definition."""
     return rows.groupBy(*keys).count().where(F.col("count") > params.hot_key_rows).select(*keys)
@@ -111,27 +116,28 @@ def dense_positions(
 ) -> DataFrame:
     """Number the rows of each key from 0 in the given order.
 
-    ``bucket`` is a BIGINT that never decreases along the order. Hot keys are
-    numbered per bucket and shifted by the size of the buckets before it; all
-    other keys form one bucket.
+    A count per key, which reads only the key columns, looks for hot keys first.
+    Without any, one window does. Otherwise hot keys are numbered per ``bucket``
+    (a BIGINT that never decreases along the order) and shifted by the size of
+    the buckets before it; all other keys form one bucket.
     """
-    hot = hot_keys(rows, keys, params).withColumn("_hot", F.lit(True))
+    hot = hot_keys(rows, keys, params)
+    found = hot.limit(_BROADCAST_KEYS + 1).count()
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    if found == 0:
+        return rows.withColumn(out, (number - 1).cast("bigint"))
+    hot = cut_lineage(hot).withColumn("_hot", F.lit(True))
+    if found <= _BROADCAST_KEYS:
+        hot = F.broadcast(hot)
     split = rows.join(hot, keys, "left").withColumn(
         "_bucket", F.when(F.col("_hot"), bucket).otherwise(F.lit(0)).cast("bigint")
     )
-    sizes = (
-        rows.join(hot, keys, "left_semi")
-        .withColumn("_bucket", bucket.cast("bigint"))
-        .groupBy(*keys, "_bucket")
-        .count()
-    )
+    sizes = split.where(F.col("_hot")).groupBy(*keys, "_bucket").count()
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(*keys, "_bucket", F.sum("count").over(before).alias("_shift"))
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    number = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
     return (
         split.join(shifts, [*keys, "_bucket"], "left")
-        .withColumn(
-            out, (F.row_number().over(inside) - 1 + F.coalesce(F.col("_shift"), F.lit(0))).cast("bigint")
-        )
+        .withColumn(out, (number - 1 + F.coalesce(F.col("_shift"), F.lit(0))).cast("bigint"))
         .drop("_hot", "_bucket", "_shift")
     )
