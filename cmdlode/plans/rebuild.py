@@ -84,8 +84,11 @@ class Rebuild:
     def biggest_fights(self) -> DataFrame:
         return reports.biggest_fights(self.reports, self.params)
 
-    def sheets(self, existing: DataFrame, generated_on: str) -> DataFrame:
-        return sheets.render_sheets(reports.with_content(self.reports), existing, generated_on)
+    def sheets(
+        self, existing: DataFrame, generated_on: str, product: str = sheets.PRODUCT
+    ) -> DataFrame:
+        shown = reports.with_content(self.reports)
+        return sheets.render_sheets(shown, existing, generated_on, product)
 
     def write(self, victories_path: str, sheets_path: str, generated_on: str) -> None:
         """Store victories and sheets; notes in the stored sheets are kept."""
