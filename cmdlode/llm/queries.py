@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cmdlode.llm import mixing, quality
-from cmdlode.session import configure
+from cmdlode.llm import contamination, html_text, mixing, neardup, pii, quality, secret_scan, token_counts, token_files
+from cmdlode.session import configure, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
+DEMO_KEY = b"pseudonyms of the registered query"
 _QUERIES: dict[str, Query] = {}
 
 
@@ -30,6 +31,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    samples = secret_scan.random_strings(spark).unionByName(secret_scan.ordinary_strings(docs))
+    found = secret_scan.scan(docs, secret_scan.train(samples))
+    base = F.filter("found", lambda s: s["kind"] != secret_scan.RANDOM)
+    of = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select(
+        "doc_id",
+        *[of(kind).alias(f"n_{kind}") for kind in secret_scan.KINDS],
+        F.sha2(secret_scan.as_text(base), 256).alias("base_sha256"),
+        secret_scan.as_text(F.col("found")).alias("spans"),
+        of(secret_scan.RANDOM).alias("n_random"),
+    )
+
+
+@_query
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = token_counts.encoded_lengths(_table(spark, sf_dir, "documents"))
+    return token_counts.length_report(token_counts.histogram(lengths))
+
+
 @_query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -39,11 +62,41 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 @_query
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymize(docs, key=DEMO_KEY)
+
+
+@_query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = contamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return judged.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+@_query
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.tokenize_to_files(_table(spark, sf_dir, "documents"), work_folder(spark, "tokens"))
+
+
 _BLANK, _CHAR = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
 _STOP = ",".join(f"'{x}'" for x in sorted(set(quality.STOP_WORDS)))
 
