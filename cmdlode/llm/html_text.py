@@ -27,9 +27,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 WINDOW = 3
 FALL = 0.15  # surge and dive: a window below this share of the fullest
@@ -257,14 +258,17 @@ def main_text(source: str | None) -> str:
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """Columns of ``pages`` without the html, ``text`` and ``n_chars`` (its code points)."""
-    row = pages.withColumnRenamed(html_col, "_html").drop("text", "n_chars")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in row.schema if f.name != "_html"]
+    """Columns of ``pages`` without the html, ``text`` and ``n_chars`` (its code points).
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Columns of these names are replaced; the others pass through untouched.
+    """
+    kept = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
+    schema = StructType([pages.schema[c] for c in kept] + [StructField("text", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(source) for source in batch["_html"]]
-            yield batch.drop(columns="_html").assign(text=texts)
+            texts = pa.array([main_text(source.as_py()) for source in batch.column(html_col)], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), texts], names=[*kept, "text"])
 
-    found = row.mapInPandas(run, ", ".join([*fields, "text string"]))
+    found = pages.select(*[F.col(f"`{c}`") for c in (*kept, html_col)]).mapInArrow(run, schema)
     return found.withColumn("n_chars", F.length("text").cast("bigint"))

@@ -21,8 +21,9 @@ import re
 from collections.abc import Iterator
 from datetime import date, timedelta
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import LongType, StructField, StructType
 
 ROUNDS = 8
 _DAYS = (date(1900, 1, 1), date(2099, 12, 31))
@@ -204,19 +205,26 @@ _SIGN = re.compile("[0-9@]")
 
 
 def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text", back: bool = False) -> DataFrame:
-    """Columns of ``docs``, the text replaced, and the number of values of each kind as ``n_<kind>``."""
+    """Columns of ``docs``, the text replaced, and the number of values of each kind as ``n_<kind>``.
+
+    Columns of these names are replaced; the others pass through untouched.
+    """
     counts = [f"n_{kind}" for kind in KINDS]
     docs = docs.drop(*(c for c in docs.columns if c in counts))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+    names = docs.columns
+    schema = StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in counts)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pseudonyms, none = Pseudonyms(key, back), dict.fromkeys(KINDS, 0)
         for batch in batches:
-            done = [pseudonyms.replace(t) if t and _SIGN.search(t) else (t, none) for t in batch[text_col]]
-            batch = batch.assign(**{text_col: pd.Series([t for t, _ in done], index=batch.index, dtype=object)})
-            yield batch.assign(**{f"n_{kind}": [c[kind] for _, c in done] for kind in KINDS})
-
-    return docs.mapInPandas(run, ", ".join([*fields, *(f"{c} bigint" for c in counts)]))
+            texts = (value.as_py() for value in batch.column(text_col))
+            done = [pseudonyms.replace(t) if t and _SIGN.search(t) else (t, none) for t in texts]
+            new = pa.array([t for t, _ in done], pa.string())
+            columns = [new if c == text_col else batch.column(c) for c in names]
+            numbers = [pa.array([c[kind] for _, c in done], pa.int64()) for kind in KINDS]
+            yield pa.RecordBatch.from_arrays([*columns, *numbers], names=[*names, *counts])
+
+    return docs.mapInArrow(run, schema)
 
 
 def restore(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:

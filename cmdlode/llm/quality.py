@@ -6,8 +6,9 @@ built-in functions, so a document's cost is its length (times its logarithm wher
 windows repeat) and nothing is shuffled.
 
 Defined results: a null text is an empty one: all counts 0, ``base_failed`` true. Lines
-without words count nowhere. Repeated rows are judged alike, input columns are kept
-only where named, and an empty table gives no rows.
+without words count nowhere. Repeated rows are judged alike. Input columns are kept, but
+those named like a result (or like an intermediate array, ``_INNER``) are replaced;
+``keep_good`` keeps all of them. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -45,6 +46,9 @@ class Rule:
     applies: str = "true"
 
 
+_RESULTS = ("n_words", "word_chars", "n_symbols", "n_stop_words", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "broken", "kept")
+_INNER = ("_text", "_words", "_lines", "_ids", "_win", "_next", "_own", "_runs")
+
 # Measures are ratios of integers, so the same bounds hold for any length.
 RULES = (
     Rule("word_length", "word_chars / n_words", 2.5, 12.0),
@@ -62,6 +66,7 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     the functions over it read it by position.
     """
     text = text_or_empty(text_col)
+    docs = docs.drop(*(c for c in (*_RESULTS, *_INNER) if c != text_col))
     once = compute_once(docs, _text=text, _words=words_of(text))
     t, w = F.col("_text"), F.col("_words")
     lines = F.filter(F.split(t, "\n"), lambda line: line.rlike(WORD_CHAR))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cmdlode.llm import contamination, html_text, mixing, neardup, pii, quality, secret_scan, token_counts, token_files
+from cmdlode.llm import contamination, html_text, license_scan, mixing, neardup, pii, quality, secret_scan, token_counts, token_files
 from cmdlode.session import configure, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.find_licenses(_table(spark, sf_dir, "documents"))
+
+
 @_query
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))

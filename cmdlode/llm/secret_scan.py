@@ -12,6 +12,7 @@ returns the gap before each match; the running sum of gaps and matches gives off
 Defined results: a null text is an empty one, with no spans. Matches of a pattern too
 short for it are dropped after matching. A random run that overlaps a pattern's span
 is not reported again. Repeated rows are scanned alike, an empty table gives no rows.
+Other input columns are kept; one named ``found`` is replaced.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def random_strings(spark: SparkSession, n: int = SAMPLE_STRINGS) -> DataFrame:
 
 
 def ordinary_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SAMPLE_DOCS) -> DataFrame:
-    """``value, secret = false``: names built from neighbouring words of ``n`` documents.
+    """``value, secret = false``: names built from neighbouring words of ``n`` documents, and drawn lines.
 
     The documents are those with the smallest digests of their id; those with a sign of
     a secret are left out. The sample's size is bounded by ``n``, whatever the table's.
@@ -72,7 +73,10 @@ def ordinary_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ]
     form = F.get(F.array(*forms), F.pmod(F.xxhash64("a", "b"), F.lit(len(forms))).cast("int"))
     named = words.select(F.inline(pairs)).where("b is not null").select(form.alias("value"), F.lit(False).alias("secret"))
-    return named.where(F.col("value").rlike(f"^{RUN}+$"))
+    rules = docs.sparkSession.range(_WIDTH).select(  # one character over and over, as in drawn lines
+        F.repeat(F.char(F.col("id") + _FIRST), F.lit(2000)).alias("value"), F.lit(False).alias("secret")
+    )
+    return named.unionByName(rules).where(F.col("value").rlike(f"^{RUN}+$"))
 
 
 @dataclass(frozen=True)
@@ -155,6 +159,9 @@ def scan(
     text = F.col("_text")
     runs = f"{RUN}{{{min_run},}}"
     has_run = text.rlike(runs)
+    kinds = [*KINDS, RANDOM]
+    inner = [f"_{kind}{end}" for kind in kinds for end in ("", "_ends")] + ["_text", "_scores", "_base", "_runs"]
+    docs = docs.drop(*(c for c in (*inner, "found") if c != text_col))
     once = compute_once(docs, _text=text_or_empty(text_col)).drop(text_col)
     parts = {f"_{kind}": F.when(text.rlike(sign), _lengths(text, p, group)).otherwise(none)
              for kind, (p, group, _, sign) in KINDS.items()}
@@ -162,7 +169,6 @@ def scan(
     parts[f"_{RANDOM}"] = F.when(has_run, _lengths(text, runs, 2)).otherwise(none)
     parts["_scores"] = F.when(has_run, scores).otherwise(F.array().cast("array<double>"))
     once = compute_once(once, **parts).drop("_text")
-    kinds = [*KINDS, RANDOM]
     once = compute_once(once, **{f"_{kind}_ends": _ends(f"_{kind}") for kind in kinds})
 
     def spans(kind: str) -> Column:
@@ -184,8 +190,7 @@ def scan(
         F.array_sort(F.concat("_base", unlike)),
         lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(names, s["rank"]).alias("kind")),
     )
-    inner = [f"_{kind}{end}" for kind in kinds for end in ("", "_ends")]
-    return once.withColumn("found", named).drop(*inner, "_scores", "_base", "_runs")
+    return once.withColumn("found", named).drop(*inner)
 
 
 def as_text(found: Column) -> Column:

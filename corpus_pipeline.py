@@ -1,11 +1,16 @@
-"""Corpus pipeline: documents to token ids, one operator a stage."""
+"""Corpus pipeline: documents to token ids, one operator a stage.
+
+Every stage reads what the one before it wrote. A stage that fails or loses executors is
+run again from there. All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cmdlode.llm import mixing, quality
-from cmdlode.session import configure
+from cmdlode.llm import contamination, mixing, neardup, quality, token_files
+from cmdlode.session import configure, stored, work_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,14 +18,41 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return neardup.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages of weight."""
+    return contamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target wants them."""
-    return mixing.mix(docs).withColumn("n_chars", _n_chars())
+    """Documents as often as their source's target wants them, the last ones cut to the word."""
+    return mixing.mix(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in files with an index; a row for each document, read back from them."""
+    return token_files.tokenize_to_files(docs, work_folder(spark, "tokens"))
+
 
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("mix_sources", mix_sources),
+    ("token_output", token_output),
+]
 
-STAGES = [("quality_rules", quality_rules), ("mix_sources", mix_sources)]
+# A stage with a trained vocabulary has no SQL; tests compare run() with a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    configure(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
