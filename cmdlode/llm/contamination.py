@@ -27,11 +27,11 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cmdlode.llm.words import WordHasher, gram_hashes, lower_ascii
+from cmdlode.llm.words import WordHasher, gram_hashes, int_lists, lower_ascii, row_slices, texts_of
 from cmdlode.session import stored
 
 WINDOW = 13
@@ -53,15 +53,15 @@ def winnow(words: np.ndarray, length: int) -> np.ndarray:
 
 
 def _item_prints(window: int) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher("alnum")
-        for batch in batches:
-            for item_id, text in zip(batch["item_id"].array, batch["text"]):
-                words = hasher.hashes(lower_ascii(text))
-                length = min(window, len(words))
-                if length:
-                    prints = winnow(words, length).view(np.int64)
-                    yield pd.DataFrame({"item_id": pd.array([item_id] * len(prints), "object"), "length": length, "print": prints})
+        for part in row_slices(batches, 500):
+            texts = [hasher.hashes(lower_ascii(text)) for text in texts_of(part)]
+            lengths = [min(window, len(words)) for words in texts]
+            prints = [winnow(words, n) if n else words for words, n in zip(texts, lengths)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("item_id"), pa.array(lengths, pa.int32()), int_lists(prints)], names=["item_id", "length", "prints"]
+            )
 
     return run
 
@@ -69,24 +69,25 @@ def _item_prints(window: int) -> Callable:
 def _sift(lengths: list[int], bits: int, bitmap) -> Callable:
     """Count words; keep prints whose top bits are set in the bitmap, and the text with them."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, known = WordHasher("alnum"), bitmap.value
-        for batch in batches:
-            for first in range(0, len(batch), 500):
-                part, rows = batch.iloc[first : first + 500], []
-                for text in part["text"]:
-                    words = hasher.hashes(lower_ascii(text))
-                    found = [winnow(words, length) for length in lengths]
-                    prints = np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
-                    place = (prints >> np.uint64(64 - bits)).astype(np.int64)
-                    prints = prints[(known[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0]
-                    if len(prints):
-                        key = hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                        rows.append((len(words), text, key, prints.view(np.int64)))
-                    else:
-                        rows.append((len(words), None, None, None))
-                columns = dict(zip(("n_words", "text", "key", "prints"), zip(*rows)))
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, **{k: list(v) for k, v in columns.items()}})
+        for part in row_slices(batches, 500):
+            counts, texts, keys, kept = [], [], [], []
+            for text in texts_of(part):
+                words = hasher.hashes(lower_ascii(text))
+                found = [winnow(words, length) for length in lengths]
+                prints = np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+                place = (prints >> np.uint64(64 - bits)).astype(np.int64)
+                prints = prints[(known[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0]
+                data = (text or "").encode("utf-8", "surrogatepass")
+                counts.append(len(words))
+                texts.append(text if len(prints) else None)
+                keys.append(hashlib.blake2b(data, digest_size=16).digest() if len(prints) else None)
+                kept.append(prints if len(prints) else None)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(texts, pa.string()), pa.array(keys, pa.binary()), int_lists(kept)],
+                names=["doc_id", "n_words", "text", "key", "prints"],
+            )
 
     return run
 
@@ -112,21 +113,19 @@ _HITS = "doc_id bigint, n_words bigint, n_hit bigint, items array<string>, spans
 
 
 def _extend(window: int) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher("alnum")
-        for batch in batches:
-            rows = []
-            for text, matched in zip(batch["text"], batch["matched"]):
-                if matched is None or not len(matched):
-                    rows.append((0, [], []))
-                    continue
-                items = [hasher.hashes(lower_ascii(m["text"])) for m in matched]
+        for part in row_slices(batches, 100):
+            hits, ids, spans = [], [], []
+            for text, matched in zip(texts_of(part), texts_of(part, "matched")):
+                items = [hasher.hashes(lower_ascii(m["text"])) for m in matched or ()]
                 hit, occurs = covered(hasher.hashes(lower_ascii(text)), items, window)
-                ids = sorted({"null" if m["item_id"] is None else m["item_id"] for m, o in zip(matched, occurs) if o})
-                rows.append((int(hit.sum()), ids, np.flatnonzero(np.diff(np.r_[0, hit, 0])).astype(np.int64)))
-            columns = dict(zip(("n_hit", "items", "spans"), zip(*rows))) if rows else {"n_hit": (), "items": (), "spans": ()}
-            yield pd.DataFrame(
-                {"doc_id": batch["doc_id"].array, "n_words": batch["n_words"].array, **{k: list(v) for k, v in columns.items()}}
+                hits.append(int(hit.sum()))
+                ids.append(sorted({"null" if m["item_id"] is None else m["item_id"] for m, o in zip(matched or (), occurs) if o}))
+                spans.append(np.flatnonzero(np.diff(np.r_[0, hit, 0])).astype(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("n_words"), pa.array(hits, pa.int64()), pa.array(ids, pa.list_(pa.string())), int_lists(spans)],
+                names=["doc_id", "n_words", "n_hit", "items", "spans"],
             )
 
     return run
@@ -159,13 +158,14 @@ def contamination(
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    prints = stored(items.mapInPandas(_item_prints(window), "item_id string, length int, print bigint"), "prints")
+    prints = items.mapInArrow(_item_prints(window), "item_id string, length int, prints array<bigint>")
+    prints = stored(prints.select("item_id", "length", F.explode("prints").alias("print")), "prints")
     lengths = sorted(row["length"] for row in prints.select("length").distinct().collect())  # at most ``window``
     bits, table = _bitmap(prints.select("print").distinct())
     sift = _sift(lengths, bits, spark.sparkContext.broadcast(table))
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     sifted = stored(
-        plain.mapInPandas(sift, "doc_id bigint, n_words bigint, text string, key binary, prints array<bigint>"), "sifted"
+        plain.mapInArrow(sift, "doc_id bigint, n_words bigint, text string, key binary, prints array<bigint>"), "sifted"
     )
     suspects = sifted.where("prints is not null")
     pairs = suspects.select("doc_id", "key", F.explode("prints").alias("print")).join(prints.select("item_id", "print"), "print")
@@ -178,7 +178,7 @@ def contamination(
     )
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
     extended = suspects.join(matched, same, "left").select("doc_id", "n_words", "text", "matched")
-    hits = extended.mapInPandas(_extend(window), _HITS)
+    hits = extended.mapInArrow(_extend(window), _HITS)
     clean = sifted.where("prints is null").select(
         "doc_id", "n_words", F.lit(0).cast("bigint").alias("n_hit"),
         F.array().cast("array<string>").alias("items"), F.array().cast("array<bigint>").alias("spans"),
@@ -191,4 +191,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """Rows of ``docs`` whose id has no contaminated row."""
     bad = contamination(docs, benchmark, id_col=id_col, text_col=text_col).where("contaminated")
     bad = stored(bad.select(F.col(id_col).alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    kept = docs.select(row, F.col(id_col).alias("_id")).join(bad, F.col("_id").eqNullSafe(F.col("_bad")), "left_anti")
+    return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

@@ -27,12 +27,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cmdlode.llm.components import components
-from cmdlode.llm.words import WordHasher, gram_hashes, lower_ascii, mix64
+from cmdlode.llm.words import WordHasher, gram_hashes, int_lists, lower_ascii, mix64, row_slices, texts_of
 from cmdlode.session import stored
 
 SHINGLE = 5
@@ -88,28 +88,29 @@ def most_odd_bits(similarity: float) -> int:
 _SIGNED = "doc_id bigint, digest binary, n_shingles bigint, bands array<bigint>, sketch array<bigint>"
 
 
-def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = WordHasher("blank")
-    for batch in batches:
-        for first in range(0, len(batch), 500):
-            part, rows = batch.iloc[first : first + 500], []
-            for text in part["text"]:
-                shingles = shingle_set(text, hasher)
-                if not len(shingles):
-                    rows.append((b"", 0, None, None))
-                    continue
-                samples = min_hashes(shingles)
-                rows.append((set_digest(shingles), len(shingles), band_keys(samples), odd_sketch(samples)))
-            columns = dict(zip(("digest", "n_shingles", "bands", "sketch"), zip(*rows)))
-            yield pd.DataFrame({"doc_id": part["doc_id"].array, **{k: list(v) for k, v in columns.items()}})
-
-
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in row_slices(batches, 500):
+        digests, sizes, bands, sketches = [], [], [], []
+        for text in texts_of(part):
+            shingles = shingle_set(text, hasher)
+            samples = min_hashes(shingles) if len(shingles) else None
+            digests.append(set_digest(shingles))
+            sizes.append(len(shingles))
+            bands.append(None if samples is None else band_keys(samples))
+            sketches.append(None if samples is None else odd_sketch(samples))
+        yield pa.RecordBatch.from_arrays(
+            [part.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), int_lists(bands), int_lists(sketches)],
+            names=["doc_id", "digest", "n_shingles", "bands", "sketch"],
+        )
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = WordHasher("blank")
-    for batch in batches:
-        for first in range(0, len(batch), 200):
-            found = [shingle_set(text, hasher) for text in batch["text"].iloc[first : first + 200]]
-            yield pd.DataFrame({"digest": [set_digest(s) for s in found], "shingles": [s.view(np.int64) for s in found]})
+    for part in row_slices(batches, 200):
+        found = [shingle_set(text, hasher) for text in texts_of(part)]
+        digests = pa.array([set_digest(s) for s in found], pa.binary())
+        yield pa.RecordBatch.from_arrays([digests, int_lists(found)], names=["digest", "shingles"])
 
 
 def _odd_bits(a: Column, b: Column) -> Column:
@@ -133,7 +134,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, digest, n_shingles, root`` of every row: its class and its component's class."""
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stored(plain.mapInPandas(_sign, _SIGNED), "signed")
+    signed = stored(plain.mapInArrow(_sign, _SIGNED), "signed")
     filled = signed.where("n_shingles > 0")
     classes = stored(filled.select("digest", "bands", "sketch").dropDuplicates(["digest"]), "classes")
     members = classes.select("digest", F.explode("bands").alias("band"))
@@ -152,7 +153,7 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = filled.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     ids = rows.select(F.col("doc_id").alias("_id")).distinct()
     texts = plain.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    found = texts.mapInPandas(_sets, "digest binary, shingles array<bigint>")
+    found = texts.mapInArrow(_sets, "digest binary, shingles array<bigint>")
     sets = stored(found.join(wanted, "digest", "left_semi").dropDuplicates(["digest"]), "sets")
 
     links = stored(_confirmed(first, sets), "links")
@@ -191,6 +192,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` without near-duplicates: of each component the row of its least id, once."""
     kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept")).distinct()
-    chosen = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
-    same = Window.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(0))
-    return chosen.withColumn("_copy", F.row_number().over(same)).where("_copy = 1").drop("_copy")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    keyed = docs.select(row, F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"))
+    chosen = keyed.join(kept, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi")
+    same = Window.partitionBy("_id", "_hash").orderBy("_hash")
+    first = chosen.withColumn("_copy", F.row_number().over(same)).where("_copy = 1")
+    return first.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

@@ -6,7 +6,10 @@ the byte helpers for Python workers.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +40,21 @@ def count_words(text: Column) -> Column:
     return F.length(marks).cast("bigint")
 
 
+def row_slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Parts of batches of at most ``rows`` rows, to bound what a worker holds besides them."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
+def texts_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[str | None]:
+    return (value.as_py() for value in batch.column(column))
+
+
+def int_lists(values: list[np.ndarray | None]) -> pa.Array:
+    return pa.array([None if v is None else v.view(np.int64) for v in values], pa.list_(pa.int64()))
+
+
 def lower_ascii(text: str | None) -> bytes:
     """UTF-8 bytes with A-Z lower-cased; nothing else changes."""
     return (text or "").encode("utf-8", "surrogatepass").lower()

@@ -1,0 +1,113 @@
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+
+from cmdlode.llm import neardup as N
+from cmdlode.llm.components import components
+from tests.llm import brute
+
+
+def _check(frame):
+    rows = frame.select("doc_id", "text").collect()
+    want = brute.near_duplicates([(r["doc_id"], r["text"]) for r in rows])
+    got = {r["doc_id"]: r for r in N.near_duplicates(frame).collect()}
+    assert got.keys() == want.keys()
+    for i, row in got.items():
+        assert (row["n_shingles"], row["component_id"], row["kept"]) == (*want[i], want[i][1] == i)
+
+
+def _variant(text, edits, rng):
+    words = text.split()
+    for _ in range(edits):
+        words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_families_chains_and_limits(docs, prose):
+    rng = random.Random(4)
+    texts = [None, "", " \n", "a b", "A  b", "a b c", "a b c d e", "a b c d E", "x", "x", "ÄB c d e f", "äb c d e f"]
+    for family in range(12):
+        base = prose(rng.choice([12, 40, 150, 600]), family)
+        texts += [base, base.upper(), base.replace(" ", "\n\t")]
+        texts += [_variant(base, edits, rng) for edits in (1, 1, 2, 3, 4, 5)]
+        for _ in range(4):  # a chain: each is near the one before it only
+            base = _variant(base, max(1, len(base.split()) // 60), rng)
+            texts.append(base)
+    texts.append(prose(20_000, 99))
+    rng.shuffle(texts)
+    _check(docs(*texts))
+
+
+def test_similarity_exactly_at_the_limit(docs):
+    words = [f"w{i}" for i in range(40)]
+    ends = [" ".join(words[:n]) for n in (16, 19, 20, 21, 40)]  # sets of 12, 15, 16, 17 and 36 shingles
+    _check(docs(*ends))
+
+
+def test_given_documents(spark):
+    _check(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+
+
+def test_links_between_members_that_are_not_leaders(docs, prose, monkeypatch):
+    """With one key for all, every bucket holds all texts: the second round must find the links."""
+    monkeypatch.setattr(N, "SHINGLE", 5)
+    rng = random.Random(8)
+    bases = [prose(60, i) for i in range(6)]
+    mixed = [" ".join(rng.sample(bases, 3)) for _ in range(20)]
+    texts = [v for m in mixed for v in (m, _variant(m, 3, rng), _variant(m, 6, rng))]
+    _check(docs(*texts))
+
+
+def test_sketch_estimates_similarity():
+    rng = np.random.default_rng(1)
+    for share in (0.95, 0.85, 0.75):
+        n = 4000
+        both = rng.integers(1 << 63, size=int(n * share), dtype=np.uint64)
+        own = [rng.integers(1 << 63, size=(n - len(both)) // 2, dtype=np.uint64) for _ in range(2)]
+        a, b = (N.odd_sketch(N.min_hashes(np.unique(np.r_[both, o]))) for o in own)
+        odd = sum(int(x).bit_count() for x in (a ^ b).view(np.uint64))
+        assert abs(odd - N.most_odd_bits(share)) < 30
+        assert odd <= N.most_odd_bits(N.REJECT_BELOW)
+
+
+def test_nulls_repeats_and_empty_tables(docs, prose):
+    text = prose(50, 1)
+    rows = N.near_duplicates(docs((5, text), (5, text), (None, text), (None, None), (3, ""))).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in rows if r["doc_id"]) == [
+        (3, 0, 3, True), (5, 46, 5, True), (5, 46, 5, True)]
+    assert sorted((r["n_shingles"], r["component_id"], r["kept"]) for r in rows if r["doc_id"] is None) == [(0, None, True), (46, 5, False)]
+    assert N.near_duplicates(docs("a").where("false")).count() == 0
+    big = 2**62 + 3  # ids beyond the precision of doubles
+    assert {r["component_id"] for r in N.near_duplicates(docs((big, text), (big + 1, text), (None, "z"))).collect()} == {big, None}
+
+
+def test_keep_one(docs, prose):
+    text = prose(50, 1)
+    frame = docs((5, text), (5, text), (2, text + " end"), (7, "other words here now then"), (8, None))
+    kept = N.keep_one(frame)
+    assert kept.columns == frame.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 7, 8]
+
+
+@pytest.mark.parametrize("shape", ["path", "star", "mixed"])
+def test_components(spark, shape):
+    rng = random.Random(2)
+    n = 60
+    edges = {"path": [(i, i + 1) for i in range(n)], "star": [(n, i) for i in range(n)],
+             "mixed": [(rng.randrange(n), rng.randrange(n)) for _ in range(45)]}[shape]
+    parent = list(range(n + 1))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {i: find(i) for i in range(n + 1) if find(i) != i}
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
