@@ -151,7 +151,7 @@ class Pseudonyms:
             return not slashed_day_first or d.day > 12
 
         while True:
-            value = self._move("date" + text[4] + text[2] * (not iso), size, value)
+            value = self._move("date-" if iso else f"date{text[2]}", size, value)
             moved = _DAYS[0] + timedelta(value)
             if valid(moved):
                 break

@@ -111,3 +111,48 @@ def token_rows(docs, tokenizer) -> dict[int, tuple[int, int, int]]:
         out[doc_id] = (start, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids)))
         start += len(ids)
     return out
+
+
+def keeps(text: str | None, stop_words) -> bool:
+    """The quality verdict with the production bounds."""
+    n, chars, symbols, dup, repeat, failed = quality(text)
+    if failed:
+        return False
+    words = WORD.findall(text)
+    lines = [line for line in text.split("\n") if WORD.search(line)]
+    stop = sum(w.lower() in stop_words for w in words)
+    bad_length = chars / n < 2.5 or chars / n > 12.0
+    few_stop = n >= 50 and stop / n < 0.01
+    many_lines = len(lines) >= 3 and dup / len(lines) > 0.6
+    return not (bad_length or symbols / n > 0.2 or few_stop or many_lines or repeat / n > 0.3)
+
+
+def mix(rows, seed="mix-1", weights=(1, 2, 3), cap=3):
+    """(doc_id, text, source) -> the texts of the mix as (doc_id, text), whole ones first."""
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source] += len(WORD.findall(text or ""))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % 3] for i, s in enumerate(order)}
+    left, still, target = sum(sizes.values()), set(order), {}
+    while still:
+        share = sum(weight[s] for s in still)
+        over = [s for s in still if left * weight[s] >= share * cap * sizes[s]]
+        if not over:
+            target |= {s: left * weight[s] / share for s in still}
+            break
+        target |= {s: float(cap * sizes[s]) for s in over}
+        left -= sum(cap * sizes[s] for s in over)
+        still -= set(over)
+    out = []
+    for source in order:
+        own = sorted((r for r in rows if r[2] == source), key=lambda r: hashlib.md5(f"{seed}:{r[0]}".encode()).hexdigest())
+        epochs, rest = divmod(int(target[source] + 0.5), max(1, sizes[source]))
+        for doc_id, text, _ in own:
+            n = len(WORD.findall(text or ""))
+            out += [(doc_id, text)] * (epochs if n else 0)
+            if 0 < rest and n:
+                ends = [m.end() for m in WORD.finditer(text)]
+                out.append((doc_id, text if n <= rest else text[: ends[rest - 1]]))
+                rest -= min(n, rest)
+    return out

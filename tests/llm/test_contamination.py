@@ -1,0 +1,85 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+
+from cmdlode.llm import contamination as C
+from tests.llm import brute
+
+FIELDS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def _items(spark, *items):
+    return spark.createDataFrame(list(items), "item_id string, text string")
+
+
+def _check(frame, items):
+    docs = [(r["doc_id"], r["text"]) for r in frame.select("doc_id", "text").collect()]
+    want = brute.contamination(docs, [(r["item_id"], r["text"]) for r in items.collect()])
+    rows = C.contamination(frame, items).collect()
+    assert len(rows) == len(docs)
+    for row in rows:
+        got = (row["n_words"], row["n_hit"], len(row["items"]), brute.sha(",".join(row["items"])), row["contaminated"])
+        assert got == want[row["doc_id"]], row["doc_id"]
+        pairs = list(zip(row["spans"][::2], row["spans"][1::2]))
+        assert sum(b - a for a, b in pairs) == row["n_hit"] and pairs == sorted(pairs)
+
+
+def test_planted_passages(spark, docs, prose):
+    rng = random.Random(3)
+    items = [(f"i{k}", prose(n, 100 + k)) for k, n in enumerate((60, 30, 14, 13, 12, 7, 3, 2, 1, 40))]
+    texts = [None, "", "...!", prose(400, 1)]
+    for _, text in items:
+        words = text.split()
+        texts += [
+            f"{prose(30, 2)} {text.upper()} {prose(30, 3)}", text.replace(" ", " -- "), " ".join(words[:13]), " ".join(words[1:13]),
+            prose(600, 4) + " " + " ".join(words[-13:]), " ".join(words[:12]) + " x " + " ".join(words[12:]), f"{text} {text}",
+        ]
+    for _ in range(10):
+        parts = [" ".join(rng.choice(items)[1].split()[:14]) for _ in range(3)] + [prose(rng.randrange(200), 5)]
+        rng.shuffle(parts)
+        texts.append(" ".join(parts))
+    _check(docs(*texts), _items(spark, *items))
+
+
+def test_repetitive_texts_and_edges(spark, docs):
+    texts = ["la " * 500, "la " * 12, "la " * 13, "a b " * 40, "É1é x", "x y z\x7f w", "a" * 50_000]
+    _check(docs(*texts), _items(spark, ("1", "la " * 20), ("2", "b a " * 9), ("3", "É1é"), ("4", None), ("5", " ,. "), ("6", "z w")))
+
+
+def test_ids_that_repeat_or_miss(spark, docs):
+    items = _items(spark, ("same", "one two three"), ("same", "four five six"), (None, "seven eight"))
+    rows = C.contamination(docs((1, "one two three"), (1, "four five six"), (None, "seven eight"), (None, None)), items).collect()
+    assert sorted((r["n_hit"], r["items"]) for r in rows) == [(0, []), (2, ["null"]), (3, ["same"]), (3, ["same"])]
+
+
+def test_empty_tables(spark, docs):
+    items = _items(spark, ("a", "one two"))
+    assert C.contamination(docs("a").where("false"), items).count() == 0
+    row = C.contamination(docs("one two"), items.where("false")).first()
+    assert (row["n_words"], row["n_hit"], row["contaminated"]) == (2, 0, False)
+
+
+def test_given_documents(spark):
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    _check(read("documents"), read("benchmark"))
+
+
+def test_drop_contaminated(spark, docs, prose):
+    item = prose(20, 1)
+    frame = docs(prose(50, 2), item, (None, item), None)
+    kept = C.drop_contaminated(frame, _items(spark, ("a", item)))
+    assert kept.columns == frame.columns
+    assert [r["doc_id"] for r in kept.collect()] == [0, 3]
+
+
+@pytest.mark.parametrize("length", [1, 2, 3, 5, 13])
+def test_every_shared_run_shares_a_print(length):
+    import numpy as np
+
+    rng = np.random.default_rng(length)
+    for _ in range(50):
+        shared = rng.integers(1 << 62, size=length, dtype=np.uint64)
+        a, b = (np.r_[rng.integers(1 << 62, size=n, dtype=np.uint64), shared, rng.integers(1 << 62, size=n, dtype=np.uint64)] for n in (9, 4))
+        assert len(np.intersect1d(C.winnow(a, length), C.winnow(b, length)))
