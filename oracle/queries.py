@@ -112,25 +112,36 @@ def _classify(source: str, text: str, keep: str) -> str:
         FROM (SELECT {keep}, {text} AS cmd FROM {source}) WHERE cmd <> '')))"""
 
 
-def _linked(source: str, keys: str, order: str, near: str, similar: bool) -> str:
-    """Rows of ``source`` with the previous row of their key and whether they continue its run."""
-    alike = ratio_ok("pcmd", "cmd", "greatest(strlen(pcmd), strlen(cmd))", 0.65)
+def intent_sql() -> str:
+    """Same intent of two commands, from their tokens ``ta``, ``tb`` and ``k``, the first place they differ."""
     xa, xb = "trim(ta[k], '\"''')", "trim(tb[k], '\"''')"
     extends = f"(strlen({xa}) >= 3 AND strlen({xb}) >= 3 AND (starts_with({xa}, {xb}) OR starts_with({xb}, {xa})))"
     close = ratio_ok(xa, xb, f"greatest(strlen({xa}), strlen({xb}))", 0.5)
-    intent = f"""CASE WHEN k IS NULL THEN true
+    return f"""CASE WHEN k IS NULL THEN true
       WHEN list_contains(tb[k+1:k+3], ta[k]) OR list_contains(ta[k+1:k+3], tb[k]) THEN true
       WHEN {extends} THEN true
       WHEN greatest(strlen({xa}), strlen({xb})) = 0 THEN false
       ELSE {close} END"""
+
+
+def tokens_sql(source: str, a: str, b: str) -> str:
+    """``source`` with ``ta``, ``tb`` and ``k`` for ``intent_sql``."""
+    return f"""
+  SELECT *, list_position([ta[i] <> tb[i] for i in range(1, least(len(ta), len(tb)) + 1)], true) AS k
+  FROM (SELECT *, string_split({a}, ' ') AS ta, string_split({b}, ' ') AS tb FROM {source})"""
+
+
+def _linked(source: str, keys: str, order: str, near: str, similar: bool) -> str:
+    """Rows of ``source`` with the previous row of their key and whether they continue its run."""
+    alike = ratio_ok("pcmd", "cmd", "greatest(strlen(pcmd), strlen(cmd))", 0.65)
+    intent = intent_sql()
     test = f"pcmd <> cmd AND ({intent}) AND {alike}" if similar else intent
+    before = f"""(SELECT *, lag(cmd) OVER w AS pcmd, lag({order}) OVER w AS porder,
+                           lag(COLUMNS(['exit','ts'])) OVER w AS 'p\\0'
+                    FROM {source} WINDOW w AS (PARTITION BY {keys} ORDER BY {order}))"""
     return f"""
   SELECT *, CASE WHEN pcmd IS NULL THEN false WHEN NOT ({near}) THEN false ELSE ({test}) END AS linked
-  FROM (SELECT *, list_position([ta[i] <> tb[i] for i in range(1, least(len(ta), len(tb)) + 1)], true) AS k
-        FROM (SELECT *, string_split(pcmd, ' ') AS ta, string_split(cmd, ' ') AS tb
-              FROM (SELECT *, lag(cmd) OVER w AS pcmd, lag({order}) OVER w AS porder,
-                           lag(COLUMNS(['exit','ts'])) OVER w AS 'p\\0'
-                    FROM {source} WINDOW w AS (PARTITION BY {keys} ORDER BY {order}))))"""
+  FROM ({tokens_sql(before, "pcmd", "cmd")})"""
 
 
 def _steps(gap: int, fleet: bool = False) -> dict[str, str]:

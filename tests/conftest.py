@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 from cmdlode.session import configure  # noqa: E402
 
-T0 = datetime(2026, 7, 11, 10, 0, tzinfo=timezone.utc)
+T0 = datetime(2031, 3, 5, 8, 20, tzinfo=timezone.utc)
 JOURNAL = "scope string, seq bigint, ts timestamp, cmd string, exit int, dur_ms bigint, cwd string, shell string"
 
 
@@ -48,7 +48,7 @@ def history(spark):
 
 @pytest.fixture
 def journal(spark):
-    def make(*entries, shell="bash", cwd="/proj", scope=""):
+    def make(*entries, shell="bash", cwd="/srv/app", scope=""):
         """Entries (minutes, command, exit, dur_ms[, shell[, cwd]])."""
         rows = []
         for seq, e in enumerate(entries):

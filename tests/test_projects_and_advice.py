@@ -8,12 +8,12 @@ from tests.conftest import T0, dicts
 from tests.test_text import column
 
 PATHS = {
-    r"C:\Users\Dev\proj": "c:/users/dev/proj",
-    "c:/users/dev/proj/": "c:/users/dev/proj",
-    "/mnt/c/Users/Dev/proj": "c:/users/dev/proj",
-    "/home/dev/proj": "/home/dev/proj",
-    "/mnt/d/data": "d:/data",
-    "/mnt/d": "d:",
+    r"E:\Src\Me\Tool": "e:/src/me/tool",
+    "e:/src/me/tool/": "e:/src/me/tool",
+    "/mnt/e/Src/Me/Tool": "e:/src/me/tool",
+    "/var/lib/Tool": "/var/lib/Tool",
+    "/mnt/f/big": "f:/big",
+    "/mnt/f": "f:",
     "/mnt/dd/x": "/mnt/dd/x",
     "/mnt/C/x": "/mnt/c/x",
     " /a/b/ ": "/a/b",
@@ -78,13 +78,13 @@ def advise(spark, won, failed):
 
 
 def test_suggestions(spark):
-    won = [("docker", "docker compose up -d --build", 5, "/other"), ("docker", "docker run --rm img", 2, "/work/api")]
-    assert advise(spark, won, [("docker", "docker run img", "/work/api/")]) == [("docker run img", "docker run --rm img", 2)]
-    assert advise(spark, won, [("docker", "docker run img", "")])[0][2] == 5
-    won = [("git", "git a", 4, "/a"), ("git", "git b", 6, "/b"), ("git", "git c", 6, "")]
-    assert advise(spark, won, [("git", "git push", "/else")]) == [("git push", "git b", 6)]
-    assert advise(spark, [("npm", "npm run build", 3, "")], [("npm", "npm run build", "")]) == []
-    assert advise(spark, [("go", "go build", 2, "")], [("cargo", "cargo build", ""), ("", "x", "")]) == []
+    won = [("helm", "helm lint --strict web", 7, "/far"), ("helm", "helm template web", 3, "/w/here")]
+    assert advise(spark, won, [("helm", "helm test web", "/w/here/")]) == [("helm test web", "helm template web", 3)]
+    assert advise(spark, won, [("helm", "helm test web", "")])[0][2] == 7
+    won = [("hg", "hg in", 2, "/a"), ("hg", "hg out", 9, "/b"), ("hg", "hg log", 9, "")]
+    assert advise(spark, won, [("hg", "hg push", "/else")]) == [("hg push", "hg out", 9)]
+    assert advise(spark, [("zig", "zig test x", 4, "")], [("zig", "zig test x", "")]) == []
+    assert advise(spark, [("hg", "hg up", 2, "")], [("zig", "zig up", ""), ("", "x", "")]) == []
 
 
 def test_back_test_and_victories(spark, history, journal):
@@ -99,13 +99,13 @@ def test_sheets_keep_notes(spark, tmp_path, history, journal):
     place, store = str(tmp_path / "sheets"), str(tmp_path / "victories")
     commands = history(*["docker ps -a"] * 3, "docker run a", "docker run ab", "docker --help", "CON: x", "CON: x", "CON: x")
     done = Rebuild(commands, journal((0, "docker build .", 1, 1, "bash", "/w/Api"), (1, "docker build .", 0, 1, "bash", "/w/Api")))
-    done.write(store, place, "2026-07-10")
+    done.write(store, place, "2031-03-06")
     assert [r.cmd for r in read_victories(spark, store).collect()] == ["docker build ."]
     first = read_sheets(spark, place).collect()
     assert [r.tool for r in first] == ["docker"]
     assert first[0].markdown.split("\n") == [
         "# docker — personal cheatsheet", "",
-        "> Generated by cmdlode on 2026-07-10 from your own shell history.",
+        "> Generated by cmdlode on 2031-03-06 from your own shell history.",
         "> Rescans rewrite everything above the keep-marker; your notes below it stay.", "",
         "## Hard-won (you fought for these)", "",
         "- `docker build .`  — took 2 attempts (1m of fighting, certified) · in Api",
@@ -117,15 +117,15 @@ def test_sheets_keep_notes(spark, tmp_path, history, journal):
         "Anything below the keep-marker survives rescans. Make it yours.", "",
     ]
     noted = read_sheets(spark, place).withColumn("markdown", F.concat("markdown", F.lit("\nMY NOTE\n")))
-    again = done.sheets(noted.unionByName(noted.withColumn("tool", F.lit("old"))), "2026-07-11").collect()
+    again = done.sheets(noted.unionByName(noted.withColumn("tool", F.lit("old"))), "2031-03-07").collect()
     text = {r.tool: r.markdown for r in again}
-    assert "MY NOTE" in text["docker"] and "2026-07-11" in text["docker"] and "2026-07-10" not in text["docker"]
+    assert "MY NOTE" in text["docker"] and "2031-03-07" in text["docker"] and "2031-03-06" not in text["docker"]
     assert text["docker"].count(sheets.keep_marker()) == 1
-    assert "2026-07-10" in text["old"]
+    assert "2031-03-06" in text["old"]
     stored = read_sheets(spark, place)
     assert sheets.find_sheet(stored, "Docker").count() == 1
     assert sheets.find_sheet(stored, "../docker").count() == 0
-    assert [(r["tool"], str(r["generated_on"])) for r in dicts(sheets.list_sheets(stored))] == [("docker", "2026-07-10")]
+    assert [(r["tool"], str(r["generated_on"])) for r in dicts(sheets.list_sheets(stored))] == [("docker", "2031-03-06")]
     export_markdown(stored, str(tmp_path / "md"))
     files = list((tmp_path / "md").rglob("part-*.txt"))
     assert [f.read_text() for f in files] == [first[0].markdown]

@@ -26,13 +26,13 @@ def read(spark, path, format, params=DEFAULTS):
 
 
 CASES = [
-    ("bash", "#1720000000\ngit push\n\nls -la\n# a real comment I typed\n#\r\n#12x\n#\u0661\n",
-     ["git push", "ls -la", "# a real comment I typed", "#", "#12x", "#\u0661"]),
-    ("zsh", ": 1720000000:0;git status\nplain command\r\n: 1720000001:2;docker ps; ls\n: none\n: x;\n:a;b\n\u00a0x\n",
-     ["git status", "plain command", "docker ps; ls", ":a;b", "x"]),
-    ("fish", "- cmd: git status\n  when: 1720000000\n  - cmd:  npm run \n- cmd: \n- cmd:x\n", ["git status", "npm run"]),
-    ("pwsh", "docker run `\n  -it ubuntu bash\ngit status\n\na`\nb ` \nc``\n`\nd\ntrailing `",
-     ["docker run -it ubuntu bash", "git status", "a b `", "c`  d", "trailing"]),
+    ("bash", "#1650000000\nmake all\n   \nrsync -a x y\n# tidy up some day\n#\r\n#12x\n#\u0661\n",
+     ["make all", "rsync -a x y", "# tidy up some day", "#", "#12x", "#\u0661"]),
+    ("zsh", ": 1650000000:3;tar tf a.tar\njust words\r\n: 1650000009:0;cp a b; sync\n: none\n: x;\n:a;b\n\u00a0x\n",
+     ["tar tf a.tar", "just words", "cp a b; sync", ":a;b", "x"]),
+    ("fish", "- cmd: make test\n  when: 1650000000\n  - cmd:  zig fmt . \n- cmd: \n- cmd:x\n", ["make test", "zig fmt ."]),
+    ("pwsh", "Copy-Item `\n  -Recurse a b\nGet-Date\n\na`\nb ` \nc``\n`\nd\nlast one `",
+     ["Copy-Item -Recurse a b", "Get-Date", "a b `", "c`  d", "last one"]),
     ("bash", "a\rb\nc", ["a\rb", "c"]),
     ("bash", "", []),
 ]
@@ -78,13 +78,13 @@ def test_lines_of_split_files_keep_their_numbers(spark, tmp_path):
 
 
 def test_load_histories_reports_missing_sources(spark, tmp_path):
-    put(tmp_path / "scope=ann" / "bash_history", "git push\ngit pull\n")
+    put(tmp_path / "scope=ann" / "bash_history", "hg pull\nhg update\n")
     put(tmp_path / "scope=bob" / "bash_history", "ls\n")
     put(tmp_path / "scope=ann" / "zsh_history", ": 1:0;make\n")
     commands, status = histories.load_histories(spark, histories.discover(str(tmp_path)))
     got = {(r.scope, r.source, r.pos, r.command) for r in commands.collect()}
     assert got == {
-        ("ann", "bash", 0, "git push"), ("ann", "bash", 1, "git pull"), ("bob", "bash", 0, "ls"), ("ann", "zsh", 0, "make"),
+        ("ann", "bash", 0, "hg pull"), ("ann", "bash", 1, "hg update"), ("bob", "bash", 0, "ls"), ("ann", "zsh", 0, "make"),
     }
     rows = dicts(histories.source_status(commands, status))
     assert {(r["scope"], r["source"], r["n_commands"]) for r in rows if r["error"] is None} == {
@@ -96,7 +96,7 @@ def test_load_histories_reports_missing_sources(spark, tmp_path):
 
 
 LINES = [
-    '{"ts":"2026-07-01T09:00:00.123456789+02:00","cmd":"docker ps","exit":1,"dur_ms":40,"cwd":"/w","shell":"pwsh"}',
+    '{"ts":"2031-05-01T09:00:00.123456789+02:00","cmd":"zig env","exit":1,"dur_ms":40,"cwd":"/w","shell":"pwsh"}',
     "{not json}",
     '{"cmd":""}',
     '{"cmd":"x","exit":"bad"}',
@@ -109,14 +109,14 @@ LINES = [
 
 
 def test_journal_read(spark, tmp_path):
-    put(tmp_path / "scope=u" / "2026-07.jsonl", "\n".join(LINES) + "\n")
-    put(tmp_path / "scope=u" / "2026-06.jsonl", '{"ts":"2026-06-05T10:00:00Z","cmd":"git push","exit":0,"dur_ms":900,"shell":"bash"}\n')
+    put(tmp_path / "scope=u" / "2031-05.jsonl", "\n".join(LINES) + "\n")
+    put(tmp_path / "scope=u" / "2031-04.jsonl", '{"ts":"2031-04-09T04:00:00Z","cmd":"hg pull","exit":0,"dur_ms":71,"shell":"bash"}\n')
     read = journal.read_journal(spark, str(tmp_path / "scope=*" / "*.jsonl"))
     rows = read.withColumn("ts", F.col("ts").cast("string")).orderBy("seq").collect()
     assert [(r.scope, r.cmd, r.exit, r.dur_ms, r.cwd, r.shell) for r in rows] == [
-        ("u", "git push", 0, 900, "", "bash"), ("u", "docker ps", 1, 40, "/w", "pwsh"), ("u", "minimal", 0, 0, "", ""),
+        ("u", "hg pull", 0, 71, "", "bash"), ("u", "zig env", 1, 40, "/w", "pwsh"), ("u", "minimal", 0, 0, "", ""),
     ]
-    assert [r.ts for r in rows[1:]] == ["2026-07-01 07:00:00.123456", "0001-01-01 00:00:00"]
+    assert [r.ts for r in rows[1:]] == ["2031-05-01 07:00:00.123456", "0001-01-01 00:00:00"]
     assert [r.seq for r in rows] == [0, 1, 9]
 
 
@@ -129,11 +129,11 @@ def b64(text):
 
 
 def test_capture_and_ingest(spark, tmp_path):
-    quoted = 'docker run -v "C:\\data":/data img'
+    quoted = 'robocopy "D:\\in box" out /e'
     events = [
         (0, T0, b64(quoted) + "\n", "ignored", "/plain", None),
         (1, T0, "not_base64!!!", None, "/plain", None),
-        (2, T0, None, "  export API_TOKEN=supersecret123\n", "/plain", b64("/enc")),
+        (2, T0, None, "  setx MY_SECRET abcd=efgh MY_SECRET=q1w2\n", "/plain", b64("/enc")),
         (3, T0, "", "   ", "/plain", "%%%"),
         (4, T0, None, None, None, None),
         (5, None, b64("x" * 9000), None, None, "%%%"),
@@ -147,20 +147,20 @@ def test_capture_and_ingest(spark, tmp_path):
     assert bad == {1: "invalid payload", 4: "no command"}
     rows = {r.id: r for r in journal.accepted(resolved).collect()}
     assert sorted(rows) == [0, 2, 5, 6]
-    assert (rows[0].cmd, rows[0].cwd, rows[0].month) == (quoted, "/plain", "2026-07")
-    assert (rows[2].cmd, rows[2].cwd) == ("export API_TOKEN=«redacted»", "/enc")
+    assert (rows[0].cmd, rows[0].cwd, rows[0].month) == (quoted, "/plain", "2031-03")
+    assert (rows[2].cmd, rows[2].cwd) == ("setx MY_SECRET abcd=efgh MY_SECRET=«redacted»", "/enc")
     assert len(rows[5].cmd) == 8192 and rows[5].ts is not None and rows[5].cwd == ""
     assert rows[6].cmd == "y" * 8190 + " -"
     target = str(tmp_path / "journal")
     journal.append_journal(journal.accepted(resolved).where("id <> 5"), target)
     journal.append_journal(journal.accepted(resolved).where("id = 2"), target)
-    assert spark.read.parquet(target).where("month = '2026-07'").count() == 4
+    assert spark.read.parquet(target).where("month = '2031-03'").count() == 4
 
 
 def test_snapshots(spark, tmp_path):
     path = str(tmp_path / "victories")
     assert snapshots.read_victories(spark, path).collect() == []
-    row = ("s", "docker", 1, "docker run", 4, 120_000, "/proj", T0)
+    row = ("s", "helm", 1, "helm lint", 4, 77_000, "/srv", T0)
     first = spark.createDataFrame([row], snapshots.VICTORY_SCHEMA)
     snapshots.write_snapshot(first, path)
     # A later write may read what it replaces.
