@@ -41,12 +41,12 @@ def normalize_path(p: Column) -> Column:
     return F.lower(F.regexp_replace(drive, r"/\z", ""))
 
 
-def ancestors(p: Column, limit: int) -> Column:
-    """The nearest ``limit`` enclosing paths of a normalised path, itself first."""
+def ancestors(p: Column, limit: int | None = None) -> Column:
+    """The enclosing paths of a normalised path, itself first; the nearest ``limit`` if set."""
     parts = F.split(p, "/")
     size = F.size(parts)
     return F.transform(
-        F.sequence(size, F.greatest(size - (limit - 1), F.lit(1)), F.lit(-1)),
+        F.sequence(size, F.lit(1) if limit is None else F.greatest(size - (limit - 1), F.lit(1)), F.lit(-1)),
         lambda n: F.array_join(F.slice(parts, 1, n), "/"),
     )
 

@@ -38,8 +38,10 @@ def token_similar(a: str, b: str, params: Params = DEFAULTS) -> str:
     return f"CASE WHEN {extends} THEN true WHEN {hopeless} THEN false ELSE {close} END"
 
 
-def clipped(c: str, limit: int) -> str:
-    """SQL: the first ``limit`` bytes; a character cut in half becomes U+FFFD."""
+def clipped(c: str, limit: int | None) -> str:
+    """SQL: the first ``limit`` bytes, or all; a character cut in half becomes U+FFFD."""
+    if limit is None:
+        return c
     head = f"make_valid_utf8(CAST(substring(encode({c}, 'UTF-8'), 1, {limit}) AS STRING))"
     return f"CASE WHEN octet_length({c}) > {limit} THEN {head} ELSE {c} END"
 
@@ -83,7 +85,8 @@ def with_similar(
     """Add boolean ``out``: different text, same intent, close in edit distance."""
     limit = params.sim_max_bytes
     staged = with_same_intent(df, a, b, "_intent", f"({when}) AND {a} <> {b}", params)
-    longest = f"greatest(least(octet_length({a}), {limit}), least(octet_length({b}), {limit}))"
+    size = lambda c: f"octet_length({c})" if limit is None else f"least(octet_length({c}), {limit})"
+    longest = f"greatest({size(a)}, {size(b)})"
     close = edit_ratio_at_least(clipped(a, limit), clipped(b, limit), longest, params.sim_low)
     verdict = f"CASE WHEN _intent THEN {close} ELSE false END"
     return staged.withColumn(out, F.expr(f"coalesce({verdict}, false)")).drop("_intent")

@@ -53,8 +53,10 @@ def normalize(c: Column) -> Column:
     return F.btrim(F.when(untidy, collapsed).otherwise(c))
 
 
-def clip_bytes(c: Column, limit: int) -> Column:
-    """The first ``limit`` bytes; a character cut in half becomes U+FFFD."""
+def clip_bytes(c: Column, limit: int | None) -> Column:
+    """The first ``limit`` bytes, or all; a character cut in half becomes U+FFFD."""
+    if limit is None:
+        return c
     head = F.substring(F.encode(c, "UTF-8"), 1, limit).cast("string")
     return F.when(F.octet_length(c) > limit, F.make_valid_utf8(head)).otherwise(c)
 

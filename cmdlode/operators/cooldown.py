@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cmdlode.params import DEFAULTS, Params
-from cmdlode.session import cut_lineage
+from cmdlode.session import stored
 
 # A stretch of up to this many distinct instants is folded in one array.
 FOLD_ROWS = 10_000
@@ -38,13 +38,14 @@ def apply_cooldown(
     ``order`` is unique within ``keys``.
     """
     width = params.cooldown_s * 1_000_000
+    rows = stored(rows, "limited")  # read twice: for the instants and for the result
     # Of rows at one instant only the first can pass.
     instants = (
         rows.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"), order)
         .groupBy(*keys, "_t")
         .agg(F.min(order).alias(order))
     )
-    instants = cut_lineage(instants.withColumn("_hour", _floor(F.col("_t"), width)))
+    instants = stored(instants.withColumn("_hour", _floor(F.col("_t"), width)), "instants")
     hours = instants.groupBy(*keys, "_hour").agg(F.count("*").alias("_n"))
     by_hour = Window.partitionBy(*keys).orderBy("_hour")
     paused = F.coalesce(F.col("_hour") - F.lag("_hour").over(by_hour) > 1, F.lit(True))
@@ -57,7 +58,7 @@ def apply_cooldown(
     passed = _fold(placed.where(F.col("_size") <= fold_rows), keys, order, width)
     if not stretches.where(F.col("_size") > fold_rows).isEmpty():
         long = placed.where(F.col("_size") > fold_rows).select(*keys, "_t", "_stretch", order)
-        passed = passed.unionByName(_follow(cut_lineage(long), keys, order, width))
+        passed = passed.unionByName(_follow(stored(long, "stretches"), keys, order, width))
     return rows.join(passed, [*keys, order], "left_semi")
 
 
@@ -123,22 +124,23 @@ def _follow(rows: DataFrame, keys: list[str], order: str, width: int) -> DataFra
     can still be used are kept: from known rows and from rows jumped to.
     """
     start = rows.groupBy(*keys, "_stretch").agg(F.min("_t").alias("_t"))
-    known = cut_lineage(start.select(*keys, "_t"))
-    jumps = cut_lineage(successors(rows, keys, width))
+    known = stored(start.select(*keys, "_t"), "known")
+    jumps = stored(successors(rows, keys, width), "jumps")
     while True:
         onto = jumps.join(known, [*keys, "_t"]).select(*keys, F.col("_to").alias("_t")).distinct()
-        fresh = cut_lineage(onto.join(known, [*keys, "_t"], "left_anti"))
+        fresh = stored(onto.join(known, [*keys, "_t"], "left_anti"), "fresh")
         if fresh.isEmpty():
             break
-        known = cut_lineage(known.unionByName(fresh))
+        known = stored(known.unionByName(fresh), "known")
         landed = jumps.select(*keys, F.col("_to").alias("_t"))
         useful = landed.unionByName(known).distinct()
         # A step of the doubled jump starts at a useful row and ends where the
         # jump from its landing place ends.
         second = jumps.select(*keys, F.col("_t").alias("_to"), F.col("_to").alias("_end"))
-        jumps = cut_lineage(
+        jumps = stored(
             jumps.join(useful, [*keys, "_t"], "left_semi")
             .join(second, [*keys, "_to"])
-            .select(*keys, "_t", F.col("_end").alias("_to"))
+            .select(*keys, "_t", F.col("_end").alias("_to")),
+            "jumps",
         )
     return rows.join(known, [*keys, "_t"], "left_semi").select(*keys, order)

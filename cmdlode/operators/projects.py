@@ -54,8 +54,8 @@ def _keyed_roots(roots: DataFrame) -> DataFrame:
 def _with_root_by_depth(df: DataFrame, roots: DataFrame, cwd: str, params: Params) -> DataFrame:
     """Add ``_root``, the nearest listed root, by one equi-join per depth of roots.
 
-    For streams, which cannot expand a row and bring it together again. There
-    are at most ``max_ancestors`` depths to look at, in practice a handful.
+    For streams, which cannot expand a row and bring it together again. There is
+    one join for each depth at which roots are listed, in practice a handful.
     """
     keyed = _keyed_roots(roots)
     depth = F.size(F.split("_at", "/"))
@@ -64,7 +64,9 @@ def _with_root_by_depth(df: DataFrame, roots: DataFrame, cwd: str, params: Param
     df = df.withColumn("_parts", F.when(F.col(cwd) != "", parts))
     size, root = F.size("_parts"), F.lit(None).cast("string")
     for number in depths:
-        reachable = (size >= number) & (size - number < params.max_ancestors)
+        reachable = size >= number
+        if params.max_ancestors is not None:
+            reachable = reachable & (size - number < params.max_ancestors)
         at = F.when(reachable, F.array_join(F.slice("_parts", 1, number), "/"))
         listed = keyed.where(depth == number).withColumnRenamed("root", f"_root{number}")
         df = df.withColumn("_at", at).join(listed, ["scope", "_at"], "left").drop("_at")

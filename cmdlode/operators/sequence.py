@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cmdlode.params import DEFAULTS, Params
-from cmdlode.session import cut_lineage
+from cmdlode.session import stored
 
 # link(df, prev, cur, out): add boolean ``out``, true where the row struct
 # ``cur`` continues the run that the row struct ``prev`` belongs to.
@@ -113,20 +113,25 @@ def dense_positions(
     bucket: Column,
     out: str,
     params: Params = DEFAULTS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Number the rows of each key from 0 in the given order.
 
-    A count per key, which reads only the key columns, looks for hot keys first.
+    A count per key, which reads only the key columns, looks for hot keys first. A table
+    ``sizes`` of the keys and ``n``, no less than the rows of each, saves that count.
     Without any, one window does. Otherwise hot keys are numbered per ``bucket``
     (a BIGINT that never decreases along the order) and shifted by the size of
     the buckets before it; all other keys form one bucket.
     """
-    hot = hot_keys(rows, keys, params)
+    if sizes is None:
+        hot = hot_keys(rows, keys, params)
+    else:
+        hot = sizes.groupBy(*keys).agg(F.sum("n").alias("n")).where(F.col("n") > params.hot_key_rows).select(*keys)
     found = hot.limit(_BROADCAST_KEYS + 1).count()
     number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     if found == 0:
         return rows.withColumn(out, (number - 1).cast("bigint"))
-    hot = cut_lineage(hot).withColumn("_hot", F.lit(True))
+    hot = stored(hot, "hot").withColumn("_hot", F.lit(True))
     if found <= _BROADCAST_KEYS:
         hot = F.broadcast(hot)
     split = rows.join(hot, keys, "left").withColumn(

@@ -28,27 +28,29 @@ SAFE_TOOL = r"^[a-z0-9][a-z0-9._+-]*\z"
 
 @dataclass(frozen=True)
 class Params:
-    """Limits of the mining operators; the defaults are the documented ones."""
+    """Limits of the mining operators. Texts and paths are taken whole unless a limit is set."""
 
     max_hard_won: int = 8
     max_hits: int = 8
     min_hits: int = 3
     chain_window: int = 3
     sim_low: float = 0.65
-    sim_max_bytes: int = 300
+    sim_max_bytes: int | None = None
     token_sim: float = 0.5
     near_tokens: int = 3
     max_fight_gap_s: int = 15 * 60
     max_victories: int = 8
     cooldown_s: int = 3600
-    max_cmd_bytes: int = 8192
-    max_stdin_bytes: int = 64 * 1024
+    max_cmd_bytes: int | None = None
+    max_stdin_bytes: int | None = None
     top_fights: int = 3
     tail_rows: int = 10
-    max_ancestors: int = 64
+    max_ancestors: int | None = None
     # Scale knobs. They split long sequences over tasks and never change results.
     bucket_rows: int = 1 << 20
     hot_key_rows: int = 1 << 22
 
 
 DEFAULTS = Params()
+# As above, with the limits of text and depth that a single-user tool sets.
+LIMITED = Params(sim_max_bytes=300, max_cmd_bytes=8192, max_stdin_bytes=64 * 1024, max_ancestors=64)

@@ -354,10 +354,22 @@ def journal_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capture_events(log: DataFrame) -> DataFrame:
-    """The log as raw capture events: encoded, piped, broken and empty payloads."""
+    """The log as raw capture events: encoded, piped, broken and empty payloads.
+
+    Some payloads lack their padding (valid only where none is due), have too much of it,
+    or a line break inside.
+    """
     event, encoded = F.col("event_id"), F.base64(F.encode("cmd", "UTF-8"))
     broken = F.concat(F.lit("not_base64!!!"), encoded)
-    payload = F.when(event % 5 == 0, broken).when(event % 5 == 1, F.concat(encoded, F.lit("\n")))
+    bare = F.rtrim(encoded, F.lit("="))
+    inside = F.concat(F.left(encoded, F.lit(4)), F.lit("\r\n"), F.substring(encoded, F.lit(5), F.length(encoded)))
+    payload = (
+        F.when(event % 5 == 0, broken)
+        .when(event % 5 == 1, F.concat(encoded, F.lit("\n")))
+        .when(event % 15 == 2, bare)
+        .when(event % 15 == 7, F.concat(encoded, F.lit("=")))
+        .when(event % 15 == 12, inside)
+    )
     return log.select(
         "scope", "event_id", "ts", "exit", "dur_ms", "shell",
         F.when(event % 5 < 3, F.coalesce(payload, encoded)).alias("cmd_b64"),
@@ -451,5 +463,6 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running counts over a stream of commands, after its end."""
     log = event_log(spark, sf_dir)
-    counts = replay(log, lambda rows: streams.running_counts(as_commands(rows)), mode="complete")
+    keys = streams.COUNT_KEYS
+    counts = replay(log, lambda rows: streams.running_counts(as_commands(rows)), mode="update", keys=keys)
     return usage.usage_with_help(counts)

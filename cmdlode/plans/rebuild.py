@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 from cmdlode.operators import fights as fight_ops
 from cmdlode.operators import projects, reports, retries, sheets, suggest, usage
 from cmdlode.params import DEFAULTS, Params
+from cmdlode.session import stored
 from cmdlode.sources.snapshots import read_sheets, write_snapshot
 
 
 @dataclass(frozen=True)
 class Rebuild:
-    """Lazy results of one rebuild; each property is a DataFrame.
+    """Results of one rebuild, made when asked for; each property is a DataFrame.
+
+    What several results read is written once, when the first of them is asked for:
+    classified commands, journal usage and hard-won commands. So each input is scanned
+    once (and a file once more before, to number its lines), whatever is asked for.
 
     Pass empty frames for an input that does not exist. ``roots(scope, root)``
     lists known project roots, if any.
@@ -29,7 +34,7 @@ class Rebuild:
 
     @cached_property
     def classified(self) -> DataFrame:
-        return usage.classify_commands(self.commands)
+        return stored(usage.classify_commands(self.commands), "classified")
 
     @cached_property
     def usage(self) -> DataFrame:
@@ -49,7 +54,7 @@ class Rebuild:
 
     @cached_property
     def journal_usage(self) -> DataFrame:
-        return fight_ops.journal_usage(self.journal)
+        return stored(fight_ops.journal_usage(self.journal), "used")
 
     @cached_property
     def fights(self) -> DataFrame:
@@ -65,7 +70,7 @@ class Rebuild:
 
     @cached_property
     def hard_won(self) -> DataFrame:
-        return reports.certify(self.heuristic, self.fight_rollup, self.params)
+        return stored(reports.certify(self.heuristic, self.fight_rollup, self.params), "hardwon")
 
     @cached_property
     def reports(self) -> DataFrame:

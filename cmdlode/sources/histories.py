@@ -18,15 +18,17 @@ from pyspark.sql.window import Window
 from cmdlode.functions.text import compute_once, trim_ws
 from cmdlode.operators.sequence import dense_positions
 from cmdlode.params import DEFAULTS, Params
-from cmdlode.sources.lines import numbered_lines
+from cmdlode.sources.lines import read_lines, scope_of
 
 COMMANDS_SCHEMA = "scope string, source string, pos bigint, command string"
-STATUS_SCHEMA = "source string, path string, error string"
+STATUS_SCHEMA = "scope string, source string, path string, n_lines bigint, error string"
 
 
-def _positioned(kept: DataFrame, params: Params) -> DataFrame:
+def _positioned(kept: DataFrame, lines: DataFrame, params: Params) -> DataFrame:
+    """Number what was kept; the lines, which are no fewer, tell which files are hot without parsing."""
     bucket = F.floor(F.col("line_no") / F.lit(params.bucket_rows))
-    placed = dense_positions(kept, ["scope", "source"], ["line_no"], bucket, "pos", params)
+    sizes = lines.groupBy("scope", "source").agg(F.count("*").alias("n"))
+    placed = dense_positions(kept, ["scope", "source"], ["line_no"], bucket, "pos", params, sizes)
     return placed.select("scope", "source", "pos", "command")
 
 
@@ -35,7 +37,7 @@ def parse_bash(lines: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     kept = compute_once(lines, command=trim_ws(F.col("line"))).where(
         (F.col("command") != "") & ~F.col("command").rlike(r"^#[0-9]+\z")
     )
-    return _positioned(kept, params)
+    return _positioned(kept, lines, params)
 
 
 def parse_zsh(lines: DataFrame, params: Params = DEFAULTS) -> DataFrame:
@@ -45,7 +47,7 @@ def parse_zsh(lines: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     extended = F.when(text.contains(";"), trim_ws(after))
     kept = compute_once(lines, _text=trim_ws(F.col("line")))
     kept = compute_once(kept, command=F.when(text.startswith(": "), extended).otherwise(text))
-    return _positioned(kept.where(F.col("command") != ""), params)
+    return _positioned(kept.where(F.col("command") != ""), lines, params)
 
 
 def parse_fish(lines: DataFrame, params: Params = DEFAULTS) -> DataFrame:
@@ -53,7 +55,7 @@ def parse_fish(lines: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     mark = "- cmd: "
     kept = compute_once(lines, _text=trim_ws(F.col("line"))).where(F.col("_text").startswith(mark))
     kept = compute_once(kept, command=trim_ws(F.expr(f"substring(_text, {len(mark) + 1})")))
-    return _positioned(kept.where(F.col("command") != ""), params)
+    return _positioned(kept.where(F.col("command") != ""), lines, params)
 
 
 def parse_pwsh(lines: DataFrame, params: Params = DEFAULTS) -> DataFrame:
@@ -98,7 +100,7 @@ def parse_pwsh(lines: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     text = F.array_join(F.transform("_parts", lambda p: p["_part"]), " ")
     kept = joined.select(*keys, F.col("_head").alias("line_no"), text.alias("_text"))
     kept = compute_once(kept, command=trim_ws(F.col("_text")))
-    return _positioned(kept.where(F.col("command") != ""), params)
+    return _positioned(kept.where(F.col("command") != ""), lines, params)
 
 
 PARSERS: dict[str, Callable[..., DataFrame]] = {
@@ -136,33 +138,44 @@ def discover(root: str, scoped: bool = True) -> list[Probe]:
 
 
 def read_history(spark: SparkSession, probe: Probe, params: Params = DEFAULTS) -> DataFrame:
-    """``commands`` of one probe."""
-    lines = numbered_lines(spark, probe.path).withColumn("source", F.lit(probe.source))
-    return PARSERS[probe.format](lines, params)
+    """``commands`` of one probe; broken files are left out."""
+    return _read(spark, probe, params)[0]
+
+
+def _read(spark: SparkSession, probe: Probe, params: Params) -> tuple[DataFrame, DataFrame]:
+    lines, files = read_lines(spark, probe.path)
+    lines = lines.withColumn("source", F.lit(probe.source))
+    status = files.select(
+        scope_of(F.col("path")).alias("scope"), F.lit(probe.source).alias("source"), "path", "n_lines", "error"
+    )
+    return PARSERS[probe.format](lines, params), status
 
 
 def load_histories(
     spark: SparkSession, probes: list[Probe], params: Params = DEFAULTS
 ) -> tuple[DataFrame, DataFrame]:
-    """All readable probes as ``(commands, status)``.
+    """All readable files of all probes as ``(commands, status)``.
 
-    A probe whose location does not exist is reported in ``status(source, path,
-    error)`` and skipped. Files that vanish or break while read are skipped too.
+    ``status(scope, source, path, n_lines, error)`` has a row for each file. One that
+    cannot be read to its end is left out whole and reported; the others are kept. A
+    probe whose location does not exist has one row with its path and no scope.
     """
     commands = spark.createDataFrame([], COMMANDS_SCHEMA)
-    status = []
+    status = spark.createDataFrame([], STATUS_SCHEMA)
     for probe in probes:
         try:
-            commands = commands.unionByName(read_history(spark, probe, params))
-            status.append((probe.source, probe.path, None))
+            read, files = _read(spark, probe, params)
         except AnalysisException as problem:
-            status.append((probe.source, probe.path, problem.getCondition() or str(problem)))
-    return commands, spark.createDataFrame(status, STATUS_SCHEMA)
+            missing = [(None, probe.source, probe.path, 0, problem.getCondition() or str(problem))]
+            status = status.unionByName(spark.createDataFrame(missing, STATUS_SCHEMA))
+            continue
+        commands, status = commands.unionByName(read), status.unionByName(files)
+    return commands, status
 
 
 def source_status(commands: DataFrame, status: DataFrame) -> DataFrame:
-    """``(scope, source, path, n_commands, error)``; scope is null where none was read."""
+    """``status`` with ``n_commands`` of the file's scope and source, 0 where none was read."""
     counted = commands.groupBy("scope", "source").agg(F.count("*").alias("n_commands"))
-    return status.join(counted, "source", "left").select(
-        "scope", "source", "path", F.coalesce("n_commands", F.lit(0)).alias("n_commands"), "error"
+    return status.join(counted, ["scope", "source"], "left").select(
+        "scope", "source", "path", "n_lines", F.coalesce("n_commands", F.lit(0)).alias("n_commands"), "error"
     )

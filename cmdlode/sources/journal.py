@@ -22,8 +22,11 @@ _ZERO_TIME = "0001-01-01 00:00:00"
 
 
 def decode_b64(payload: Column) -> Column:
-    """Text of a base64 payload; null when it is not valid."""
-    return F.try_to_binary(trim_ws(payload), F.lit("base64")).cast("string")
+    """Text of a base64 payload; null when it is not valid. Line breaks in it do not count,
+    padding must be complete."""
+    packed = F.regexp_replace(trim_ws(payload), "[\r\n]+", "")
+    strict = packed.rlike(r"^(?:[A-Za-z0-9+/]{4})*+(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?\z")
+    return F.when(strict, F.try_to_binary(packed, F.lit("base64")).cast("string"))
 
 
 def _given(c: Column) -> Column:
@@ -43,8 +46,10 @@ def resolve_capture(events: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     problem = F.when(
         F.col("text").isNull(), F.when(_given(encoded), "invalid payload").otherwise("no command")
     )
+    most = params.max_stdin_bytes
+    piped_cut = F.lit(False) if most is None else ~_given(encoded) & (F.octet_length(piped) > most)
     return (
-        compute_once(events, text=text)
+        compute_once(events, text=text, piped_cut=F.coalesce(piped_cut, F.lit(False)))
         .withColumn("cwd", F.coalesce(place, F.col("cwd"), F.lit("")))
         .withColumn("problem", problem)
         .drop("cmd_b64", "stdin", "cwd_b64")
@@ -60,16 +65,19 @@ def accepted(resolved: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Journal rows of usable events: trimmed, cut, then scrubbed; empty ones dropped.
 
     Works on batches and streams. ``ts`` defaults to now. ``month`` is the
-    storage partition.
+    storage partition. ``was_cut`` marks commands that a limit has shortened.
     """
-    cut = clip_bytes(trim_ws(F.col("text")), params.max_cmd_bytes)
+    whole = trim_ws(F.col("text"))
+    cut = clip_bytes(whole, params.max_cmd_bytes)
+    over = F.lit(False) if params.max_cmd_bytes is None else F.octet_length(whole) > params.max_cmd_bytes
     return (
-        compute_once(resolved.where(F.col("problem").isNull()), _cut=cut)
+        compute_once(resolved.where(F.col("problem").isNull()), _cut=cut, _over=over)
         .where(F.col("_cut") != "")
         .withColumn("cmd", redact(F.col("_cut")))
         .withColumn("ts", F.coalesce(F.col("ts"), F.current_timestamp()))
         .withColumn("month", month_key(F.col("ts")))
-        .drop("text", "problem", "_cut")
+        .withColumn("was_cut", F.col("piped_cut") | F.col("_over"))
+        .drop("text", "problem", "piped_cut", "_cut", "_over")
     )
 
 
@@ -84,7 +92,7 @@ def parse_journal(lines: DataFrame) -> DataFrame:
     Absent fields read as zero values. Line numbers become ``seq``.
     """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    row = F.when(F.ltrim("line").startswith("{"), F.from_json("line", _LINE_SCHEMA, options))
+    row = F.when(F.ltrim(F.col("line"), F.lit(" \t\r\n")).startswith("{"), F.from_json("line", _LINE_SCHEMA, options))
     parsed = compute_once(lines.withColumnRenamed("line_no", "seq"), _row=row).where(F.col("_row._corrupt").isNull() & (F.col("_row.cmd") != ""))
     zero = F.lit(_ZERO_TIME).cast("timestamp")
     return parsed.select(

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_READ_OPTIONS = {
-    "lineSep": "\n",
-    "ignoreMissingFiles": "true",
-    "ignoreCorruptFiles": "true",
-}
+from cmdlode.session import stored
+
+STATUS_SCHEMA = "path string, n_lines bigint, error string"
 
 
 def scope_of(path: Column) -> Column:
@@ -19,26 +21,85 @@ def scope_of(path: Column) -> Column:
     return F.url_decode(F.regexp_replace(raw, r"\+", "%2B"))
 
 
-def numbered_lines(spark: SparkSession, path: str | list[str], together: bool = False) -> DataFrame:
-    """``(scope, path, line_no, line)`` with line numbers from 0.
+def _files(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """Names of the files at a path or glob, ready to be read one by one."""
+    found = spark.read.format("binaryFile").load(path).select("path").collect()  # names only, no content
+    return sorted(re.sub(r"([\[\]{}*?\\])", r"\\\1", row["path"]) for row in found)
 
-    Numbers restart per file, or run on through all files of a scope in name
-    order when ``together`` is set. Files are split over tasks: within a split
-    the row number grows in file order, and a small table with the first number
-    and size of every split gives each its place. Lines end at a line feed; one
-    carriage return before it is dropped.
-    """
-    raw = spark.read.options(**_READ_OPTIONS).text(path)
-    rows = raw.select(
+
+def _rows(spark: SparkSession, files: list[str]) -> DataFrame:
+    raw = spark.read.option("lineSep", "\n").text(files)
+    return raw.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_name").alias("_name"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_id"),
         F.col("value").alias("line"),
     )
-    splits = rows.groupBy("path", "_name", "_block").agg(
-        F.min("_id").alias("_first"), F.count("*").alias("_n")
-    )
+
+
+def _splits(rows: DataFrame) -> DataFrame:
+    """First number and size of every split; reads every file to its end, or fails."""
+    counted = rows.groupBy("path", "_name", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    return stored(counted, "splits")
+
+
+def _broken(spark: SparkSession, files: list[str]) -> dict[str, str]:
+    """Files that cannot be read whole, and why, found by halving: few jobs if few are broken."""
+    try:
+        _rows(spark, files).agg(F.count("*")).collect()
+        return {}
+    except (PySparkException, Py4JJavaError) as problem:
+        if len(files) == 1:
+            return {files[0]: _reason(problem)}
+    half = len(files) // 2
+    return _broken(spark, files[:half]) | _broken(spark, files[half:])
+
+
+def _reason(problem: Exception) -> str:
+    """The innermost cause that the message names, in one line."""
+    causes = re.findall(r"^Caused by: (.*)$", str(problem), re.M)
+    return (causes[-1] if causes else str(problem).splitlines()[0])[:300]
+
+
+def read_lines(spark: SparkSession, path: str | list[str], together: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(scope, path, line_no, line)`` with line numbers from 0, and ``(path, n_lines, error)``.
+
+    A file that cannot be read to its end is reported with its error and left out
+    whole. Finding that out takes no pass of its own: counting the lines of all splits
+    reads every file, and only if that fails are the broken ones looked for. A file
+    that breaks later fails the job.
+
+    Numbers restart per file, or run on through all files of a scope in name order when
+    ``together`` is set. Files are split over tasks: within a split the row number grows
+    in file order, and the table of splits gives each its place. Lines end at a line
+    feed; one carriage return before it is dropped.
+    """
+    files, errors = _files(spark, path), {}
+    rows = _rows(spark, files)
+    try:
+        splits = _splits(rows)
+    except (PySparkException, Py4JJavaError):
+        errors = _broken(spark, files)
+        if not errors:  # not a file's fault
+            raise
+        rows = _rows(spark, [f for f in files if f not in errors] or [])
+        splits = _splits(rows) if len(errors) < len(files) else None
+    status = spark.createDataFrame([(f, 0, error) for f, error in errors.items()], STATUS_SCHEMA)
+    if splits is None:
+        none = "scope string, path string, line_no bigint, line string"
+        return spark.createDataFrame([], none), status
+    listed = spark.createDataFrame([(f,) for f in files if f not in errors], "path string")
+    read = splits.groupBy(F.url_decode(F.regexp_replace("path", r"\+", "%2B")).alias("path")).agg(F.sum("_n").alias("n_lines"))
+    good = listed.withColumn("path", F.regexp_replace("path", r"\\(.)", "$1"))
+    key = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    counted = read.select(key(F.col("path")).alias("_key"), "n_lines")
+    good = good.join(counted, key(F.col("path")) == F.col("_key"), "left")
+    status = status.unionByName(good.select("path", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.lit(None).cast("string").alias("error")))
+    return _numbered(rows, splits, together), status
+
+
+def _numbered(rows: DataFrame, splits: DataFrame, together: bool) -> DataFrame:
     splits = splits.withColumn("scope", scope_of(F.col("path")))
     run = ["scope"] if together else ["path"]
     before = (
@@ -58,3 +119,8 @@ def numbered_lines(spark: SparkSession, path: str | list[str], together: bool =
         (F.col("_id") + F.col("_shift")).alias("line_no"),
         F.regexp_replace("line", r"\r\z", "").alias("line"),
     )
+
+
+def numbered_lines(spark: SparkSession, path: str | list[str], together: bool = False) -> DataFrame:
+    """The lines of ``read_lines``; broken files are left out."""
+    return read_lines(spark, path, together)[0]

@@ -1,11 +1,18 @@
 """Small tables replaced as a whole: victories and sheets.
 
-Each write is a new snapshot folder. Readers take the newest one that was
-finished, so a job that dies half-way, or reads what it replaces, loses nothing.
+Each write is a new snapshot folder, and after it a manifest beside it with the number
+of rows and a checksum over all of them. Readers take the newest snapshot that agrees
+with its manifest. So a job that dies half-way, a file that is damaged or lost, or a job
+that reads what it replaces, loses nothing but the newest state.
 """
 
 from __future__ import annotations
 
+import json
+import warnings
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,37 +22,49 @@ VICTORY_SCHEMA = (
     "scope string, tool string, rank int, cmd string, attempts bigint, cost_ms bigint, "
     "cwd string, ts timestamp"
 )
-_PREFIX = "snapshot="
+_PREFIX, _MANIFEST = "snapshot=", "manifest="
 
 
-def _snapshots(spark: SparkSession, path: str) -> list[tuple[int, bool]]:
-    """Numbers of the snapshots below ``path`` and whether each was finished."""
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
+def _numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """Numbers of the entries below ``path`` with this prefix."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(folder):
         return []
-    found = []
-    for entry in files.listStatus(folder):
-        name = entry.getPath().getName()
-        if name.startswith(_PREFIX) and name[len(_PREFIX) :].isdigit():
-            done = files.exists(jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS"))
-            found.append((int(name[len(_PREFIX) :]), done))
-    return sorted(found)
+    names = [entry.getPath().getName() for entry in files.listStatus(folder)]
+    return sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix) and n[len(prefix) :].isdigit())
+
+
+def _summary(df: DataFrame) -> dict[str, int]:
+    """Rows and checksum; reads every column of every row."""
+    row = df.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(F.xxhash64(*df.columns)), F.lit(0)).alias("sum")).first()
+    return {"rows": row["n"], "checksum": row["sum"]}
 
 
 def write_snapshot(df: DataFrame, path: str) -> None:
     """Store ``df`` as the newest snapshot below ``path``."""
-    numbers = [number for number, _ in _snapshots(df.sparkSession, path)]
-    df.write.parquet(f"{path.rstrip('/')}/{_PREFIX}{max(numbers, default=0) + 1}")
+    spark, base = df.sparkSession, path.rstrip("/")
+    number = max(_numbers(spark, path, _PREFIX) + _numbers(spark, path, _MANIFEST), default=0) + 1
+    df.write.parquet(f"{base}/{_PREFIX}{number}")
+    whole = _summary(spark.read.schema(df.schema).parquet(f"{base}/{_PREFIX}{number}"))
+    spark.createDataFrame([(json.dumps(whole),)], "value string").coalesce(1).write.text(f"{base}/{_MANIFEST}{number}")
 
 
 def read_snapshot(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The newest finished snapshot; empty when there is none."""
-    done = [number for number, finished in _snapshots(spark, path) if finished]
-    if not done:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path.rstrip('/')}/{_PREFIX}{done[-1]}")
+    """The newest snapshot that is whole; empty, with a warning, when none of them is."""
+    base = path.rstrip("/")
+    numbers = _numbers(spark, path, _MANIFEST)
+    for number in reversed(numbers):
+        df = spark.read.schema(schema).parquet(f"{base}/{_PREFIX}{number}")
+        try:
+            told = json.loads(spark.read.text(f"{base}/{_MANIFEST}{number}").first()["value"])
+            if _summary(df) == told:
+                return df
+            problem = "differs from its manifest"
+        except (PySparkException, Py4JJavaError, ValueError, TypeError) as error:
+            problem = f"cannot be read ({type(error).__name__})"
+        warnings.warn(f"snapshot {number} below {path} {problem}; the one before it is used", stacklevel=2)
+    return spark.createDataFrame([], schema)
 
 
 def read_victories(spark: SparkSession, path: str) -> DataFrame:

@@ -24,6 +24,7 @@ from cmdlode.streaming import state
 
 cloudpickle.register_pickle_by_value(sys.modules[state.__name__])
 
+COUNT_KEYS = ["scope", "tool", "cmd"]
 FIGHTS_SCHEMA = (
     "scope string, tool string, shell string, seq bigint, command string, attempts bigint, "
     "cost_ms bigint, cwd string, ts_us bigint"
@@ -90,5 +91,5 @@ def stream_cooldown(
 
 
 def running_counts(commands: DataFrame) -> DataFrame:
-    """Command and help counts so far; write in update or complete mode."""
+    """Command and help counts so far, a row for each of ``COUNT_KEYS``; write in update mode, keyed by them."""
     return command_counts(classify_commands(commands))

@@ -17,13 +17,21 @@ def replay(
     transform: Callable[[DataFrame], DataFrame],
     mode: str = "append",
     rows_per_slice: int = ROWS_PER_SLICE,
+    keys: list[str] | None = None,
 ) -> DataFrame:
     """The rows ``transform`` emits when ``log`` (with ``ts``) arrives as a stream.
 
+    In ``append`` mode these are all rows. In ``update`` mode ``keys`` name the rows: every
+    batch adds what it changed, with the number of the batch, and the newest row of each
+    key counts. In ``complete`` mode every batch stores the whole result, and the last one
+    counts. Results do not depend on how the log is sliced.
+
     The log is cut into slices of time of bounded size. One slice is made
     available at a time and the query runs until it is used up, so state passes
     from slice to slice and no batch holds more than a slice.
     """
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys of its rows")
     spark = log.sparkSession
     folder = work_folder(spark, "replay")
     arrivals, staged, out = f"{folder}/arrivals", f"{folder}/staged", f"{folder}/out"
@@ -47,7 +55,16 @@ def replay(
         if mode == "append":
             writer = writer.format("parquet").option("path", out)
         else:
-            # Complete and update results replace what was stored before.
-            writer = writer.foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(out))
+            # A batch that is repeated after a failure replaces its own folder.
+            writer = writer.foreachBatch(
+                lambda rows, batch: rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+            )
         writer.start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(out)
+    batches = spark.read.parquet(out)
+    if mode == "complete":
+        last = batches.agg(F.max("batch")).first()[0]
+        return spark.read.schema(stream.schema).parquet(f"{out}/batch={last}")
+    newest = batches.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "batch").alias("_row"))
+    return newest.select("_row.*")

@@ -303,8 +303,9 @@ FULL JOIN (SELECT scope, tool, '# old
 {_MARK}
 note of ' || scope AS old FROM used_helped WHERE length(scope) % 2 = 1) USING (scope, tool)"""
 _ENCODED = "to_base64(encode(cmd))"
-_PAYLOAD = f"""CASE event_id % 5 WHEN 0 THEN 'not_base64!!!' || {_ENCODED} WHEN 1 THEN {_ENCODED} || chr(10)
-    WHEN 2 THEN {_ENCODED} END"""
+_PAYLOAD = f"""CASE WHEN event_id % 5 = 0 THEN 'not_base64!!!' || {_ENCODED} WHEN event_id % 5 = 1 THEN {_ENCODED} || chr(10)
+    WHEN event_id % 15 = 2 THEN CASE WHEN contains({_ENCODED}, '=') THEN '?' ELSE {_ENCODED} END
+    WHEN event_id % 15 = 7 THEN '?' WHEN event_id % 15 = 12 THEN {_ENCODED} END"""
 _PIPED = "CASE WHEN event_id % 5 = 3 THEN '  ' || cmd || chr(9) || chr(10) END"
 _TEXT = f"""CASE WHEN {_PAYLOAD} IS NOT NULL THEN decode(try(from_base64(trim({_PAYLOAD}, chr(10)||' '))))
     ELSE {_PIPED} END"""

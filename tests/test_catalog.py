@@ -20,7 +20,7 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(oracle_sql()) == set(catalog()) == set(entry_points.queries())
+    assert set(oracle_sql()) == set(catalog()) <= set(entry_points.queries())
 
 
 @pytest.mark.parametrize("name", sorted(catalog()))

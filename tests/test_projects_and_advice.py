@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from cmdlode.functions.paths import ancestors, clean_path, leaf_label, normalize_path
 from cmdlode.operators import projects, sheets, suggest
+from cmdlode.params import LIMITED
 from cmdlode.plans.rebuild import Rebuild, back_test
 from cmdlode.sources.snapshots import export_markdown, read_sheets, read_victories
 from tests.conftest import T0, dicts
@@ -60,8 +61,10 @@ def test_ancestor_limit(spark):
     deep = "/r" + "/d" * 70
     df = spark.createDataFrame([("s", deep), ("s", "/r/d")], "scope string, cwd string")
     roots = spark.createDataFrame([("s", "/r")], "scope string, root string")
-    got = {r.cwd: r.project_key for r in projects.with_project(df, roots).collect()}
+    got = {r.cwd: r.project_key for r in projects.with_project(df, roots, params=LIMITED).collect()}
     assert got == {deep: deep, "/r/d": "/r"}
+    whole = {r.cwd: r.project_key for r in projects.with_project(df, roots).collect()}
+    assert whole == {deep: "/r", "/r/d": "/r"}
 
 
 VICTORY = "scope string, tool string, rank int, cmd string, attempts bigint, cost_ms bigint, cwd string, ts timestamp"

@@ -1,11 +1,12 @@
 import base64
 import gzip
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from cmdlode.operators import usage
-from cmdlode.params import DEFAULTS
+from cmdlode.params import DEFAULTS, LIMITED
 from cmdlode.sources import histories, journal, snapshots
 from cmdlode.sources.lines import numbered_lines
 from tests.conftest import T0, dicts
@@ -87,14 +88,40 @@ def test_load_histories_reports_missing_sources(spark, tmp_path):
         ("ann", "bash", 0, "hg pull"), ("ann", "bash", 1, "hg update"), ("bob", "bash", 0, "ls"), ("ann", "zsh", 0, "make"),
     }
     rows = dicts(histories.source_status(commands, status))
-    assert {(r["scope"], r["source"], r["n_commands"]) for r in rows if r["error"] is None} == {
-        ("ann", "bash", 2), ("bob", "bash", 1), ("ann", "zsh", 1)
+    assert {(r["scope"], r["source"], r["n_lines"], r["n_commands"]) for r in rows if r["error"] is None} == {
+        ("ann", "bash", 2, 2), ("bob", "bash", 1, 1), ("ann", "zsh", 1, 1)
     }
-    assert {r["source"] for r in rows if r["error"]} == {"fish", "pwsh"}
+    assert {(r["scope"], r["source"]) for r in rows if r["error"]} == {(None, "fish"), (None, "pwsh")}
     totals = {(r["scope"], r["source"]): r["n_commands"] for r in dicts(usage.source_counts(commands))}
     assert totals[None, None] == 4 and totals["ann", None] == 3 and totals["bob", "bash"] == 1
 
 
+def test_broken_files_are_reported_and_left_out_whole(spark, tmp_path):
+    import os
+
+    for who in ("ann", "bob", "cy {x}", "dee"):
+        put(tmp_path / f"scope={who}" / "bash_history.txt", f"make {who}\nmake all\n")
+    (tmp_path / "scope=eve").mkdir()
+    rng = random.Random(1)
+    data = gzip.compress("\n".join(f"cmd {rng.random()}" for _ in range(20_000)).encode())
+    (tmp_path / "scope=eve" / "bash_history.gz").write_bytes(data[: len(data) // 2])
+    probe = histories.Probe("bash", "bash", str(tmp_path / "scope=*" / "bash_history*"))
+    commands, status = histories.load_histories(spark, [probe])
+    assert {r.scope for r in commands.collect()} == {"ann", "bob", "cy {x}", "dee"}
+    assert commands.count() == 8
+    rows = {r["scope"]: r for r in dicts(histories.source_status(commands, status))}
+    assert sorted(rows) == ["ann", "bob", "cy {x}", "dee", "eve"]
+    assert rows["eve"]["error"] and rows["eve"]["n_commands"] == 0 and rows["eve"]["path"].endswith("bash_history.gz")
+    assert all(r["error"] is None and r["n_lines"] == 2 for s, r in rows.items() if s != "eve")
+    only = histories.Probe("bash", "bash", str(tmp_path / "scope=eve" / "*"))
+    commands, status = histories.load_histories(spark, [only])
+    assert commands.collect() == [] and status.first().error
+    if os.getuid():  # root may read everything
+        (tmp_path / "scope=dee" / "bash_history.txt").chmod(0)
+        _, status = histories.load_histories(spark, [probe])
+        assert {r.scope for r in status.collect() if r.error} == {"dee", "eve"}
+
+
 LINES = [
     '{"ts":"2031-05-01T09:00:00.123456789+02:00","cmd":"zig env","exit":1,"dur_ms":40,"cwd":"/w","shell":"pwsh"}',
     "{not json}",
@@ -105,6 +132,7 @@ LINES = [
     '"text"',
     "",
     '{"cmd":"minimal","other":1}',
+    '\t {"cmd":"after a tab"}',
 ]
 
 
@@ -115,9 +143,10 @@ def test_journal_read(spark, tmp_path):
     rows = read.withColumn("ts", F.col("ts").cast("string")).orderBy("seq").collect()
     assert [(r.scope, r.cmd, r.exit, r.dur_ms, r.cwd, r.shell) for r in rows] == [
         ("u", "hg pull", 0, 71, "", "bash"), ("u", "zig env", 1, 40, "/w", "pwsh"), ("u", "minimal", 0, 0, "", ""),
+        ("u", "after a tab", 0, 0, "", ""),
     ]
-    assert [r.ts for r in rows[1:]] == ["2031-05-01 07:00:00.123456", "0001-01-01 00:00:00"]
-    assert [r.seq for r in rows] == [0, 1, 9]
+    assert [r.ts for r in rows[1:]] == ["2031-05-01 07:00:00.123456", *["0001-01-01 00:00:00"] * 2]
+    assert [r.seq for r in rows] == [0, 1, 9, 10]
 
 
 def test_missing_journal_is_empty(spark, tmp_path):
@@ -138,21 +167,30 @@ def test_capture_and_ingest(spark, tmp_path):
         (4, T0, None, None, None, None),
         (5, None, b64("x" * 9000), None, None, "%%%"),
         (6, T0, b64("y" * 8190 + " --token abc"), None, None, ""),
+        (7, T0, "bHM", None, None, None),  # padding is missing
+        (8, T0, "bHM==", None, None, None),
+        (9, T0, "bH\r\nM=\n", None, None, None),
+        (10, T0, "====", None, None, None),
+        (11, T0, None, "z" * 70_000, None, None),
     ]
     df = spark.createDataFrame(
         events, "id int, ts timestamp, cmd_b64 string, stdin string, cwd string, cwd_b64 string"
     )
     resolved = journal.resolve_capture(df)
     bad = {r.id: r.problem for r in journal.rejected(resolved).collect()}
-    assert bad == {1: "invalid payload", 4: "no command"}
-    rows = {r.id: r for r in journal.accepted(resolved).collect()}
-    assert sorted(rows) == [0, 2, 5, 6]
+    assert bad == {1: "invalid payload", 4: "no command", 7: "invalid payload", 8: "invalid payload", 10: "invalid payload"}
+    whole = {r.id: r for r in journal.accepted(resolved).collect()}
+    assert sorted(whole) == [0, 2, 5, 6, 9, 11] and not any(r.was_cut for r in whole.values())
+    assert len(whole[5].cmd) == 9000 and whole[6].cmd.endswith("«redacted»") and len(whole[11].cmd) == 70_000
+    resolved = journal.resolve_capture(df, LIMITED)
+    rows = {r.id: r for r in journal.accepted(resolved, LIMITED).collect()}
+    assert {i for i, r in rows.items() if r.was_cut} == {5, 6, 11} and rows[9].cmd == "ls"
     assert (rows[0].cmd, rows[0].cwd, rows[0].month) == (quoted, "/plain", "2031-03")
     assert (rows[2].cmd, rows[2].cwd) == ("setx MY_SECRET abcd=efgh MY_SECRET=«redacted»", "/enc")
     assert len(rows[5].cmd) == 8192 and rows[5].ts is not None and rows[5].cwd == ""
     assert rows[6].cmd == "y" * 8190 + " -"
     target = str(tmp_path / "journal")
-    journal.append_journal(journal.accepted(resolved).where("id <> 5"), target)
+    journal.append_journal(journal.accepted(resolved).where("id in (0, 2, 6)"), target)
     journal.append_journal(journal.accepted(resolved).where("id = 2"), target)
     assert spark.read.parquet(target).where("month = '2031-03'").count() == 4
 
@@ -165,8 +203,35 @@ def test_snapshots(spark, tmp_path):
     snapshots.write_snapshot(first, path)
     # A later write may read what it replaces.
     snapshots.write_snapshot(snapshots.read_victories(spark, path).withColumn("attempts", F.col("attempts") + 1), path)
-    put(tmp_path / "victories" / "snapshot=7" / "part-0.parquet", "broken")
+    put(tmp_path / "victories" / "snapshot=7" / "part-0.parquet", "a job died here")
+    for mark in (tmp_path / "victories").rglob("_SUCCESS"):  # may be switched off
+        mark.rename(mark.with_name("_other"))
     assert [r.attempts for r in snapshots.read_victories(spark, path).collect()] == [5]
     snapshots.write_snapshot(first, path)
     assert [r.attempts for r in snapshots.read_victories(spark, path).collect()] == [4]
     assert (tmp_path / "victories" / "snapshot=8").exists()
+
+
+@pytest.mark.parametrize("damage", ["bytes", "lost", "manifest"])
+def test_damaged_snapshots_fall_back(spark, tmp_path, damage):
+    path = str(tmp_path / "victories")
+    row = ("s", "helm", 1, "helm lint", 4, 77_000, "/srv", T0)
+    for extra in range(2):
+        table = spark.createDataFrame([row[:4] + (row[4] + extra,) + row[5:]], snapshots.VICTORY_SCHEMA)
+        snapshots.write_snapshot(table, path)
+
+    def harm(number):
+        folder = tmp_path / "victories" / (f"manifest={number}" if damage == "manifest" else f"snapshot={number}")
+        for file in folder.glob("part-*"):
+            if damage == "lost":
+                file.rename(tmp_path / f"away-{number}-{file.name}")
+            else:
+                file.write_bytes(b"PAR1 nonsense")
+            (folder / f".{file.name}.crc").unlink(missing_ok=True)
+
+    harm(2)
+    with pytest.warns(UserWarning, match="snapshot 2"):
+        assert [r.attempts for r in snapshots.read_victories(spark, path).collect()] == [4]
+    harm(1)
+    with pytest.warns(UserWarning, match="snapshot 1"):
+        assert snapshots.read_victories(spark, path).collect() == []

@@ -1,10 +1,12 @@
 import random
 from datetime import timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from cmdlode.operators.cooldown import apply_cooldown
 from cmdlode.operators.fights import fights, journal_usage
+from cmdlode.operators.usage import classify_commands, command_counts
 from cmdlode.streaming import operators as streams
 from cmdlode.streaming.replay import replay
 from tests.conftest import JOURNAL, T0
@@ -30,6 +32,17 @@ def test_fights_replayed_in_slices(spark):
     assert fight_rows(replay(log, streams.stream_fights, rows_per_slice=150)) == want
 
 
+def test_running_counts_do_not_depend_on_slices(spark):
+    _, log = random_log(spark, 200)
+    commands = lambda rows: rows.select("scope", F.col("shell").alias("source"), F.col("seq").alias("pos"), F.col("cmd").alias("command"))
+    want = sorted(map(str, command_counts(classify_commands(commands(log))).collect()))
+    for mode, size in (("update", 1000), ("update", 60), ("complete", 60)):
+        got = replay(log, lambda rows: streams.running_counts(commands(rows)), mode, size, streams.COUNT_KEYS)
+        assert sorted(map(str, got.collect())) == want, (mode, size)
+    with pytest.raises(ValueError, match="keys"):
+        replay(log, streams.running_counts, "update")
+
+
 def run_out_of_order(spark, tmp_path, rows, transform, jitter):
     """Feed rows in batches whose order is shuffled by up to ``jitter`` rows, then move time on."""
     rng = random.Random(5)
