@@ -9,23 +9,24 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cmdlode.functions.format import duration, journal_line, status_text
 from cmdlode.functions.paths import leaf_label, normalize_path
 from cmdlode.functions.redaction import redact
-from cmdlode.functions.text import compute_once, is_safe_tool
+from cmdlode.functions.similarity import with_same_intent, with_similar
+from cmdlode.functions.text import clip_bytes, compute_once, is_safe_tool
 from cmdlode.operators import fights as fight_ops
 from cmdlode.operators import projects, reports, retries, sheets, suggest, usage
 from cmdlode.operators.cooldown import apply_cooldown
-from cmdlode.params import DEFAULTS
+from cmdlode.params import DEFAULTS, LIMITED
 from cmdlode.plans.eventlog import as_commands, event_log, project_roots
 from cmdlode.plans.rebuild import Rebuild, back_test, project_listing
 from cmdlode.session import configure, stored, work_folder
-from cmdlode.sources.histories import PARSERS
-from cmdlode.sources.journal import accepted, rejected, resolve_capture
-from cmdlode.sources.snapshots import read_victories, write_snapshot
+from cmdlode.sources.histories import PARSERS, Probe, load_histories, source_status
+from cmdlode.sources.journal import accepted, append_journal, read_journal, rejected, resolve_capture
+from cmdlode.sources.snapshots import read_sheets, read_victories, write_snapshot
 from cmdlode.streaming import operators as streams
 from cmdlode.streaming.replay import replay
 
@@ -425,6 +426,96 @@ for _format in PARSERS:
     _query(_history(_format))
 
 
+# --- files ----------------------------------------------------------------------
+
+
+def _history_files(spark: SparkSession, sf_dir: str) -> list[Probe]:
+    """Every user's log as a history file of the user's shell, in the shared folder."""
+    log, root = stored(event_log(spark, sf_dir), "log"), work_folder(spark, "histories")
+    for format in PARSERS:
+        lines = history_lines(log.where(F.col("shell") == format), format)
+        ordered = lines.repartition("scope").sortWithinPartitions("scope", "line_no")
+        ordered.select("scope", "line").write.partitionBy("scope").text(f"{root}/{format}")
+    return [Probe(format, format, f"{root}/{format}/scope=*/part-*") for format in PARSERS]
+
+
+@_query
+def history_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load_histories(spark, _history_files(spark, sf_dir))[0]
+
+
+@_query
+def history_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was read of every file, and of a location that does not exist."""
+    probes = [*_history_files(spark, sf_dir), Probe("none", "bash", f"{sf_dir}/no_such_history")]
+    status = source_status(*load_histories(spark, probes))
+    return status.select("scope", "source", "n_lines", "n_commands", F.col("error").isNotNull().alias("failed"))
+
+
+@_query
+def journal_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as JSON lines by user and month, with unusable lines between, read back."""
+    log, root = event_log(spark, sf_dir), work_folder(spark, "journal")
+    row = F.to_json(
+        F.struct("ts", "cmd", "exit", "dur_ms", "cwd", "shell"), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    )
+    event = F.col("event_id")
+    odd = F.when(event % 7 == 0, '{"cmd": broken').when(event % 7 == 1, '{"cmd": ""}').when(event % 7 == 2, "")
+    tabbed = F.when(event % 3 == 0, F.concat(F.lit("\t"), row)).otherwise(row)
+    lines = log.select(
+        "scope", F.date_format("ts", "yyyy-MM").alias("month"), "seq", F.posexplode(F.array_compact(F.array(odd, tabbed))).alias("_i", "line")
+    )
+    ordered = lines.repartition("scope").sortWithinPartitions("scope", "month", "seq", "_i")
+    ordered.select("scope", "month", "line").write.partitionBy("scope", "month").text(root)
+    read = read_journal(spark, f"{root}/scope=*/month=*/part-*")
+    return read.withColumn("ts_us", F.unix_micros("ts")).drop("ts")
+
+
+@_query
+def journal_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ingested rows appended by month in two loads, and read back."""
+    rows = accepted(resolve_capture(capture_events(event_log(spark, sf_dir))))
+    root = work_folder(spark, "store")
+    for half in (0, 1):
+        append_journal(rows.where(F.col("event_id") % 2 == half), root)
+    read = spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", "false").parquet(root)
+    month = F.date_format(F.to_date("month"), "yyyy-MM")
+    return read.select("scope", "event_id", "cmd", "exit", "dur_ms", "cwd", "shell", month.alias("month"))
+
+
+@_query
+def show_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored sheets of one tool, asked for by a name in capitals."""
+    job, place = _job(spark, sf_dir), f"{work_folder(spark, 'sheets')}/table"
+    write_snapshot(job.sheets(spark.createDataFrame([], sheets.SHEET_SCHEMA), GENERATED_ON), place)
+    found = sheets.find_sheet(read_sheets(spark, place), "GIT")
+    return found.select("scope", "tool", F.col("generated_on").cast("string").alias("day"), "markdown")
+
+
+@_query
+def clip_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as commands under the byte limit, where it cuts characters too."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    most = LIMITED.max_cmd_bytes
+    clipped = compute_once(documents, clipped=clip_bytes(F.col("text"), most))
+    return clipped.select(
+        "doc_id", F.md5("clipped").alias("digest"), F.length("clipped").cast("bigint").alias("n_chars"),
+        (F.octet_length("text") > most).alias("was_cut"),
+    )
+
+
+@_query
+def similar_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring commands of over 300 bytes compared whole and under the byte limit."""
+    log = event_log(spark, sf_dir)
+    tail = F.concat(F.repeat(F.lit(" -f"), (F.col("event_id") % 120 + 60).cast("int")), F.repeat(F.lit(" -g"), (F.col("event_id") % 90).cast("int")))
+    ordered = Window.partitionBy("scope").orderBy("seq")
+    pairs = log.withColumn("b", F.concat("cmd", tail)).withColumn("a", F.lag("b").over(ordered)).where("a is not null")
+    both = with_similar(with_same_intent(pairs, "a", "b", "intent"), "a", "b", "whole")
+    both = with_similar(both, "a", "b", "limited", params=LIMITED)
+    return both.select("event_id", "intent", "whole", "limited")
+
+
 # --- streams ------------------------------------------------------------------
 
 
@@ -459,6 +550,13 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("scope", "event_id", "cmd", "exit", "dur_ms", "cwd", "shell", "month")
 
 
+@_query
+def stream_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unusable capture events of a stream: same rows as ``ingest_rejected``."""
+    rows = replay(capture_events(event_log(spark, sf_dir)), lambda events: streams.ingest(events)[1])
+    return rows.select("event_id", "problem")
+
+
 @_query
 def stream_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running counts over a stream of commands, after its end."""

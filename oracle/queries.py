@@ -271,10 +271,7 @@ _SECRETS = (
 _SECRET_LIST = "[" + ", ".join(f"'{s}'" for s in _SECRETS) + "]"
 _MARK = "<!-- cmdlode:keep -->"
 _NOTES = f"{_MARK}\n## Your notes\n\nAnything below the keep-marker survives rescans. Make it yours.\n"
-_SHEET = f"""
-SELECT scope, tool, CASE WHEN top IS NULL THEN '2024-01-01' ELSE '2024-02-01' END AS day,
-       CASE WHEN top IS NULL THEN old ELSE top || coalesce(substring(old, strpos(old, '{_MARK}')), '{_NOTES}') END AS markdown
-FROM (
+_SHEET_TOP = f"""
   SELECT s.scope, s.tool, '# ' || s.tool || ' — personal cheatsheet
 
 > Generated by cmdlode on 2024-02-01 from your own shell history.
@@ -298,10 +295,16 @@ FROM (
 You reached for help on `' || s.tool || '` ' || s.help_lookups || ' time(s). The commands above are the ones that stuck.
 
 ' ELSE '' END AS top
-  FROM shown s) n
+  FROM shown s"""
+_SHEET = f"""
+SELECT scope, tool, CASE WHEN top IS NULL THEN '2024-01-01' ELSE '2024-02-01' END AS day,
+       CASE WHEN top IS NULL THEN old ELSE top || coalesce(substring(old, strpos(old, '{_MARK}')), '{_NOTES}') END AS markdown
+FROM ({_SHEET_TOP}) n
 FULL JOIN (SELECT scope, tool, '# old
 {_MARK}
 note of ' || scope AS old FROM used_helped WHERE length(scope) % 2 = 1) USING (scope, tool)"""
+_FRESH_SHEET = f"""
+SELECT scope, tool, '2024-02-01' AS day, top || '{_NOTES}' AS markdown FROM ({_SHEET_TOP})"""
 _ENCODED = "to_base64(encode(cmd))"
 _PAYLOAD = f"""CASE WHEN event_id % 5 = 0 THEN 'not_base64!!!' || {_ENCODED} WHEN event_id % 5 = 1 THEN {_ENCODED} || chr(10)
     WHEN event_id % 15 = 2 THEN CASE WHEN contains({_ENCODED}, '=') THEN '?' ELSE {_ENCODED} END
@@ -325,6 +328,25 @@ def _ingested() -> str:
     )
 
 
+def _rejected() -> str:
+    return _with(
+        ["log"],
+        f"""SELECT event_id, CASE WHEN {_PAYLOAD} IS NOT NULL THEN 'invalid payload' ELSE 'no command' END AS problem
+        FROM log WHERE {_TEXT} IS NULL""",
+    )
+
+
+def _alike(a: str, b: str) -> str:
+    return f"a <> b AND ({intent_sql()}) AND {ratio_ok(a, b, f'greatest(strlen({a}), strlen({b}))', 0.65)}"
+
+
+_PAIRS = """(SELECT event_id, lag(full_cmd) OVER (PARTITION BY scope ORDER BY seq) AS a, full_cmd AS b FROM (
+    SELECT *, cmd || repeat(' -f', event_id % 120 + 60) || repeat(' -g', event_id % 90) AS full_cmd FROM log))"""
+_LONG_PAIRS = f"""SELECT event_id, {intent_sql()} AS intent, {_alike("a", "b")} AS whole,
+    {_alike("left(a, 300)", "left(b, 300)")} AS limited
+    FROM ({tokens_sql(_PAIRS, "a", "b")}) WHERE a IS NOT NULL"""
+
+
 def _cooldown(keys: str, rows: str, columns: str) -> str:
     same = " AND ".join(f"r.{k} = e.{k}" for k in keys.split(", "))
     back = ", ".join(f"e.{k}" for k in keys.split(", "))
@@ -443,11 +465,31 @@ def oracle_sql() -> dict[str, str]:
             {line("ts", "shell", "exit", "dur_ms", "cmd")} AS line, {duration("dur_ms")} AS took FROM log""",
         ),
         "ingest_journal": _ingested(),
-        "ingest_rejected": _with(
+        "ingest_rejected": _rejected(),
+        "stream_rejected": _rejected(),
+        "history_files": _with(["log"], "SELECT scope, shell AS source, seq AS pos, cmd AS command FROM log"),
+        "history_status": _with(
+            ["log"],
+            """SELECT scope, shell AS source, 2 * count(*) AS n_lines, count(*) AS n_commands, false AS failed
+            FROM log GROUP BY ALL UNION ALL SELECT NULL, 'none', 0, 0, true""",
+        ),
+        "journal_files": _with(
             ["log"],
-            f"""SELECT event_id, CASE WHEN {_PAYLOAD} IS NOT NULL THEN 'invalid payload' ELSE 'no command' END AS problem
-            FROM log WHERE {_TEXT} IS NULL""",
+            """SELECT scope, seq, cmd, exit, dur_ms, cwd, shell, ts_us FROM (
+              SELECT *, row_number() OVER (PARTITION BY scope ORDER BY month, place, i) - 1 AS seq FROM (
+                SELECT scope, strftime(ts, '%Y-%m') AS month, seq AS place, cmd, exit, dur_ms, cwd, shell,
+                       epoch_us(ts) AS ts_us, unnest(CASE WHEN event_id % 7 < 3 THEN [0, 1] ELSE [1] END) AS i FROM log))
+            WHERE i = 1""",
         ),
+        "journal_store": _ingested(),
+        "show_sheet": f"SELECT * FROM ({_with(['shown', 'labelled', 'hits', 'totals'], _FRESH_SHEET)}) WHERE tool = 'git'",
+        "clip_commands": """WITH d AS (SELECT doc_id, text, strlen(text) > 8192 AS was_cut FROM documents),
+            p AS (SELECT doc_id, c, sum(strlen(c)) OVER (PARTITION BY doc_id ORDER BY i) AS upto, i FROM (
+                SELECT doc_id, unnest(string_split(text, '')) AS c, unnest(range(1, length(text) + 1)) AS i FROM d WHERE was_cut)),
+            k AS (SELECT doc_id, string_agg(CASE WHEN upto <= 8192 THEN c ELSE chr(65533) END, '' ORDER BY i) AS t
+                  FROM p WHERE upto - strlen(c) < 8192 GROUP BY doc_id)
+            SELECT doc_id, md5(coalesce(t, text)) AS digest, length(coalesce(t, text)) AS n_chars, was_cut FROM d LEFT JOIN k USING (doc_id)""",
+        "similar_long": _with(["log"], _LONG_PAIRS),
         "stream_fights": _with(["fought"], f"SELECT {_FIGHT_COLS} FROM fought"),
         "stream_suggestions": _with(
             ["advised"], _cooldown("scope, tool", "advised", _ADVISED), recursive=True
