@@ -12,13 +12,33 @@ import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
-def _distance(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        diagonal, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
-    return row[-1]
+def _within(a: str, b: str, most: int) -> bool:
+    """Whether at most ``most`` edits turn ``a`` into ``b``.
+
+    Keeps, for each number of edits, the furthest place reached on each diagonal, so the
+    cost follows the edits allowed and made, not the product of the lengths.
+    """
+    goal = len(a) - len(b)
+    if abs(goal) > most:
+        return False
+    reach = {0: 0}
+    for edits in range(most + 1):
+        new: dict[int, int] = {}
+        for d in range(max(-edits, -len(b)), min(edits, len(a)) + 1):
+            if edits:
+                steps = (reach.get(d, -2) + 1, reach.get(d - 1, -2) + 1, reach.get(d + 1, -2))
+                i = min(max(steps), len(a), len(b) + d)
+            else:
+                i = 0
+            if i < max(0, d):
+                continue
+            while i < len(a) and i - d < len(b) and a[i] == b[i - d]:
+                i += 1
+            new[d] = i
+        if new.get(goal) == len(a):
+            return True
+        reach = new
+    return False
 
 
 def same_intent(a: str, b: str, near: int = 3, floor: float = 0.5) -> bool:
@@ -36,7 +56,9 @@ def same_intent(a: str, b: str, near: int = 3, floor: float = 0.5) -> bool:
     if min(size_x, size_y) >= 3 and (x.startswith(y) or y.startswith(x)):
         return True
     longest = max(size_x, size_y)
-    return longest > 0 and 1 - _distance(x, y) / longest >= floor
+    # 1 - edits / longest >= floor, in the floating-point steps of the batch form
+    most = next((n for n in range(int(longest * (1 - floor)) + 1, -1, -1) if longest and 1 - n / longest >= floor), -1)
+    return most >= 0 and _within(x, y, most)
 
 
 class OrderedProcessor(StatefulProcessor):

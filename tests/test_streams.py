@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from cmdlode.operators.cooldown import apply_cooldown
 from cmdlode.operators.fights import fights, journal_usage
 from cmdlode.operators.usage import classify_commands, command_counts
+from cmdlode.sources.snapshots import VICTORY_SCHEMA, write_snapshot
 from cmdlode.streaming import operators as streams
+from cmdlode.streaming import sinks, state
 from cmdlode.streaming.replay import replay
 from tests.conftest import JOURNAL, T0
 
@@ -81,3 +83,67 @@ def test_cooldown_with_a_watermark(spark, tmp_path):
     want = sorted((r.tool, r.seq) for r in apply_cooldown(suggested(log), ["scope", "tool"]).collect())
     got = run_out_of_order(spark, tmp_path, rows, lambda s: streams.stream_cooldown(suggested(s), ordered=True), jitter=15)
     assert sorted((r.tool, r.seq) for r in got.collect()) == want
+
+
+def test_bounded_distance():
+    rng = random.Random(4)
+
+    def distance(a, b):  # by its recursive definition, for short texts
+        if not a or not b:
+            return len(a) + len(b)
+        if a[0] == b[0]:
+            return distance(a[1:], b[1:])
+        return 1 + min(distance(a[1:], b), distance(a, b[1:]), distance(a[1:], b[1:]))
+
+    for _ in range(400):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randrange(7))) for _ in range(2))
+        assert [state._within(a, b, n) for n in range(8)] == [distance(a, b) <= n for n in range(8)], (a, b)
+    assert not state._within("x" * 200_000, "y" * 199_999, 50)
+
+
+def feed(spark, tmp_path, batches, schema, writer):
+    """Run ``writer(stream)`` over one batch after the other."""
+    source = str(tmp_path / "source")
+    for batch in batches:
+        if callable(batch):
+            batch()
+            continue
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(source)
+        query = writer(spark.readStream.schema(schema).parquet(source)).trigger(availableNow=True).start()
+        query.awaitTermination()
+
+
+def entry(seq, minutes, cmd="make x", exit=1):
+    return ("s", seq, T0 + timedelta(minutes=minutes), cmd, exit, 1, "", "bash")
+
+
+def test_late_rows_are_kept(spark, tmp_path):
+    batches = [[entry(0, 0), entry(1, 60)], [entry(2, 51), entry(3, 49), entry(4, 200)], [entry(5, 195), entry(6, 1)]]
+    out = str(tmp_path / "out")
+    feed(spark, tmp_path, batches, JOURNAL, lambda s: sinks.late_rows(s, "10 minutes", out, str(tmp_path / "cp")))
+    assert sorted(r.seq for r in spark.read.parquet(f"{out}/late").collect()) == [3, 6]
+
+
+def test_new_victories_are_seen_in_mid_stream(spark, tmp_path):
+    won, out = str(tmp_path / "won"), str(tmp_path / "out")
+
+    def rebuild(cmd):
+        row = ("s", "make", 1, cmd, 3, 1000, "", T0)
+        return lambda: write_snapshot(spark.createDataFrame([row], VICTORY_SCHEMA), won)
+
+    batches = [[entry(0, 0)], rebuild("make -j all"), [entry(1, 1)], rebuild("make -k all"), [entry(2, 2)]]
+    feed(spark, tmp_path, batches, JOURNAL, lambda s: sinks.fresh_suggestions(s, won, out, str(tmp_path / "cp")))
+    got = {r.seq: r.suggested for r in spark.read.parquet(out).collect()}
+    assert got == {1: "make -j all", 2: "make -k all"}
+
+
+def test_ingest_by_month_and_quarantine(spark, tmp_path):
+    schema = "id int, ts timestamp, cmd_b64 string, stdin string, cwd string, cwd_b64 string"
+    batches = [[(0, T0, None, "make a", None, None), (1, T0, "%", None, None, None)],
+               [(2, T0 + timedelta(days=40), None, " make b ", None, None), (3, T0, None, None, None, None)]]
+    out = str(tmp_path / "out")
+    feed(spark, tmp_path, batches, schema, lambda s: sinks.ingest_by_month(s, out, str(tmp_path / "cp")))
+    rows = spark.read.parquet(f"{out}/journal").select("id", "cmd", F.col("month").cast("string")).collect()
+    assert sorted((r[0], r[1], r[2][:7]) for r in rows) == [(0, "make a", "2031-03"), (2, "make b", "2031-04")]
+    bad = spark.read.parquet(f"{out}/rejected").collect()
+    assert sorted((r.id, r.problem) for r in bad) == [(1, "invalid payload"), (3, "no command")]
