@@ -15,14 +15,14 @@
 
 Defined results: null html is an empty page; a page without text gives ``''`` and 0.
 Unclosed and cut-off markup is closed where the next block or the end demands it. Repeated
-rows are treated alike; an empty table gives no rows. Work is linear in the page's length
-apart from its nesting depth.
+rows are treated alike; an empty table gives no rows. Work is linear in the page's length.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -117,6 +117,7 @@ def _strip(source: str) -> _Page:
     """Lines of a page, with the elements around each."""
     page = _Page()
     stack = [0]
+    opened: Counter[str] = Counter()  # names on the stack
     text: list[str] = []
     linked = 0
     at = 0
@@ -129,13 +130,13 @@ def _strip(source: str) -> _Page:
         text.clear()
         linked = 0
 
-    def inside(name: str) -> bool:
-        return any(page.elements[i].name == name for i in stack)
-
     def close(name: str, bounds: frozenset | set = frozenset()) -> None:
+        if not opened[name]:
+            return
         for depth in range(len(stack) - 1, 0, -1):
             here = page.elements[stack[depth]].name
             if here == name:
+                opened.subtract(page.elements[i].name for i in stack[depth:])
                 del stack[depth:]
                 return
             if here in bounds:
@@ -146,7 +147,7 @@ def _strip(source: str) -> _Page:
         if piece:
             piece = html.unescape(piece)
             text.append(piece)
-            if inside("a"):
+            if opened["a"]:
                 linked += len(piece.strip())
 
     while at < len(source):
@@ -182,13 +183,17 @@ def _strip(source: str) -> _Page:
             continue
         element = _Element(name, stack[-1])
         names, role, hidden = _attributes(found["rest"]) if found["rest"] else (set(), "", False)
-        in_article = inside("article") or inside("main")
+        in_article = opened["article"] or opened["main"]
         element.dropped = name in _DROPPED or role in _ROLES or hidden or (name == "header" and not in_article)
         page_wide = name in ("html", "body", "main", "article")
         element.named = not page_wide and bool(names & _NAMES or ("header" in names and not in_article))
         if name in ("article", "main", "h1"):
             for i in stack:
                 page.elements[i].holds_body = True
+        told = element.dropped or element.named or name in _BLOCK or name in ("a", "td", "th")
+        if not told and not opened[name]:
+            continue  # a plain inline element decides nothing, closed or not
+        opened[name] += 1
         page.elements.append(element)
         stack.append(len(page.elements) - 1)
     flush()
@@ -224,39 +229,48 @@ def main_text(source: str | None) -> str:
     page = _strip(source or "")
     if not page.lines:
         return ""
-    bad: dict[int, bool] = {-1: False}
+    n = len(page.elements)
+    bad, inner = [False] * n, [False] * n
     for i, element in enumerate(page.elements):  # parents come first
-        bad[i] = bad[element.parent] or element.dropped or (element.named and not element.holds_body)
-    paths = [_ancestors(page, line.element) for line in page.lines]
-    within = [any(page.elements[i].name in ("article", "main") for i in path) for path in paths]
-    links = [
-        line.linked >= 0.9 * len(line.text) and not inner and len(line.text) < 200
-        for line, inner in zip(page.lines, within)
-    ]
-    lengths = np.array([0 if bad[line.element] or link else len(line.text) for line, link in zip(page.lines, links)])
+        up = element.parent
+        bad[i] = (i > 0 and bad[up]) or element.dropped or (element.named and not element.holds_body)
+        inner[i] = (i > 0 and inner[up]) or element.name in ("article", "main")
+    lengths = np.zeros(len(page.lines), dtype=np.int64)
+    for k, line in enumerate(page.lines):
+        link = line.linked >= 0.9 * len(line.text) and not inner[line.element] and len(line.text) < 200
+        lengths[k] = 0 if bad[line.element] or link else len(line.text)
     if not lengths.any():
         return ""
     first, last, centre = _surge_and_dive(lengths)
-    body = next((i for i in paths[centre] if page.elements[i].name == "article"), None)
-    if body is None:
-        body = next((i for i in paths[centre] if page.elements[i].name == "main"), None)
-    if body is None:
-        held: dict[int, int] = {}
-        for k in range(first, last + 1):
-            for i in paths[k]:
-                held[i] = held.get(i, 0) + int(lengths[k])
-        enough = HOLDS * lengths[first : last + 1].sum()
-        blocks = [i for i in paths[centre] if page.elements[i].name in _BLOCK - _INSIDE or i == 0]
-        body = next((i for i in blocks if held.get(i, 0) >= enough), 0)
+    body = _body(page, _ancestors(page, page.lines[centre].element), lengths, first, last)
+    below = [False] * n
+    for i, element in enumerate(page.elements):
+        below[i] = i == body or (i > 0 and below[element.parent])
     whole_page = page.elements[body].name in ("page", "html", "body")
     kept = [
         line.text
         for k, line in enumerate(page.lines)
-        if lengths[k] and body in paths[k] and (not whole_page or first <= k <= last)
+        if lengths[k] and below[line.element] and (not whole_page or first <= k <= last)
     ]
     return "\n".join(kept)
 
 
+def _body(page: _Page, path: list[int], lengths: np.ndarray, first: int, last: int) -> int:
+    """The element of ``path`` (upwards) that holds the text between surge and dive."""
+    for name in ("article", "main"):
+        for i in path:
+            if page.elements[i].name == name:
+                return i
+    held = [0] * len(page.elements)
+    for k in range(first, last + 1):
+        held[page.lines[k].element] += int(lengths[k])
+    for i in range(len(held) - 1, 0, -1):  # children come after their parents
+        held[page.elements[i].parent] += held[i]
+    enough = HOLDS * lengths[first : last + 1].sum()
+    blocks = (i for i in path if page.elements[i].name in _BLOCK - _INSIDE or i == 0)
+    return next((i for i in blocks if held[i] >= enough), 0)
+
+
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Columns of ``pages`` without the html, ``text`` and ``n_chars`` (its code points).
 
