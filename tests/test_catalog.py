@@ -36,10 +36,34 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["greatest_hits", "retry_chains", "fights", "hard_won", "suggestions"])
+BATCH = sorted(name for name in catalog() if not name.startswith("stream_"))
+# Scans of narrow stored tables in a query's last job, before reuse; inputs that several branches share are stored before.
+MOST_SCANS = {"tool_reports": 8, "sheet_text": 8, "suggestions": 8, "suggestions_cooldown": 3, "history_pwsh": 2}
+
+
+@pytest.mark.parametrize("name", BATCH)
 def test_batch_plans_have_no_python_and_no_cross_join(spark, name):
     text = plan(catalog()[name](spark, SF))
-    assert not re.search(r"Python|Pandas|CartesianProduct|BroadcastNestedLoopJoin", text)
+    assert not re.search(r"Python|Pandas|Arrow|CartesianProduct|BroadcastNestedLoopJoin", text)
+    if name in MOST_SCANS:
+        assert text.count("FileScan") <= MOST_SCANS[name]
+
+
+def test_files_are_read_twice_at_most(spark, tmp_path):
+    """Once to count the lines of their splits, once for everything that is made of them."""
+    from cmdlode.plans.rebuild import Rebuild
+    from cmdlode.sources.histories import Probe, load_histories
+    from cmdlode.sources.journal import read_journal
+
+    (tmp_path / "h").write_text("make a\nmake ab\n" * 5)
+    (tmp_path / "j.jsonl").write_text('{"ts":"2031-03-05T08:00:00Z","cmd":"make a","exit":1}\n{"ts":"2031-03-05T08:01:00Z","cmd":"make a"}\n')
+    commands, _ = load_histories(spark, [Probe("bash", "bash", str(tmp_path / "h"))])
+    job = Rebuild(commands, read_journal(spark, str(tmp_path / "j.jsonl")))
+    assert plan(commands).count("FileScan text") <= 2  # the rows, and the count that looks for hot files
+    for result in (job.reports, job.victories, job.biggest_fights):
+        assert "FileScan text" not in plan(result)
+    job.write(str(tmp_path / "won"), str(tmp_path / "sheets"), "2031-03-06")
+    assert job.victories.count() == 1
 
 
 def test_top_k_is_cut_before_the_shuffle(spark):
