@@ -7,10 +7,10 @@ parities of 1024 bits, make its odd sketch. The population count of two sketches
 estimates how many values differ.
 
 Buckets of classes with the same band key are never expanded into pairs. First every
-class is compared with the least class of its buckets. Links confirmed on full sets
-give components; only where a bucket then still holds several are its members compared
-across them, under the sketch's condition inside the join. So every pair that shares a
-bucket is compared, or is in one component already.
+class is compared with the leader of its buckets. Links confirmed on full sets give
+components; only where a bucket then still holds several are its members compared across
+them, after an exact bound from the shingles that only one of them has. So every pair
+that shares a bucket is compared, is in one component already, or cannot be similar.
 
 Two documents of similarity 0.75 share no bucket with probability (1 - 0.75^4)^40, about
 3e-7, and less above; the sketch rejects only below an estimate of 0.5, more than five
@@ -40,6 +40,7 @@ BANDS, ROWS = 40, 4
 SKETCH_BITS = 1024
 PERCENT = 75
 REJECT_BELOW = 0.5  # estimated similarity
+CELLS = 4096
 
 _SAMPLES = BANDS * ROWS
 _MULTIPLIERS = mix64(np.arange(1, _SAMPLES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -79,6 +80,17 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def filled_cells(shingles: np.ndarray) -> np.ndarray:
+    """Which of the cells hold a shingle, as words of 64 bits.
+
+    A shingle in a cell that the other set leaves empty is in no intersection, so the cells
+    bound the intersection from above, exactly.
+    """
+    bits = np.zeros(CELLS, dtype=np.uint8)
+    bits[(shingles % np.uint64(CELLS)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def most_odd_bits(similarity: float) -> int:
     """Population count expected for the XOR of two sketches of this similarity."""
     differing = 2 * _SAMPLES * (1 - similarity)
@@ -110,7 +122,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in row_slices(batches, 200):
         found = [shingle_set(text, hasher) for text in texts_of(part)]
         digests = pa.array([set_digest(s) for s in found], pa.binary())
-        yield pa.RecordBatch.from_arrays([digests, int_lists(found)], names=["digest", "shingles"])
+        cells = int_lists([filled_cells(s) for s in found])
+        yield pa.RecordBatch.from_arrays([digests, int_lists(found), cells], names=["digest", "shingles", "cells"])
 
 
 def _odd_bits(a: Column, b: Column) -> Column:
@@ -131,15 +144,70 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(enough).select("a", "b")
 
 
+def _members(classes: DataFrame) -> DataFrame:
+    """``band, digest, leader`` for buckets of several classes.
+
+    The leader of a bucket is the class that shares most buckets with most others: of a
+    family of variants, the one nearest to all of them.
+    """
+    placed = classes.select("digest", F.explode("bands").alias("band"))
+    counts = placed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = stored(placed.join(counts, "band"), "shared")
+    fame = shared.groupBy("digest").agg(F.sum("n").alias("fame"))
+    best = shared.join(fame, "digest").groupBy("band").agg(F.max(F.struct("fame", "digest")).alias("_best"))
+    leaders = best.select("band", F.col("_best.digest").alias("leader"))
+    return stored(shared.select("band", "digest").join(leaders, "band"), "members")
+
+
+def _across(members: DataFrame, roots: DataFrame, sets: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of buckets that hold several components, not compared so far, that may be similar.
+
+    A shingle that no other open class has is in no intersection. So of ``n`` shingles only
+    ``usable`` can be shared, and ``7 * shared >= 3 * (n_a + n_b)`` must still hold (the limit of
+    0.75, without the division). This leaves out variants with many changes of their own, before
+    any pair is made; other pairs pass the bound of their cells and the sketches inside the join.
+    """
+    labelled = members.join(roots.withColumnRenamed("node", "digest"), "digest", "left")
+    labelled = labelled.withColumn("root", F.coalesce("root", "digest"))
+    open_members = stored(_mixed(labelled.where("digest <> leader").select("band", "digest", "root")), "open")
+    ids = open_members.select("digest").distinct()
+    held = sets.join(ids, "digest", "left_semi")
+    each = held.select("digest", F.explode("shingles").alias("shingle"))
+    alone = each.groupBy("shingle").agg(F.count("*").alias("c"), F.min("digest").alias("digest")).where("c = 1")
+    alone = alone.groupBy("digest").agg(F.count("*").alias("alone"))
+    filled = F.aggregate("cells", F.lit(0), lambda total, c: total + F.bit_count(c))
+    usable = held.select("digest", F.size("shingles").alias("n"), "cells", filled.alias("filled")).join(alone, "digest", "left")
+    usable = usable.withColumn("usable", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    narrow = usable.where(f"100 * usable >= {PERCENT} * n").select("digest", "n", "usable")
+    able = open_members.join(narrow, "digest")
+    least = able.groupBy("band").agg(F.min("n").alias("least"))
+    fits = lambda shared, n: (100 + PERCENT) * shared >= PERCENT * n
+    able = able.join(least, "band").where(fits(F.col("usable"), F.col("n") + F.col("least"))).drop("least")
+    bitmaps = usable.select("digest", "cells", "filled")
+    able = stored(_mixed(able).join(sketches, "digest").join(bitmaps, "digest"), "able")
+    x, y = able.alias("x"), able.alias("y")
+    across = (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root"))
+    both = F.expr(" + ".join(f"bit_count(x.cells[{i}] & y.cells[{i}])" for i in range(CELLS // 64)))
+    sizes = F.col("x.n") + F.col("y.n")
+    enough = fits(F.least("x.usable", "y.usable"), sizes)
+    overlap = F.least(F.col("x.n") - F.col("x.filled"), F.col("y.n") - F.col("y.filled")) + both
+    pairs = x.join(y, across & enough & fits(overlap, sizes) & _like(F.col("x.sketch"), F.col("y.sketch")))
+    return pairs.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows of buckets that hold several components."""
+    several = rows.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return rows.join(several.select("band"), "band", "left_semi")
+
+
 def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, digest, n_shingles, root`` of every row: its class and its component's class."""
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     signed = stored(plain.mapInArrow(_sign, _SIGNED), "signed")
     filled = signed.where("n_shingles > 0")
     classes = stored(filled.select("digest", "bands", "sketch").dropDuplicates(["digest"]), "classes")
-    members = classes.select("digest", F.explode("bands").alias("band"))
-    leaders = members.groupBy("band").agg(F.min("digest").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = stored(members.join(leaders.drop("n"), "band"), "members")
+    members = _members(classes)
 
     sketches = classes.select("digest", "sketch")
     first = (
@@ -153,22 +221,12 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = filled.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     ids = rows.select(F.col("doc_id").alias("_id")).distinct()
     texts = plain.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    found = texts.mapInArrow(_sets, "digest binary, shingles array<bigint>")
+    found = texts.mapInArrow(_sets, "digest binary, shingles array<bigint>, cells array<bigint>")
     sets = stored(found.join(wanted, "digest", "left_semi").dropDuplicates(["digest"]), "sets")
 
     links = stored(_confirmed(first, sets), "links")
     roots = components(links)
-    labelled = members.join(roots.withColumnRenamed("node", "digest"), "digest", "left")
-    labelled = labelled.withColumn("root", F.coalesce("root", "digest"))
-    mixed = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    open_members = stored(
-        labelled.where("digest <> leader").join(mixed.select("band"), "band", "left_semi").join(sketches, "digest")
-        .select("band", "digest", "root", "sketch"), "open"
-    )
-    x, y = open_members.alias("x"), open_members.alias("y")
-    across = (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root"))
-    second = x.join(y, across & _like(F.col("x.sketch"), F.col("y.sketch")))
-    second = second.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
+    second = _across(members, roots, sets, sketches)
     more = stored(_confirmed(second, sets), "links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
