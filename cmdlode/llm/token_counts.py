@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cmdlode.llm.tokenize import Encoder, in_parts, read_vocabulary
+from cmdlode.llm.tokenize import in_parts, read_vocabulary, shared_encoder
 
 
 def encoded_lengths(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -25,7 +25,7 @@ def encoded_lengths(docs: DataFrame, text_col: str = "text", vocabulary: str | N
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(shared.value)
+        encoder = shared_encoder(shared.value)
         for batch in batches:
             width = encoder.dtype.itemsize
             lengths = [len(ids) // width for part in in_parts(batch["_text"]) for ids in encoder.encode(part)]

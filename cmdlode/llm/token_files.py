@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cmdlode.llm.tokenize import Encoder, in_parts, read_vocabulary
+from cmdlode.llm.tokenize import in_parts, read_vocabulary, shared_encoder
 from cmdlode.llm.words import mix64
 from cmdlode.session import stored
 
@@ -171,7 +171,7 @@ def part_of_key(doc_id: int | None, copy: int, parts: int) -> int:
 
 def _write_shards(folder: str, vocabulary, end_id: int) -> Callable:
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, shard = Encoder(vocabulary.value), TaskContext.get().partitionId()
+        encoder, shard = shared_encoder(vocabulary.value), TaskContext.get().partitionId()
         filesystem, path = open_folder(folder)
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
         width, rows, state = encoder.dtype.itemsize, [], {"offset": 0, "last": (), "copy": 0}

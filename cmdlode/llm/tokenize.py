@@ -21,7 +21,7 @@ import numpy as np
 _NEIGHBOURS = re.compile(r"\s\s")
 _SAFE_CUT = re.compile(r"(?<=\S)(?=[ ]\S)")
 _LONGEST_KEPT = 48
-_MOST_KEPT = 1 << 19
+_MOST_KEPT = 1 << 20
 VOCABULARY = "byte_bpe_50k.json"
 
 
@@ -45,14 +45,27 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_str(vocabulary)
         self._tokenizer.encode_special_tokens = True
+        self._blank = self._tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]
         self.dtype = np.dtype("<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self._kept: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}  # kept before the last turn; what is asked for again moves up
         self._most_kept = most_kept
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        encoded = self._tokenizer.encode_batch(texts, add_special_tokens=False)
+        encoded = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in encoded]
 
+    def _pieces(self, keys: list[str]) -> list[bytes]:
+        """Ids of new pieces. A blank and ASCII letters are one token of the splitting, and each
+        byte of them is one sign of the model, so the model may be asked for them directly."""
+        word = [key.isascii() and key.isalpha() for key in keys]
+        rest = iter(self._plain([key if key[:1] == "\n" else " " + key for key, w in zip(keys, word) if not w]))
+        ask, blank, dtype = self._tokenizer.model.tokenize, self._blank, self.dtype
+        return [
+            np.array([token.id for token in ask(blank + key)], dtype=dtype).tobytes() if w else next(rest)
+            for key, w in zip(keys, word)
+        ]
+
     @staticmethod
     def pieces(text: str) -> tuple[str, list[str]]:
         """First piece, and keys of the others: a key stands for a blank and itself, or for
@@ -65,12 +78,16 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; call with batches of bounded size."""
-        if len(self._kept) > self._most_kept:
-            self._kept.clear()
+        if len(self._kept) > self._most_kept // 2:
+            self._kept, self._older = {}, self._kept
         cut = [self.pieces(text or "") for text in texts]
-        new = list(set().union(*(keys for _, keys in cut)).difference(self._kept))
-        ids = self._plain([first for first, _ in cut] + [key if key[:1] == "\n" else " " + key for key in new])
-        heads, fresh = ids[: len(cut)], dict(zip(new, ids[len(cut) :]))
+        new = []
+        for key in set().union(*(keys for _, keys in cut)).difference(self._kept):
+            if (ids := self._older.get(key)) is None:
+                new.append(key)
+            else:
+                self._kept[key] = ids
+        heads, fresh = self._plain([first for first, _ in cut]), dict(zip(new, self._pieces(new)))
         self._kept.update(fresh)
         known = self._kept.__getitem__
         out = [head + b"".join(map(known, keys)) for head, (_, keys) in zip(heads, cut)]
@@ -80,6 +97,16 @@ class Encoder:
         return out
 
 
+_shared: list[tuple[str, Encoder]] = []
+
+
+def shared_encoder(vocabulary: str) -> Encoder:
+    """The encoder of this worker process, with what earlier tasks have taught it."""
+    if not _shared or _shared[0][0] != vocabulary:
+        _shared[:] = [(vocabulary, Encoder(vocabulary))]
+    return _shared[0][1]
+
+
 def in_parts(texts: Iterable[str | None], most_rows: int = 200, most_chars: int = 1 << 20) -> Iterator[list[str | None]]:
     """Lists of neighbouring texts, each bounded in rows and characters (or one text)."""
     part: list[str | None] = []
