@@ -296,7 +296,7 @@ class TokenReader:
             if not self._filesystem.get_file_info(name).is_file:
                 return None
             file = self._filesystem.open_input_file(name)
-            self._open[number] = IndexPart(lambda at, n: file.read_at(n, at))
+            self._open[number] = IndexPart(lambda at, n, file=file: file.read_at(n, at))
         nulls = np.array([doc_id is None])
         hashes = key_hashes(np.array([doc_id or 0], np.int64), nulls, np.array([copy]))
         slots, fits = self._open[number].slots(hashes)

@@ -28,19 +28,19 @@ def test_base_spans_equal_plain_search(spark, docs):
 
 def test_random_runs_are_told_from_identifiers(spark, docs, prose):
     keys = ["Zq8xV2kP0sRt7LmN4bWyAa3e", "ghx_9fK2mQ7Lx0Zp4VtR8sWd1BnC6", "mF9/xT+2kLqZ7vB0nRyW5sPd8gH="]
-    names = ["".join(["total"] * 5), "some_long_variable_name_here", "-" * 40, "=" * 60, "getValueOfTheFirstColumn"]
+    names = ["rotalimo" * 4, "sano_kelu_timora_bedi_sole", "-" * 40, "=" * 60, "sanoKeluTimoraBediSole"]  # as the prose sounds
     frame = docs(*keys, *names, *(prose(200, i) for i in range(30)))
     model = _model(spark, frame)
     rows = {r["doc_id"]: [s["kind"] for s in r["found"]] for r in S.scan(frame, model).collect()}
     assert [rows[i] for i in range(3)] == [["random"]] * 3
-    assert all(not rows[i] for i in range(3, len(rows)))
+    assert {i: kinds for i, kinds in rows.items() if i >= 3 and kinds} == {}
 
 
 def test_held_out_accuracy(spark, docs, prose):
     from pyspark.sql import functions as F
 
     frame = docs(*(prose(300, i) for i in range(40)))
-    samples = S.random_strings(spark, 4000).unionByName(S.ordinary_strings(frame)).where(F.length("value") >= S.MIN_RUN).cache()
+    samples = S.random_strings(spark, 4000).unionByName(S.ordinary_strings(frame)).where(F.length("value") >= 8).cache()
     part = F.pmod(F.xxhash64("value"), F.lit(5))
     model = S.train(samples.where(part > 0))
     held = samples.where(part == 0).select("secret", (model.score(F.col("value")) >= S.MIN_SCORE).alias("said"))
