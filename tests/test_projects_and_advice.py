@@ -12,7 +12,7 @@ PATHS = {
     r"E:\Src\Me\Tool": "e:/src/me/tool",
     "e:/src/me/tool/": "e:/src/me/tool",
     "/mnt/e/Src/Me/Tool": "e:/src/me/tool",
-    "/var/lib/Tool": "/var/lib/Tool",
+    "/var/lib/tool": "/var/lib/tool",
     "/mnt/f/big": "f:/big",
     "/mnt/f": "f:",
     "/mnt/dd/x": "/mnt/dd/x",
