@@ -26,11 +26,12 @@ def _fold(words: str) -> str:
     return words.replace("s", r"[s\x{17f}]").replace("k", r"[k\x{212a}]")
 
 
-_FLAG_NAMES = "|".join(
-    _fold(w)
-    for w in ("password", "passwd", "pwd", "token", "secret", "api[-_]?key", "apikey", "access[-_]?key", "auth")
-)
-_ASSIGN_NAMES = "|".join(_fold(w) for w in ("token", "secret", "password", "passwd", "api_?key"))
+# --- fixed values: names of secrets -------------------------------------------
+FLAG_NAMES = ("password", "passwd", "pwd", "token", "secret", "api[-_]?key", "apikey", "access[-_]?key", "auth")
+ASSIGN_NAMES = ("token", "secret", "password", "passwd", "api_?key")
+# ------------------------------------------------------------------------------
+_FLAG_NAMES = "|".join(map(_fold, FLAG_NAMES))
+_ASSIGN_NAMES = "|".join(map(_fold, ASSIGN_NAMES))
 _SCHEMES = f"{_fold('bearer')}|{_fold('basic')}"
 
 _END = rf"(?!{_WORD})"
@@ -62,7 +63,7 @@ SHAPE_RULES = (
     (rf"{_lead('github_pat_')}[A-Za-z0-9_]{{20,}}{_END}", PLACEHOLDER),
     (rf"{_lead('xox[baprs]-')}[A-Za-z0-9-]{{10,}}{_EDGE}", PLACEHOLDER),
     (rf"{_lead('AKIA')}[0-9A-Z]{{16}}{_END}", PLACEHOLDER),
-    (rf"{_lead('[spr]k_')}(?:live|test)_[A-Za-z0-9]{{16,}}{_END}", PLACEHOLDER),
+    (rf"{_lead('(?:sk|pk|rk)_')}(?:live|test)_[A-Za-z0-9]{{16,}}{_END}", PLACEHOLDER),
     (
         rf"{_lead('eyJ')}[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]{{5,}}{_EDGE}",
         PLACEHOLDER,

@@ -9,19 +9,28 @@ from cmdlode.functions.format import cost_note
 from cmdlode.functions.text import is_safe_tool
 
 PRODUCT = "cmdlode"
+# --- fixed values: the wording of a sheet --------------------------------------
+MARKER = "<!-- {product}:keep -->"
+NOTES = "## Your notes\n\nAnything below the keep-marker survives rescans. Make it yours.\n"
+TITLE = " — personal cheatsheet\n\n"
+ORIGIN = ("> Generated by {product} on ", " from your own shell history.\n")
+WARNING = "> Rescans rewrite everything above the keep-marker; your notes below it stay.\n\n"
+HARD_WON, HITS = "Hard-won (you fought for these)", "Greatest hits"
+WON_LINE, HIT_LINE, PLACE = ("- `", "`  — took ", " attempts"), ("- `", "`  — ×"), " · in "
+LOOKED_UP = (
+    "## Help lookups\n\nYou reached for help on `", "` ", " time(s). The commands above are the ones that stuck.\n\n",
+)
+# -------------------------------------------------------------------------------
 SHEET_SCHEMA = "scope string, tool string, generated_on date, markdown string"
 
 
 def keep_marker(product: str = PRODUCT) -> str:
     """Everything from this line on belongs to the owner."""
-    return f"<!-- {product}:keep -->"
+    return MARKER.format(product=product)
 
 
 def default_notes(product: str = PRODUCT) -> str:
-    return (
-        f"{keep_marker(product)}\n## Your notes\n\n"
-        "Anything below the keep-marker survives rescans. Make it yours.\n"
-    )
+    return f"{keep_marker(product)}\n{NOTES}"
 
 
 def kept_notes(markdown: Column, product: str = PRODUCT) -> Column:
@@ -40,27 +49,25 @@ def generated_part(generated_on: Column, product: str = PRODUCT) -> Column:
     """Markdown of a report row above the notes; empty sections are left out."""
 
     def won(h: Column) -> Column:
-        place = F.when(h["label"] != "", F.concat(F.lit(" · in "), h["label"])).otherwise("")
+        place = F.when(h["label"] != "", F.concat(F.lit(PLACE), h["label"])).otherwise("")
         return F.concat(
-            F.lit("- `"), h["command"], F.lit("`  — took "), h["attempts"].cast("string"),
-            F.lit(" attempts"), cost_note(h["certified"], h["cost_ms"]), place,
+            F.lit(WON_LINE[0]), h["command"], F.lit(WON_LINE[1]), h["attempts"].cast("string"),
+            F.lit(WON_LINE[2]), cost_note(h["certified"], h["cost_ms"]), place,
         )
 
     def hit(h: Column) -> Column:
-        return F.concat(F.lit("- `"), h["command"], F.lit("`  — ×"), h["count"].cast("string"))
+        return F.concat(F.lit(HIT_LINE[0]), h["command"], F.lit(HIT_LINE[1]), h["count"].cast("string"))
 
     looked_up = F.concat(
-        F.lit("## Help lookups\n\nYou reached for help on `"), F.col("tool"), F.lit("` "),
-        F.col("help_lookups").cast("string"),
-        F.lit(" time(s). The commands above are the ones that stuck.\n\n"),
+        F.lit(LOOKED_UP[0]), F.col("tool"), F.lit(LOOKED_UP[1]),
+        F.col("help_lookups").cast("string"), F.lit(LOOKED_UP[2]),
     )
     return F.concat(
-        F.lit("# "), F.col("tool"), F.lit(" — personal cheatsheet\n\n"),
-        F.lit(f"> Generated by {product} on "), generated_on.cast("string"),
-        F.lit(" from your own shell history.\n"),
-        F.lit("> Rescans rewrite everything above the keep-marker; your notes below it stay.\n\n"),
-        _section("Hard-won (you fought for these)", F.transform("hard_won", won)),
-        _section("Greatest hits", F.transform("hits", hit)),
+        F.lit("# "), F.col("tool"), F.lit(TITLE),
+        F.lit(ORIGIN[0].format(product=product)), generated_on.cast("string"), F.lit(ORIGIN[1]),
+        F.lit(WARNING),
+        _section(HARD_WON, F.transform("hard_won", won)),
+        _section(HITS, F.transform("hits", hit)),
         F.when(F.col("help_lookups") > 0, looked_up).otherwise(""),
     )
 

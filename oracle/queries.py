@@ -23,6 +23,7 @@ RULES = (
     (r"\b(?:sk|pk|rk)_(?:live|test)_[A-Za-z0-9]{16,}\b", HIDDEN),
     (r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}\b", HIDDEN),
 )
+# Commands that do not count; words before a command are in ``_classify``.
 NOISE = (
     "('cd','ls','ll','la','dir','clear','cls','exit','pwd','history','whoami','echo','cat','type')"
 )
@@ -271,6 +272,7 @@ _SECRETS = (
 _SECRET_LIST = "[" + ", ".join(f"'{s}'" for s in _SECRETS) + "]"
 _MARK = "<!-- cmdlode:keep -->"
 _NOTES = f"{_MARK}\n## Your notes\n\nAnything below the keep-marker survives rescans. Make it yours.\n"
+# The wording of a sheet, in the texts of this statement.
 _SHEET_TOP = f"""
   SELECT s.scope, s.tool, '# ' || s.tool || ' — personal cheatsheet
 
