@@ -249,10 +249,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` without near-duplicates: of each component the row of its least id, once."""
-    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept")).distinct()
+    kept = near_duplicates(docs, id_col, text_col).where("kept").groupBy(F.col(id_col).alias("_kept"))
+    kept = stored(kept.agg(F.count("*").alias("n")), "kept")
+    repeated = stored(kept.where("n > 1"), "repeated")  # as a rule none, so it takes no part in a shuffle
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    keyed = docs.select(row, F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"))
-    chosen = keyed.join(kept, F.col("_id").eqNullSafe(F.col("_kept")), "left_semi")
+    keyed = docs.select(row, F.col(id_col).alias("_id"))
+    same_id = F.col("_id").eqNullSafe(F.col("_kept"))
+    single = keyed.join(kept.where("n = 1"), same_id, "left_semi").select("_row")
+    several = keyed.join(repeated, same_id, "left_semi").withColumn("_hash", F.xxhash64(F.col("_row").getField(text_col)))
     same = Window.partitionBy("_id", "_hash").orderBy("_hash")
-    first = chosen.withColumn("_copy", F.row_number().over(same)).where("_copy = 1")
-    return first.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    first = several.withColumn("_copy", F.row_number().over(same)).where("_copy = 1").select("_row")
+    return single.unionByName(first).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
