@@ -36,7 +36,7 @@ from cmdlode.session import stored
 
 WINDOW = 13
 PERCENT = 5
-_MOST_BITS = 26
+_MOST_BITS, _SPARE_BITS = 26, 12
 
 
 def winnow(words: np.ndarray, length: int) -> np.ndarray:
@@ -67,7 +67,7 @@ def _item_prints(window: int) -> Callable:
 
 
 def _sift(lengths: list[int], bits: int, bitmap) -> Callable:
-    """Count words; keep prints whose top bits are set in the bitmap, and the text with them."""
+    """Count words; keep prints that the bitmap knows, and the text with them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, known = WordHasher("alnum"), bitmap.value
@@ -77,8 +77,7 @@ def _sift(lengths: list[int], bits: int, bitmap) -> Callable:
                 words = hasher.hashes(lower_ascii(text))
                 found = [winnow(words, length) for length in lengths]
                 prints = np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
-                place = (prints >> np.uint64(64 - bits)).astype(np.int64)
-                prints = prints[(known[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0]
+                prints = prints[_knows(known, prints, bits)]
                 data = (text or "").encode("utf-8", "surrogatepass")
                 counts.append(len(words))
                 texts.append(text if len(prints) else None)
@@ -131,12 +130,25 @@ def _extend(window: int) -> Callable:
     return run
 
 
+def _places(prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each print: its first and its last ``bits`` bits."""
+    return (prints >> np.uint64(64 - bits)).astype(np.int64), (prints & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def _knows(table: np.ndarray, prints: np.ndarray, bits: int) -> np.ndarray:
+    """Whether both bits of each print are set."""
+    known = np.ones(len(prints), dtype=bool)
+    for place in _places(prints, bits):
+        known &= (table[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+    return known
+
+
 def _bitmap(prints: DataFrame) -> tuple[int, np.ndarray]:
     """Bits sized to the number of prints, up to a fixed most; built by an aggregate."""
-    n = prints.count()
-    bits = min(_MOST_BITS, max(10, n.bit_length() + 6))
-    place = F.shiftrightunsigned("print", 64 - bits)
-    marks = prints.select(F.shiftright(place, 3).alias("at"), F.pow(F.lit(2), place.bitwiseAND(F.lit(7))).cast("int").alias("v"))
+    bits = min(_MOST_BITS, prints.count().bit_length() + _SPARE_BITS)
+    both = F.array(F.shiftrightunsigned("print", 64 - bits), F.col("print").bitwiseAND(F.lit((1 << bits) - 1)))
+    place = prints.select(F.explode(both).alias("place"))
+    marks = place.select(F.shiftright("place", 3).alias("at"), F.pow(F.lit(2), F.col("place").bitwiseAND(F.lit(7))).cast("int").alias("v"))
     found = marks.groupBy("at").agg(F.bit_or("v").alias("v")).toPandas()
     table = np.zeros(1 << (bits - 3), dtype=np.uint8)
     table[found["at"].to_numpy(dtype=np.int64)] = found["v"].to_numpy(dtype=np.uint8)
