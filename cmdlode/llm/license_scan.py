@@ -55,6 +55,7 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("proprietary", "All rights reserved. No part of this work may be reproduced without permission."),
+    ("proprietary", "All rights reserved."),
 )
 SIGN = r"(?i)licen[cs]|copyright|permission|public domain|all rights reserved|redistribut|cc[ -]by|free software|spdx"
 _TELLING = {

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from cmdlode.llm import license_scan as L
@@ -50,3 +52,24 @@ def test_table(spark, docs, prose):
     assert rows[2]["start"] == 3 and rows[2]["given_bytes"] < rows[2]["plain_bytes"]
     assert L.find_licenses(frame.where("false")).count() == 0
     assert L.find_licenses(docs("a")).count() == 0
+
+
+LINES = {
+    "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+    "All rights reserved.": "proprietary",
+    "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+    "Released under the MIT License.": "MIT",
+    "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+}
+
+
+def test_lines_of_the_given_documents(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = [
+        (r["doc_id"], m.start(), name)
+        for r in frame.collect()
+        for line, name in LINES.items()
+        for m in re.finditer(re.escape(line), r["text"] or "")
+    ]
+    assert {name for *_, name in want} == set(LINES.values())
+    assert sorted((r["doc_id"], r["start"], r["license"]) for r in L.find_licenses(frame).collect()) == sorted(want)
