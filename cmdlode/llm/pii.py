@@ -7,7 +7,9 @@ it is valid too, and equal values get equal pseudonyms in every document. The ke
 parameter; with it ``restore`` undoes a pseudonym.
 
 Work is done per document, with one pattern over each text that holds a digit or an at
-sign; nothing is shuffled.
+sign; nothing is shuffled. Where a shape fits but the value is not valid, the shorter
+ones from the same place are tried (cut between groups), then the search goes on one
+character further, so a valid value beside other numbers is found.
 
 Defined results: a null text stays null, other texts keep everything that is no valid
 value. Repeated rows are treated alike; an empty table gives no rows. A format with few
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import date, timedelta
 
 import pyarrow as pa
@@ -29,16 +31,31 @@ ROUNDS = 8
 _DAYS = (date(1900, 1, 1), date(2099, 12, 31))
 
 # Shapes of the kinds, tried in this order at each place.
-_SHAPES = re.compile(
-    r"""(?P<email>(?<![\w.+-])[A-Za-z0-9_][A-Za-z0-9._+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-]))"""
-    r"""|(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"""
-    r"""|(?<![0-9.\w-])(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?!\.?[0-9])"""
-    r"""|(?<![\w-])(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![\w-])"""
-    r"""|(?<![\w-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])"""
-    r"""|(?<![\w-])(?P<card>[0-9](?:[\x20-]?[0-9]){12,18})(?![\w-])"""
-    r"""|(?<![\w+])(?P<phone>\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[\x20.-]?[0-9]{2,4}){2,4}"""
-    r"""|\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![\w-])"""
+_KIND = {
+    "email": r"(?<![\w.+-])[A-Za-z0-9_][A-Za-z0-9._+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ip": r"(?<![0-9.\w-])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
+    "date": r"(?<![\w-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![\w-])",
+    "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
+    "card": r"(?<![\w-])[0-9](?:[\x20-]?[0-9]){12,18}(?![\w-])",
+    "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[\x20.-]?[0-9]{2,4}){2,4}"
+    r"|\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![\w-])",
+}
+_SHAPES = re.compile("|".join(f"(?P<{kind}>{shape})" for kind, shape in _KIND.items()))
+_ONE = {kind: re.compile(shape) for kind, shape in _KIND.items()}
+_CUTS = {"iban": re.compile(r"\x20"), "card": re.compile(r"[\x20-]"), "phone": re.compile(r"[\x20.]")}  # group boundaries
+_USUAL_CARDS = ([4, 4, 4, 4], [4, 6, 5], [4, 6, 4])
+# Lengths of account numbers by country; others may have any.
+_IBAN_LENGTHS = dict(
+    pair.split(":")
+    for pair in (
+        "AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BR:29 BY:28 CH:21 CR:22 CY:28 CZ:24 DE:22 DK:18 DO:28 EE:20 EG:29 ES:24 "
+        "FI:18 FO:18 FR:27 GB:22 GE:22 GI:23 GL:18 GR:27 GT:28 HR:21 HU:28 IE:22 IL:23 IQ:23 IS:26 IT:27 JO:30 KW:30 KZ:20 LB:28 LC:32 "
+        "LI:21 LT:20 LU:20 LV:21 LY:25 MC:27 MD:24 ME:22 MK:19 MR:27 MT:31 MU:30 NL:18 NO:15 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 "
+        "SA:24 SC:31 SE:24 SI:19 SK:24 SM:27 ST:25 SV:28 TL:23 TN:24 TR:26 UA:29 VA:22 VG:24 XK:20"
+    ).split()
 )
+_AROUND = 80  # characters beside a value that can change how it is read; all shapes but addresses are shorter
 KINDS = ("email", "iban", "ip", "date", "ssn", "card", "phone")
 
 
@@ -188,17 +205,94 @@ class Pseudonyms:
         prefix = min(prefix, 3)
         return _refill(text, plain[:prefix] + self._digits("phone" + plain[:prefix], plain[prefix:]))
 
+    def _ends(self, kind: str, text: str, start: int) -> list[int]:
+        """Where a value of this shape may end: its usual form first, then the longest."""
+        found = _ONE[kind].match(text, start)
+        if not found:
+            return []
+        if kind not in _CUTS:
+            return [found.end()]
+        cuts = [m.start() for m in _CUTS[kind].finditer(text, start, found.end())]
+        ends = [e for e in (found.end(), *reversed(cuts)) if e == found.end() or _ONE[kind].fullmatch(text, start, e)]
+        return sorted(ends, key=lambda e: not self._usual(kind, text, start, e))
+
+    def _usual(self, kind: str, text: str, start: int, end: int) -> bool:
+        value = text[start:end]
+        if kind == "iban":
+            return str(len(value.replace(" ", ""))) == _IBAN_LENGTHS.get(value[:2])
+        groups = [len(g) for g in re.findall("[0-9]+", value)]
+        if kind == "card":
+            return len(groups) == 1 or groups in _USUAL_CARDS
+        if value[0] != "+" or not 9 <= sum(groups) <= 15 or text[end : end + 1] not in (" ", "."):
+            return False
+        if re.match(r"\+1(?![0-9])", value):
+            return sum(groups) == 11
+        if self._value_at(text, end + 1, [k for k in KINDS if k != "phone"]):
+            return True
+        return text[end] == " " and (groups[-1] >= 6 or value[-groups[-1] - 1] in "-.")
+
+    def _value_at(self, text: str, start: int, kinds: Iterable[str] = KINDS) -> tuple[str, int] | None:
+        """Kind and end of the value that begins here."""
+        for kind in kinds:
+            for end in self._ends(kind, text, start):
+                if getattr(self, kind)(text[start:end]) is not None and not (kind == "card" and self._hides_card(text, start, end)):
+                    return kind, end
+        return None
+
+    def _hides_card(self, text: str, start: int, end: int) -> bool:
+        """Whether digits of an unusual form go into a card of usual form behind them."""
+        cuts = [m.start() for m in _CUTS["card"].finditer(text, start, end)]
+        if self._usual("card", text, start, end):
+            return False
+        for cut in cuts:
+            for inner in self._ends("card", text, cut + 1):
+                if self._usual("card", text, cut + 1, inner) and self.card(text[cut + 1 : inner]) is not None:
+                    return True
+        return False
+
+    def _read(self, text: str) -> Iterator[tuple[int, str, int]]:
+        """Start, kind and end of each value."""
+        at = 0
+        while found := _SHAPES.search(text, at):
+            start = found.start()
+            value = self._value_at(text, start)
+            if value:
+                yield start, *value
+            at = value[1] if value else start + 1
+
+    def _move_value(self, kind: str, left: str, value: str, right: str) -> str:
+        """The pseudonym; moved on until the text is read with the same bounds as before, so that ``restore`` finds it."""
+
+        def bounds(new: str) -> list[tuple[str, int, int]]:
+            text = left + new + right
+            return [(k, *(at if at <= len(left) else at - len(text) for at in (start, end))) for start, k, end in self._read(text)]
+
+        want, new = bounds(value), getattr(self, kind)(value)
+        while bounds(new) != want:
+            new = getattr(self, kind)(new)
+        return new
+
     def replace(self, text: str) -> tuple[str, dict[str, int]]:
+        """From the first value to the last; back from the last to the first, so each one meets the same neighbours."""
         counts = dict.fromkeys(KINDS, 0)
-
-        def one(found: re.Match) -> str:
-            new = getattr(self, found.lastgroup)(found[0])
-            if new is None:
-                return found[0]
-            counts[found.lastgroup] += 1
-            return new
-
-        return _SHAPES.sub(one, text), counts
+        found, out = list(self._read(text)), []
+        for kind in (k for _, k, _ in found):
+            counts[kind] += 1
+        if self._back:
+            at, right = len(text), ""
+            for start, kind, end in reversed(found):
+                right = (text[end:at] + right)[:_AROUND]
+                new = self._move_value(kind, text[max(0, start - _AROUND) : start], text[start:end], right)
+                out += text[end:at], new
+                at, right = start, (new + right)[:_AROUND]
+            return "".join((text[:at], *reversed(out))), counts
+        at, left = 0, ""
+        for start, kind, end in found:
+            left = (left + text[at:start])[-_AROUND:]
+            new = self._move_value(kind, left, text[start:end], text[end : end + _AROUND])
+            out += text[at:start], new
+            at, left = end, (left + new)[-_AROUND:]
+        return "".join((*out, text[at:])), counts
 
 
 _SIGN = re.compile("[0-9@]")

@@ -76,3 +76,36 @@ def test_given_documents_restore(spark):
     frame = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     back = P.restore(P.pseudonymize(frame, KEY).select(*frame.columns), KEY)
     assert back.exceptAll(frame).count() == 0
+
+
+PHONE, IP, CARD, IBAN = "+1 (826) 555-4081", "190.137.223.204", "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+
+
+@pytest.mark.parametrize(
+    "before, value, after",
+    [("", PHONE, " 190"), ("", PHONE, " 12"), ("", CARD, " 12/27"), ("", CARD, " 123"), ("", CARD, "-123"), ("1234 ", CARD, ""), ("", IBAN, " BIC"),
+     ("", IBAN, " BIC ABC"), ("", "4111111111111111", " 123"), ("12 ", IBAN, " 7"), ("", "+49 30 1234567", " 12"),
+     ("", "+49-30-123-4567", " 12"), ("12 34 ", CARD, " 5")],
+)
+def test_neighbours_stay_and_values_link(before, value, after):
+    text = f"see {before}{value}{after}, or"
+    assert _one(text) == f"see {before}{_one(value)}{after}, or"
+    assert _one(_one(text), back=True) == text
+
+
+@pytest.mark.parametrize("first", [PHONE, IP, CARD, IBAN, "+49 30 1234567", "123-45-6789", "2024-02-29", "a.b@x.org", "4111111111111111"])
+@pytest.mark.parametrize("second", [PHONE, IP, CARD, IBAN, "31.12.1999", "2024-02-29", "123-45-6789", "555-123-4567", "a.b@x.org"])
+def test_two_values_side_by_side(first, second):
+    new, counts = P.Pseudonyms(KEY).replace(f"{first} {second}")
+    assert new == f"{_one(first)} {_one(second)}" and sum(counts.values()) == 2
+    assert _one(new, back=True) == f"{first} {second}"
+
+
+def test_random_neighbours_restore():
+    import random
+
+    rng = random.Random(5)
+    number = lambda: "".join(rng.choice("0123456789") for _ in range(rng.randint(1, 6)))
+    for _ in range(3000):
+        text = rng.choice(" -").join([number(), rng.choice([PHONE, IP, CARD, IBAN, "+49 30 1234567", number()]), number(), number()])
+        assert _one(_one(text), back=True) == text
