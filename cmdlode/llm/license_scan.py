@@ -65,7 +65,6 @@ _TELLING = {
 MAX_MISSING = 0.15  # share of a template's words
 MIN_REDUCTION = 0.2
 _LONG_LINE = 400
-_CONFIRMED = 6  # ranked templates that are compared word by word
 
 _SIGN = re.compile(SIGN)
 _WORD = re.compile(r"[^\W_]+")
@@ -140,7 +139,7 @@ class Scanner:
         data = block.lower().encode("utf-8", "surrogatepass")
         plain = len(self._alone.compress(data))
         given = [len(c.compress(data)) for c in self._given]
-        ranked = sorted(range(len(given)), key=lambda i: (given[i], i))[: _CONFIRMED]
+        ranked = sorted(range(len(given)), key=lambda i: (given[i], i))
         best = None
         for i in ranked:
             difference = self._differences(i, words)

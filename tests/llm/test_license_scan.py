@@ -73,3 +73,13 @@ def test_lines_of_the_given_documents(spark):
     ]
     assert {name for *_, name in want} == set(LINES.values())
     assert sorted((r["doc_id"], r["start"], r["license"]) for r in L.find_licenses(frame).collect()) == sorted(want)
+
+
+def test_no_statement_is_crowded_out():
+    header = (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public "
+        "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    )
+    for statement, name in (("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Released under the BSD License.", "BSD"), ("All rights reserved.", "proprietary")):
+        for text in (f"{header}\n{statement}", f"{statement}\n{header}", f"{header}\n{statement}\n{header}"):
+            assert [f[:2] for f in _found(text)] == [(name, statement[:-1])]
