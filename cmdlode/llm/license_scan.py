@@ -1,11 +1,12 @@
 """License scans by conditional compression.
 
-A *block* is a line, or a sentence of a long line, with a word that licenses use;
-neighbouring ones belong together. It is compressed alone and with each template as the
-compressor's raw dictionary. The more a template explains of a block, the smaller the
-block becomes, so templates are ranked by the reduction. The best ones are compared
-with the block word by word: a template is confirmed if few of its words are missing,
-and none that tells licenses apart (numbers and the like).
+A *block* is a word that licenses use, with as many words on both sides as a statement
+can have; overlapping ones are one, and line breaks and comment signs do not count. It is
+compressed with each template as the compressor's raw dictionary. The more a template
+explains of a block, the smaller the block becomes, so templates are ranked by this. The
+best ones are compared with the block word by word: a template is confirmed if few of its
+words are missing, and none that tells licenses apart (numbers and the like). The
+statement found is compressed alone and with its template, and must shrink by that.
 
 Documents without such words never leave the JVM; the others are handled one by one, so
 nothing is shuffled and memory is bounded by one text.
@@ -18,9 +19,11 @@ with fewer differences, then to the first in the list.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from difflib import SequenceMatcher
+from difflib import Match, SequenceMatcher
+from itertools import islice
 
 import pandas as pd
 import zstandard
@@ -57,18 +60,21 @@ TEMPLATES = (
     ("proprietary", "All rights reserved. No part of this work may be reproduced without permission."),
     ("proprietary", "All rights reserved."),
 )
-SIGN = r"(?i)licen[cs]|copyright|permission|public domain|all rights reserved|redistribut|cc[ -]by|free software|spdx"
+SIGN = (
+    r"(?i)licen[cs]|copyright|permission|public\W+(?:\w+\W+)?domain|unencumbered|\ball\W+(?:\w+\W+){0,2}rights\W+(?:\w+\W+){0,2}reserved"
+    r"|redistribut|cc[ -]by|free software|spdx"
+)
 _TELLING = {
     "mit", "apache", "gnu", "lesser", "library", "affero", "general", "mozilla", "mpl", "bsd", "isc", "by", "nc", "sa", "nd", "cc",
     "cc0", "attribution", "sharealike", "noncommercial", "noderivatives", "creative", "commons", "unencumbered", "waived", "rights",
 }
 MAX_MISSING = 0.15  # share of a template's words
 MIN_REDUCTION = 0.2
-_LONG_LINE = 400
 
 _SIGN = re.compile(SIGN)
 _WORD = re.compile(r"[^\W_]+")
-_SENTENCE = re.compile(r".+?(?:[.!?](?=\s)|\Z)\s*", re.S)
+_LONGEST = max(len(_WORD.findall(text)) for _, text in TEMPLATES)
+_AROUND = 2 * _LONGEST  # words: a confirmed statement has no more, its own and added ones
 
 
 @dataclass(frozen=True)
@@ -83,28 +89,62 @@ class Finding:
     extra: str
 
 
-def blocks(text: str) -> Iterator[tuple[int, int]]:
-    """Spans of candidate blocks: neighbouring parts of which each has a sign."""
+def _words_before(text: str, at: int, most: int) -> int:
+    """Where the last ``most`` words before a place begin."""
+    size = 8 * most
+    while True:
+        low = max(0, at - size)
+        starts = [low + m.start() for m in _WORD.finditer(text[low:at])]
+        if len(starts) > most:
+            return starts[-most]
+        if not low:
+            return 0
+        size *= 2
+
+
+def _words_after(text: str, at: int, most: int) -> int:
+    """Where the first ``most`` words after a place end."""
+    last = next(islice(_WORD.finditer(text, at), most, None), None)
+    return last.start() if last else len(text)
+
+
+def blocks(text: str, around: int = _AROUND) -> Iterator[tuple[int, int]]:
+    """Spans of candidate blocks: words with a sign and so many words on both sides; overlapping ones are one."""
     held: tuple[int, int] | None = None
-    at = 0
-    for line in text.splitlines(keepends=True):
-        parts = [(at, at + len(line))]
-        if len(line) > _LONG_LINE:
-            parts = [(at + m.start(), at + m.end()) for m in _SENTENCE.finditer(line)]
-        for start, end in parts:
-            if not _SIGN.search(text, start, end):
-                continue
-            if held and held[1] == start:
-                held = held[0], end
-            else:
-                if held:
-                    yield held
-                held = start, end
-        at += len(line)
+    for sign in _SIGN.finditer(text):
+        end = _words_after(text, sign.end(), around)
+        if held and _words_before(text, sign.start(), around) <= held[1]:
+            held = held[0], end
+        else:
+            if held:
+                yield held
+            held = _words_before(text, sign.start(), around), end
     if held:
         yield held
 
 
+def _tells(word: str) -> bool:
+    return word in _TELLING or word[0].isdigit()
+
+
+def _compare(own: list[str], words: list[str], same: list[Match]) -> tuple[list[str], list[str], int, int]:
+    """Words missing and added between the first and the last match, and where these are."""
+    first, last = same[0].b, same[-1].b + same[-1].size
+    kept = {i for m in same for i in range(m.a, m.a + m.size)}
+    used = {i for m in same for i in range(m.b, m.b + m.size)}
+    return [w for i, w in enumerate(own) if i not in kept], [words[i] for i in range(first, last) if i not in used], first, last
+
+
+def _without_strays(same: list[Match]) -> list[Match]:
+    """Matches without those at the ends that are farther from the rest than they are long."""
+    low, high = 0, len(same)
+    while high - low > 1 and same[low + 1].b - same[low].b - same[low].size > same[low].size:
+        low += 1
+    while high - low > 1 and same[high - 1].b - same[high - 2].b - same[high - 2].size > same[high - 1].size:
+        high -= 1
+    return same[low:high]
+
+
 class Scanner:
     """Compressors of all templates, made once in a worker."""
 
@@ -112,24 +152,43 @@ class Scanner:
         raw = zstandard.DICT_TYPE_RAWCONTENT
         self._templates = templates
         self._words = [_WORD.findall(text.lower()) for _, text in templates]
+        self._bags = [Counter(words) for words in self._words]
         self._alone = zstandard.ZstdCompressor(level=9, write_content_size=False)
         self._given = [
             zstandard.ZstdCompressor(level=9, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=raw))
             for _, text in templates
         ]
 
+    def _may_hold(self, template: int, words: Counter[str]) -> bool:
+        """Whether the words suffice in number; none that tells licenses apart may be missing."""
+        lacking = self._bags[template] - words
+        return lacking.total() <= MAX_MISSING * len(self._words[template]) and not any(map(_tells, lacking))
+
     def _differences(self, template: int, words: list[str]) -> tuple[list[str], list[str], int, int] | None:
-        """Words missing and added, and the first and last word of the block that match."""
+        """Words missing and added where the template is confirmed, and the first and last word there.
+
+        Each stretch around the longest common run is compared by itself, so that equal
+        words of the text before and behind are not taken for the template's."""
         own = self._words[template]
         matcher = SequenceMatcher(None, own, words, autojunk=False)
-        same = [m for m in matcher.get_matching_blocks() if m.size]
-        if not same:
-            return None
-        first, last = same[0].b, same[-1].b + same[-1].size
-        kept = {i for m in same for i in range(m.a, m.a + m.size)}
-        used = {i for m in same for i in range(m.b, m.b + m.size)}
-        missing = [w for i, w in enumerate(own) if i not in kept]
-        return missing, [words[i] for i in range(first, last) if i not in used], first, last
+        parts = [(0, len(words))]
+        while parts:
+            low, high = parts.pop()
+            if not self._may_hold(template, Counter(words[low:high])):
+                continue
+            run = matcher.find_longest_match(0, len(own), low, high)
+            if not run.size:
+                continue
+            start = max(low, run.b - run.a - len(own))
+            stretch = words[start : min(high, run.b - run.a + 2 * len(own))]
+            same = [m for m in SequenceMatcher(None, own, stretch, autojunk=False).get_matching_blocks() if m.size]
+            for matches in (_without_strays(same), same):
+                missing, extra, first, last = _compare(own, stretch, matches)
+                telling = any(map(_tells, (*missing, *extra)))
+                if not telling and len(missing) <= MAX_MISSING * len(own) and len(extra) <= len(own):
+                    return missing, extra, start + first, start + last
+            parts += (run.b + run.size, high), (low, run.b)
+        return None
 
     def scan_block(self, text: str, start: int, end: int) -> list[Finding]:
         """Confirmed findings in a block, the best first, then those in the words left of and right of it."""
@@ -137,7 +196,6 @@ class Scanner:
         spans = [(m.start(), m.end()) for m in _WORD.finditer(block)]
         words = [block[a:b].lower() for a, b in spans]
         data = block.lower().encode("utf-8", "surrogatepass")
-        plain = len(self._alone.compress(data))
         given = [len(c.compress(data)) for c in self._given]
         ranked = sorted(range(len(given)), key=lambda i: (given[i], i))
         best = None
@@ -146,18 +204,19 @@ class Scanner:
             if difference is None:
                 continue
             missing, extra, first, last = difference
-            telling = any(w in _TELLING or w[0].isdigit() for w in (*missing, *extra))
-            if telling or len(missing) > MAX_MISSING * len(self._words[i]) or len(extra) > len(self._words[i]):
-                continue
             # A long template beats the short one inside it: what it leaves unsaid of the block counts.
             rank = (given[i], len(missing) + len(extra), i)
             if best is None or rank < best[0]:
                 best = rank, i, missing, extra, first, last
-        if best is None or (plain - given[best[1]] < MIN_REDUCTION * plain and len(words) < 4 * len(self._words[best[1]])):
+        if best is None:
             return []
         _, i, missing, extra, first, last = best
         a, b = start + spans[first][0], start + spans[last - 1][1]
-        found = Finding(self._templates[i][0], i, a, b, plain, given[i], " ".join(missing), " ".join(extra))
+        said = text[a:b].lower().encode("utf-8", "surrogatepass")
+        alone, told = len(self._alone.compress(said)), len(self._given[i].compress(said))
+        if alone - told < MIN_REDUCTION * alone:
+            return []
+        found = Finding(self._templates[i][0], i, a, b, alone, told, " ".join(missing), " ".join(extra))
         rest = [part for part in ((start, a), (b, end)) if _SIGN.search(text, *part)]
         return [found, *(f for part in rest for f in self.scan_block(text, *part))]
 
@@ -174,7 +233,7 @@ _SCHEMA = (
 
 def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each confirmed license statement: where it is (code points), its template,
-    the block's compressed sizes alone and given the template, and the words that differ."""
+    the statement's compressed sizes alone and given the template, and the words that differ."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scanner = Scanner()

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import textwrap
 
 import pytest
 
@@ -75,6 +76,16 @@ def test_lines_of_the_given_documents(spark):
     assert sorted((r["doc_id"], r["start"], r["license"]) for r in L.find_licenses(frame).collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("sign", ["", "# ", " * ", "// ", "dnl "])
+@pytest.mark.parametrize("number", range(len(L.TEMPLATES)))
+def test_wrapped_notices(number, sign, prose):
+    name, wording = L.TEMPLATES[number]
+    lines = textwrap.wrap(wording, 70, break_long_words=False, break_on_hyphens=False)
+    for before, after in (("", ""), (prose(300, 1) + "\n", "\n" + prose(300, 2)), ("He is the one, and this work to be.\n", "\nAny of the use in this.")):
+        text = before + "\n".join(sign + line for line in lines) + after
+        assert [(f.license, f.template, f.missing) for f in SCANNER.scan(text)] == [(name, number, "")], text
+
+
 def test_no_statement_is_crowded_out():
     header = (
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public "
