@@ -75,6 +75,7 @@ _SIGN = re.compile(SIGN)
 _WORD = re.compile(r"[^\W_]+")
 _LONGEST = max(len(_WORD.findall(text)) for _, text in TEMPLATES)
 _AROUND = 2 * _LONGEST  # words: a confirmed statement has no more, its own and added ones
+_WINDOW = 3 * _AROUND
 
 
 @dataclass(frozen=True)
@@ -190,35 +191,55 @@ class Scanner:
             parts += (run.b + run.size, high), (low, run.b)
         return None
 
-    def scan_block(self, text: str, start: int, end: int) -> list[Finding]:
-        """Confirmed findings in a block, the best first, then those in the words left of and right of it."""
-        block = text[start:end]
-        spans = [(m.start(), m.end()) for m in _WORD.finditer(block)]
-        words = [block[a:b].lower() for a, b in spans]
-        data = block.lower().encode("utf-8", "surrogatepass")
-        given = [len(c.compress(data)) for c in self._given]
-        ranked = sorted(range(len(given)), key=lambda i: (given[i], i))
+    def _best(self, text: str, start: int, end: int) -> Finding | None:
+        """The confirmed statement that explains most of a part."""
+        part = text[start:end]
+        spans = [(m.start(), m.end()) for m in _WORD.finditer(part)]
+        words = [part[a:b].lower() for a, b in spans]
+        bag = Counter(words)
+        may = [i for i in range(len(self._words)) if self._may_hold(i, bag)]
+        data = part.lower().encode("utf-8", "surrogatepass")
+        given = {i: len(self._given[i].compress(data)) for i in may}
         best = None
-        for i in ranked:
+        for i in sorted(may, key=lambda i: (given[i], i)):
+            # A long template beats the short one inside it: what it leaves unsaid of the part counts.
+            if best is not None and given[i] > best[0][0]:
+                break
             difference = self._differences(i, words)
             if difference is None:
                 continue
             missing, extra, first, last = difference
-            # A long template beats the short one inside it: what it leaves unsaid of the block counts.
+            a, b = start + spans[first][0], start + spans[last - 1][1]
+            said = text[a:b].lower().encode("utf-8", "surrogatepass")
+            alone, told = len(self._alone.compress(said)), len(self._given[i].compress(said))
             rank = (given[i], len(missing) + len(extra), i)
-            if best is None or rank < best[0]:
-                best = rank, i, missing, extra, first, last
-        if best is None:
-            return []
-        _, i, missing, extra, first, last = best
-        a, b = start + spans[first][0], start + spans[last - 1][1]
-        said = text[a:b].lower().encode("utf-8", "surrogatepass")
-        alone, told = len(self._alone.compress(said)), len(self._given[i].compress(said))
-        if alone - told < MIN_REDUCTION * alone:
-            return []
-        found = Finding(self._templates[i][0], i, a, b, alone, told, " ".join(missing), " ".join(extra))
-        rest = [part for part in ((start, a), (b, end)) if _SIGN.search(text, *part)]
-        return [found, *(f for part in rest for f in self.scan_block(text, *part))]
+            if alone - told >= MIN_REDUCTION * alone and (best is None or rank < best[0]):
+                best = rank, Finding(self._templates[i][0], i, a, b, alone, told, " ".join(missing), " ".join(extra))
+        return best and best[1]
+
+    def _scan_window(self, text: str, start: int, end: int) -> list[Finding]:
+        """Confirmed findings: the best of all words, then of those left of and right of each finding."""
+        found, parts = [], [(start, end)]
+        while parts:
+            low, high = parts.pop()
+            best = self._best(text, low, high)
+            if best:
+                found.append(best)
+                parts += (part for part in ((low, best.start), (best.end, high)) if _SIGN.search(text, *part))
+        return found
+
+    def scan_block(self, text: str, start: int, end: int) -> Iterator[Finding]:
+        """Confirmed findings in a block, in windows that overlap by the words of a statement.
+        One that begins in the overlap is left to the next window, which has all of it."""
+        while True:
+            words = list(islice(_WORD.finditer(text, start, end), _WINDOW + 1))
+            if len(words) <= _WINDOW:
+                yield from self._scan_window(text, start, end)
+                return
+            edge = words[_WINDOW - _AROUND].start()
+            found = [f for f in self._scan_window(text, start, words[_WINDOW].start()) if f.start < edge]
+            yield from found
+            start = max(edge, *(f.end for f in found)) if found else edge
 
     def scan(self, text: str | None) -> list[Finding]:
         found = [f for start, end in blocks(text or "") for f in self.scan_block(text, start, end)]

@@ -94,3 +94,11 @@ def test_no_statement_is_crowded_out():
     for statement, name in (("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Released under the BSD License.", "BSD"), ("All rights reserved.", "proprietary")):
         for text in (f"{header}\n{statement}", f"{statement}\n{header}", f"{header}\n{statement}\n{header}"):
             assert [f[:2] for f in _found(text)] == [(name, statement[:-1])]
+
+
+def test_many_statements_side_by_side():
+    line = "Released under the MIT License.\n"
+    assert [(f.license, f.start) for f in SCANNER.scan(line * 2000)] == [("MIT", len(line) * i) for i in range(2000)]
+    mixed = [L.TEMPLATES[i % 26] for i in range(300)]
+    found = SCANNER.scan("\n".join(wording for _, wording in mixed))
+    assert [(f.license, f.missing, f.extra) for f in found] == [(name, "", "") for name, _ in mixed]
