@@ -73,7 +73,7 @@ _TAG = re.compile(
     r"""|</?[a-zA-Z][^>]*+(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""",
     re.S,
 )
-_NAMED = re.compile(r"""\b(class|id|role|hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s/>="'][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
@@ -102,11 +102,11 @@ class _Page:
 def _attributes(rest: str) -> tuple[set[str], str, bool]:
     """Parts of class and id, the role, and whether the element is hidden."""
     names, role, hidden = set(), "", False
-    for key, value in _NAMED.findall(rest):
+    for key, value in _ATTRIBUTE.findall(rest):
         key, value = key.lower(), value.strip("\"'")
         if key == "role":
-            role = value.lower()
-        elif key == "hidden":
+            role = value.strip().lower()
+        elif key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true":
             hidden = True
         elif key in ("class", "id"):
             names.update(part.lower() for part in _PART.findall(value))

@@ -63,3 +63,14 @@ def test_given_pages(spark):
         plain = [" ".join(html.unescape(re.sub(r"<[^>]*(>|\Z)", "", p)).split()) for p in parts]
         assert row["text"] == "\n".join(p for p in plain if p)
         assert row["n_chars"] == len(row["text"])
+
+
+def test_attributes_are_read_by_whole_names():
+    inside = f"<p>{LONG}</p><p>{MORE}</p>"
+    for rest in (
+        'style="overflow:hidden"', "style='visibility: hidden-x'", 'aria-hidden="false"', 'title="The hidden valley"', 'data-role="menu"',
+        "data-hidden", 'data-class="ad"', 'title="class=ad"', "title = 'role=menu' lang=en", 'data-id=comments', 'alt="a" title="id = ad"',
+    ):
+        assert main_text(f"<body><div {rest}>{inside}</div></body>") == BOTH, rest
+    for rest in ("hidden", 'hidden=""', 'lang="en" HIDDEN', 'aria-hidden="true"', "aria-hidden=true", 'role="menu"', "id=x role = menu", 'title="a"class="ad"'):
+        assert main_text(f"<body>{inside}<div {rest}>{inside}</div></body>") == BOTH, rest
