@@ -5,13 +5,15 @@
    them. Lines inside elements that are boilerplate by kind (navigation, footers, asides,
    forms, scripts) or by name (``class``, ``id`` or ``role`` such as ``ad``, ``comments``) count
    as empty, as do runs of links.
-2. The lengths of the lines are summed over sliding windows of three. From the fullest
-   window the text is followed to the left up to its surge and to the right up to its
-   dive, where a window falls under a share of the fullest one.
+2. The lengths of the lines, each bounded by a multiple of the page's median line, are
+   summed over sliding windows of three. From the fullest window the text is followed to
+   the left up to its surge and to the right up to its dive, where the windows fall under
+   a share of the fullest one for longer than a short valley.
 3. The element that holds the text between surge and dive (the article around its
-   fullest window, else the deepest element with most of it) is the page's body: all its
-   lines that are no boilerplate are kept, short ones too. If no element but the page
-   holds it, the lines between surge and dive are.
+   fullest window, else the deepest element with most of it, widened while the element
+   around it adds mainly text that is no boilerplate) is the page's body: all its lines
+   that are no boilerplate are kept, short ones too. Without an article, so are the lines
+   between surge and dive.
 
 Defined results: null html is an empty page; a page without text gives ``''`` and 0.
 Unclosed and cut-off markup is closed where the next block or the end demands it. Repeated
@@ -34,6 +36,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 WINDOW = 3
 FALL = 0.15  # surge and dive: a window below this share of the fullest
+BOUND = 3  # a line counts in windows as so many median lines at most
+VALLEY = 2 * WINDOW  # so many low windows between high ones do not end the text
 HOLDS = 0.8  # share of the text between them that the body must hold
 
 # Kinds of elements.
@@ -214,12 +218,15 @@ def _surge_and_dive(lengths: np.ndarray) -> tuple[int, int, int]:
     sums = np.convolve(lengths, np.ones(WINDOW, dtype=np.int64), "full")[WINDOW - 1 :]  # of each line and those after it
     peak = int(np.argmax(sums))
     low = FALL * sums[peak]
-    first = peak
-    while first > 0 and sums[first - 1] >= low:
-        first -= 1
-    last = peak
-    while last + 1 < len(sums) and sums[last + 1] >= low:
-        last += 1
+    first = last = peak
+    for i in np.flatnonzero(sums[:peak] >= low)[::-1].tolist():
+        if first - i > VALLEY + 1:
+            break
+        first = i
+    for i in (peak + 1 + np.flatnonzero(sums[peak + 1 :] >= low)).tolist():
+        if i - last > VALLEY + 1:
+            break
+        last = i
     while first < last and not lengths[first]:
         first += 1
     return first, last, peak + int(np.argmax(lengths[peak : peak + WINDOW]))
@@ -241,16 +248,19 @@ def main_text(source: str | None) -> str:
         lengths[k] = 0 if bad[line.element] or link else len(line.text)
     if not lengths.any():
         return ""
-    first, last, centre = _surge_and_dive(lengths)
-    body = _body(page, _ancestors(page, page.lines[centre].element), lengths, first, last)
+    full = np.sort(lengths[lengths > 0])
+    bounded = np.minimum(lengths, BOUND * full[(len(full) - 1) // 2])  # no single line decides
+    first, last, centre = _surge_and_dive(bounded)
+    body = _body(page, _ancestors(page, page.lines[centre].element), bounded, first, last)
     below = [False] * n
     for i, element in enumerate(page.elements):
         below[i] = i == body or (i > 0 and below[element.parent])
     whole_page = page.elements[body].name in ("page", "html", "body")
+    article = page.elements[body].name in ("article", "main")
     kept = [
         line.text
         for k, line in enumerate(page.lines)
-        if lengths[k] and below[line.element] and (not whole_page or first <= k <= last)
+        if lengths[k] and (below[line.element] and not whole_page or not article and first <= k <= last)
     ]
     return "\n".join(kept)
 
@@ -268,7 +278,25 @@ def _body(page: _Page, path: list[int], lengths: np.ndarray, first: int, last: i
         held[page.elements[i].parent] += held[i]
     enough = HOLDS * lengths[first : last + 1].sum()
     blocks = (i for i in path if page.elements[i].name in _BLOCK - _INSIDE or i == 0)
-    return next((i for i in blocks if held[i] >= enough), 0)
+    body = next((i for i in blocks if held[i] >= enough), 0)
+    return _widened(page, body, lengths)
+
+
+def _widened(page: _Page, body: int, lengths: np.ndarray) -> int:
+    """The outermost element below the page to which each step up adds mainly text that counts."""
+    own, good = [0] * len(page.elements), [0] * len(page.elements)
+    for k, line in enumerate(page.lines):
+        own[line.element] += len(line.text)
+        good[line.element] += int(lengths[k])
+    for i in range(len(own) - 1, 0, -1):
+        own[page.elements[i].parent] += own[i]
+        good[page.elements[i].parent] += good[i]
+    up = page.elements[body].parent
+    while up > 0 and page.elements[up].name not in ("html", "body"):
+        if 2 * (good[up] - good[body]) < own[up] - own[body]:
+            break
+        body, up = up, page.elements[up].parent
+    return body
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

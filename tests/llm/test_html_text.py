@@ -74,3 +74,15 @@ def test_attributes_are_read_by_whole_names():
         assert main_text(f"<body><div {rest}>{inside}</div></body>") == BOTH, rest
     for rest in ("hidden", 'hidden=""', 'lang="en" HIDDEN', 'aria-hidden="true"', "aria-hidden=true", 'role="menu"', "id=x role = menu", 'title="a"class="ad"'):
         assert main_text(f"<body>{inside}<div {rest}>{inside}</div></body>") == BOTH, rest
+
+
+def test_one_long_paragraph_does_not_end_the_text():
+    long, short, tiny = ("long one " * 555).strip(), ("x y z w " * 31).strip(), "Next"
+    for n in (1, 3, 10, 40):
+        want = "\n".join([long] + [short] * n)
+        sections = f"<div class=sec><p>{long}</p></div>" + f"<div class=sec><p>{short}</p></div>" * n
+        assert main_text(f"<body>{sections}</body>") == want
+        assert main_text(f"<body><nav>Menu</nav><div>{sections}</div><div class=footer>{MORE}</div></body>") == want
+        assert main_text(f"<body><p>{long}</p>" + f"<p>{short}</p>" * n + "</body>") == want
+    valley = "".join(f"<p>{x}</p>" for x in [long, short, short, *[tiny] * 5, short, short])
+    assert main_text(f"<body>{valley}</body>") == "\n".join([long, short, short, *[tiny] * 5, short, short])
