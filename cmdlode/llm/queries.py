@@ -49,7 +49,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lengths = token_counts.encoded_lengths(_table(spark, sf_dir, "documents"))
+    lengths = token_counts.encoded_lengths(_table(spark, sf_dir, "documents"), names_are_text=False)
     return token_counts.length_report(token_counts.histogram(lengths))
 
 
@@ -99,7 +99,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.tokenize_to_files(_table(spark, sf_dir, "documents"), work_folder(spark, "tokens"))
+    return token_files.tokenize_to_files(_table(spark, sf_dir, "documents"), work_folder(spark, "tokens"), names_are_text=False)
 
 
 _BLANK, _CHAR = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"

@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 from cmdlode.llm.tokenize import in_parts, read_vocabulary, shared_encoder
 
 
-def encoded_lengths(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def encoded_lengths(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None, keep: tuple[str, ...] = (), names_are_text: bool = True) -> DataFrame:
     """``keep`` columns and ``length`` (bigint), the number of ids of the whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = shared_encoder(shared.value)
+        encoder = shared_encoder(shared.value, names_are_text)
         for batch in batches:
             width = encoder.dtype.itemsize
             lengths = [len(ids) // width for part in in_parts(batch["_text"]) for ids in encoder.encode(part)]

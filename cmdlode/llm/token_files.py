@@ -169,9 +169,9 @@ def part_of_key(doc_id: int | None, copy: int, parts: int) -> int:
 # --- writing -----------------------------------------------------------------
 
 
-def _write_shards(folder: str, vocabulary, end_id: int) -> Callable:
+def _write_shards(folder: str, vocabulary, end_id: int, names_are_text: bool) -> Callable:
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, shard = shared_encoder(vocabulary.value), TaskContext.get().partitionId()
+        encoder, shard = shared_encoder(vocabulary.value, names_are_text), TaskContext.get().partitionId()
         filesystem, path = open_folder(folder)
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
         width, rows, state = encoder.dtype.itemsize, [], {"offset": 0, "last": (), "copy": 0}
@@ -240,6 +240,7 @@ def write_token_files(
     shards: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
+    names_are_text: bool = True,
 ) -> DataFrame:
     """Write shards and index; returns ``part, n_keys`` of the index as written.
 
@@ -253,7 +254,7 @@ def write_token_files(
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     keyed = plain.withColumn("_hash", F.xxhash64("text"))
     ordered = keyed.repartitionByRange(shards, "doc_id", "_hash").sortWithinPartitions("doc_id", "_hash").drop("_hash")
-    meta = stored(ordered.mapInPandas(_write_shards(folder, shared, end_id), _META), "shards")
+    meta = stored(ordered.mapInPandas(_write_shards(folder, shared, end_id, names_are_text), _META), "shards")
 
     totals = meta.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -368,8 +369,8 @@ def keys_of(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return counted.select("doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("copy"))
 
 
-def tokenize_to_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenize_to_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", names_are_text: bool = True) -> DataFrame:
     """Write all documents, then read every one back by its key."""
-    written = write_token_files(docs, folder, id_col=id_col, text_col=text_col)
+    written = write_token_files(docs, folder, id_col=id_col, text_col=text_col, names_are_text=names_are_text)
     parts = max(1, -(-(written.agg(F.sum("n_keys").alias("n")).first()["n"] or 0) // KEYS_PER_PART))
     return read_token_files(docs.sparkSession, folder, keys_of(docs, id_col), parts)

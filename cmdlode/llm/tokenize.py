@@ -7,7 +7,8 @@ order. Pieces repeat, and a worker remembers the ids of short ones. Texts with
 neighbouring white space are cut only where that rule holds.
 
 The vocabulary file is read on the driver and sent to the workers as text; names of
-special tokens inside a text are ordinary text.
+added (special) tokens inside a text are ordinary text or, with ``names_are_text=False``,
+the one id each; texts that contain such a name are encoded whole then.
 """
 
 from __future__ import annotations
@@ -39,12 +40,14 @@ def read_vocabulary(path: str | None = None) -> str:
 class Encoder:
     """Ids as little-endian bytes: two bytes an id if the vocabulary allows, else four."""
 
-    def __init__(self, vocabulary: str, most_kept: int = _MOST_KEPT):
+    def __init__(self, vocabulary: str, most_kept: int = _MOST_KEPT, names_are_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(vocabulary)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = names_are_text
+        names = () if names_are_text else [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._named = re.compile("|".join(map(re.escape, names))) if names else None
         self._blank = self._tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]
         self.dtype = np.dtype("<u2" if self._tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self._kept: dict[str, bytes] = {}
@@ -80,7 +83,8 @@ class Encoder:
         """Ids of each text; call with batches of bounded size."""
         if len(self._kept) > self._most_kept // 2:
             self._kept, self._older = {}, self._kept
-        cut = [self.pieces(text or "") for text in texts]
+        whole = [bool(self._named and text and self._named.search(text)) for text in texts]
+        cut = [(text, []) if w else self.pieces(text or "") for text, w in zip(texts, whole)]
         new = []
         for key in set().union(*(keys for _, keys in cut)).difference(self._kept):
             if (ids := self._older.get(key)) is None:
@@ -97,13 +101,14 @@ class Encoder:
         return out
 
 
-_shared: list[tuple[str, Encoder]] = []
+_shared: list[tuple[tuple[str, bool], Encoder]] = []
 
 
-def shared_encoder(vocabulary: str) -> Encoder:
+def shared_encoder(vocabulary: str, names_are_text: bool = True) -> Encoder:
     """The encoder of this worker process, with what earlier tasks have taught it."""
-    if not _shared or _shared[0][0] != vocabulary:
-        _shared[:] = [(vocabulary, Encoder(vocabulary))]
+    asked = vocabulary, names_are_text
+    if not _shared or _shared[0][0] != asked:
+        _shared[:] = [(asked, Encoder(vocabulary, names_are_text=names_are_text))]
     return _shared[0][1]
 
 

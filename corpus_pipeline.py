@@ -35,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in files with an index; a row for each document, read back from them."""
-    return token_files.tokenize_to_files(docs, work_folder(spark, "tokens"))
+    return token_files.tokenize_to_files(docs, work_folder(spark, "tokens"), names_are_text=False)
 
 
 STAGES = [

@@ -113,3 +113,15 @@ def test_parts_agree_with_spark(spark):
     frame = spark.createDataFrame(rows, "doc_id bigint, copy bigint")
     got = [r[0] for r in frame.select(F.part_of(f.col("doc_id"), f.col("copy"), 97)).collect()]
     assert got == [F.part_of_key(*row, 97) for row in rows]
+
+
+def test_names_of_added_tokens_give_their_id(spark, docs):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(vocabulary_path())
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in ODD]
+    encoder = Encoder(read_vocabulary(), names_are_text=False)
+    assert [np.frombuffer(data, encoder.dtype).tolist() for data in encoder.encode(ODD)] == want
+    assert sum(ids.count(50256) for ids in want) == 2
+    lengths = K.encoded_lengths(docs(*ODD), keep=("doc_id",), names_are_text=False)
+    assert {r["doc_id"]: r["length"] for r in lengths.collect()} == {i: len(ids) for i, ids in enumerate(want)}
