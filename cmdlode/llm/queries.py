@@ -7,8 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cmdlode.llm import contamination, html_text, license_scan, mixing, neardup, pii, quality, secret_scan, token_counts, token_files
-from cmdlode.session import configure, work_folder
+from cmdlode.llm import (
+    collocations,
+    contamination,
+    html_text,
+    license_scan,
+    mixing,
+    neardup,
+    pii,
+    quality,
+    secret_scan,
+    simhash,
+    token_counts,
+    token_files,
+    vector_codes,
+)
+from cmdlode.session import configure, stored, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 DEMO_KEY = b"pseudonyms of the registered query"
@@ -102,6 +116,25 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.tokenize_to_files(_table(spark, sf_dir, "documents"), work_folder(spark, "tokens"), names_are_text=False)
 
 
+@_query
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+    coded = stored(coded, "codes")
+    return vector_codes.label_errors(coded).select(
+        "vec_id", "code", "error", "label_error", F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256")
+    )
+
+
+@_query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 _BLANK, _CHAR = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+"
 _STOP = ",".join(f"'{x}'" for x in sorted(set(quality.STOP_WORDS)))
 
@@ -170,4 +203,77 @@ FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source
 JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.g = p.g
 """
 
-ORACLE_SQL = {"op3_quality_rules": _OP3, "op7_mixing": _OP7}
+
+def _op11() -> str:
+    """Every round as two steps: the least ``256 * distance + entry`` of each part, then the means."""
+    text = f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label,
+         list_transform(embedding, lambda x: floor(x::DOUBLE * {vector_codes.SCALE})::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+w AS (SELECT max(len(v)) // {vector_codes.PARTS} AS w FROM k),
+p AS MATERIALIZED (
+  SELECT r, (i - 1) // w AS part, (i - 1) % w AS pos, v[i] AS x
+  FROM (SELECT r, v, w, unnest(range(1, len(v) + 1)) AS i FROM k, w)),
+c0 AS MATERIALIZED (
+  SELECT part, pos, e, x AS y
+  FROM p JOIN (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k) USING (r) WHERE e < {vector_codes.ENTRIES}),
+"""
+    nearest = """a{0} AS MATERIALIZED (
+  SELECT r, part, m % 256 AS e, m // 256 AS d
+  FROM (SELECT r, part, min(256 * d + e) AS m
+        FROM (SELECT r, part, e, sum((x - y) * (x - y))::BIGINT AS d FROM p JOIN c{0} USING (part, pos) GROUP BY r, part, e)
+        GROUP BY r, part)),
+"""
+    means = """s{0} AS (
+  SELECT part, pos, e, sum(x)::BIGINT AS s, count(*) AS n FROM p JOIN a{0} USING (r, part) GROUP BY part, pos, e),
+c{1} AS MATERIALIZED (
+  SELECT part, pos, e, CASE WHEN n IS NULL THEN y ELSE (s - ((s % n) + n) % n) // n END AS y
+  FROM c{0} LEFT JOIN s{0} USING (part, pos, e)),
+"""
+    for i in range(vector_codes.ROUNDS):
+        text += nearest.format(i) + means.format(i, i + 1)
+    last = vector_codes.ROUNDS
+    return text + nearest.format(last) + f"""f AS (
+  SELECT r, string_agg(lower(lpad(to_hex(e), 2, '0')), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{last} GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY part, e, pos)) FROM c{last}) AS codebooks_sha256
+FROM k JOIN f USING (r)
+"""
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_OP12 = rf"""
+WITH w AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
+  FROM (SELECT coalesce(lang, '{collocations.UNKNOWN}') AS lang,
+               unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)),
+t AS MATERIALIZED (SELECT lang, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+f1 AS MATERIALIZED (SELECT lang, a, count(*) AS n FROM t GROUP BY lang, a),
+f2 AS MATERIALIZED (SELECT lang, a, b, count(*) AS n FROM t WHERE b IS NOT NULL GROUP BY lang, a, b HAVING n >= {collocations.MIN_COUNT}),
+f3 AS MATERIALIZED (SELECT lang, a, b, c, count(*) AS n FROM t WHERE c IS NOT NULL GROUP BY lang, a, b, c HAVING n >= {collocations.MIN_COUNT}),
+m AS (SELECT lang, a, b, max(n) AS most FROM (SELECT lang, a, b, n FROM f3 UNION ALL SELECT lang, b, c, n FROM f3) GROUP BY lang, a, b),
+s2 AS (
+  SELECT x.lang, x.a || ' ' || x.b AS phrase, x.n AS a, y.n AS l, z.n AS r,
+         ({collocations.SCALE}::HUGEINT * x.n * x.n // (y.n::HUGEINT * z.n))::BIGINT AS score
+  FROM f2 x JOIN f1 y ON x.lang = y.lang AND x.a = y.a JOIN f1 z ON x.lang = z.lang AND x.b = z.a
+  LEFT JOIN m ON x.lang = m.lang AND x.a = m.a AND x.b = m.b
+  WHERE m.most IS NULL OR 100 * m.most < {collocations.INSIDE_PERCENT} * x.n),
+c3 AS (
+  SELECT x.lang, x.a || ' ' || x.b || ' ' || x.c AS phrase, x.n AS a, p.n AS l1, q.n AS r1, g.n AS l2, h.n AS r2,
+         ({collocations.SCALE}::HUGEINT * x.n * x.n // (p.n::HUGEINT * q.n))::BIGINT AS v1,
+         ({collocations.SCALE}::HUGEINT * x.n * x.n // (g.n::HUGEINT * h.n))::BIGINT AS v2
+  FROM f3 x JOIN f1 p ON x.lang = p.lang AND x.a = p.a JOIN f2 q ON x.lang = q.lang AND x.b = q.a AND x.c = q.b
+  JOIN f2 g ON x.lang = g.lang AND x.a = g.a AND x.b = g.b JOIN f1 h ON x.lang = h.lang AND x.c = h.a),
+s AS (
+  SELECT * FROM s2 UNION ALL
+  SELECT lang, phrase, a, CASE WHEN v1 <= v2 THEN l1 ELSE l2 END, CASE WHEN v1 <= v2 THEN r1 ELSE r2 END, least(v1, v2) FROM c3)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM s)
+JOIN (SELECT lang, sum(n)::BIGINT AS n FROM f1 GROUP BY lang) USING (lang)
+WHERE rank <= {collocations.TOP}
+"""
+
+ORACLE_SQL = {"op3_quality_rules": _OP3, "op7_mixing": _OP7, "op11_vector_codes": _op11(), "op12_collocations": _OP12}

@@ -1,0 +1,149 @@
+from __future__ import annotations
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from cmdlode.llm import collocations as co
+
+SCHEMA = "doc_id bigint, text string, lang string, n int, word string, phrase string, w0 int, rank int"
+
+
+def brute(rows, max_words=3, min_count=10, inside=50, top=2000):
+    """Counts phrases with slices of word lists; rows are (lang, text)."""
+    out = []
+    by_lang = {}
+    for lang, text in rows:
+        lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lowered):
+            by_lang.setdefault("und" if lang is None else lang, []).append([w for w in re.split(r"[\x20\x09]+", piece) if w])
+    for lang, pieces in by_lang.items():
+        f = Counter(tuple(p[i : i + k]) for p in pieces for k in range(1, max_words + 1) for i in range(len(p) - k + 1))
+        n = sum(c for w, c in f.items() if len(w) == 1)
+        candidates = [w for w, c in f.items() if len(w) > 1 and c >= min_count]
+        found = []
+        for w in candidates:
+            a = f[w]
+            around = [f[x] for x in candidates if len(x) > len(w) and any(x[i : i + len(w)] == w for i in range(len(x)))]
+            if any(100 * c >= inside * a for c in around):
+                continue
+            score, k = min((1000000 * a * a // (f[w[:k]] * f[w[k:]]), k) for k in range(1, len(w)))
+            found.append((-score, -a, " ".join(w).encode(), f[w[:k]], f[w[k:]]))
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(found)[:top], 1):
+            out.append((lang, rank, phrase.decode(), -a, left, right, n, -score))
+    return sorted(out)
+
+
+@pytest.fixture
+def texts(spark):
+    def make(rows):
+        return spark.createDataFrame([(i, text, lang, 1, "w", "p", 2, 3) for i, (lang, text) in enumerate(rows)], SCHEMA)
+
+    return make
+
+
+def ours(frame, **options):
+    return sorted(tuple(r) for r in co.collocations(frame, **options).collect())
+
+
+def chatter(n, seed, words=12):
+    rng = random.Random(seed)
+    names = ["Ab", "b", "cé", "D", "ee", "f'f", "Ünd", "h-h", "i", "j\x1fj", "k", "l"][:words]
+    ends = [" ", " ", " ", "  ", "\t", ". ", ",", "\n", "\r\n", " ?! "]
+    return "".join(rng.choice(names) + rng.choice(ends) for _ in range(n))
+
+
+@pytest.mark.parametrize("shard", [3, 50, co.SHARD])
+def test_equal_to_loops(texts, shard):
+    rng = random.Random(shard)
+    rows = [(rng.choice(["en", "de", None, ""]), chatter(rng.randint(0, 120), i)) for i in range(60)]
+    assert ours(texts(rows), shard=shard) == brute(rows)
+
+
+@pytest.mark.parametrize("max_words", [2, 4, 5])
+def test_other_lengths(texts, max_words):
+    rows = [("en", chatter(150, i, 5)) for i in range(12)]
+    assert ours(texts(rows), max_words=max_words, min_count=4, shard=70) == brute(rows, max_words, 4)
+
+
+def test_empty_texts_and_tables(texts):
+    assert ours(texts([])) == []
+    assert ours(texts([("en", None), (None, ""), ("de", " ,;\n")])) == []
+    assert ours(texts([("en", "one two")] * 9)) == []
+    assert ours(texts([("en", "one two")] * 10)) == [("en", 1, "one two", 10, 10, 10, 20, 1000000)]
+
+
+def test_overlaps_count(texts):
+    rows = [(None, "na " * 30)]
+    assert ours(texts(rows)) == brute(rows)
+
+
+def test_dropped_inside_longer_ones(texts):
+    rows = [("en", "new york city")] * 10 + [("en", "new york")] * 10 + [("en", "york city")] * 11
+    found = {r[2] for r in ours(texts(rows))}
+    assert found == {"new york city", "york city"} == {r[2] for r in brute(rows)}
+
+
+def test_ties_by_bytes_and_cut_to_top(texts):
+    rows = [("en", f"{a} {b}") for a, b in (("z", "y"), ("é", "x"), ("a", "b"), ("😀", "q"), ("￮", "p"))] * 12
+    assert [r[2] for r in sorted(ours(texts(rows), top=4), key=lambda r: r[1])] == ["a b", "z y", "é x", "￮ p"]
+
+
+def test_long_text_in_sections(texts, monkeypatch):
+    monkeypatch.setattr(co, "_SECTION", 64)
+    text = chatter(20000, 3)
+    assert [w for part in co.tokens(text.encode()) for w in part] == [
+        w for w in re.split(rb" +", re.sub(rb"[.,;:!?\x0a-\x0d]", b" \n ", text.encode().lower().replace(b"\t", b" "))) if w
+    ] + [b"\n"]
+    rows = [("en", text + " x" * 3000)]
+    assert ours(texts(rows), shard=1000) == brute(rows)
+
+
+def test_exact_beyond_64_bits(spark):
+    big = 3_000_000_011
+    rows = spark.createDataFrame([(1, 2, big - 1)], "w0 bigint, w1 bigint, n bigint")
+    one = spark.createDataFrame([(1, big), (2, big + 6)], "w0 bigint, n bigint")
+    row = co.scored({1: one, 2: rows}, 2).first()
+    assert row["score"] == 1000000 * (big - 1) ** 2 // (big * (big + 6))
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 4, 5, 6])
+def test_index_steps(depth):
+    for seed in range(8):
+        text = np.random.default_rng(seed).integers(0, 6, 400)
+        shard = co.Shard("x", depth)
+        shard.numbers = {bytes([65 + i]): i for i in range(6)}
+        shard._parts = [text[:130], text[130:]]
+        words, n = shard.phrases(lambda rows: np.ones(len(rows), dtype=bool))
+        spans = [text[i : i + depth] for i in range(len(text) - depth + 1)]
+        expected = Counter(tuple(s.tolist()) for s in spans if (s > 0).all())
+        assert {tuple(w): c for w, c in zip(words.tolist(), n.tolist())} == expected
+        last = []
+        for i in text[::-1][: depth - 1]:
+            if i == 0:
+                break
+            last.insert(0, bytes([65 + i]))
+        assert shard.tail() == last
+
+
+def test_equal_hashes_start_again(texts, monkeypatch):
+    calls = []
+
+    def clash(plain, seed, size):
+        calls.append(seed)
+        return original(seed, size) if seed else (lambda batches: _same(original(seed, size)(batches)))
+
+    def _same(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([5] * b.num_rows, pa.int64()), *b.columns[1:]], names=b.schema.names)
+
+    original = co._count_words
+    monkeypatch.setattr(co, "_count_words", lambda seed, size: clash(None, seed, size))
+    rows = [("en", "one two")] * 10
+    assert ours(texts(rows)) == brute(rows)
+    assert calls == [0, 1]
