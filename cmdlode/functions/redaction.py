@@ -8,6 +8,9 @@ and blanks are written out.
 
 from __future__ import annotations
 
+import re
+from re import _parser as parser
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,6 +99,75 @@ def _any(c: Column, literals: tuple[str, ...]) -> Column:
     return found
 
 
+def _longest(choices: list[frozenset[str]]) -> frozenset[str] | None:
+    """Of sets of literals, one of each of which must occur, the one that is the hardest to meet."""
+    return max(choices, key=lambda c: (min(map(len, c)), -len(c)), default=None)
+
+
+def _needed(items) -> frozenset[str] | None:
+    """Literals one of which is in every match of a parsed pattern; null if none is found."""
+    choices, run = [], ""
+    for kind, value in [*items, (None, None)]:
+        if kind is parser.LITERAL:
+            run += chr(value)
+            continue
+        if run:
+            choices.append(frozenset([run]))
+            run = ""
+        inner = None
+        if kind is parser.SUBPATTERN:
+            inner = _needed(value[-1])
+        elif kind is parser.BRANCH:
+            parts = [_needed(part) for part in value[1]]
+            inner = frozenset().union(*parts) if all(parts) else None
+        elif kind in (parser.MAX_REPEAT, parser.MIN_REPEAT, parser.POSSESSIVE_REPEAT) and value[0] > 0:
+            inner = _needed(value[2])
+        elif kind is parser.ATOMIC_GROUP:
+            inner = _needed(value)
+        if inner:
+            choices.append(inner)
+    return _longest(choices)
+
+
+def needed_literals(pattern: str) -> tuple[tuple[str, ...], bool] | None:
+    """ASCII literals one of which every match contains, and whether case is ignored.
+
+    Null where none is sure: the pattern has none, or uses what Python's parser of regular
+    expressions reads otherwise than Java's or not at all. The rule then meets every row.
+    """
+    if re.search(r"\\[QE]|\(\?[^:=!<]*x|&&|\[[^\]]*\[", pattern):  # quoting, comments, classes of classes
+        return None
+    try:
+        parsed = parser.parse(pattern)
+    except (re.error, ValueError, OverflowError):
+        return None
+    found = _needed(parsed)
+    if not found or not all(x.isascii() for x in found):
+        return None
+    folded = bool(parsed.state.flags & re.IGNORECASE) or "(?i" in pattern or re.search(r"\(\?[a-z]*i", pattern) is not None
+    return tuple(sorted({x.lower() if folded else x for x in found})), folded
+
+
+def _extra(c: Column, scrubbed: Column, low: Column, rules: Rules) -> Column:
+    """The caller's rules on rows that hold a literal they need, or on all if one needs none.
+
+    Literals are looked for in the text before scrubbing. That is enough unless a replacement makes
+    one: if it holds a literal, or is so short that what stands beside it could join.
+    """
+    exact: set[str] = set()
+    folded: set[str] = set()
+    for pattern, _ in rules:
+        needed = needed_literals(pattern)
+        if needed is None:
+            return _apply(scrubbed, rules)
+        (folded if needed[1] else exact).update(needed[0])
+    made = [PLACEHOLDER, *[re.sub(r"\$\d", "", replacement) for _, replacement in rules]]
+    if len(rules) > 1 and not all(made) or any(x in text.lower() for text in made for x in folded) or any(x in text for text in made for x in exact):
+        return _apply(scrubbed, rules)
+    some = _any(c, tuple(sorted(exact))) | _any(low, tuple(sorted(folded)))
+    return F.when(some, _apply(scrubbed, rules)).otherwise(scrubbed)
+
+
 def redact(c: Column, extra_rules: Rules = (), lowered: Column | None = None) -> Column:
     """Replace likely secrets with the placeholder.
 
@@ -103,9 +175,9 @@ def redact(c: Column, extra_rules: Rules = (), lowered: Column | None = None) ->
     most rows never meet a regular expression. A replacement cannot create a
     hint: it puts the placeholder between what stays. For long texts pass
     ``lowered``, the lower-case text computed once. ``extra_rules`` are Java
-    patterns applied last, to every row.
+    patterns applied last; their own literals guard them in the same way.
     """
     low = F.lower(c) if lowered is None else lowered
     named = F.when(_any(low, NAMED_HINTS), _apply(c, NAMED_RULES)).otherwise(c)
     scrubbed = F.when(_any(c, SHAPE_HINTS), _apply(named, SHAPE_RULES)).otherwise(named)
-    return _apply(scrubbed, extra_rules)
+    return _extra(c, scrubbed, low, extra_rules) if extra_rules else scrubbed

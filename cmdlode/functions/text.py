@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cmdlode.params import HELP_FLAGS, HELP_TOOLS, NOISE_TOOLS, SAFE_TOOL, TOOL_SUFFIXES, WRAPPERS
+from cmdlode.params import DEFAULTS, HELP_FLAGS, HELP_TOOLS, SAFE_TOOL, TOOL_SUFFIXES, WRAPPERS, Params
 
 # Unicode white space other than the plain blank, as one character class body.
 _RARE_WS = r"\t-\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -61,14 +61,14 @@ def clip_bytes(c: Column, limit: int | None) -> Column:
     return F.when(F.octet_length(c) > limit, F.make_valid_utf8(head)).otherwise(c)
 
 
-def strip_prefixes(c: Column) -> Column:
+def strip_prefixes(c: Column, wrappers: tuple[str, ...] = WRAPPERS) -> Column:
     """Drop leading assignments and wrapper words of normalised text.
 
     The possessive quantifier keeps the match a loop, so thousands of leading
     assignments cannot exhaust the stack.
     """
-    wrappers = "|".join(WRAPPERS)
-    return F.regexp_replace(c, rf"^(?:(?:[^ =][^ ]*=[^ ]*|{wrappers})(?: |\z))++", "")
+    prefixes = "|".join(["[^ =][^ ]*=[^ ]*", *map(re.escape, wrappers)])
+    return F.regexp_replace(c, rf"^(?:(?:{prefixes})(?: |\z))++", "")
 
 
 def base_name(c: Column) -> Column:
@@ -78,7 +78,7 @@ def base_name(c: Column) -> Column:
     return F.regexp_replace(leaf, rf"{suffixes}\z", "")
 
 
-def with_classification(df: DataFrame, cmd: str) -> DataFrame:
+def with_classification(df: DataFrame, cmd: str, params: Params = DEFAULTS) -> DataFrame:
     """Add ``tool``, ``help_target`` and ``is_help`` for normalised text ``cmd``.
 
     ``tool`` is empty when nothing is left after the prefixes. ``help_target``
@@ -89,31 +89,31 @@ def with_classification(df: DataFrame, cmd: str) -> DataFrame:
     asks_page = tool.isin(*HELP_TOOLS)
     page = F.when(rest.contains(" "), base_name(F.lower(F.substring_index(rest, " ", -1))))
     target = F.when(asks_page, page).when(rest.rlike(rf" (?:{flags})(?: |\z)"), tool)
-    df = compute_once(df, _rest=strip_prefixes(F.col(cmd)))
+    df = compute_once(df, _rest=strip_prefixes(F.col(cmd), params.wrappers))
     df = compute_once(df, tool=base_name(F.lower(F.substring_index(rest, " ", 1))))
     df = compute_once(df, help_target=target).drop("_rest")
     return df.withColumn("is_help", F.col("help_target").isNotNull())
 
 
-def is_usage() -> Column:
+def is_usage(params: Params = DEFAULTS) -> Column:
     """Rows (after ``with_classification``) that count as use of a tool."""
-    return ~F.col("is_help") & (F.col("tool") != "") & ~F.col("tool").isin(*NOISE_TOOLS)
+    return ~F.col("is_help") & (F.col("tool") != "") & ~F.col("tool").isin(*params.noise_tools)
 
 
-def is_help_lookup() -> Column:
+def is_help_lookup(params: Params = DEFAULTS) -> Column:
     """Rows (after ``with_classification``) that count as a help lookup."""
     target = F.col("help_target")
-    return F.col("is_help") & (target != "") & ~target.isin(*NOISE_TOOLS)
+    return F.col("is_help") & (target != "") & ~target.isin(*params.noise_tools)
 
 
-def with_tool_of(df: DataFrame, cmd: str, out: str = "tool_of") -> DataFrame:
+def with_tool_of(df: DataFrame, cmd: str, out: str = "tool_of", params: Params = DEFAULTS) -> DataFrame:
     """Add the tool a raw command belongs to; empty for help, noise or nothing."""
     keep = df.columns
     named = df.select(*[F.col(c).alias(f"_in_{c}") for c in keep])
-    classified = with_classification(compute_once(named, _cmd=normalize(F.col(f"_in_{cmd}"))), "_cmd")
+    classified = with_classification(compute_once(named, _cmd=normalize(F.col(f"_in_{cmd}"))), "_cmd", params)
     return classified.select(
         *[F.col(f"_in_{c}").alias(c) for c in keep],
-        F.when(is_usage(), F.col("tool")).otherwise("").alias(out),
+        F.when(is_usage(params), F.col("tool")).otherwise("").alias(out),
     )
 
 

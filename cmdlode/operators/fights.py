@@ -14,16 +14,16 @@ from cmdlode.params import DEFAULTS, Params
 _FIELDS = ["ts", "cmd", "exit", "dur_ms", "cwd"]
 
 
-def journal_usage(journal: DataFrame) -> DataFrame:
+def journal_usage(journal: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Journal rows that count as use of a tool, scrubbed, with ``tool``.
 
     Scrubbing comes before classifying, and again on stored rows: normalising
     can bring an option and its value next to each other.
     """
     cleaned = compute_once(journal.withColumnRenamed("cmd", "_raw"), _text=normalize(F.col("_raw")))
-    cleaned = compute_once(cleaned.where(F.col("_text") != ""), cmd=redact(F.col("_text")))
-    cleaned = with_classification(cleaned.drop("_raw", "_text"), "cmd")
-    return cleaned.where(is_usage()).select("scope", "tool", "shell", "seq", *_FIELDS)
+    cleaned = compute_once(cleaned.where(F.col("_text") != ""), cmd=redact(F.col("_text"), params.extra_rules))
+    cleaned = with_classification(cleaned.drop("_raw", "_text"), "cmd", params)
+    return cleaned.where(is_usage(params)).select("scope", "tool", "shell", "seq", *_FIELDS)
 
 
 def shell_totals(usage: DataFrame) -> DataFrame:

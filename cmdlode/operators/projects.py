@@ -51,6 +51,27 @@ def _keyed_roots(roots: DataFrame) -> DataFrame:
     )
 
 
+def _with_root_by_map(df: DataFrame, keyed: DataFrame, cwd: str, params: Params) -> DataFrame:
+    """Add ``_root``, the nearest listed root, by one join with a map of each scope's roots.
+
+    For streams, which cannot expand a row and bring it together again: the row's
+    ancestors are looked up in one expression, the nearest one first.
+    """
+    entries = F.array_sort(F.collect_list(F.struct("_at", "root")))  # bounded by the caller
+    maps = keyed.groupBy("scope").agg(F.map_from_entries(entries).alias("_roots"))
+    own = F.when(F.col(cwd) != "", normalize_path(clean_path(F.col(cwd))))
+    placed = df.join(maps, "scope", "left").withColumn("_up", ancestors(own, params.max_ancestors))
+    listed = F.filter("_up", lambda at: F.map_contains_key(F.col("_roots"), at))
+    return placed.withColumn("_root", F.try_element_at("_roots", F.get(listed, F.lit(0)))).drop("_roots", "_up")
+
+
+def _with_root(df: DataFrame, roots: DataFrame, cwd: str, params: Params) -> DataFrame:
+    """By map where every scope has few roots, else by depth."""
+    keyed = _keyed_roots(roots)
+    many = keyed.groupBy("scope").agg(F.count("*").alias("n")).where(F.col("n") > params.max_scope_roots)
+    return _with_root_by_map(df, keyed, cwd, params) if many.isEmpty() else _with_root_by_depth(df, roots, cwd, params)
+
+
 def _with_root_by_depth(df: DataFrame, roots: DataFrame, cwd: str, params: Params) -> DataFrame:
     """Add ``_root``, the nearest listed root, by one equi-join per depth of roots.
 
@@ -85,7 +106,7 @@ def with_project(
             "label", F.when(cwd_col != "", leaf_label(own)).otherwise("")
         )
     if df.isStreaming:
-        placed = _with_root_by_depth(df, roots, cwd, params)
+        placed = _with_root(df, roots, cwd, params)
         root = F.coalesce(F.col("_root"), clean_path(cwd_col))
         return (
             placed.withColumn("project_key", F.when(cwd_col != "", normalize_path(root)))

@@ -35,10 +35,10 @@ def retry_chains(usage: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     )
 
 
-def best_attempts(chains: DataFrame) -> DataFrame:
+def best_attempts(chains: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """``(scope, tool, command, attempts)``: longest chain per scrubbed command."""
     return (
-        chains.select("scope", "tool", redact(F.col("cmd")).alias("command"), "attempts")
+        chains.select("scope", "tool", redact(F.col("cmd"), params.extra_rules).alias("command"), "attempts")
         .groupBy("scope", "tool", "command")
         .agg(F.max("attempts").alias("attempts"))
     )
@@ -47,4 +47,4 @@ def best_attempts(chains: DataFrame) -> DataFrame:
 def hard_won(chains: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """``(scope, tool, rank, command, attempts)``: hardest commands per tool."""
     best = [F.col("attempts").desc(), F.col("command").asc()]
-    return top_per_group(best_attempts(chains), ["scope", "tool"], best, params.max_hard_won)
+    return top_per_group(best_attempts(chains, params), ["scope", "tool"], best, params.max_hard_won)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cmdlode.params import DEFAULTS, Params
-from cmdlode.session import stored
+from cmdlode.session import discard, stored
 
 # link(df, prev, cur, out): add boolean ``out``, true where the row struct
 # ``cur`` continues the run that the row struct ``prev`` belongs to.
@@ -106,6 +106,35 @@ def hot_keys(rows: DataFrame, keys: list[str], params: Params = DEFAULTS) -> Dat
     return rows.groupBy(*keys).count().where(F.col("count") > params.hot_key_rows).select(*keys)
 
 
+_MOST_CUTS = 255
+_ACCURACY = 10_000
+
+
+def _ranges(split: DataFrame, keys: list[str], place: Column | None, params: Params) -> DataFrame:
+    """Add ``_range`` to rows with ``_hot`` and ``_bucket``: 0, or the part of a bucket with very many rows.
+
+    Such buckets are cut at quantiles of ``place``, into parts of about equally many rows.
+    """
+    if place is None:
+        return split.withColumn("_range", F.lit(0))
+    within = [*keys, "_bucket"]
+    full = split.where("_hot").groupBy(*within).agg(F.count("*").alias("_n")).where(F.col("_n") > params.hot_key_rows)
+    full = stored(full, "full")
+    found = full.agg(F.count("*").alias("buckets"), F.max("_n").alias("most")).first()
+    if found["buckets"] == 0:
+        discard(full)
+        return split.withColumn("_range", F.lit(0))
+    parts = min(_MOST_CUTS + 1, -(-4 * found["most"] // max(1, params.hot_key_rows)))
+    shares, small = [i / parts for i in range(1, parts)], found["buckets"] <= _BROADCAST_KEYS
+    placed = split.withColumn("_place", place)
+    sample = placed.where("_hot").join(F.broadcast(full) if small else full, within)
+    cuts = sample.groupBy(*within).agg(F.percentile_approx("_place", shares, _ACCURACY).alias("_cuts"))
+    cuts = stored(cuts, "cuts")
+    joined = placed.join(F.broadcast(cuts) if small else cuts, within, "left")
+    part = F.size(F.filter("_cuts", lambda cut: cut < F.col("_place")))
+    return joined.withColumn("_range", F.when(F.col("_cuts").isNull(), 0).otherwise(part)).drop("_cuts", "_place")
+
+
 def dense_positions(
     rows: DataFrame,
     keys: list[str],
@@ -114,6 +143,7 @@ def dense_positions(
     out: str,
     params: Params = DEFAULTS,
     sizes: DataFrame | None = None,
+    place: Column | None = None,
 ) -> DataFrame:
     """Number the rows of each key from 0 in the given order.
 
@@ -121,7 +151,8 @@ def dense_positions(
     ``sizes`` of the keys and ``n``, no less than the rows of each, saves that count.
     Without any, one window does. Otherwise hot keys are numbered per ``bucket``
     (a BIGINT that never decreases along the order) and shifted by the size of
-    the buckets before it; all other keys form one bucket.
+    the buckets before it; all other keys form one bucket. ``place``, a finer BIGINT of that
+    kind, lets a bucket with very many rows be cut further; only rows of one place stay together.
     """
     if sizes is None:
         hot = hot_keys(rows, keys, params)
@@ -137,12 +168,13 @@ def dense_positions(
     split = rows.join(hot, keys, "left").withColumn(
         "_bucket", F.when(F.col("_hot"), bucket).otherwise(F.lit(0)).cast("bigint")
     )
-    sizes = split.where(F.col("_hot")).groupBy(*keys, "_bucket").count()
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(*keys, "_bucket", F.sum("count").over(before).alias("_shift"))
-    number = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
+    split = _ranges(split, keys, place, params)
+    sizes = split.where(F.col("_hot")).groupBy(*keys, "_bucket", "_range").count()
+    before = Window.partitionBy(*keys).orderBy("_bucket", "_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(*keys, "_bucket", "_range", F.sum("count").over(before).alias("_shift"))
+    number = F.row_number().over(Window.partitionBy(*keys, "_bucket", "_range").orderBy(*order))
     return (
-        split.join(shifts, [*keys, "_bucket"], "left")
+        split.join(shifts, [*keys, "_bucket", "_range"], "left")
         .withColumn(out, (number - 1 + F.coalesce(F.col("_shift"), F.lit(0))).cast("bigint"))
-        .drop("_hot", "_bucket", "_shift")
+        .drop("_hot", "_bucket", "_range", "_shift")
     )

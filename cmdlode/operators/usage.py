@@ -18,39 +18,39 @@ from cmdlode.operators.ranking import top_per_group
 from cmdlode.params import DEFAULTS, Params
 
 
-def classify_commands(commands: DataFrame) -> DataFrame:
+def classify_commands(commands: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """``commands(scope, source, pos, command)`` with ``cmd`` normalised and classified."""
     cleaned = compute_once(commands, cmd=normalize(F.col("command")))
     cleaned = cleaned.where(F.col("cmd") != "").select("scope", "source", "pos", "cmd")
-    return with_classification(cleaned, "cmd")
+    return with_classification(cleaned, "cmd", params)
 
 
-def usage_rows(classified: DataFrame) -> DataFrame:
+def usage_rows(classified: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Rows that count as use of a tool: ``(scope, source, tool, pos, cmd)``."""
-    return classified.where(is_usage()).select("scope", "source", "tool", "pos", "cmd")
+    return classified.where(is_usage(params)).select("scope", "source", "tool", "pos", "cmd")
 
 
-def tool_usage(classified: DataFrame) -> DataFrame:
+def tool_usage(classified: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """``(scope, tool, total)``: uses per tool."""
-    return classified.where(is_usage()).groupBy("scope", "tool").agg(F.count("*").alias("total"))
+    return classified.where(is_usage(params)).groupBy("scope", "tool").agg(F.count("*").alias("total"))
 
 
-def help_lookups(classified: DataFrame) -> DataFrame:
+def help_lookups(classified: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """``(scope, tool, help_lookups)``: help lookups per target tool."""
     return (
-        classified.where(is_help_lookup())
+        classified.where(is_help_lookup(params))
         .groupBy("scope", F.col("help_target").alias("tool"))
         .agg(F.count("*").alias("help_lookups"))
     )
 
 
-def command_counts(classified: DataFrame) -> DataFrame:
+def command_counts(classified: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """``(scope, tool, cmd, count)``: how often each command was typed.
 
     Help lookups are counted in the same pass, under the tool they ask about and
     with a null ``cmd``; hits and totals both derive from this one shuffle.
     """
-    used, asked = is_usage(), is_help_lookup()
+    used, asked = is_usage(params), is_help_lookup(params)
     return (
         classified.where(used | asked)
         .select(
@@ -88,7 +88,7 @@ def greatest_hits(counts: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     scrubbed stay two rows.
     """
     hits = counts.where((F.col("count") >= params.min_hits) & has_arguments(F.col("cmd")))
-    hits = hits.select("scope", "tool", redact(F.col("cmd")).alias("command"), "count")
+    hits = hits.select("scope", "tool", redact(F.col("cmd"), params.extra_rules).alias("command"), "count")
     best = [F.col("count").desc(), F.col("command").asc()]
     return top_per_group(hits, ["scope", "tool"], best, params.max_hits)
 
@@ -112,3 +112,27 @@ def source_counts(commands: DataFrame) -> DataFrame:
     """``(scope, source, n_commands)`` with totals: null source = all of a scope,
     null scope = everything."""
     return commands.rollup("scope", "source").agg(F.count("*").alias("n_commands"))
+
+
+def scan_summary(commands: DataFrame, status: DataFrame, journal: DataFrame, shown: DataFrame) -> DataFrame:
+    """What a scan read and wrote, one row a scope: ``(scope, n_commands, n_sources, n_failed, n_journal, n_sheets)``.
+
+    A source counts as found if one of its files was read; ``status`` is that of
+    ``load_histories``, ``shown`` has a row for each sheet. Each input is counted before the
+    counts meet. A location that does not exist has no scope and is in the row of the null scope.
+    """
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    good = F.col("error").isNull()
+    counts = {
+        "n_commands": commands.select("scope", one.alias("n")),
+        "n_sources": status.where(good).select("scope", "source").distinct().select("scope", one.alias("n")),
+        "n_failed": status.where(~good).select("scope", one.alias("n")),
+        "n_journal": journal.select("scope", one.alias("n")),
+        "n_sheets": shown.select("scope", one.alias("n")),
+    }
+    parts = None
+    for name, rows in counts.items():
+        counted = rows.groupBy("scope").agg(F.sum("n").alias("n"))
+        part = counted.select("scope", *[(F.col("n") if name == other else none).alias(other) for other in counts])
+        parts = part if parts is None else parts.unionByName(part)
+    return parts.groupBy("scope").agg(*[F.sum(name).alias(name) for name in counts])

@@ -46,9 +46,15 @@ class Params:
     top_fights: int = 3
     tail_rows: int = 10
     max_ancestors: int | None = None
+    # A caller's word lists, and scrubbing rules of (Java pattern, replacement) after the fixed ones.
+    noise_tools: tuple[str, ...] = NOISE_TOOLS
+    wrappers: tuple[str, ...] = WRAPPERS
+    extra_rules: tuple[tuple[str, str], ...] = ()
     # Scale knobs. They split long sequences over tasks and never change results.
     bucket_rows: int = 1 << 20
     hot_key_rows: int = 1 << 22
+    slice_s: int = 60
+    max_scope_roots: int = 1000
 
 
 DEFAULTS = Params()

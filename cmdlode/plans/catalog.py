@@ -20,14 +20,18 @@ from cmdlode.functions.text import clip_bytes, compute_once, is_safe_tool
 from cmdlode.operators import fights as fight_ops
 from cmdlode.operators import projects, reports, retries, sheets, suggest, usage
 from cmdlode.operators.cooldown import apply_cooldown
+from cmdlode.operators.sequence import dense_positions
 from cmdlode.params import DEFAULTS, LIMITED
 from cmdlode.plans.eventlog import as_commands, event_log, project_roots
 from cmdlode.plans.rebuild import Rebuild, back_test, project_listing
 from cmdlode.session import configure, stored, work_folder
-from cmdlode.sources.histories import PARSERS, Probe, load_histories, source_status
-from cmdlode.sources.journal import accepted, append_journal, read_journal, rejected, resolve_capture
+from cmdlode.sources.growing import matching
+from cmdlode.sources.histories import PARSERS, Probe, discover, load_histories, source_status
+from cmdlode.sources.journal import accepted, append_journal, load_journal, read_journal, rejected, resolve_capture
 from cmdlode.sources.snapshots import read_sheets, read_victories, write_snapshot
 from cmdlode.streaming import operators as streams
+from cmdlode.streaming import sinks
+from cmdlode.streaming.files import stream_history, stream_journal
 from cmdlode.streaming.replay import replay
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -452,9 +456,8 @@ def history_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.select("scope", "source", "n_lines", "n_commands", F.col("error").isNotNull().alias("failed"))
 
 
-@_query
-def journal_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log as JSON lines by user and month, with unusable lines between, read back."""
+def _journal_files(spark: SparkSession, sf_dir: str) -> str:
+    """The log as JSON lines by user and month, with unusable lines between; where the files are."""
     log, root = event_log(spark, sf_dir), work_folder(spark, "journal")
     row = F.to_json(
         F.struct("ts", "cmd", "exit", "dur_ms", "cwd", "shell"), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
@@ -467,10 +470,83 @@ def journal_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     ordered = lines.repartition("scope").sortWithinPartitions("scope", "month", "seq", "_i")
     ordered.select("scope", "month", "line").write.partitionBy("scope", "month").text(root)
-    read = read_journal(spark, f"{root}/scope=*/month=*/part-*")
+    return f"{root}/scope=*/month=*/part-*"
+
+
+@_query
+def journal_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journal files read back."""
+    read = read_journal(spark, _journal_files(spark, sf_dir))
     return read.withColumn("ts_us", F.unix_micros("ts")).drop("ts")
 
 
+@_query
+def journal_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was read of every journal file, and of a location that does not exist."""
+    status = load_journal(spark, _journal_files(spark, sf_dir))[1]
+    status = status.unionByName(load_journal(spark, f"{sf_dir}/no_such_journal")[1])
+    month = F.regexp_extract("path", r"/month=([^/]*)/", 1)
+    return status.select("scope", month.alias("month"), "n_lines", F.col("error").isNotNull().alias("failed"))
+
+
+def _landed(spark: SparkSession, sf_dir: str) -> list[Probe]:
+    """Every user's log in the user's folder, found by looking for histories there."""
+    log, root = stored(event_log(spark, sf_dir), "log"), work_folder(spark, "landed")
+    for format in PARSERS:
+        lines = history_lines(log.where(F.col("shell") == format), format).withColumn("shell", F.lit(format))
+        ordered = lines.repartition("scope").sortWithinPartitions("scope", "line_no")
+        ordered.select("scope", "shell", "line").write.mode("append").partitionBy("scope", "shell").text(root)
+    return discover(root, landed=tuple((format, f"shell={format}/part-*") for format in PARSERS))
+
+
+@_query
+def discovered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histories of all users found below one folder."""
+    return load_histories(spark, _landed(spark, sf_dir))[0]
+
+
+@_query
+def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a scan of histories and journals reads and writes for each user."""
+    commands, status = load_histories(spark, [*_landed(spark, sf_dir), Probe("none", "bash", f"{sf_dir}/no_such_history")])
+    journal = read_journal(spark, _journal_files(spark, sf_dir))
+    job = Rebuild(commands, journal, None, DAY)
+    return usage.scan_summary(commands, status, journal, reports.with_content(job.reports))
+
+
+@_query
+def stream_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journal files as a stream, some bytes of all files at a time, which cuts lines anywhere."""
+    path, folder = _journal_files(spark, sf_dir), work_folder(spark, "growing")
+    size = sum(n for n in matching(path).values())
+    rows = stream_journal(spark, path, f"{folder}/plans", max_bytes=size // 3 + 1)
+    _run_to_end(rows, f"{folder}/out", f"{folder}/progress")
+    read = spark.read.schema(rows.schema).parquet(f"{folder}/out")
+    return read.withColumn("ts_us", F.unix_micros("ts")).drop("ts", "seq")
+
+
+@_query
+def stream_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History files of all shells as streams; commands are numbered when all have come."""
+    folder, read = work_folder(spark, "growing"), None
+    for probe in _landed(spark, sf_dir):
+        rows = stream_history(spark, probe, f"{folder}/{probe.source}/plans", max_bytes=1 << 30)
+        _run_to_end(rows, f"{folder}/{probe.source}/out", f"{folder}/{probe.source}/progress")
+        part = spark.read.schema(rows.schema).parquet(f"{folder}/{probe.source}/out")
+        read = part if read is None else read.unionByName(part)
+    placed = dense_positions(read, ["scope", "source"], ["pos"], F.lit(0), "place", place=F.col("pos"))
+    return placed.select("scope", "source", F.col("place").alias("pos"), "command")
+
+
+def _run_to_end(rows: DataFrame, out: str, checkpoint: str) -> None:
+    """Run a stream until its source gives nothing more."""
+    query = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
 @_query
 def journal_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ingested rows appended by month in two loads, and read back."""
@@ -526,6 +602,19 @@ def stream_fights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay(log, lambda journal: streams.stream_fights(journal, params=DAY))
 
 
+@_query
+def stream_fights_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log under a watermark: slices of time summed up apart and joined. Same fights as ``fights_1d``."""
+    log = event_log(spark, sf_dir)
+    end = log.agg(F.max("ts").alias("ts")).select(
+        F.lit("clock").alias("scope"), F.lit(-1).cast("bigint").alias("event_id"), (F.col("ts") + F.expr("INTERVAL 9 DAYS")).alias("ts"),
+        F.lit("make all").alias("cmd"), F.lit(1).alias("exit"), F.lit(0).cast("bigint").alias("dur_ms"), F.lit("").alias("cwd"),
+        F.lit("bash").alias("shell"), F.lit(0).cast("bigint").alias("seq"),
+    )
+    whole = log.unionByName(end)  # a last row moves time on
+    return replay(whole, lambda journal: streams.stream_fights(journal, "1 day", DAY)).where("scope <> 'clock'")
+
+
 @_query
 def stream_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failures of a stream meet stored victories and the rate limit."""
@@ -564,3 +653,33 @@ def stream_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = streams.COUNT_KEYS
     counts = replay(log, lambda rows: streams.running_counts(as_commands(rows)), mode="update", keys=keys)
     return usage.usage_with_help(counts)
+
+
+@_query
+def stream_counts_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running counts in a result kept by key, after several batches."""
+    log, folder = event_log(spark, sf_dir), work_folder(spark, "counts")
+    sink = lambda changes, progress: sinks.merge_by_key(changes, streams.COUNT_KEYS, f"{folder}/table", progress)
+    rows = log.count()
+    replay(log, lambda part: streams.running_counts(as_commands(part)), rows_per_slice=rows // 2 + 1, sink=sink)
+    return usage.usage_with_help(sinks.read_merged(spark, f"{folder}/table"))
+
+
+# --- a caller's lists -----------------------------------------------------------
+
+OWN = replace(
+    DAY, noise_tools=("docker", "make"), wrappers=("sudo", "npm"), extra_rules=((r"--k [0-4]\b", "--k <low>"), (r"(?i)LOGS$", "<logs>"))
+)
+
+
+@_query
+def own_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits with a caller's lists of noise and wrappers, and scrubbing rules of one's own."""
+    counts = usage.command_counts(usage.classify_commands(as_commands(event_log(spark, sf_dir)), OWN), OWN)
+    return usage.greatest_hits(counts, OWN)
+
+
+@_query
+def own_lists_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of the journal with a caller's lists."""
+    return fight_ops.journal_usage(event_log(spark, sf_dir), OWN).groupBy("scope", "tool", "cmd").agg(F.count("*").alias("n"))

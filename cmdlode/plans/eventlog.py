@@ -61,7 +61,7 @@ def event_log(spark: SparkSession, sf_dir: str, params: Params = DEFAULTS) -> Da
     """``journal`` rows (plus ``event_id``), numbered by time within each scope."""
     rows = event_rows(spark.read.parquet(f"{sf_dir}/events.parquet"))
     hour = F.floor(F.unix_micros("ts") / F.lit(3_600_000_000))
-    return dense_positions(rows, ["scope"], ["ts", "event_id"], hour, "seq", params)
+    return dense_positions(rows, ["scope"], ["ts", "event_id"], hour, "seq", params, place=F.unix_micros("ts"))
 
 
 def as_commands(log: DataFrame) -> DataFrame:

@@ -34,15 +34,15 @@ class Rebuild:
 
     @cached_property
     def classified(self) -> DataFrame:
-        return stored(usage.classify_commands(self.commands), "classified")
+        return stored(usage.classify_commands(self.commands, self.params), "classified")
 
     @cached_property
     def usage(self) -> DataFrame:
-        return usage.usage_rows(self.classified)
+        return usage.usage_rows(self.classified, self.params)
 
     @cached_property
     def counts(self) -> DataFrame:
-        return usage.command_counts(self.classified)
+        return usage.command_counts(self.classified, self.params)
 
     @cached_property
     def hits(self) -> DataFrame:
@@ -54,7 +54,7 @@ class Rebuild:
 
     @cached_property
     def journal_usage(self) -> DataFrame:
-        return stored(fight_ops.journal_usage(self.journal), "used")
+        return stored(fight_ops.journal_usage(self.journal, self.params), "used")
 
     @cached_property
     def fights(self) -> DataFrame:
@@ -109,7 +109,7 @@ def project_listing(
 
     The cut per tool comes before the project filter.
     """
-    used = fight_ops.journal_usage(journal)
+    used = fight_ops.journal_usage(journal, params)
     totals = fight_ops.shell_totals(used)
     rollup = fight_ops.fight_rollup(fight_ops.fights(used, params), totals)
     none = rollup.limit(0).select("scope", "tool", "command", "attempts")
@@ -124,5 +124,5 @@ def back_test(
     journal: DataFrame, victories: DataFrame, roots: DataFrame | None = None, params: Params = DEFAULTS
 ) -> DataFrame:
     """Every suggestion the journal's failures would have drawn, before the rate limit."""
-    failed = suggest.failures(fight_ops.journal_usage(journal), roots, params)
+    failed = suggest.failures(fight_ops.journal_usage(journal, params), roots, params)
     return suggest.suggest(failed, suggest.victories_by_tool(victories, roots, params))

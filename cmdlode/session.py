@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cmdlode.store import delete
+
 _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -47,4 +49,17 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     """
     path = work_folder(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``stored`` which nothing reads any more; other frames are left alone.
+
+    For use when what was derived from them is stored itself.
+    """
+    for table in tables:
+        path = vars(table).pop("_stored_at", None)
+        if path is not None:
+            delete(table.sparkSession, path)

@@ -26,36 +26,55 @@ STATUS_SCHEMA = "scope string, source string, path string, n_lines bigint, error
 
 def _positioned(kept: DataFrame, lines: DataFrame, params: Params) -> DataFrame:
     """Number what was kept; the lines, which are no fewer, tell which files are hot without parsing."""
-    bucket = F.floor(F.col("line_no") / F.lit(params.bucket_rows))
     sizes = lines.groupBy("scope", "source").agg(F.count("*").alias("n"))
-    placed = dense_positions(kept, ["scope", "source"], ["line_no"], bucket, "pos", params, sizes)
+    bucket = F.floor(F.col("line_no") / F.lit(params.bucket_rows))
+    placed = dense_positions(kept, ["scope", "source"], ["line_no"], bucket, "pos", params, sizes, F.col("line_no"))
     return placed.select("scope", "source", "pos", "command")
 
 
-def parse_bash(lines: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+def bash_commands(lines: DataFrame) -> DataFrame:
     """One command per line; ``#<digits>`` lines are time stamps."""
-    kept = compute_once(lines, command=trim_ws(F.col("line"))).where(
+    return compute_once(lines, command=trim_ws(F.col("line"))).where(
         (F.col("command") != "") & ~F.col("command").rlike(r"^#[0-9]+\z")
     )
-    return _positioned(kept, lines, params)
 
 
-def parse_zsh(lines: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+def zsh_commands(lines: DataFrame) -> DataFrame:
     """Plain lines, or ``: <start>:<elapsed>;<command>``."""
     text = F.col("_text")
     after = F.expr("substring(_text, locate(';', _text) + 1)")
     extended = F.when(text.contains(";"), trim_ws(after))
     kept = compute_once(lines, _text=trim_ws(F.col("line")))
     kept = compute_once(kept, command=F.when(text.startswith(": "), extended).otherwise(text))
-    return _positioned(kept.where(F.col("command") != ""), lines, params)
+    return kept.where(F.col("command") != "").drop("_text")
 
 
-def parse_fish(lines: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+def fish_commands(lines: DataFrame) -> DataFrame:
     """Only the ``- cmd: `` lines count."""
     mark = "- cmd: "
     kept = compute_once(lines, _text=trim_ws(F.col("line"))).where(F.col("_text").startswith(mark))
     kept = compute_once(kept, command=trim_ws(F.expr(f"substring(_text, {len(mark) + 1})")))
-    return _positioned(kept.where(F.col("command") != ""), lines, params)
+    return kept.where(F.col("command") != "").drop("_text")
+
+
+def pwsh_commands(records: DataFrame) -> DataFrame:
+    """Records of one or more lines, all but the last ending in a backtick."""
+    bare = F.transform(F.split("line", "\n"), lambda x: F.regexp_replace(x, r"\r\z", ""))
+    parts = F.transform(bare, lambda x: trim_ws(F.when(x.endswith("`"), F.left(x, F.length(x) - 1)).otherwise(x)))
+    kept = compute_once(records, command=trim_ws(F.array_join(parts, " ")))
+    return kept.where(F.col("command") != "")
+
+
+def parse_bash(lines: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    return _positioned(bash_commands(lines), lines, params)
+
+
+def parse_zsh(lines: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    return _positioned(zsh_commands(lines), lines, params)
+
+
+def parse_fish(lines: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    return _positioned(fish_commands(lines), lines, params)
 
 
 def parse_pwsh(lines: DataFrame, params: Params = DEFAULTS) -> DataFrame:
@@ -103,6 +122,13 @@ def parse_pwsh(lines: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     return _positioned(kept.where(F.col("command") != ""), lines, params)
 
 
+# Line by line, for streams; of ``pwsh`` each row is a whole record.
+COMMANDS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "pwsh": pwsh_commands,
+    "bash": bash_commands,
+    "zsh": zsh_commands,
+    "fish": fish_commands,
+}
 PARSERS: dict[str, Callable[..., DataFrame]] = {
     "pwsh": parse_pwsh,
     "bash": parse_bash,
@@ -131,10 +157,15 @@ LANDED_HISTORIES = (
 # ------------------------------------------------------------------------------
 
 
-def discover(root: str, scoped: bool = True) -> list[Probe]:
-    """Probes for histories landed below ``root``, in one ``scope=...`` folder per scope."""
+def discover(
+    root: str, scoped: bool = True, landed: tuple[tuple[str, str], ...] = LANDED_HISTORIES
+) -> list[Probe]:
+    """Probes for histories landed below ``root``, in one ``scope=...`` folder per scope.
+
+    ``landed`` names each history's format and its file, folder or glob there.
+    """
     base = f"{root.rstrip('/')}/scope=*" if scoped else root.rstrip("/")
-    return [Probe(name, name, f"{base}/{place}") for name, place in LANDED_HISTORIES]
+    return [Probe(name, name, f"{base}/{place}") for name, place in landed]
 
 
 def read_history(spark: SparkSession, probe: Probe, params: Params = DEFAULTS) -> DataFrame:

@@ -10,11 +10,12 @@ from cmdlode.functions.format import month_key
 from cmdlode.functions.redaction import redact
 from cmdlode.functions.text import clip_bytes, compute_once, trim_ws
 from cmdlode.params import DEFAULTS, Params
-from cmdlode.sources.lines import numbered_lines
+from cmdlode.sources.lines import read_lines, scope_of
 
 JOURNAL_SCHEMA = (
     "scope string, seq bigint, ts timestamp, cmd string, exit int, dur_ms bigint, cwd string, shell string"
 )
+JOURNAL_STATUS = "scope string, path string, n_lines bigint, error string"
 _LINE_SCHEMA = (
     "ts timestamp, cmd string, exit int, dur_ms bigint, cwd string, shell string, _corrupt string"
 )
@@ -73,7 +74,7 @@ def accepted(resolved: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     return (
         compute_once(resolved.where(F.col("problem").isNull()), _cut=cut, _over=over)
         .where(F.col("_cut") != "")
-        .withColumn("cmd", redact(F.col("_cut")))
+        .withColumn("cmd", redact(F.col("_cut"), params.extra_rules))
         .withColumn("ts", F.coalesce(F.col("ts"), F.current_timestamp()))
         .withColumn("month", month_key(F.col("ts")))
         .withColumn("was_cut", F.col("piped_cut") | F.col("_over"))
@@ -107,15 +108,23 @@ def parse_journal(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_journal(spark: SparkSession, path: str) -> DataFrame:
-    """Journal rows of all JSON-lines files under ``path`` (a folder or glob of files).
+def load_journal(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Journal rows of all JSON-lines files under ``path`` (a folder or glob of files), and their status.
 
-    ``seq`` follows file name, then line, within each scope. A missing location
-    is an empty journal.
+    ``seq`` follows file name, then line, within each scope. ``status(scope, path, n_lines, error)``
+    has a row for each file. One that cannot be read to its end is left out whole and reported. A
+    missing location is an empty journal, with one row of its path and no scope.
     """
     try:
-        return parse_journal(numbered_lines(spark, path, together=True))
+        lines, files = read_lines(spark, path, together=True)
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], JOURNAL_SCHEMA)
+        missing = spark.createDataFrame([(None, path, 0, problem.getCondition())], JOURNAL_STATUS)
+        return spark.createDataFrame([], JOURNAL_SCHEMA), missing
+    return parse_journal(lines), files.select(scope_of(F.col("path")).alias("scope"), "path", "n_lines", "error")
+
+
+def read_journal(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of ``load_journal``; ask that for what could not be read."""
+    return load_journal(spark, path)[0]

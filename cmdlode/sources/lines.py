@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import re
-
 from py4j.protocol import Py4JJavaError
+from pyspark import cloudpickle
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cmdlode.session import stored
+from cmdlode.sources import files as file_tools
+from cmdlode.sources.files import COMPRESSED, find_faults
+
+cloudpickle.register_pickle_by_value(file_tools)  # executors need not have the package
 
 STATUS_SCHEMA = "path string, n_lines bigint, error string"
 
@@ -21,14 +24,17 @@ def scope_of(path: Column) -> Column:
     return F.url_decode(F.regexp_replace(raw, r"\+", "%2B"))
 
 
-def _files(spark: SparkSession, path: str | list[str]) -> list[str]:
-    """Names of the files at a path or glob, ready to be read one by one."""
-    found = spark.read.format("binaryFile").load(path).select("path").collect()  # names only, no content
-    return sorted(re.sub(r"([\[\]{}*?\\])", r"\\\1", row["path"]) for row in found)
+def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(path, name, size)`` of the files at a path or glob: ``path`` as Spark's readers name it, ``name`` plain."""
+    found = spark.read.format("binaryFile").load(path)  # names only, no content
+    return found.select(F.col("_metadata.file_path").alias("path"), F.col("path").alias("name"), F.col("length").alias("size"))
 
 
-def _rows(spark: SparkSession, files: list[str]) -> DataFrame:
-    raw = spark.read.option("lineSep", "\n").text(files)
+def _rows(spark: SparkSession, path: str | list[str], without: list[str] | None = None, **options: str) -> DataFrame:
+    """Lines with their split and a number that grows in it; files ``without`` are not even opened."""
+    raw = spark.read.options(lineSep="\n", **options).text(path)
+    if without:
+        raw = raw.where(~F.col("_metadata.file_path").isin(without))
     return raw.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_name").alias("_name"),
@@ -44,22 +50,25 @@ def _splits(rows: DataFrame) -> DataFrame:
     return stored(counted, "splits")
 
 
-def _broken(spark: SparkSession, files: list[str]) -> dict[str, str]:
-    """Files that cannot be read whole, and why, found by halving: few jobs if few are broken."""
-    try:
-        _rows(spark, files).agg(F.count("*")).collect()
-        return {}
-    except (PySparkException, Py4JJavaError) as problem:
-        if len(files) == 1:
-            return {files[0]: _reason(problem)}
-    half = len(files) // 2
-    return _broken(spark, files[:half]) | _broken(spark, files[half:])
+_MARK_BYTES = 3  # of a byte order mark, which the reader takes away
+
 
+def _broken(spark: SparkSession, path: str | list[str], files: DataFrame) -> DataFrame:
+    """``(path, name, error)`` of the files that cannot be read whole.
 
-def _reason(problem: Exception) -> str:
-    """The innermost cause that the message names, in one line."""
-    causes = re.findall(r"^Caused by: (.*)$", str(problem), re.M)
-    return (causes[-1] if causes else str(problem).splitlines()[0])[:300]
+    Plain files are read again, skipping what fails: those that give less than their size are
+    broken. Compressed ones are read to their end by the executors.
+    """
+    packed = F.col("name").rlike(COMPRESSED)
+    read = _rows(spark, path, ignoreCorruptFiles="true", ignoreMissingFiles="true")
+    given = read.groupBy("path").agg(F.sum(F.octet_length("line") + 1).alias("given"))
+    plain = files.where(~packed).join(given, "path", "left").withColumn("given", F.coalesce("given", F.lit(0)))
+    short = plain.where((F.col("given") + _MARK_BYTES < F.col("size")) | ((F.col("given") == 0) & (F.col("size") > 0)))
+    told = F.format_string("read %d of %d bytes", "given", "size").alias("error")
+    asked = files.where(packed).select(F.struct("path", "name").alias("key"), F.col("name").alias("path"))
+    faults = asked.mapInArrow(find_faults, "key struct<path: string, name: string>, fault string").where("fault is not null")
+    found = short.select("path", "name", told).unionByName(faults.select("key.path", "key.name", F.col("fault").alias("error")))
+    return stored(found, "broken")
 
 
 def read_lines(spark: SparkSession, path: str | list[str], together: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -67,35 +76,31 @@ def read_lines(spark: SparkSession, path: str | list[str], together: bool = Fals
 
     A file that cannot be read to its end is reported with its error and left out
     whole. Finding that out takes no pass of its own: counting the lines of all splits
-    reads every file, and only if that fails are the broken ones looked for. A file
-    that breaks later fails the job.
+    reads every file, and only if that fails does one more pass on the executors find the
+    broken ones, whatever their number. A file that breaks later fails the job. The table of
+    files stays in Spark; only names of broken files come to the driver, to leave them out.
 
     Numbers restart per file, or run on through all files of a scope in name order when
     ``together`` is set. Files are split over tasks: within a split the row number grows
     in file order, and the table of splits gives each its place. Lines end at a line
     feed; one carriage return before it is dropped.
     """
-    files, errors = _files(spark, path), {}
-    rows = _rows(spark, files)
+    files, rows = _files(spark, path), _rows(spark, path)
+    error = F.lit(None).cast("string").alias("error")
     try:
-        splits = _splits(rows)
+        splits, status = _splits(rows), files.select("path", "name", error)
     except (PySparkException, Py4JJavaError):
-        errors = _broken(spark, files)
-        if not errors:  # not a file's fault
+        broken = _broken(spark, path, files)
+        names = [row["path"] for row in broken.select("path").collect()]
+        if not names:  # not a file's fault
             raise
-        rows = _rows(spark, [f for f in files if f not in errors] or [])
-        splits = _splits(rows) if len(errors) < len(files) else None
-    status = spark.createDataFrame([(f, 0, error) for f, error in errors.items()], STATUS_SCHEMA)
-    if splits is None:
-        none = "scope string, path string, line_no bigint, line string"
-        return spark.createDataFrame([], none), status
-    listed = spark.createDataFrame([(f,) for f in files if f not in errors], "path string")
-    read = splits.groupBy(F.url_decode(F.regexp_replace("path", r"\+", "%2B")).alias("path")).agg(F.sum("_n").alias("n_lines"))
-    good = listed.withColumn("path", F.regexp_replace("path", r"\\(.)", "$1"))
-    key = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-    counted = read.select(key(F.col("path")).alias("_key"), "n_lines")
-    good = good.join(counted, key(F.col("path")) == F.col("_key"), "left")
-    status = status.unionByName(good.select("path", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.lit(None).cast("string").alias("error")))
+        rows = _rows(spark, path, names)
+        splits = _splits(rows)
+        status = files.join(broken.select("path", "error"), "path", "left").select("path", "name", "error")
+    read = splits.groupBy("path").agg(F.sum("_n").alias("n_lines"))
+    status = status.join(read, "path", "left").select(
+        F.col("name").alias("path"), F.coalesce("n_lines", F.lit(0)).cast("bigint").alias("n_lines"), "error"
+    )
     return _numbered(rows, splits, together), status
 
 

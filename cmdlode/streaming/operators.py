@@ -2,9 +2,12 @@
 
 ``lateness`` (such as ``"10 minutes"``) sets a watermark on the journal, before
 any filter. (Catalyst may still move a filter below it; then only rows that pass
-move time on, and results are the same but later.) Rows are then put in event order
-before they count, state is dropped by event time, and rows later than that are
-discarded. Without it micro-batches count in arrival order.
+move time on, and results are the same but later.) Rows then count in event order, in two
+chained steps: each key's time is cut into slices, which are held and summed up side by
+side until the watermark has passed them, and a second step joins the sums of a key. State
+is dropped by event time, and rows later than the watermark are discarded
+(``sinks.split_late`` keeps them). Without it micro-batches count in arrival order and a key's
+last state stays; that is for replays of ordered logs.
 """
 
 from __future__ import annotations
@@ -29,20 +32,37 @@ FIGHTS_SCHEMA = (
     "scope string, tool string, shell string, seq bigint, command string, attempts bigint, "
     "cost_ms bigint, cwd string, ts_us bigint"
 )
+RUNS_SCHEMA = (
+    "scope string, tool string, shell string, slice bigint, place int, whole boolean, head boolean, ends boolean, "
+    "n bigint, first bigint, first_cmd string, micros bigint, cmd string, exit int, dur_ms bigint, cwd string, seq bigint"
+)
 
 
 def _late(journal: DataFrame, lateness: str | None) -> DataFrame:
     return journal if lateness is None else journal.withWatermark("ts", lateness)
 
 
-def _keyed(rows: DataFrame, keys: list[str], ordered: bool, make, out: str | None = None) -> DataFrame:
-    """Run an ordered processor over ``rows``, which have ``ts`` and ``seq``."""
+def _schema(rows: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+
+def _in_arrival_order(rows: DataFrame, keys: list[str], make, out: str | None = None) -> DataFrame:
+    """Run a processor over ``rows``, which have ``ts`` and ``seq``, one task a key and batch."""
+    plain = rows.withColumn("micros", F.unix_micros("ts")).drop("ts")
+    return plain.groupBy(*keys).transformWithStateInPandas(make(plain.columns), out or _schema(plain), "append", "None")
+
+
+def _in_event_order(rows: DataFrame, keys: list[str], params: Params, make_slices, sums: str, make_joiner, out: str | None = None) -> DataFrame:
+    """Sum up slices of time of each key, then join the sums of a key."""
+    width = params.slice_s * 1_000_000
     rows = rows.withColumn("micros", F.unix_micros("ts"))
-    plain = rows.drop("ts").schema
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.fields)
-    processor, out = make(plain.names, schema, ordered), out or schema
-    mode = "EventTime" if ordered else "None"
-    return rows.groupBy(*keys).transformWithStateInPandas(processor, out, "append", mode)
+    plain = rows.drop("ts")
+    sliced = rows.withColumn("slice", F.floor(F.col("micros") / F.lit(width)).cast("bigint"))
+    slices = make_slices(plain.columns, _schema(plain), width)
+    summed = sliced.groupBy(*keys, "slice").transformWithStateInPandas(
+        slices, f"{sums}, told_at timestamp", "append", "EventTime", eventTimeColumnName="told_at"
+    )
+    return summed.groupBy(*keys).transformWithStateInPandas(make_joiner(plain.columns), out or _schema(plain), "append", "EventTime")
 
 
 def ingest(events: DataFrame, params: Params = DEFAULTS) -> tuple[DataFrame, DataFrame]:
@@ -53,14 +73,12 @@ def ingest(events: DataFrame, params: Params = DEFAULTS) -> tuple[DataFrame, Dat
 
 def stream_fights(journal: DataFrame, lateness: str | None = None, params: Params = DEFAULTS) -> DataFrame:
     """Fights of a journal stream, as in ``operators.fights`` (``ts`` as ``ts_us``)."""
-
-    def make(*base):
-        return state.FightProcessor(
-            *base, params.max_fight_gap_s * 1_000_000, params.near_tokens, params.token_sim
-        )
-
-    used = journal_usage(_late(journal, lateness))
-    return _keyed(used, ["scope", "tool", "shell"], lateness is not None, make, FIGHTS_SCHEMA)
+    keys, limits = ["scope", "tool", "shell"], (params.max_fight_gap_s * 1_000_000, params.near_tokens, params.token_sim)
+    used = journal_usage(_late(journal, lateness), params)
+    if lateness is None:
+        return _in_arrival_order(used, keys, lambda columns: state.FightProcessor(columns, *limits), FIGHTS_SCHEMA)
+    make_slices = lambda *base: state.FightSlices(*base, *limits)
+    return _in_event_order(used, keys, params, make_slices, RUNS_SCHEMA, lambda _: state.FightJoiner(*limits), FIGHTS_SCHEMA)
 
 
 def stream_suggestions(
@@ -71,7 +89,7 @@ def stream_suggestions(
     lateness: str | None = None,
 ) -> DataFrame:
     """Suggestions for failures of a journal stream; ``by_tool`` is the static side."""
-    used = journal_usage(_late(journal, lateness))
+    used = journal_usage(_late(journal, lateness), params)
     return suggest(failures(used, roots, params), by_tool)
 
 
@@ -83,13 +101,17 @@ def stream_cooldown(
     Set ``ordered`` when the suggestions were made with a ``lateness``.
     """
     rows = suggestions.withColumn("won_at_us", F.unix_micros("won_at")).drop("won_at")
-
-    def make(*base):
-        return state.CooldownProcessor(*base, params.cooldown_s * 1_000_000)
-
-    return _keyed(rows, ["scope", "tool"], ordered, make).withColumnRenamed("micros", "ts_us")
-
-
-def running_counts(commands: DataFrame) -> DataFrame:
-    """Command and help counts so far, a row for each of ``COUNT_KEYS``; write in update mode, keyed by them."""
-    return command_counts(classify_commands(commands))
+    keys, cooldown = ["scope", "tool"], params.cooldown_s * 1_000_000
+    if ordered:
+        sums = "scope string, tool string, slice bigint, packed binary"
+        make_joiner = lambda columns: state.CooldownJoiner(columns, cooldown)
+        passed = _in_event_order(rows, keys, params, state.PackedSlices, sums, make_joiner)
+    else:
+        passed = _in_arrival_order(rows, keys, lambda columns: state.CooldownProcessor(columns, cooldown))
+    return passed.withColumnRenamed("micros", "ts_us")
+
+
+def running_counts(commands: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """Command and help counts so far, a row for each of ``COUNT_KEYS``; write in update mode, keyed by them
+    (``sinks.merge_by_key``)."""
+    return command_counts(classify_commands(commands, params), params)

@@ -6,6 +6,7 @@ package, so that it can be sent to workers by value.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -61,65 +62,37 @@ def same_intent(a: str, b: str, near: int = 3, floor: float = 0.5) -> bool:
     return most >= 0 and _within(x, y, most)
 
 
-class OrderedProcessor(StatefulProcessor):
-    """Handle the rows of a key in (ts, seq) order.
+def _towards_zero(a: int, b: int) -> int:
+    return a // b if a >= 0 else -(-a // b)
+
+
+def _millis(told: int) -> pd.Timestamp:
+    """Event time of a row made when the watermark is ``told``: just behind it, so no later step drops it."""
+    return pd.Timestamp(told + 1, unit="ms")
+
 
-    With ``reorder`` rows wait in state until the watermark passes them, so rows
-    that arrive out of order are still handled in order. Without, each
-    micro-batch is sorted and handled at once: arrival order between batches.
-    Subclasses keep one state tuple and say when it may be forgotten.
+class ArrivalProcessor(StatefulProcessor):
+    """Handle the rows of a key batch by batch, those of a batch in (ts, seq) order.
+
+    For logs that arrive in order. Subclasses keep one state tuple.
     """
 
     state_schema = ""
 
-    def __init__(self, columns: list[str], row_schema: str, reorder: bool) -> None:
-        self.columns, self.row_schema = columns, row_schema
-        self.reorder = reorder
+    def __init__(self, columns: list[str]) -> None:
+        self.columns = columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
         self.state = handle.getValueState("state", self.state_schema)
-        self.buffer = handle.getListState("buffer", self.row_schema) if self.reorder else None
 
     def step(self, state: tuple | None, row: tuple) -> tuple[tuple | None, dict | None]:
         """New state and output for one row (a named tuple with ``micros``)."""
         raise NotImplementedError
 
-    def forget_after(self, state: tuple) -> int:
-        """Microseconds of event time after which the state has no effect."""
-        raise NotImplementedError
-
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True)
-        if not self.reorder:
-            yield from self._advance(key, batch)
-            return
-        self.buffer.appendList([tuple(r) for r in batch[self.columns].itertuples(index=False)])
-        self._wake(int(batch["micros"].min()))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        limit = timerValues.getCurrentWatermarkInMs() * 1000
-        if self.reorder and self.buffer.exists():
-            held = pd.DataFrame(list(self.buffer.get()), columns=self.columns)
-            due = held["micros"] < limit
-            waiting = held[~due]
-            if waiting.empty:
-                self.buffer.clear()
-            else:
-                self.buffer.put([tuple(r) for r in waiting.itertuples(index=False)])
-                self._wake(int(waiting["micros"].min()))
-            if due.any():
-                yield from self._advance(key, held[due])
-        if self.state.exists() and self.forget_after(self.state.get()) < limit:
-            self.state.clear()
-
-    def _wake(self, micros: int) -> None:
-        self.handle.registerTimer(micros // 1000 + 1)
-
-    def _advance(self, key, batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
         state = tuple(self.state.get()) if self.state.exists() else None
         out = []
-        for row in batch.sort_values(["micros", "seq"]).itertuples(index=False):
+        for row in pd.concat(list(rows), ignore_index=True).sort_values(["micros", "seq"]).itertuples(index=False):
             state, made = self.step(state, row)
             if made is not None:
                 out.append(made)
@@ -127,24 +100,19 @@ class OrderedProcessor(StatefulProcessor):
             self.state.clear()
         else:
             self.state.update(state)
-            if self.reorder:
-                self._wake(self.forget_after(state))
         if out:
             yield pd.DataFrame(out)
 
 
-class FightProcessor(OrderedProcessor):
+class FightProcessor(ArrivalProcessor):
     """Failure runs closed by a success of the same intent."""
 
     state_schema = "first bigint, last bigint, cmd string, failures bigint"
 
-    def __init__(self, columns, row_schema, reorder, gap_micros: int, near: int, floor: float) -> None:
-        super().__init__(columns, row_schema, reorder)
+    def __init__(self, columns, gap_micros: int, near: int, floor: float) -> None:
+        super().__init__(columns)
         self.gap, self.near, self.floor = gap_micros, near, floor
 
-    def forget_after(self, state: tuple) -> int:
-        return state[1] + self.gap
-
     def step(self, state, row):
         if state is not None:
             recent = row.micros - state[1] <= self.gap
@@ -155,31 +123,182 @@ class FightProcessor(OrderedProcessor):
             return (first, row.micros, row.cmd, failures + 1), None
         if state is None:
             return None, None
-        return None, {
-            "scope": row.scope, "tool": row.tool, "shell": row.shell, "seq": row.seq,
-            "command": row.cmd, "attempts": state[3] + 1,
-            "cost_ms": max(0, _towards_zero(row.micros - state[0], 1000) + row.dur_ms),
-            "cwd": row.cwd, "ts_us": row.micros,
-        }
+        return None, _fight(row, state[3] + 1, state[0], row.micros)
 
 
-def _towards_zero(a: int, b: int) -> int:
-    return a // b if a >= 0 else -(-a // b)
+def _fight(row, attempts: int, first: int, last: int) -> dict:
+    return {
+        "scope": row.scope, "tool": row.tool, "shell": row.shell, "seq": row.seq, "command": row.cmd,
+        "attempts": attempts, "cost_ms": max(0, _towards_zero(last - first, 1000) + row.dur_ms), "cwd": row.cwd, "ts_us": last,
+    }
 
 
-class CooldownProcessor(OrderedProcessor):
+class CooldownProcessor(ArrivalProcessor):
     """Let a row through when none was within the cooldown; it restarts the clock."""
 
     state_schema = "spoken bigint"
 
-    def __init__(self, columns, row_schema, reorder, cooldown_micros: int) -> None:
-        super().__init__(columns, row_schema, reorder)
+    def __init__(self, columns, cooldown_micros: int) -> None:
+        super().__init__(columns)
         self.cooldown = cooldown_micros
 
-    def forget_after(self, state: tuple) -> int:
-        return state[0] + self.cooldown
-
     def step(self, state, row):
         if state is not None and row.micros - state[0] < self.cooldown:
             return state, None
         return (row.micros,), row._asdict()
+
+
+class SliceProcessor(StatefulProcessor):
+    """Hold the rows of a key and slice of time until the watermark has passed the slice.
+
+    Rows are only appended to, and read once; nothing is written again. A busy key has
+    one state for each slice, and its slices are handled by different tasks.
+    """
+
+    def __init__(self, columns: list[str], row_schema: str, slice_micros: int) -> None:
+        self.columns, self.row_schema, self.slice = columns, row_schema, slice_micros
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", self.row_schema)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if not self.held.exists():
+            self.handle.registerTimer((int(key[-1]) + 1) * self.slice // 1000)
+        for frame in rows:
+            self.held.appendList([tuple(r) for r in frame[self.columns].itertuples(index=False)])
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame(list(self.held.get()), columns=self.columns).sort_values(["micros", "seq"])
+        self.held.clear()
+        yield self.summary(key, list(held.itertuples(index=False)), _millis(timerValues.getCurrentWatermarkInMs()))
+
+    def summary(self, key, rows: list[tuple], told_at: pd.Timestamp) -> pd.DataFrame:
+        """Rows in order to what the next step needs to know of them."""
+        raise NotImplementedError
+
+
+class FightSlices(SliceProcessor):
+    """A slice to its whole fights, and the runs at its ends that may go on outside.
+
+    A run goes on from a failure to the next row if that is recent and has the same intent. ``head``
+    marks the first run, which may belong to the one before the slice, ``ends`` a run that another
+    one follows. A run that is neither first nor open at the end is a fight or nothing.
+    """
+
+    def __init__(self, columns, row_schema, slice_micros, gap_micros: int, near: int, floor: float) -> None:
+        super().__init__(columns, row_schema, slice_micros)
+        self.gap, self.near, self.floor = gap_micros, near, floor
+
+    def summary(self, key, rows, told_at):
+        runs: list[list] = []
+        for row in rows:
+            last = runs[-1][1] if runs else None
+            near = last is not None and last.exit != 0 and row.micros - last.micros <= self.gap
+            if near and same_intent(last.cmd, row.cmd, self.near, self.floor):
+                runs[-1][1:] = [row, runs[-1][2] + 1]
+            else:
+                runs.append([row, row, 1])
+        out = []
+        for place, (first, last, n) in enumerate(runs):
+            head, tail = place == 0, place == len(runs) - 1
+            whole = not head and last.exit == 0
+            if whole and n == 1 or not (whole or head or tail):
+                continue
+            out.append({
+                "scope": last.scope, "tool": last.tool, "shell": last.shell, "slice": int(key[-1]), "place": place,
+                "whole": whole, "head": head, "ends": not tail, "n": n, "first": first.micros, "first_cmd": first.cmd,
+                "micros": last.micros, "cmd": last.cmd, "exit": last.exit, "dur_ms": last.dur_ms, "cwd": last.cwd,
+                "seq": last.seq, "told_at": told_at,
+            })
+        return pd.DataFrame(out)
+
+
+class FightJoiner(StatefulProcessor):
+    """Join the open runs of a key's slices, which come in order; whole fights pass.
+
+    The state is the run of failures at the end of the last slice. A key has a few rows for each
+    slice, however many rows the slice had.
+    """
+
+    def __init__(self, gap_micros: int, near: int, floor: float) -> None:
+        self.gap, self.near, self.floor = gap_micros, near, floor
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "first bigint, last bigint, cmd string, failures bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        edges, out = [], []
+        for frame in rows:
+            whole = frame[frame["whole"]]
+            if len(whole):
+                yield pd.DataFrame([_fight(row, row.n, row.first, row.micros) for row in whole.itertuples(index=False)])
+            edges += list(frame[~frame["whole"]].itertuples(index=False))
+        state = tuple(self.state.get()) if self.state.exists() else None
+        for row in sorted(edges, key=lambda r: (r.slice, r.place)):
+            goes_on = row.head and state is not None and row.first - state[1] <= self.gap
+            goes_on = goes_on and same_intent(state[2], row.first_cmd, self.near, self.floor)
+            first, n = (state[0], state[3] + row.n) if goes_on else (row.first, row.n)
+            state = None
+            if row.exit == 0:
+                if n > 1:
+                    out.append(_fight(row, n, first, row.micros))
+            elif not row.ends:
+                state = (first, row.micros, row.cmd, n)
+        if state is None:
+            self.state.clear()
+        else:
+            self.state.update(state)
+            self.handle.registerTimer((state[1] + self.gap) // 1000 + 1)
+        if out:
+            yield pd.DataFrame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists() and self.state.get()[1] + self.gap < timerValues.getCurrentWatermarkInMs() * 1000:
+            self.state.clear()
+        return iter(())
+
+
+class PackedSlices(SliceProcessor):
+    """A slice to one row that holds its rows in order."""
+
+    def summary(self, key, rows, told_at):
+        packed = pickle.dumps([tuple(r) for r in rows])
+        return pd.DataFrame([{"scope": key[0], "tool": key[1], "slice": int(key[2]), "packed": packed, "told_at": told_at}])
+
+
+class CooldownJoiner(StatefulProcessor):
+    """The cooldown over a key's packed slices; they wait in a map by slice and are opened one by one."""
+
+    def __init__(self, columns: list[str], cooldown_micros: int) -> None:
+        self.columns, self.cooldown = columns, cooldown_micros
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.spoken = handle.getValueState("spoken", "spoken bigint")
+        self.slices = handle.getMapState("slices", "slice bigint", "packed binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            for row in frame.itertuples(index=False):
+                self.slices.updateValue((row.slice,), (row.packed,))
+        spoken = self.spoken.get()[0] if self.spoken.exists() else None
+        place = self.columns.index("micros")
+        for number in sorted(k[0] for k in self.slices.keys()):
+            out = []
+            for row in pickle.loads(self.slices.getValue((number,))[0]):
+                if spoken is None or row[place] - spoken >= self.cooldown:
+                    spoken = row[place]
+                    out.append(row)
+            self.slices.removeKey((number,))
+            if out:
+                yield pd.DataFrame(out, columns=self.columns)
+        self.spoken.update((spoken,))
+        self.handle.registerTimer((spoken + self.cooldown) // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.spoken.exists() and self.spoken.get()[0] + self.cooldown < timerValues.getCurrentWatermarkInMs() * 1000:
+            self.spoken.clear()
+        return iter(())

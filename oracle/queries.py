@@ -101,7 +101,8 @@ _LOG = f"""
   FROM events"""
 
 
-def _classify(source: str, text: str, keep: str) -> str:
+def _classify(source: str, text: str, keep: str, wrappers: str = "sudo|doas|time|nohup") -> str:
+    # The wrapper words, the help tools and flags, here and below.
     return f"""
   SELECT *, help_target IS NOT NULL AS is_help FROM (
     SELECT *, CASE WHEN tool IN ('man','tldr','help')
@@ -109,7 +110,7 @@ def _classify(source: str, text: str, keep: str) -> str:
                    WHEN regexp_matches(rest, ' (--help|-\\?|/\\?)( |$)') THEN tool END AS help_target
     FROM (
       SELECT *, {base_name("lower(string_split(rest, ' ')[1])")} AS tool FROM (
-        SELECT *, regexp_replace(cmd, '^(?:(?:[^ =][^ ]*=[^ ]*|sudo|doas|time|nohup)(?: |$))+', '') AS rest
+        SELECT *, regexp_replace(cmd, '^(?:(?:[^ =][^ ]*=[^ ]*|{wrappers})(?: |$))+', '') AS rest
         FROM (SELECT {keep}, {text} AS cmd FROM {source}) WHERE cmd <> '')))"""
 
 
@@ -270,6 +271,7 @@ _SECRETS = (
     "sk_live_abcdefghijklmnopqrst now", "eyJabcdefghijk.abcdefghijkl.abcdefg now",
 )
 _SECRET_LIST = "[" + ", ".join(f"'{s}'" for s in _SECRETS) + "]"
+# Fixed value: the wording of the first notes.
 _MARK = "<!-- cmdlode:keep -->"
 _NOTES = f"{_MARK}\n## Your notes\n\nAnything below the keep-marker survives rescans. Make it yours.\n"
 # The wording of a sheet, in the texts of this statement.
@@ -362,6 +364,18 @@ passed AS (
 SELECT {columns} FROM {rows} JOIN firsts USING ({keys}, ts_us, seq) JOIN passed USING ({keys}, ts_us)"""
 
 
+_JOURNAL_LINES = "CASE WHEN event_id % 7 < 3 THEN 2 ELSE 1 END"
+_OWN_NOISE, _OWN_WRAPPERS = "('docker','make')", "sudo|npm"
+
+
+def _own(c: str) -> str:
+    return f"regexp_replace(regexp_replace({c}, '--k [0-4]\\b', '--k <low>', 'g'), '(?i)LOGS$', '<logs>', 'g')"
+
+
+def _own_rows(text: str, keep: str) -> str:
+    return f"SELECT * FROM ({_classify('log', text, keep, _OWN_WRAPPERS)}) WHERE NOT is_help AND tool <> '' AND tool NOT IN {_OWN_NOISE}"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "classify": _with(
@@ -483,6 +497,33 @@ def oracle_sql() -> dict[str, str]:
                        epoch_us(ts) AS ts_us, unnest(CASE WHEN event_id % 7 < 3 THEN [0, 1] ELSE [1] END) AS i FROM log))
             WHERE i = 1""",
         ),
+        "journal_status": _with(
+            ["log"],
+            f"""SELECT scope, strftime(ts, '%Y-%m') AS month, CAST(sum({_JOURNAL_LINES}) AS BIGINT) AS n_lines, false AS failed
+            FROM log GROUP BY ALL UNION ALL SELECT NULL, '', 0, true""",
+        ),
+        "discovered_files": _with(["log"], "SELECT scope, shell AS source, seq AS pos, cmd AS command FROM log"),
+        "scan_summary": _with(
+            ["log", "shown"],
+            """SELECT scope, count(*) AS n_commands, count(DISTINCT shell) AS n_sources, 0 AS n_failed, count(*) AS n_journal,
+              coalesce(any_value(n), 0) AS n_sheets
+            FROM log LEFT JOIN (SELECT scope, count(*) AS n FROM shown GROUP BY scope) USING (scope) GROUP BY scope
+            UNION ALL SELECT NULL, 0, 0, 1, 0, 0""",
+        ),
+        "stream_files": _with(["log"], "SELECT scope, cmd, exit, dur_ms, cwd, shell, epoch_us(ts) AS ts_us FROM log"),
+        "stream_histories": _with(["log"], "SELECT scope, shell AS source, seq AS pos, cmd AS command FROM log"),
+        "own_lists": _with(
+            ["log"],
+            f"""SELECT * FROM (
+            SELECT *, CAST(row_number() OVER (PARTITION BY scope, tool ORDER BY "count" DESC, command) AS INTEGER) AS rank
+            FROM (SELECT scope, tool, {_own(redact("cmd"))} AS command, "count"
+                  FROM (SELECT scope, tool, cmd, count(*) AS "count" FROM ({_own_rows(normalize("cmd"), "scope")}) GROUP BY ALL)
+                  WHERE "count" >= 3 AND contains(cmd, ' '))) WHERE rank <= 8""",
+        ),
+        "own_lists_journal": _with(
+            ["log"],
+            f"""SELECT scope, tool, cmd, count(*) AS n FROM ({_own_rows(_own(redact(normalize("cmd"))), "scope")}) GROUP BY ALL""",
+        ),
         "journal_store": _ingested(),
         "show_sheet": f"SELECT * FROM ({_with(['shown', 'labelled', 'hits', 'totals'], _FRESH_SHEET)}) WHERE tool = 'git'",
         "clip_commands": """WITH d AS (SELECT doc_id, text, strlen(text) > 8192 AS was_cut FROM documents),
@@ -493,6 +534,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, md5(coalesce(t, text)) AS digest, length(coalesce(t, text)) AS n_chars, was_cut FROM d LEFT JOIN k USING (doc_id)""",
         "similar_long": _with(["log"], _LONG_PAIRS),
         "stream_fights": _with(["fought"], f"SELECT {_FIGHT_COLS} FROM fought"),
+        "stream_fights_ordered": _with(["fought"], f"SELECT {_FIGHT_COLS} FROM fought"),
+        "stream_counts_sink": _with(["used_helped"], "SELECT * FROM used_helped"),
         "stream_suggestions": _with(
             ["advised"], _cooldown("scope, tool", "advised", _ADVISED), recursive=True
         ),

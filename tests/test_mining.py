@@ -198,11 +198,24 @@ def test_positions_of_hot_keys(spark, hot):
     rng = random.Random(hot)
     rows = [(rng.choice("aaab"), rng.randint(0, 400), i) for i in range(900)]
     df = spark.createDataFrame(rows, "k string, at bigint, id bigint")
-    got = dense_positions(df, ["k"], ["at", "id"], F.floor(F.col("at") / 10), "pos", replace(DEFAULTS, hot_key_rows=hot))
-    for key in "ab":
-        mine = sorted((r.pos, r.at, r.id) for r in got.where(F.col("k") == key).collect())
-        assert [(a, i) for _, a, i in mine] == sorted((a, i) for k, a, i in rows if k == key)
-        assert [p for p, _, _ in mine] == list(range(len(mine)))
+    for width, place in ((10, None), (10, F.col("at")), (1000, F.col("at"))):
+        bucket = F.floor(F.col("at") / width)
+        got = dense_positions(df, ["k"], ["at", "id"], bucket, "pos", replace(DEFAULTS, hot_key_rows=hot), place=place)
+        assert got.columns == ["k", "at", "id", "pos"]
+        for key in "ab":
+            mine = sorted((r.pos, r.at, r.id) for r in got.where(F.col("k") == key).collect())
+            assert [(a, i) for _, a, i in mine] == sorted((a, i) for k, a, i in rows if k == key)
+            assert [p for p, _, _ in mine] == list(range(len(mine)))
+
+
+def test_a_full_bucket_is_numbered_in_several_tasks(spark):
+    """All rows of a key in one bucket: the window over them has as many parts as quantiles."""
+    from cmdlode.operators.sequence import _ranges
+
+    rows = spark.range(5000).selectExpr("'k' AS k", "id * id AS at", "true AS _hot", "0L AS _bucket")
+    ranged = _ranges(rows, ["k"], F.col("at"), replace(DEFAULTS, hot_key_rows=500))
+    sizes = [r["count"] for r in ranged.groupBy("_range").count().collect()]
+    assert len(sizes) >= 30 and max(sizes) < 400
 
 
 def test_empty_inputs(spark):

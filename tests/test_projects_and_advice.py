@@ -55,6 +55,24 @@ def test_roots(spark):
     assert {k: v is not None for k, v in listed.items()} == {
         (d[0], d[1]): d[2] in ("/w/api", "/w", "c:/code/app") for d in DIRS
     }
+    keyed = projects._keyed_roots(roots)
+    by_map = projects._with_root_by_map(df, keyed, "cwd", __import__("cmdlode").DEFAULTS)
+    assert {(r.scope, r.cwd): r._root for r in by_map.collect()} == listed
+
+
+def test_one_join_for_roots_of_any_depth(spark, tmp_path):
+    """A stream meets the roots in one join, whatever their depths."""
+    roots = spark.createDataFrame([("s", "/a" + "/b" * n) for n in range(9)], "scope string, root string")
+    spark.createDataFrame([("s", "/a/b/b/c")], "scope string, cwd string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("scope string, cwd string").parquet(str(tmp_path / "in"))
+    placed = projects.with_project(stream, roots)
+    plan = placed._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Join LeftOuter") == 1
+    query = placed.writeStream.format("memory").queryName("placed").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [(r.project_key, r.label) for r in spark.table("placed").collect()] == [("/a/b/b", "b")]
+    many = __import__("dataclasses").replace(__import__("cmdlode").DEFAULTS, max_scope_roots=3)
+    assert projects.with_project(stream, roots, params=many)._jdf.queryExecution().analyzed().toString().count("Join LeftOuter") == 9
 
 
 def test_ancestor_limit(spark):

@@ -150,7 +150,98 @@ def test_journal_read(spark, tmp_path):
 
 
 def test_missing_journal_is_empty(spark, tmp_path):
-    assert journal.read_journal(spark, str(tmp_path / "none" / "*.jsonl")).collect() == []
+    rows, status = journal.load_journal(spark, str(tmp_path / "none" / "*.jsonl"))
+    assert rows.collect() == [] and [(r.scope, r.n_lines, r.error) for r in status.collect()] == [(None, 0, "PATH_NOT_FOUND")]
+
+
+def test_journal_status_tells_of_broken_files(spark, tmp_path):
+    put(tmp_path / "scope=u" / "2031-05.jsonl", "\n".join(LINES) + "\n")
+    put(tmp_path / "scope=v" / "2031-05.jsonl", "")
+    data = gzip.compress(b'{"cmd":"make"}\n' * 50_000)
+    (tmp_path / "scope=w").mkdir()
+    (tmp_path / "scope=w" / "2031-05.jsonl.gz").write_bytes(data[:-9])
+    rows, status = journal.load_journal(spark, str(tmp_path / "scope=*" / "*.jsonl*"))
+    assert {r.scope for r in rows.select("scope").collect()} == {"u"}
+    found = {r.scope: r for r in status.collect()}
+    assert {s: (r.n_lines, r.error is None) for s, r in found.items()} == {"u": (10, True), "v": (0, True), "w": (0, False)}
+
+
+def jobs_of(spark, group, run):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_many_broken_files_take_no_more_jobs_than_one(spark, tmp_path):
+    rng = random.Random(4)
+    whole = gzip.compress("\n".join(f"make {rng.random()}" for _ in range(300)).encode())
+    jobs = {}
+    for n in (1, 25):
+        root = tmp_path / str(n)
+        for i in range(300):
+            folder = root / f"scope=u{i}"
+            folder.mkdir(parents=True)
+            broken = i < n
+            if i % 3 == 0:
+                (folder / "bash_history.gz").write_bytes(whole[:-20] if broken else whole)
+            else:
+                (folder / "bash_history").write_text("make a\nmake b\n")
+                if broken:  # what the store has of it does not agree with its checksum
+                    put_with_wrong_sum(spark, folder / "bash_history")
+        probe = histories.Probe("bash", "bash", str(root / "scope=*" / "bash_history*"))
+        (commands, status), jobs[n] = jobs_of(spark, f"broken-{n}", lambda: histories.load_histories(spark, [probe]))
+        bad = {r.scope for r in status.collect() if r.error}
+        assert bad == {f"u{i}" for i in range(n)}
+        assert {r.scope for r in commands.select("scope").distinct().collect()} == {f"u{i}" for i in range(n, 300)}
+        assert commands.count() == sum(300 if i % 3 == 0 else 2 for i in range(n, 300))
+    assert jobs[25] <= jobs[1]
+
+
+def put_with_wrong_sum(spark, path):
+    """A file beside a checksum file of other content, as the local store keeps them."""
+    other = path.with_name("other")
+    stream = spark._jvm.org.apache.hadoop.fs.Path(str(other)).getFileSystem(spark._jsc.hadoopConfiguration()).create(
+        spark._jvm.org.apache.hadoop.fs.Path(str(other))
+    )
+    stream.write(bytearray(b"something else of it\n"))
+    stream.close()
+    other.with_name(".other.crc").rename(path.with_name(f".{path.name}.crc"))
+    other.rename(path.parent.parent / f"away-{path.parent.name}")
+
+
+@pytest.mark.parametrize("ending,pack", [("gz", gzip.compress), ("bz2", __import__("bz2").compress)])
+def test_faults_of_compressed_files(tmp_path, ending, pack):
+    from cmdlode.sources.files import fault_of
+
+    data = pack(bytes(random.Random(1).randbytes(200_000)))
+    (tmp_path / f"good x.{ending}").write_bytes(data)
+    (tmp_path / f"short.{ending}").write_bytes(data[:-1000])
+    (tmp_path / f"torn.{ending}").write_bytes(data[:50_000] + b"xxxx" + data[50_004:])
+    (tmp_path / "x.lz4").write_bytes(b"")
+    assert fault_of(f"file:{tmp_path}/good x.{ending}") is None
+    assert all(fault_of(f"file://{tmp_path}/{name}.{ending}") for name in ("short", "torn", "none"))
+    assert "cannot be checked" in fault_of(str(tmp_path / "x.lz4"))
+
+
+def test_discover_takes_other_places(spark, tmp_path):
+    put(tmp_path / "scope=u" / "shell=zsh" / "a.txt", ": 1:0;make\n")
+    probes = histories.discover(str(tmp_path), landed=(("zsh", "shell=zsh/*"), ("bash", "shell=bash/*")))
+    commands, status = histories.load_histories(spark, probes)
+    assert [(r.scope, r.source, r.command) for r in commands.collect()] == [("u", "zsh", "make")]
+    assert {(r.source, r.error is None) for r in status.collect()} == {("zsh", True), ("bash", False)}
+
+
+def test_scan_summary(spark, tmp_path, journal):
+    put(tmp_path / "scope=ann" / "bash_history", "hg pull\nhg update\n")
+    put(tmp_path / "scope=ann" / "zsh_history", ": 1:0;make\n")
+    put(tmp_path / "scope=bob" / "bash_history", "\n")
+    commands, status = histories.load_histories(spark, histories.discover(str(tmp_path)))
+    entries = journal((0, "make", 1, 5), (1, "make", 0, 5), scope="cy")
+    shown = spark.createDataFrame([("ann", "hg"), ("ann", "make")], "scope string, tool string")
+    rows = {r.scope: tuple(r)[1:] for r in usage.scan_summary(commands, status, entries, shown).collect()}
+    assert rows == {"ann": (3, 2, 0, 0, 2), "bob": (0, 1, 0, 0, 0), "cy": (0, 0, 0, 2, 0), None: (0, 0, 2, 0, 0)}
 
 
 def b64(text):
@@ -221,13 +312,13 @@ def test_damaged_snapshots_fall_back(spark, tmp_path, damage):
         snapshots.write_snapshot(table, path)
 
     def harm(number):
-        folder = tmp_path / "victories" / (f"manifest={number}" if damage == "manifest" else f"snapshot={number}")
-        for file in folder.glob("part-*"):
+        manifest = tmp_path / "victories" / f"manifest={number}"
+        for file in [manifest] if damage == "manifest" else (tmp_path / "victories" / f"snapshot={number}").glob("part-*"):
             if damage == "lost":
                 file.rename(tmp_path / f"away-{number}-{file.name}")
             else:
                 file.write_bytes(b"PAR1 nonsense")
-            (folder / f".{file.name}.crc").unlink(missing_ok=True)
+            (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
 
     harm(2)
     with pytest.warns(UserWarning, match="snapshot 2"):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cmdlode.operators.cooldown import apply_cooldown
 from cmdlode.operators.fights import fights, journal_usage
 from cmdlode.operators.usage import classify_commands, command_counts
-from cmdlode.sources.snapshots import VICTORY_SCHEMA, write_snapshot
+from cmdlode.sources.snapshots import VICTORY_SCHEMA, read_victories, write_snapshot
 from cmdlode.streaming import operators as streams
 from cmdlode.streaming import sinks, state
 from cmdlode.streaming.replay import replay
@@ -65,14 +65,14 @@ def run_out_of_order(spark, tmp_path, rows, transform, jitter):
 
 
 def test_late_rows_within_the_watermark_do_not_change_fights(spark, tmp_path):
-    rows, log = random_log(spark, 350)
+    rows, log = random_log(spark, 200)
     want = fight_rows(fights(journal_usage(log)))
     got = run_out_of_order(spark, tmp_path, rows, lambda s: streams.stream_fights(s, "4 hours"), jitter=20)
     assert fight_rows(got) == want
 
 
 def test_cooldown_with_a_watermark(spark, tmp_path):
-    rows, log = random_log(spark, 250)
+    rows, log = random_log(spark, 160)
 
     def suggested(journal):
         if journal.isStreaming:
@@ -120,8 +120,172 @@ def entry(seq, minutes, cmd="make x", exit=1):
 def test_late_rows_are_kept(spark, tmp_path):
     batches = [[entry(0, 0), entry(1, 60)], [entry(2, 51), entry(3, 49), entry(4, 200)], [entry(5, 195), entry(6, 1)]]
     out = str(tmp_path / "out")
-    feed(spark, tmp_path, batches, JOURNAL, lambda s: sinks.late_rows(s, "10 minutes", out, str(tmp_path / "cp")))
-    assert sorted(r.seq for r in spark.read.parquet(f"{out}/late").collect()) == [3, 6]
+    feed(spark, tmp_path, batches, JOURNAL, lambda s: sinks.split_late(s, "10 minutes", out, str(tmp_path / "cp")))
+    rows = spark.read.parquet(out).select("seq", "late").collect()
+    assert sorted(r.seq for r in rows if r.late == "true") == [3, 6]
+    assert sorted(r.seq for r in rows if r.late == "false") == [0, 1, 2, 4, 5]
+    assert len([p for p in (tmp_path / "out" / "_clock").iterdir() if p.suffix == ".json"]) == 2
+
+
+def test_timely_rows_lose_nothing_under_the_watermark(spark, tmp_path):
+    """Late rows beside, the others through the sliced fights: together what the log has."""
+    rows, _ = random_log(spark, 200)
+    rng = random.Random(2)
+    shuffled = [r for _, r in sorted(enumerate(rows), key=lambda p: p[0] + rng.random() * 60)]
+    split = str(tmp_path / "split")
+    batches = [shuffled[i : i + 40] for i in range(0, 200, 40)]
+    feed(spark, tmp_path, batches, JOURNAL, lambda s: sinks.split_late(s, "1 hour", split, str(tmp_path / "cp")))
+    timely = spark.read.schema(JOURNAL).parquet(f"{split}/late=false")
+    late = spark.read.parquet(f"{split}/late=true").count()
+    assert late > 5 and timely.count() + late == 200
+    want = fight_rows(fights(journal_usage(timely)))
+    end = spark.createDataFrame([("clock", 0, max(r[2] for r in rows) + timedelta(days=2), "make all", 1, 1, "", "bash")], JOURNAL)
+    end.withColumn("batch", F.lit(99)).write.parquet(f"{split}/late=false/load=99")
+    stream = streams.stream_fights(sinks.timely_rows(spark, split, JOURNAL), "1 hour")
+    out = str(tmp_path / "fights")
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp2")).trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    assert fight_rows(spark.read.schema(stream.schema).parquet(out).where("scope <> 'clock'")) == want
+
+
+def test_one_hot_key_in_one_batch(spark, tmp_path):
+    """A busy key: its slices are summed up apart and joined, with runs over many slices and gaps."""
+    rng, rows, at = random.Random(8), [], 0.0
+    for seq in range(4000):
+        at += rng.choice([0.001, 1, 5, 40, 40, 200, 905])
+        cmd = rng.choice(["git push a", "git push ab", "git push ab"] if seq % 300 < 200 else ["git pull x y", "git push a"])
+        rows.append(("s", seq, T0 + timedelta(seconds=at), cmd, int(rng.random() < 0.8), 10, "/p", "bash"))
+    want = fight_rows(fights(journal_usage(spark.createDataFrame(rows, JOURNAL))))
+    assert len(want) > 200 and max(w[4] for w in want) > 10
+    rows.append(("clock", 0, rows[-1][2] + timedelta(days=2), "make all", 1, 1, "", "bash"))
+    got = replay(spark.createDataFrame(rows, JOURNAL), lambda s: streams.stream_fights(s, "10 minutes"))
+    assert fight_rows(got.where("scope <> 'clock'")) == want
+
+
+def test_slices_are_summed_like_the_whole():
+    """Summing up slices and joining them, without Spark, against one pass over all rows."""
+    from collections import namedtuple
+
+    Row = namedtuple("Row", "scope tool shell seq cmd exit dur_ms cwd micros")
+    rng = random.Random(3)
+    for width in (1, 7, 50, 10_000):
+        slices = state.FightSlices(Row._fields, "", width, 20, 3, 0.5)
+        rows, at = [], 0
+        for seq in range(300):
+            at += rng.choice([0, 1, 3, 19, 20, 21])
+            rows.append(Row("s", "git", "bash", seq, rng.choice(["git push a", "git pull x y"]), int(rng.random() < 0.7), 5, "/p", at))
+        single = state.FightProcessor(Row._fields, 20, 3, 0.5)
+        whole, kept = [], None
+        for row in rows:
+            kept, made = single.step(kept, row)
+            whole += [made] if made else []
+        found, edges = [], []
+        for number in sorted({r.micros // width for r in rows}):
+            part = slices.summary(("s", "git", "bash", number), [r for r in rows if r.micros // width == number], None)
+            made = list(part.itertuples(index=False)) if len(part) else []
+            assert sum(not r.whole for r in made) <= 2
+            found += [state._fight(r, r.n, r.first, r.micros) for r in made if r.whole]
+            edges += [r for r in made if not r.whole]
+        joiner = state.FightJoiner(20, 3, 0.5)
+        found += join_edges(joiner, edges)
+        assert sorted(found, key=lambda f: f["seq"]) == whole
+
+
+def join_edges(joiner, edges):
+    """The joiner over rows in one call, with a state held here."""
+    import pandas as pd
+
+    class Held:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+        def registerTimer(self, at):
+            pass
+
+    joiner.state, joiner.handle = Held(), Held()
+    out = []
+    for i in range(0, len(edges), 9):
+        for frame in joiner.handleInputRows(None, [pd.DataFrame(edges[i : i + 9])], None):
+            out += frame.to_dict("records")
+    return out
+
+
+def test_merged_counts_survive_repeats_and_restarts(spark, tmp_path):
+    """Totals by key after every batch, one of which is run twice; untouched buckets are not written again."""
+    rng = random.Random(6)
+    table, schema = str(tmp_path / "table"), "k string, n bigint"
+    keys = [None, "", "a b", *(f"key{i}" for i in range(60))]
+    held, total = {}, sinks.merge_by_key
+    assert sinks.read_merged(spark, table) is None
+    batches = []
+    for _ in range(5):
+        changed = {k: rng.randrange(100) for k in rng.sample(keys, 6)}
+        batches.append(list(changed.items()))
+    captured = []
+
+    def writer(stream):
+        made = total(stream, ["k"], table, str(tmp_path / "cp"), 16)
+        return made
+
+    for number, batch in enumerate(batches):
+        feed(spark, tmp_path, [batch], schema, writer)
+        held |= dict(batch)
+        assert {r.k: r.n for r in sinks.read_merged(spark, table).collect()} == held
+        folder = tmp_path / "table" / "data" / f"batch={number}"
+        captured.append(len(list(folder.glob("_bucket=*"))))
+    assert all(n <= 6 for n in captured)
+    assert len(list((tmp_path / "table" / "_notes").glob("batch-*.json"))) == 2
+
+    class Again:  # the last batch once more, as after a failure behind its writing
+        def option(self, *_):
+            return self
+
+        def foreachBatch(self, write):
+            write(spark.createDataFrame(batches[-1], schema), len(batches) - 1)
+            return self
+
+        def outputMode(self, _):
+            return self
+
+    class Stream:
+        writeStream = Again()
+
+    total(Stream(), ["k"], table, "", 16)
+    assert {r.k: r.n for r in sinks.read_merged(spark, table).collect()} == held
+
+
+def test_an_unchanged_snapshot_is_not_scanned_again(spark, tmp_path, monkeypatch):
+    won, out = str(tmp_path / "won"), str(tmp_path / "out")
+    write_snapshot(spark.createDataFrame([("s", "make", 1, "make -j all", 3, 1000, "", T0)], VICTORY_SCHEMA), won)
+    reads = []
+    monkeypatch.setattr(sinks, "read_victories", lambda *args: reads.append(args) or read_victories(*args))
+    source = str(tmp_path / "source")
+    for i in range(3):
+        spark.createDataFrame([entry(i, i)], JOURNAL).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(JOURNAL).option("maxFilesPerTrigger", 1).parquet(source)
+    sinks.fresh_suggestions(stream, won, out, str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.seq for r in spark.read.parquet(out).collect()) == [0, 1, 2] and len(reads) == 1
+
+
+def test_rows_without_a_time_get_that_of_their_batch(spark, tmp_path):
+    schema = "id int, ts timestamp, cmd_b64 string, stdin string, cwd string, cwd_b64 string"
+    out = str(tmp_path / "out")
+    feed(spark, tmp_path, [[(0, None, None, "make a", None, None), (1, None, None, "make b", None, None)]], schema,
+         lambda s: sinks.ingest_by_month(s, out, str(tmp_path / "cp")))
+    rows = spark.read.parquet(f"{out}/journal").collect()
+    assert len({r.ts for r in rows}) == 1 and rows[0].ts is not None
 
 
 def test_new_victories_are_seen_in_mid_stream(spark, tmp_path):
