@@ -47,6 +47,7 @@ SHARD = 1 << 21
 _SECTION = 1 << 22
 _MOST_BITS, _SPARE_BITS = 26, 4
 _SEEDS = 8
+_PARTS = 64  # of a language, for the first cut
 
 _ENDS, _BLANKS = b".,;:!?\x0b\x0c\r", b"\t"
 _TABLE = bytes.maketrans(_ENDS + _BLANKS, b"\n" * len(_ENDS) + b" " * len(_BLANKS))
@@ -376,8 +377,12 @@ def collocations(
         phrase = F.concat_ws(" ", *[f"word{i}" for i in range(size)]).alias("phrase")
         rows = rows.select("lang", phrase, "a", "l", "r", "score")
         found = rows if found is None else found.unionByName(rows)
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    # A language may hold most phrases: the best of each of its parts are found first.
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    part = F.pmod(F.xxhash64("phrase"), F.lit(_PARTS)).alias("part")
+    place = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    first = found.select("*", part).withColumn("rank", place("lang", "part")).where(F.col("rank") <= top)
+    ranked = first.withColumn("rank", place("lang")).where(F.col("rank") <= top)
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     return ranked.join(totals, "lang").select(
         "lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score"

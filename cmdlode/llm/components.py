@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cmdlode.session import stored
+from cmdlode.session import discard, stored
 
 MAX_ROUNDS = 60
 
@@ -41,5 +41,6 @@ def components(edges: DataFrame) -> DataFrame:
         torn = children.where("n > 1").union(current.join(children, F.col("b") == F.col("child")).select("b", "n"))
         if torn.isEmpty():  # every node has one root, and no root has one
             return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        current = stored(_small_star(_large_star(current)), "edges")
+        before, current = current, stored(_small_star(_large_star(current)), "edges")
+        discard(before)
     raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")

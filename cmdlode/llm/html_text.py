@@ -2,18 +2,22 @@
 
 1. Markup is stripped into *lines*, one for each block of the page (paragraph, heading,
    list item, table row, stretch between line breaks). Lines remember the elements around
-   them. Lines inside elements that are boilerplate by kind (navigation, footers, asides,
-   forms, scripts) or by name (``class``, ``id`` or ``role`` such as ``ad``, ``comments``) count
-   as empty, as do runs of links.
-2. The lengths of the lines, each bounded by a multiple of the page's median line, are
+   them. Lines count as empty inside elements that are boilerplate by kind (navigation,
+   footers, asides, scripts) or that hold reader comments, as do runs of links.
+2. Names (``class``, ``id``) are read as whole words of a page's author: ``sidebar`` or
+   ``top-menu`` name what an element is, ``has-sidebar`` or ``menu-open`` say something of the page
+   and count for nothing. An element named as boilerplate is that unless it holds most of the page's
+   text, or an article with much of it; a form too. A name that only begins like one
+   (``related-work``) makes an element boilerplate outside of articles, if it is mainly links.
+3. The lengths of the lines, each bounded by a multiple of the page's median line, are
    summed over sliding windows of three. From the fullest window the text is followed to
    the left up to its surge and to the right up to its dive, where the windows fall under
    a share of the fullest one for longer than a short valley.
-3. The element that holds the text between surge and dive (the article around its
+4. The element that holds the text between surge and dive (the article around its
    fullest window, else the deepest element with most of it, widened while the element
    around it adds mainly text that is no boilerplate) is the page's body: all its lines
-   that are no boilerplate are kept, short ones too. Without an article, so are the lines
-   between surge and dive.
+   that are no boilerplate are kept, short ones too, and those of other articles beside an
+   article. Without an article, so are the lines between surge and dive.
 
 Defined results: null html is an empty page; a page without text gives ``''`` and 0.
 Unclosed and cut-off markup is closed where the next block or the end demands it. Repeated
@@ -50,12 +54,12 @@ _BLOCK = {
     "tfoot", "thead", "tr", "ul", "caption", "br", "button", "template",
 }
 _DROPPED = {
-    "head", "nav", "footer", "aside", "form", "menu", "dialog", "select", "button", "template", "svg", "math", "canvas",
-    "object", "audio", "video", "datalist", "fieldset", "map",
+    "head", "nav", "footer", "aside", "menu", "dialog", "select", "button", "template", "svg", "math", "canvas",
+    "object", "audio", "video", "datalist", "map",
 }
 _ROLES = {
-    "navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "form", "menu",
-    "menubar", "toolbar", "note", "status",
+    "navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu",
+    "menubar", "toolbar", "status",
 }
 _NAMES = {
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adbox", "adsense", "sponsor", "sponsored", "promo",
@@ -63,8 +67,20 @@ _NAMES = {
     "breadcrumb", "breadcrumbs", "footer", "masthead", "topbar", "cookie", "cookies", "cookiebar", "consent", "gdpr", "notice",
     "notices", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login",
     "signin", "search", "searchbox", "share", "sharing", "social", "related", "recommended", "recommendations", "trending",
-    "comment", "comments", "commentlist", "disqus", "replies", "reply", "respond", "discussion", "pagination", "pager", "toolbar",
-    "widget", "widgets", "copyright", "disclaimer", "skip", "outbrain", "taboola", "teaser", "teasers", "paywall",
+    "pagination", "pager", "toolbar", "widget", "widgets", "copyright", "disclaimer", "skip", "outbrain", "taboola", "teaser",
+    "teasers", "paywall", "header",
+}
+_COMMENTS = {"comment", "comments", "commentlist", "disqus", "replies", "reply", "respond", "discussion"}
+# What follows a name of boilerplate when both name an element: "sidebar-left", "related-posts".
+_PLACES = {
+    "list", "item", "items", "box", "bar", "block", "area", "wrap", "wrapper", "container", "section", "link", "links", "button",
+    "buttons", "bottom", "top", "left", "right", "inner", "outer", "content", "body", "slot", "unit", "form", "panel", "column", "row",
+    "text", "message", "posts", "articles", "stories", "news", "icons", "thread", "meta", "author", "title", "main", "primary", "secondary",
+}
+# What makes a name say something of the page: "has-sidebar", "comments-open".
+_SAYS = {
+    "has", "have", "with", "without", "no", "not", "is", "are", "show", "shows", "hide", "hides", "open", "opened", "closed", "on", "off",
+    "enabled", "disabled", "active", "visible", "layout", "js", "supports",
 }
 _INSIDE = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 _ENDS = {
@@ -85,9 +101,9 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 class _Element:
     name: str
     parent: int
-    dropped: bool = False  # by kind: nothing inside counts
-    named: bool = False  # by name: unless the page's body is inside
-    holds_body: bool = False
+    dropped: bool = False  # by kind, or reader comments: nothing inside counts
+    named: bool = False  # by name, or a form: unless it holds much of the page
+    hinted: bool = False  # by the beginning of a name: if it is mainly links
 
 
 @dataclass
@@ -103,8 +119,20 @@ class _Page:
     lines: list[_Line] = field(default_factory=list)
 
 
+def _meaning(word: str) -> str:
+    """What a word of ``class`` or ``id`` names: ``comments``, ``named``, ``hinted`` or nothing."""
+    parts = [part.lower() for part in _PART.findall(word) if not part.isdigit()]
+    if not parts or _SAYS.intersection(parts):
+        return ""
+    if _COMMENTS.intersection(parts):
+        return "comments"
+    if "".join(parts) in _NAMES or parts[-1] in _NAMES or (parts[0] in _NAMES and parts[-1] in _PLACES):
+        return "named"
+    return "hinted" if _NAMES.intersection(parts) else ""
+
+
 def _attributes(rest: str) -> tuple[set[str], str, bool]:
-    """Parts of class and id, the role, and whether the element is hidden."""
+    """What class and id name, the role, and whether the element is hidden."""
     names, role, hidden = set(), "", False
     for key, value in _ATTRIBUTE.findall(rest):
         key, value = key.lower(), value.strip("\"'")
@@ -113,7 +141,7 @@ def _attributes(rest: str) -> tuple[set[str], str, bool]:
         elif key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true":
             hidden = True
         elif key in ("class", "id"):
-            names.update(part.lower() for part in _PART.findall(value))
+            names.update(map(_meaning, value.split()))
     return names, role, hidden
 
 
@@ -188,13 +216,12 @@ def _strip(source: str) -> _Page:
         element = _Element(name, stack[-1])
         names, role, hidden = _attributes(found["rest"]) if found["rest"] else (set(), "", False)
         in_article = opened["article"] or opened["main"]
+        page_wide = name in ("html", "body", "main")
         element.dropped = name in _DROPPED or role in _ROLES or hidden or (name == "header" and not in_article)
-        page_wide = name in ("html", "body", "main", "article")
-        element.named = not page_wide and bool(names & _NAMES or ("header" in names and not in_article))
-        if name in ("article", "main", "h1"):
-            for i in stack:
-                page.elements[i].holds_body = True
-        told = element.dropped or element.named or name in _BLOCK or name in ("a", "td", "th")
+        element.dropped |= "comments" in names and not page_wide
+        element.named = name in ("form", "fieldset") or ("named" in names and not page_wide and name != "article")
+        element.hinted = "hinted" in names and not page_wide and not in_article and name != "article"
+        told = element.dropped or element.named or element.hinted or name in _BLOCK or name in ("a", "td", "th")
         if not told and not opened[name]:
             continue  # a plain inline element decides nothing, closed or not
         opened[name] += 1
@@ -232,6 +259,36 @@ def _surge_and_dive(lengths: np.ndarray) -> tuple[int, int, int]:
     return first, last, peak + int(np.argmax(lengths[peak : peak + WINDOW]))
 
 
+def _sums(page: _Page, lengths: np.ndarray) -> np.ndarray:
+    """Text inside each element."""
+    held = np.zeros(len(page.elements), dtype=np.int64)
+    np.add.at(held, [line.element for line in page.lines], lengths)
+    held = held.tolist()
+    for i in range(len(held) - 1, 0, -1):  # children come after their parents
+        held[page.elements[i].parent] += held[i]
+    return np.array(held)
+
+
+MOST = 0.5  # of the page's text: what holds so much is no boilerplate by name
+MUCH = 0.25  # of the page's text: what holds an article of so much neither
+
+
+def _boilerplate(page: _Page, lengths: np.ndarray, linked: np.ndarray) -> list[bool]:
+    """Elements whose text does not count, by name and what they hold; ``lengths`` leave out what is dropped by kind."""
+    held, links = _sums(page, lengths), _sums(page, linked)
+    whole = max(1, int(held[0]))
+    frames = [False] * len(page.elements)  # around an article that holds much
+    for i in range(len(page.elements) - 1, 0, -1):
+        element = page.elements[i]
+        if frames[i] or (element.name in ("article", "main") and held[i] >= MUCH * whole):
+            frames[element.parent] = True
+    bad = [False] * len(page.elements)
+    for i, element in enumerate(page.elements):  # parents come first
+        by_name = element.named or (element.hinted and 2 * links[i] >= held[i])
+        bad[i] = (i > 0 and bad[element.parent]) or (by_name and held[i] <= MOST * whole and not frames[i])
+    return bad
+
+
 def main_text(source: str | None) -> str:
     page = _strip(source or "")
     if not page.lines:
@@ -240,23 +297,28 @@ def main_text(source: str | None) -> str:
     bad, inner = [False] * n, [False] * n
     for i, element in enumerate(page.elements):  # parents come first
         up = element.parent
-        bad[i] = (i > 0 and bad[up]) or element.dropped or (element.named and not element.holds_body)
+        bad[i] = (i > 0 and bad[up]) or element.dropped
         inner[i] = (i > 0 and inner[up]) or element.name in ("article", "main")
+    raw = np.array([0 if bad[line.element] else len(line.text) for line in page.lines], dtype=np.int64)
+    named = _boilerplate(page, _bounded(raw), np.minimum(raw, [line.linked for line in page.lines]))
     lengths = np.zeros(len(page.lines), dtype=np.int64)
     for k, line in enumerate(page.lines):
         link = line.linked >= 0.9 * len(line.text) and not inner[line.element] and len(line.text) < 200
-        lengths[k] = 0 if bad[line.element] or link else len(line.text)
+        lengths[k] = 0 if link or named[line.element] else raw[k]
     if not lengths.any():
         return ""
-    full = np.sort(lengths[lengths > 0])
-    bounded = np.minimum(lengths, BOUND * full[(len(full) - 1) // 2])  # no single line decides
+    bounded = _bounded(lengths)
     first, last, centre = _surge_and_dive(bounded)
     body = _body(page, _ancestors(page, page.lines[centre].element), bounded, first, last)
-    below = [False] * n
-    for i, element in enumerate(page.elements):
-        below[i] = i == body or (i > 0 and below[element.parent])
     whole_page = page.elements[body].name in ("page", "html", "body")
     article = page.elements[body].name in ("article", "main")
+    bodies = {body}
+    if page.elements[body].name == "article":  # and the articles beside it
+        up = page.elements[body].parent
+        bodies.update(i for i, e in enumerate(page.elements) if e.parent == up and e.name == "article")
+    below = [False] * n
+    for i, element in enumerate(page.elements):
+        below[i] = i in bodies or (i > 0 and below[element.parent])
     kept = [
         line.text
         for k, line in enumerate(page.lines)
@@ -265,6 +327,12 @@ def main_text(source: str | None) -> str:
     return "\n".join(kept)
 
 
+def _bounded(lengths: np.ndarray) -> np.ndarray:
+    """Lengths of at most a multiple of the median line, so that no single line decides."""
+    full = np.sort(lengths[lengths > 0])
+    return np.minimum(lengths, BOUND * full[(len(full) - 1) // 2]) if len(full) else lengths
+
+
 def _body(page: _Page, path: list[int], lengths: np.ndarray, first: int, last: int) -> int:
     """The element of ``path`` (upwards) that holds the text between surge and dive."""
     for name in ("article", "main"):

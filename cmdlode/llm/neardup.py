@@ -16,6 +16,9 @@ Two documents of similarity 0.75 share no bucket with probability (1 - 0.75^4)^4
 3e-7, and less above; the sketch rejects only below an estimate of 0.5, more than five
 deviations away. ``100 * intersection >= 75 * union`` is decided on the sets.
 
+No text is shuffled: a bitmap of ids tells the pass over the texts whose sets are needed, and
+``keep_one`` sifts rows by a bitmap of those that go.
+
 Defined results: a null text or one without words has an empty set, links with nothing
 and is kept. Null ids are allowed; a component's id is its least id that is not null.
 Repeated ids are separate rows. An empty table gives no rows.
@@ -24,16 +27,17 @@ Repeated ids are separate rows. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cmdlode.llm.components import components
+from cmdlode.llm.sift import Sift, one_of_each, row_key, sift_of, without_rows
 from cmdlode.llm.words import WordHasher, gram_hashes, int_lists, lower_ascii, mix64, row_slices, texts_of
-from cmdlode.session import stored
+from cmdlode.session import discard, stored
 
 SHINGLE = 5
 BANDS, ROWS = 40, 4
@@ -97,7 +101,7 @@ def most_odd_bits(similarity: float) -> int:
     return int(SKETCH_BITS / 2 * (1 - np.exp(-2 * differing / SKETCH_BITS)))
 
 
-_SIGNED = "doc_id bigint, digest binary, n_shingles bigint, bands array<bigint>, sketch array<bigint>"
+_SIGNED = "_id bigint, _hash bigint, digest binary, n_shingles bigint, bands array<bigint>, sketch array<bigint>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,18 +116,27 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands.append(None if samples is None else band_keys(samples))
             sketches.append(None if samples is None else odd_sketch(samples))
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), int_lists(bands), int_lists(sketches)],
-            names=["doc_id", "digest", "n_shingles", "bands", "sketch"],
+            [
+                part.column("_id"), part.column("_hash"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()),
+                int_lists(bands), int_lists(sketches),
+            ],
+            names=["_id", "_hash", "digest", "n_shingles", "bands", "sketch"],
         )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher = WordHasher("blank")
-    for part in row_slices(batches, 200):
-        found = [shingle_set(text, hasher) for text in texts_of(part)]
-        digests = pa.array([set_digest(s) for s in found], pa.binary())
-        cells = int_lists([filled_cells(s) for s in found])
-        yield pa.RecordBatch.from_arrays([digests, int_lists(found), cells], names=["digest", "shingles", "cells"])
+def _sets(wanted: Sift) -> Callable:
+    """Sets of the texts whose ``key`` may be wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher("blank")
+        for part in row_slices(batches, 200):
+            chosen = part.filter(pa.array(wanted.holds(part.column("key").to_numpy())))
+            found = [shingle_set(text, hasher) for text in texts_of(chosen)]
+            digests = pa.array([set_digest(s) for s in found], pa.binary())
+            cells = int_lists([filled_cells(s) for s in found])
+            yield pa.RecordBatch.from_arrays([digests, int_lists(found), cells], names=["digest", "shingles", "cells"])
+
+    return run
 
 
 def _odd_bits(a: Column, b: Column) -> Column:
@@ -139,7 +152,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs ``a, b`` of classes whose full sets are similar enough."""
     one = sets.select(F.col("digest").alias("a"), F.col("shingles").alias("in_a"))
     two = sets.select(F.col("digest").alias("b"), F.col("shingles").alias("in_b"))
-    both = F.size(F.array_intersect("in_a", "in_b"))
+    both = F.size(F.array_intersect("in_a", "in_b")).cast("bigint")
     enough = 100 * both >= PERCENT * (F.size("in_a") + F.size("in_b") - both)
     return pairs.join(one, "a").join(two, "b").where(enough).select("a", "b")
 
@@ -156,7 +169,9 @@ def _members(classes: DataFrame) -> DataFrame:
     fame = shared.groupBy("digest").agg(F.sum("n").alias("fame"))
     best = shared.join(fame, "digest").groupBy("band").agg(F.max(F.struct("fame", "digest")).alias("_best"))
     leaders = best.select("band", F.col("_best.digest").alias("leader"))
-    return stored(shared.select("band", "digest").join(leaders, "band"), "members")
+    members = stored(shared.select("band", "digest").join(leaders, "band"), "members")
+    discard(shared)
+    return members
 
 
 def _across(members: DataFrame, roots: DataFrame, sets: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -192,7 +207,9 @@ def _across(members: DataFrame, roots: DataFrame, sets: DataFrame, sketches: Dat
     enough = fits(F.least("x.usable", "y.usable"), sizes)
     overlap = F.least(F.col("x.n") - F.col("x.filled"), F.col("y.n") - F.col("y.filled")) + both
     pairs = x.join(y, across & enough & fits(overlap, sizes) & _like(F.col("x.sketch"), F.col("y.sketch")))
-    return pairs.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct()
+    pairs = stored(pairs.select(F.col("x.digest").alias("a"), F.col("y.digest").alias("b")).distinct(), "across")
+    discard(open_members, able)
+    return pairs
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -202,8 +219,8 @@ def _mixed(rows: DataFrame) -> DataFrame:
 
 
 def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, digest, n_shingles, root`` of every row: its class and its component's class."""
-    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    """``_id, _hash, n_shingles, root`` of every row: its key and its component's class."""
+    plain = docs.select(*row_key(id_col, text_col), F.col(text_col).alias("text"))
     signed = stored(plain.mapInArrow(_sign, _SIGNED), "signed")
     filled = signed.where("n_shingles > 0")
     classes = stored(filled.select("digest", "bands", "sketch").dropDuplicates(["digest"]), "classes")
@@ -217,12 +234,13 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .where(_like(F.col("of_a"), F.col("of_b"))).select("a", "b")
     )
     # Sets of all classes that share a bucket, from one row of each.
-    wanted = members.select("digest").distinct()
-    rows = filled.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    ids = rows.select(F.col("doc_id").alias("_id")).distinct()
-    texts = plain.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
-    found = texts.mapInArrow(_sets, "digest binary, shingles array<bigint>, cells array<bigint>")
+    wanted = stored(members.select("digest").distinct(), "wanted")
+    key = F.xxhash64("_id", "_hash").alias("key")
+    rows = filled.select("digest", key).join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("key").alias("key"))
+    keys = stored(rows.select("key"), "keys")
+    found = plain.select(key, "text").mapInArrow(_sets(sift_of(keys)), "digest binary, shingles array<bigint>, cells array<bigint>")
     sets = stored(found.join(wanted, "digest", "left_semi").dropDuplicates(["digest"]), "sets")
+    discard(wanted, keys)
 
     links = stored(_confirmed(first, sets), "links")
     roots = components(links)
@@ -230,33 +248,40 @@ def classes_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     more = stored(_confirmed(second, sets), "links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
-    rooted = signed.select("doc_id", "digest", "n_shingles").join(roots.withColumnRenamed("node", "digest"), "digest", "left")
-    return rooted.withColumn("root", F.coalesce("root", "digest"))
+    narrow = signed.select("_id", "_hash", "digest", "n_shingles")
+    rooted = narrow.join(roots.withColumnRenamed("node", "digest"), "digest", "left")
+    rooted = stored(rooted.select("_id", "_hash", "n_shingles", F.coalesce("root", "digest").alias("root")), "rooted")
+    discard(signed, classes, members, sets, links, second, more)
+    return rooted
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``id, n_shingles, component_id, kept``; ``kept`` marks the least id of each component."""
-    rooted = stored(classes_of(docs, id_col, text_col), "rooted")
-    least = rooted.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
+    rooted = classes_of(docs, id_col, text_col)
+    least = rooted.where("n_shingles > 0").groupBy("root").agg(F.min("_id").alias("least"))
     least = least.select(F.col("root").alias("_root"), "least")
     named = rooted.join(least, (F.col("root") == F.col("_root")) & (F.col("n_shingles") > 0), "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
+    component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("_id"))
     return named.select(
-        F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"),
-    )
+        F.col("_id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept")
+    )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` without near-duplicates: of each component the row of its least id, once."""
-    kept = near_duplicates(docs, id_col, text_col).where("kept").groupBy(F.col(id_col).alias("_kept"))
-    kept = stored(kept.agg(F.count("*").alias("n")), "kept")
-    repeated = stored(kept.where("n > 1"), "repeated")  # as a rule none, so it takes no part in a shuffle
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    keyed = docs.select(row, F.col(id_col).alias("_id"))
-    same_id = F.col("_id").eqNullSafe(F.col("_kept"))
-    single = keyed.join(kept.where("n = 1"), same_id, "left_semi").select("_row")
-    several = keyed.join(repeated, same_id, "left_semi").withColumn("_hash", F.xxhash64(F.col("_row").getField(text_col)))
-    same = Window.partitionBy("_id", "_hash").orderBy("_hash")
-    first = several.withColumn("_copy", F.row_number().over(same)).where("_copy = 1").select("_row")
-    return single.unionByName(first).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    """Rows of ``docs`` without near-duplicates: one of each component, and all without words.
+
+    It is the row of the least id, a null id being the last; of equal ids the one whose text has the
+    least hash. Of rows alike in id and text one stays.
+    """
+    rooted = classes_of(docs, id_col, text_col).where("n_shingles > 0")
+    place = F.struct(F.col("_id").isNull().alias("unnamed"), F.col("_id").alias("id"), F.col("_hash").alias("hash"))
+    best = rooted.groupBy("root").agg(F.min(place).alias("best"))
+    is_best = F.col("_id").eqNullSafe(F.col("best.id")) & (F.col("_hash") == F.col("best.hash"))
+    judged = stored(
+        rooted.join(best, "root").groupBy("_id", "_hash").agg(F.min(is_best.cast("int")).alias("best"), F.count("*").alias("n")), "judged"
+    )
+    dropped = judged.where("best = 0 or n > 1").select("_id", "_hash")
+    repeated = stored(judged.where("best = 1 and n > 1").select("_id", "_hash"), "repeated")  # as a rule none
+    kept = without_rows(docs, dropped, id_col, text_col)
+    discard(rooted)
+    return kept if repeated.isEmpty() else kept.unionByName(one_of_each(docs, repeated, id_col, text_col))

@@ -3,8 +3,10 @@
 A value is recognised, validated (check digits, ranges, the calendar), mapped to its
 place among the valid values of its format, and that place is permuted by a keyed
 Feistel network with cycle walking. The result is written back in the same format, so
-it is valid too, and equal values get equal pseudonyms in every document. The key is a
-parameter; with it ``restore`` undoes a pseudonym.
+it is valid too. A pseudonym depends on the value and the key alone, whatever stands beside it, so
+equal values stay linked in every document. A date has one pseudonym in all its formats, a phone
+number one whatever its groups. ``pseudonymize`` tells where it has put pseudonyms; with these
+spans and the key ``restore`` undoes them.
 
 Work is done per document, with one pattern over each text that holds a digit or an at
 sign; nothing is shuffled. Where a shape fits but the value is not valid, the shorter
@@ -25,7 +27,7 @@ from datetime import date, timedelta
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 ROUNDS = 8
 _DAYS = (date(1900, 1, 1), date(2099, 12, 31))
@@ -55,7 +57,12 @@ _IBAN_LENGTHS = dict(
         "SA:24 SC:31 SE:24 SI:19 SK:24 SM:27 ST:25 SV:28 TL:23 TN:24 TR:26 UA:29 VA:22 VG:24 XK:20"
     ).split()
 )
-_AROUND = 80  # characters beside a value that can change how it is read; all shapes but addresses are shorter
+# Calling codes of one and two digits; all others have three.
+_CALLING_CODES = {
+    "1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53",
+    "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98",
+}
+_HOME_CODE = "1"  # of phone numbers without a code: only shapes of ten digits are read
 KINDS = ("email", "iban", "ip", "date", "ssn", "card", "phone")
 
 
@@ -162,15 +169,11 @@ class Pseudonyms:
         size = (_DAYS[1] - _DAYS[0]).days + 1
         if not 0 <= value < size or (not iso and text[2] != text[5]):
             return None
-        slashed_day_first = not iso and text[2] == "/" and not month_first
-
-        def valid(d: date) -> bool:  # what was written day first must still be read so
-            return not slashed_day_first or d.day > 12
-
+        late = day > 12  # kept, so that what can only be read day first still is
         while True:
-            value = self._move("date-" if iso else f"date{text[2]}", size, value)
+            value = self._move("date", size, value)
             moved = _DAYS[0] + timedelta(value)
-            if valid(moved):
+            if (moved.day > 12) == late:
                 break
         if iso:
             return moved.isoformat()
@@ -201,8 +204,9 @@ class Pseudonyms:
         plain = "".join(c for c in text if c.isdigit())
         if not 9 <= len(plain) <= 15:
             return None
-        prefix = len(re.match(r"\+?([0-9]*)", text)[1]) if text[0] == "+" else 0
-        prefix = min(prefix, 3)
+        if text[0] != "+":
+            return _refill(text, self._digits("phone" + _HOME_CODE, plain))
+        prefix = next((n for n in (1, 2) if plain[:n] in _CALLING_CODES), 3)
         return _refill(text, plain[:prefix] + self._digits("phone" + plain[:prefix], plain[prefix:]))
 
     def _ends(self, kind: str, text: str, start: int) -> list[int]:
@@ -260,68 +264,73 @@ class Pseudonyms:
                 yield start, *value
             at = value[1] if value else start + 1
 
-    def _move_value(self, kind: str, left: str, value: str, right: str) -> str:
-        """The pseudonym; moved on until the text is read with the same bounds as before, so that ``restore`` finds it."""
-
-        def bounds(new: str) -> list[tuple[str, int, int]]:
-            text = left + new + right
-            return [(k, *(at if at <= len(left) else at - len(text) for at in (start, end))) for start, k, end in self._read(text)]
-
-        want, new = bounds(value), getattr(self, kind)(value)
-        while bounds(new) != want:
-            new = getattr(self, kind)(new)
-        return new
-
-    def replace(self, text: str) -> tuple[str, dict[str, int]]:
-        """From the first value to the last; back from the last to the first, so each one meets the same neighbours."""
-        counts = dict.fromkeys(KINDS, 0)
-        found, out = list(self._read(text)), []
-        for kind in (k for _, k, _ in found):
-            counts[kind] += 1
-        if self._back:
-            at, right = len(text), ""
-            for start, kind, end in reversed(found):
-                right = (text[end:at] + right)[:_AROUND]
-                new = self._move_value(kind, text[max(0, start - _AROUND) : start], text[start:end], right)
-                out += text[end:at], new
-                at, right = start, (new + right)[:_AROUND]
-            return "".join((text[:at], *reversed(out))), counts
-        at, left = 0, ""
-        for start, kind, end in found:
-            left = (left + text[at:start])[-_AROUND:]
-            new = self._move_value(kind, left, text[start:end], text[end : end + _AROUND])
+    def replace(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
+        """The text with pseudonyms, and kind, start and end of each in it."""
+        out, spans, at, size = [], [], 0, 0
+        for start, kind, end in self._read(text):
+            new = getattr(self, kind)(text[start:end])
+            size += start - at
+            spans.append((kind, size, size + len(new)))
             out += text[at:start], new
-            at, left = end, (left + new)[-_AROUND:]
-        return "".join((*out, text[at:])), counts
+            at, size = end, size + len(new)
+        return "".join((*out, text[at:])), spans
+
+    def restore(self, text: str, spans: Iterable[tuple[str, int, int]]) -> str:
+        """The text with the values at ``spans`` moved as this object moves them (``back``)."""
+        out, at = [], 0
+        for kind, start, end in spans:
+            out += text[at:start], getattr(self, kind)(text[start:end])
+            at = end
+        return "".join((*out, text[at:]))
 
 
 _SIGN = re.compile("[0-9@]")
 
 
-def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text", back: bool = False) -> DataFrame:
-    """Columns of ``docs``, the text replaced, and the number of values of each kind as ``n_<kind>``.
+SPANS = "spans"
+_SPAN = StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())])
+_ARROW_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+
+
+def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
+    """Columns of ``docs``, the text replaced, the number of values of each kind as ``n_<kind>``, and
+    ``spans`` of the pseudonyms (code points, the end exclusive).
 
     Columns of these names are replaced; the others pass through untouched.
     """
     counts = [f"n_{kind}" for kind in KINDS]
-    docs = docs.drop(*(c for c in docs.columns if c in counts))
+    docs = docs.drop(*(c for c in docs.columns if c in (*counts, SPANS)))
     names = docs.columns
-    schema = StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in counts)])
+    added = [*(StructField(c, LongType()) for c in counts), StructField(SPANS, ArrayType(_SPAN))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pseudonyms, none = Pseudonyms(key, back), dict.fromkeys(KINDS, 0)
+        pseudonyms = Pseudonyms(key)
         for batch in batches:
             texts = (value.as_py() for value in batch.column(text_col))
-            done = [pseudonyms.replace(t) if t and _SIGN.search(t) else (t, none) for t in texts]
+            done = [pseudonyms.replace(t) if t and _SIGN.search(t) else (t, []) for t in texts]
             new = pa.array([t for t, _ in done], pa.string())
             columns = [new if c == text_col else batch.column(c) for c in names]
-            numbers = [pa.array([c[kind] for _, c in done], pa.int64()) for kind in KINDS]
-            yield pa.RecordBatch.from_arrays([*columns, *numbers], names=[*names, *counts])
+            numbers = [pa.array([sum(k == kind for k, *_ in spans) for _, spans in done], pa.int64()) for kind in KINDS]
+            placed = pa.array([[dict(zip(("kind", "start", "end"), s)) for s in spans] for _, spans in done], pa.list_(_ARROW_SPAN))
+            yield pa.RecordBatch.from_arrays([*columns, *numbers, placed], names=[*names, *counts, SPANS])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *added]))
 
 
 def restore(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
-    """Texts as before ``pseudonymize`` with the same key."""
-    return pseudonymize(docs, key, text_col, back=True).select(*docs.columns)
+    """The result of ``pseudonymize`` with the same key, its texts as before; ``n_<kind>`` and ``spans`` go."""
+    names = [c for c in docs.columns if c not in (*(f"n_{kind}" for kind in KINDS), SPANS)]
+    schema = StructType([docs.schema[c] for c in names])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pseudonyms = Pseudonyms(key, back=True)
+        for batch in batches:
+            rows = zip(batch.column(text_col), batch.column(SPANS))
+            texts = [
+                pseudonyms.restore(text.as_py(), [tuple(s.values()) for s in spans.as_py()]) if spans.is_valid and len(spans) else text.as_py()
+                for text, spans in rows
+            ]
+            new = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([new if c == text_col else batch.column(c) for c in names], names=names)
+
+    return docs.mapInArrow(run, schema)

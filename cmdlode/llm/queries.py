@@ -175,7 +175,7 @@ FROM v
 
 _OP7 = rf"""
 WITH d AS (
-  SELECT doc_id, source, md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS g,
+  SELECT doc_id, source, md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(md5(text), 'null')) AS g,
          length(regexp_replace(regexp_replace(coalesce(text, ''), '{_CHAR}', 'x', 'g'), '{_BLANK}', '', 'g'))::BIGINT AS size
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
@@ -195,12 +195,9 @@ t AS (
 f AS (
   SELECT *, round(target)::BIGINT // greatest(source_size, 1) AS k,
          round(target)::BIGINT - (round(target)::BIGINT // greatest(source_size, 1)) * source_size AS fraction FROM t),
-p AS (SELECT source, g, sum(size) AS tied, sum(sum(size)) OVER (PARTITION BY source ORDER BY g) AS upto FROM d GROUP BY source, g)
-SELECT d.doc_id, d.size, f.source_size, f.target,
-       (k * d.size + CASE WHEN upto <= fraction THEN d.size WHEN upto - tied >= fraction THEN 0
-                     ELSE d.size * (fraction - upto + tied) // greatest(tied, 1) END)::BIGINT AS taken
-FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source
-JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.g = p.g
+p AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY g ROWS UNBOUNDED PRECEDING) AS upto FROM d)
+SELECT doc_id, size, f.source_size, f.target, (k * size + greatest(0, least(size, fraction - upto + size)))::BIGINT AS taken
+FROM p JOIN f ON p.source IS NOT DISTINCT FROM f.source
 """
 
 

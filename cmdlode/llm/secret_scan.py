@@ -11,7 +11,8 @@ returns the gap before each match; the running sum of gaps and matches gives off
 
 Defined results: a null text is an empty one, with no spans. Matches of a pattern too
 short for it are dropped after matching. A random run that overlaps a pattern's span
-is not reported again. Repeated rows are scanned alike, an empty table gives no rows.
+is not reported again, nor is a universally unique id. Work grows with the length of runs and,
+but for blocks of matches, with their number. Repeated rows are scanned alike, an empty table gives no rows.
 Other input columns are kept; one named ``found`` is replaced.
 """
 
@@ -38,11 +39,13 @@ RANDOM = "random"
 RUN = r"[A-Za-z0-9+/_=-]"
 MIN_RUN = 20
 MIN_SCORE = 12.0  # nats; an even chance for a prior of about 1 in 160,000
+# Shapes that are random by design and name things: universally unique ids.
+ORDINARY = r"(?i)[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}"
 SAMPLE_DOCS = 400
 SAMPLE_STRINGS = 8000
 
 _FIRST, _WIDTH = ord("+"), ord("z") - ord("+") + 1
-_SPANS = "array<struct<start:int,end:int>>"
+_BLOCK = 256
 
 
 def random_strings(spark: SparkSession, n: int = SAMPLE_STRINGS) -> DataFrame:
@@ -88,10 +91,11 @@ class MarkovModel:
     def score(self, run: Column) -> Column:
         """Sum of the ratios over the pairs of ``run``, which must consist of ``RUN`` characters."""
         table = F.split(F.lit(",".join(map(repr, self.weights))), ",").cast("array<double>")
-        code = lambda i: F.ascii(F.substring(run, i, F.lit(1))) - _FIRST
-        at = lambda i: F.element_at(table, code(i) * _WIDTH + code(i + 1) + 1)
-        steps = F.sequence(F.lit(1), F.length(run) - 1)
-        summed = F.aggregate(steps, F.lit(0.0), lambda total, i: total + at(i))
+        codes = F.transform(F.split(run, ""), lambda c: F.ascii(c) - _FIRST)  # split once: one step a character
+        most = F.length(run) - 1
+        pairs = lambda c: F.zip_with(F.slice(c, F.lit(1), most), F.slice(c, F.lit(2), most), lambda a, b: a * _WIDTH + b + 1)
+        places = F.element_at(F.transform(F.array(codes), pairs), 1)  # the codes are used twice and made once
+        summed = F.aggregate(places, F.lit(0.0), lambda total, at: total + F.element_at(table, at))
         return F.when(F.length(run) < 2, F.lit(0.0)).otherwise(summed)
 
 
@@ -137,11 +141,29 @@ def _lengths(text: Column, pattern: str, group: int) -> Column:
     return F.arrays_zip(part(1).alias("gap"), part(2).alias("len"), part(group).alias("measured"))
 
 
+def _blocks(parts: Column) -> Column:
+    """An array as an array of blocks of ``_BLOCK`` elements; an empty one has none."""
+    last = F.floor((F.size(parts) - 1) / _BLOCK).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.slice(parts, i * _BLOCK + 1, F.lit(_BLOCK)))
+    return F.filter(cut, lambda block: F.size(block) > 0)
+
+
+def _running(sizes: Column, first: Column) -> Column:
+    """Running sums of a short array, ``first`` in front of them."""
+    return F.aggregate(sizes, F.array(first), lambda sums, n: F.array_append(sums, F.element_at(sums, -1) + n))
+
+
 def _ends(parts: str) -> Column:
-    start = F.array(F.lit(0))
-    return F.aggregate(
-        parts, start, lambda ends, p: F.array_append(ends, F.element_at(ends, -1) + p["gap"] + p["len"])
-    )
+    """Where each part ends. Appending copies an array, so sums run within blocks and over blocks."""
+    blocks = _blocks(F.transform(parts, lambda p: p["gap"] + p["len"]))
+
+    def summed(cut: Column) -> Column:
+        whole = F.transform(cut, lambda block: F.aggregate(block, F.lit(0), lambda total, n: total + n))
+        heads = F.slice(_running(whole, F.lit(0)), F.lit(1), F.size(cut))
+        inside = lambda block, head: F.slice(_running(block, head), F.lit(2), F.size(block))
+        return F.flatten(F.zip_with(cut, heads, inside))
+
+    return F.element_at(F.transform(F.array(blocks), summed), 1)
 
 
 def scan(
@@ -160,7 +182,7 @@ def scan(
     runs = f"{RUN}{{{min_run},}}"
     has_run = text.rlike(runs)
     kinds = [*KINDS, RANDOM]
-    inner = [f"_{kind}{end}" for kind in kinds for end in ("", "_ends")] + ["_text", "_scores", "_base", "_runs"]
+    inner = [f"_{kind}{end}" for kind in kinds for end in ("", "_ends")] + ["_text", "_scores", "_base", "_runs", "_near", "_ordinary"]
     docs = docs.drop(*(c for c in (*inner, "found") if c != text_col))
     once = compute_once(docs, _text=text_or_empty(text_col)).drop(text_col)
     parts = {f"_{kind}": F.when(text.rlike(sign), _lengths(text, p, group)).otherwise(none)
@@ -168,11 +190,13 @@ def scan(
     scores = F.transform(F.regexp_extract_all(text, F.lit(runs), F.lit(0)), model.score)
     parts[f"_{RANDOM}"] = F.when(has_run, _lengths(text, runs, 2)).otherwise(none)
     parts["_scores"] = F.when(has_run, scores).otherwise(F.array().cast("array<double>"))
+    ordinary = F.transform(F.regexp_extract_all(text, F.lit(runs), F.lit(0)), lambda run: run.rlike(f"^(?:{ORDINARY})$"))
+    parts["_ordinary"] = F.when(has_run, ordinary).otherwise(F.array().cast("array<boolean>"))
     once = compute_once(once, **parts).drop("_text")
     once = compute_once(once, **{f"_{kind}_ends": _ends(f"_{kind}") for kind in kinds})
 
     def spans(kind: str) -> Column:
-        end = lambda i: F.get(F.col(f"_{kind}_ends"), i + 1)
+        end = lambda i: F.get(F.col(f"_{kind}_ends"), i)
         return F.transform(
             f"_{kind}",
             lambda p, i: F.struct((end(i) - p["len"]).alias("start"), F.lit(kinds.index(kind)).alias("rank"), end(i).alias("end")),
@@ -182,9 +206,18 @@ def scan(
         return F.filter(spans(kind), lambda s, i: F.get(F.col(f"_{kind}"), i)["measured"] >= least)
 
     base = [long_enough(kind, least) for kind, (_, _, least, _) in KINDS.items()]
-    once = compute_once(once, _base=F.concat(*base), _runs=spans(RANDOM))
-    apart = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    unlike = F.filter("_runs", lambda s, i: (F.get(F.col("_scores"), i) >= min_score) & apart(s))
+    once = compute_once(once, _base=F.array_sort(F.concat(*base)), _runs=spans(RANDOM))
+    reach = F.transform(
+        _blocks(F.col("_base")),
+        lambda block: F.struct(
+            F.get(block, F.lit(0))["start"].alias("first"), F.array_max(F.transform(block, lambda b: b["end"])).alias("last"), block.alias("spans")
+        ),
+    )  # a run is compared with the spans of the blocks it reaches into
+    once = compute_once(once, _near=reach)
+    meets = lambda s, b: (b["start"] < s["end"]) & (s["start"] < b["end"])
+    inside = lambda s, n: (n["first"] < s["end"]) & (s["start"] < n["last"]) & F.exists(n["spans"], lambda b: meets(s, b))
+    apart = lambda s: ~F.exists("_near", lambda n: inside(s, n))
+    unlike = F.filter("_runs", lambda s, i: (F.get(F.col("_scores"), i) >= min_score) & ~F.get(F.col("_ordinary"), i) & apart(s))
     names = F.array(*map(F.lit, kinds))
     named = F.transform(
         F.array_sort(F.concat("_base", unlike)),

@@ -17,8 +17,8 @@ BLANK = r"[ \x09-\x0D]"
 WORD_CHAR = r"[^ \x09-\x0D]"
 _TRIMMED = " \t\n\x0b\x0c\r"
 
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_PLACES = 64  # bytes of a word whose values come from a table
+_SECTION = 1 << 20  # bytes whose values are held at once, and the rest of a word
 
 
 def text_or_empty(text: Column | str) -> Column:
@@ -83,24 +83,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def _byte_values(places: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """A fixed random number for each byte at each place of a word."""
+    return mix64((places.astype(np.uint64) << np.uint64(8) | codes) ^ np.uint64(0x9E3779B97F4A7C15))
+
+
 class WordHasher:
     """64-bit hashes of all words of a text, computed over its bytes at once.
 
-    A word's hash is a polynomial of its bytes, taken from one running sum over the
-    text and shifted to position 0 by the inverse power of its start.
+    Every byte stands for a random number of its own at its place in the word, as in tabulation
+    hashing; a word's hash mixes their sum with its length. Sums come from one running sum.
     """
 
     def __init__(self, is_word: str):
         self.inside = byte_class(is_word)
-        self._powers = np.ones(1, dtype=np.uint64)
-        self._inverses = np.ones(1, dtype=np.uint64)
-
-    def _reach(self, n: int) -> None:
-        if len(self._powers) <= n:
-            size = 1 << n.bit_length()
-            with np.errstate(over="ignore"):
-                self._powers = np.cumprod(np.r_[np.uint64(1), np.full(size, _BASE, np.uint64)], dtype=np.uint64)
-                self._inverses = np.cumprod(np.r_[np.uint64(1), np.full(size, _INVERSE, np.uint64)], dtype=np.uint64)
+        self._table = _byte_values(np.repeat(np.arange(_PLACES), 256), np.tile(np.arange(256, dtype=np.uint64), _PLACES))
 
     def bounds(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Start and end byte of each word."""
@@ -109,15 +106,25 @@ class WordHasher:
         return edges[::2], edges[1::2]
 
     def hashes(self, data: bytes) -> np.ndarray:
+        """Hashes of the words in order, computed for some words at a time to bound memory."""
         starts, ends = self.bounds(data)
-        if not len(starts):
-            return np.empty(0, dtype=np.uint64)
-        self._reach(len(data))
+        codes, before = np.frombuffer(data, dtype=np.uint8), np.cumsum(ends - starts)
+        cuts = np.searchsorted(before, np.arange(0, len(data) + _SECTION, _SECTION))
+        cuts = np.unique(np.r_[cuts, len(starts)])
+        parts = [self._of_words(codes, starts[a:b], ends[a:b]) for a, b in zip(cuts, cuts[1:])]
+        return np.concatenate([np.empty(0, dtype=np.uint64), *parts])
+
+    def _of_words(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        sizes = ends - starts
+        firsts = np.cumsum(sizes) - sizes
+        places = np.arange(int(sizes.sum())) - np.repeat(firsts, sizes)
+        codes = codes[places + np.repeat(starts, sizes)]
+        values = self._table[np.minimum(places, _PLACES - 1) << 8 | codes]
+        if sizes.max() > _PLACES:
+            far = np.flatnonzero(places >= _PLACES)
+            values[far] = _byte_values(places[far], codes[far].astype(np.uint64))
         with np.errstate(over="ignore"):
-            codes = np.frombuffer(data, dtype=np.uint8).astype(np.uint64) + np.uint64(1)
-            sums = np.r_[np.uint64(0), np.cumsum(codes * self._powers[: len(data)], dtype=np.uint64)]
-            raw = (sums[ends] - sums[starts]) * self._inverses[starts]
-            return mix64(raw + (ends - starts).astype(np.uint64))
+            return mix64(np.add.reduceat(values, firsts) ^ sizes.astype(np.uint64))
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -146,7 +146,8 @@ def mix(rows, seed="mix-1", weights=(1, 2, 3), cap=3):
         still -= set(over)
     out = []
     for source in order:
-        own = sorted((r for r in rows if r[2] == source), key=lambda r: hashlib.md5(f"{seed}:{r[0]}".encode()).hexdigest())
+        place = lambda r: hashlib.md5(f"{seed}:{r[0]}:{hashlib.md5(r[1].encode()).hexdigest()}".encode()).hexdigest()
+        own = sorted((r for r in rows if r[2] == source), key=place)
         epochs, rest = divmod(int(target[source] + 0.5), max(1, sizes[source]))
         for doc_id, text, _ in own:
             n = len(WORD.findall(text or ""))

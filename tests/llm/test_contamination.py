@@ -74,6 +74,41 @@ def test_drop_contaminated(spark, docs, prose):
     assert [r["doc_id"] for r in kept.collect()] == [0, 3]
 
 
+def test_rows_of_one_id_are_dropped_by_their_own_text(spark, docs, prose):
+    item = prose(20, 1)
+    frame = docs((5, item), (5, "clean text"), (5, "clean text"), (None, "more clean text"), (None, item), (6, None))
+    kept = C.drop_contaminated(frame, _items(spark, ("a", item))).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == [
+        ("5", "clean text"), ("5", "clean text"), ("6", None), ("None", "more clean text")]
+
+
+def test_a_passage_of_many_items_and_documents(spark, docs, prose):
+    """Items are listed once for each list, not once for each of the passage's windows."""
+    passage = prose(40, 1)
+    items = [(f"i{k:03}", f"{prose(5, 200 + k)} {passage}" if k % 2 else passage) for k in range(60)]
+    items += [(f"own{k}", prose(20, 500 + k)) for k in range(5)]
+    texts = [f"{prose(10, 300 + k)} {passage}" for k in range(50)] + [t for _, t in items[-5:]]
+    frame, listed = docs(*texts), _items(spark, *items)
+    _check(frame, listed)
+    windows = listed.mapInArrow(C._item_windows(13), C._WINDOWS).selectExpr("item_id", "length", "inline(arrays_zip(window, print))")
+    lists, of_lists = C._owners(windows)
+    assert lists.select("list").distinct().count() < 60 + 50
+    assert of_lists.count() < 60 + 60 * 8
+
+
+def test_merged_spans():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        n = rng.integers(1, 20)
+        at, lengths = rng.integers(0, 60, n), rng.integers(1, 14, n)
+        hit = np.zeros(80, dtype=bool)
+        for a, size in zip(at, lengths):
+            hit[a : a + size] = True
+        assert C.merged(at, lengths).tolist() == np.flatnonzero(np.diff(np.r_[0, hit.astype(int), 0])).tolist()
+
+
 @pytest.mark.parametrize("length", [1, 2, 3, 5, 13])
 def test_every_shared_run_shares_a_print(length):
     import numpy as np
@@ -82,4 +117,4 @@ def test_every_shared_run_shares_a_print(length):
     for _ in range(50):
         shared = rng.integers(1 << 62, size=length, dtype=np.uint64)
         a, b = (np.r_[rng.integers(1 << 62, size=n, dtype=np.uint64), shared, rng.integers(1 << 62, size=n, dtype=np.uint64)] for n in (9, 4))
-        assert len(np.intersect1d(C.winnow(a, length), C.winnow(b, length)))
+        assert len(np.intersect1d(C.window_prints(a, length), C.window_prints(b, length)))

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import re
 
+import pytest
+
 from cmdlode.llm.html_text import extract, main_text
 
 LONG = "A first long sentence about rivers and boats that goes on for a good while, so that it stands out. " * 2
@@ -86,3 +88,40 @@ def test_one_long_paragraph_does_not_end_the_text():
         assert main_text(f"<body><p>{long}</p>" + f"<p>{short}</p>" * n + "</body>") == want
     valley = "".join(f"<p>{x}</p>" for x in [long, short, short, *[tiny] * 5, short, short])
     assert main_text(f"<body>{valley}</body>") == "\n".join([long, short, short, *[tiny] * 5, short, short])
+
+
+P1, P2 = f"<p>{LONG}</p>", f"<p>{MORE}</p>"
+NOTE = "<p>Great post, thank you so much for all the work that went into this, I have learned a lot here today.</p>"
+THREAD = "".join(f'<li class="comment"><article><footer>by someone</footer>{NOTE}{NOTE}</article></li>' for _ in range(6))
+LINKS = "".join(f"<li><a href={i}>Another story of some length, number {i}</a></li>" for i in range(8))
+LAYOUTS = {
+    "page-wide form": (f'<body><form id="aspnetForm" action="x"><div class="content">{P1}{P2}</div></form></body>', BOTH),
+    "page-wide form around an article": (f"<body><form method=post><nav>Menu</nav><article>{P1}{P2}</article></form></body>", BOTH),
+    "small form in an article": (f"<article>{P1}<form><label>Your name</label><input><p>Sign up here</p></form>{P2}</article>", BOTH),
+    "wrapper that has a sidebar": (f'<body><div class="content has-sidebar">{P1}{P2}</div><div class="sidebar">{NOTE}</div></body>', BOTH),
+    "wrapper with an open menu": (f'<body><div class="page menu-open">{P1}{P2}</div></body>', BOTH),
+    "body class of a theme": (f'<body class="single comments-open no-sidebar"><div id="wrap">{P1}{P2}</div></body>', BOTH),
+    "wrapper named like a banner": (f'<body><div class="banner">{P1}{P2}</div></body>', BOTH),
+    "wrapper named widget around an article": (f'<div class="widget"><article>{P1}{P2}</article></div><div class="widget">{NOTE}</div>', BOTH),
+    "section of side effects": (f'<article>{P1}<section class="side-effects"><h2>Risks</h2>{P2}</section></article>', f"{LONG.strip()}\nRisks\n{MORE.strip()}"),
+    "list of related work": (f'<article>{P1}<ul class="related-work"><li>{MORE}</li><li>Two</li></ul></article>', f"{BOTH}\nTwo"),
+    "comments as articles inside the post": (f'<article>{P1}{P2}<section id="comments"><ol>{THREAD}</ol></section></article>', BOTH),
+    "comments as articles, page without an article": (f'<div class="entry">{P1}{P2}</div><div id="comments"><ul class="comment-list">{THREAD}</ul></div>', BOTH),
+    "comment articles with their own class": (f"<main>{P1}{P2}" + f'<article class="comment depth-1">{NOTE}{NOTE}</article>' * 5 + "</main>", BOTH),
+    "two articles": (f"<main><article>{P1}</article><article>{P2}</article></main>", BOTH),
+    "two articles without main": (f"<body><nav>x</nav><div><article>{P1}</article><article>{P2}</article></div><footer>y</footer></body>", BOTH),
+    "table in an article": (f"<article>{P1}<table><tr><th>Name<th>Size<tr><td>a<td>2</table>{P2}</article>", f"{LONG.strip()}\nName Size\na 2\n{MORE.strip()}"),
+    "links to related posts": (f'<article>{P1}{P2}</article><div class="related-posts"><ul>{LINKS}</ul></div>', BOTH),
+    "hinted block of links": (f'<body><div class="story">{P1}{P2}</div><div class="trending-now"><ul>{LINKS}</ul></div></body>', BOTH),
+    "camel case names": (f'<body><div id="topMenu">{NOTE}</div><div>{P1}{P2}</div><div class="siteFooter">{NOTE}</div></body>', BOTH),
+    "sidebar with text": (f'<body><div class="sidebar-left">{NOTE}</div><div class="post">{P1}{P2}</div></body>', BOTH),
+    "header of an article": (f"<article><header><h1>Head</h1></header>{P1}{P2}<footer>me</footer></article>", f"Head\n{BOTH}"),
+    "definition list": (f"<article>{P1}<dl><dt>One<dd>First<dt>Two<dd>Second</dl>{P2}</article>", f"{LONG.strip()}\nOne\nFirst\nTwo\nSecond\n{MORE.strip()}"),
+    "fieldset in a page-wide form": (f"<form><div>{P1}{P2}</div><fieldset><legend>Vote</legend>Yes</fieldset></form>", BOTH),
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_layouts(layout):
+    page, want = LAYOUTS[layout]
+    assert main_text(page) == want

@@ -75,6 +75,26 @@ def test_repeated_null_ids_and_empty_tables(spark):
     same = docs.selectExpr("cast(null as bigint) AS doc_id", "text", "source")
     rows = M.mix_counts(same).collect()
     assert len(rows) == 4 and all(r["taken"] <= 3 * r["size"] for r in rows)
+    assert sum(r["taken"] for r in rows) == sum(round(t) for t in _fill({"a": 30, "b": 40}).values())
     assert M.mix_counts(docs.where("false")).count() == 0
     assert M.mix(docs.where("false")).count() == 0
     assert [r["taken"] for r in M.mix_counts(_rows(spark, [("a", None), ("b", 0)])).collect()] == [0, 0]
+
+
+def test_a_thousand_rows_alike_come_to_the_target(spark, monkeypatch):
+    """Rows without id and of one word: a target between whole repetitions is met to the word."""
+    monkeypatch.setattr(M, "_BLOCK_BITS", 4)
+    monkeypatch.setattr(M, "_COPIES", 7)
+    for words in (1, 7):
+        docs = _rows(spark, [("a", words)] * 1000 + [("b", 300 * words), ("b", 77), ("c", 5)]).selectExpr("cast(null as bigint) AS doc_id", "text", "source")
+        sizes = {"a": 1000 * words, "b": 300 * words + 77, "c": 5}
+        rows, targets = M.mix_counts(docs.repartition(5)).collect(), _fill(sizes)
+        taken = defaultdict(int)
+        for row in rows:
+            taken[{v: k for k, v in sizes.items()}[row["source_size"]]] += row["taken"]
+            assert row["taken"] <= 3 * row["size"]
+        assert all(abs(taken[s] - targets[s]) <= 1 for s in sizes)
+        again = defaultdict(int)
+        for row in M.mix(docs).collect():
+            again[row["source"]] += len(WORD.findall(row["text"]))
+        assert again == taken

@@ -6,7 +6,10 @@ import numpy as np
 import pytest
 
 from cmdlode.llm import neardup as N
+from cmdlode.llm import sift
+from cmdlode.llm import words as word_module
 from cmdlode.llm.components import components
+from cmdlode.llm.words import WordHasher
 from tests.llm import brute
 
 
@@ -92,6 +95,46 @@ def test_keep_one(docs, prose):
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 7, 8]
 
 
+def test_keep_one_decides_by_row(docs, prose):
+    t, u = prose(50, 1), prose(60, 2)
+    frame = docs((3, t), (7, t), (7, u), (None, t), (None, u + " end"), (9, None), (9, ""), (None, " "))
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in N.keep_one(frame).collect() if r["text"])
+    assert kept == [("3", t), ("7", u), ("None", " ")]
+    assert N.keep_one(frame).count() == 5
+    frame = docs((None, t), (None, t), (None, t + "\n"), (4, "a b"), (4, "a b"), (4, "a  b"))
+    rows = N.keep_one(frame).collect()
+    assert [(r["doc_id"], r["text"].split()) for r in sorted(rows, key=lambda r: len(r["text"]))] == [(4, ["a", "b"]), (None, t.split())]
+
+
+def test_keep_one_with_a_full_bitmap(docs, prose, monkeypatch):
+    """Rows that the bitmap takes for dropped ones by mistake come back."""
+    monkeypatch.setattr(sift.sift_of, "__defaults__", (6,))
+    texts = [prose(30, i) for i in range(40)]
+    frame = docs(*[t for t in texts for _ in range(2)], None)
+    kept = N.keep_one(frame).collect()
+    assert sorted(r["doc_id"] for r in kept) == [*range(0, 80, 2), 80]
+
+
+def test_words_that_a_polynomial_hash_confuses():
+    thue = "ab"
+    while len(thue) < 2048:
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    a, b = WordHasher("blank").hashes(f"{thue} {thue.translate(str.maketrans('ab', 'ba'))}".encode())
+    assert a != b
+
+
+def test_word_hashes_do_not_depend_on_place_or_section(monkeypatch):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcé") for _ in range(rng.choice([1, 3, 9, 70, 300]))) for _ in range(300)]
+    whole = WordHasher("blank").hashes(" ".join(words).encode())
+    alone = [WordHasher("blank").hashes(w.encode())[0] for w in words]
+    assert whole.tolist() == alone
+    assert len(set(alone)) == len(set(words))
+    monkeypatch.setattr(word_module, "_SECTION", 100)
+    assert WordHasher("blank").hashes(("  " + "\n ".join(words) + " ").encode()).tolist() == alone
+    assert len(WordHasher("blank").hashes(b"")) == len(WordHasher("blank").hashes(b" \n ")) == 0
+
+
 @pytest.mark.parametrize("shape", ["path", "star", "mixed"])
 def test_components(spark, shape):
     rng = random.Random(2)
