@@ -6,8 +6,8 @@
    footers, asides, scripts) or that hold reader comments, as do runs of links.
 2. Names (``class``, ``id``) are read as whole words of a page's author: ``sidebar`` or
    ``top-menu`` name what an element is, ``has-sidebar`` or ``menu-open`` say something of the page
-   and count for nothing. An element named as boilerplate is that unless it holds most of the page's
-   text, or an article with much of it; a form too. A name that only begins like one
+   and count for nothing. An element named as boilerplate is that unless it holds an article, or most
+   of the text of a page with no article to speak of; a form too. A name that only begins like one
    (``related-work``) makes an element boilerplate outside of articles, if it is mainly links.
 3. The lengths of the lines, each bounded by a multiple of the page's median line, are
    summed over sliding windows of three. From the fullest window the text is followed to
@@ -269,23 +269,26 @@ def _sums(page: _Page, lengths: np.ndarray) -> np.ndarray:
     return np.array(held)
 
 
-MOST = 0.5  # of the page's text: what holds so much is no boilerplate by name
-MUCH = 0.25  # of the page's text: what holds an article of so much neither
+MOST = 0.5  # of the page's text: what holds so much is no boilerplate by name ...
+TIMES = 5  # ... if that is so many times the text of the largest article
+MUCH = 0.5  # of the largest article's text: what holds an article of so much is none either
 
 
 def _boilerplate(page: _Page, lengths: np.ndarray, linked: np.ndarray) -> list[bool]:
     """Elements whose text does not count, by name and what they hold; ``lengths`` leave out what is dropped by kind."""
     held, links = _sums(page, lengths), _sums(page, linked)
-    whole = max(1, int(held[0]))
+    articles = [i for i, element in enumerate(page.elements) if element.name in ("article", "main") and held[i]]
+    largest = max((int(held[i]) for i in articles), default=0)
     frames = [False] * len(page.elements)  # around an article that holds much
+    for i in articles:
+        frames[page.elements[i].parent] |= bool(held[i] >= MUCH * largest)
     for i in range(len(page.elements) - 1, 0, -1):
-        element = page.elements[i]
-        if frames[i] or (element.name in ("article", "main") and held[i] >= MUCH * whole):
-            frames[element.parent] = True
+        frames[page.elements[i].parent] |= frames[i]
+    most = max(MOST * int(held[0]), TIMES * largest)
     bad = [False] * len(page.elements)
     for i, element in enumerate(page.elements):  # parents come first
         by_name = element.named or (element.hinted and 2 * links[i] >= held[i])
-        bad[i] = (i > 0 and bad[element.parent]) or (by_name and held[i] <= MOST * whole and not frames[i])
+        bad[i] = (i > 0 and bad[element.parent]) or (by_name and held[i] <= most and not frames[i])
     return bad
 
 

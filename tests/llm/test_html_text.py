@@ -117,6 +117,8 @@ LAYOUTS = {
     "sidebar with text": (f'<body><div class="sidebar-left">{NOTE}</div><div class="post">{P1}{P2}</div></body>', BOTH),
     "header of an article": (f"<article><header><h1>Head</h1></header>{P1}{P2}<footer>me</footer></article>", f"Head\n{BOTH}"),
     "definition list": (f"<article>{P1}<dl><dt>One<dd>First<dt>Two<dd>Second</dl>{P2}</article>", f"{LONG.strip()}\nOne\nFirst\nTwo\nSecond\n{MORE.strip()}"),
+    "advert longer than the article": (f'<div class="ad">{LONG}</div><article><h1>Head</h1><p>Short.</p></article>', "Head\nShort."),
+    "teaser article beside a page named like a menu": (f'<div class="menu">{P1}{P2}</div><div class="teaser"><article>Next</article></div>', BOTH),
     "fieldset in a page-wide form": (f"<form><div>{P1}{P2}</div><fieldset><legend>Vote</legend>Yes</fieldset></form>", BOTH),
 }
 
