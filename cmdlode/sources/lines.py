@@ -77,7 +77,7 @@ def read_lines(spark: SparkSession, path: str | list[str], together: bool = Fals
     A file that cannot be read to its end is reported with its error and left out
     whole. Finding that out takes no pass of its own: counting the lines of all splits
     reads every file, and only if that fails does one more pass on the executors find the
-    broken ones, whatever their number. A file that breaks later fails the job. The table of
+    broken ones, whatever their number. A file that breaks later fails the job. Empty files have no row. The table of
     files stays in Spark; only names of broken files come to the driver, to leave them out.
 
     Numbers restart per file, or run on through all files of a scope in name order when
