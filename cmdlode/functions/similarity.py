@@ -8,11 +8,15 @@ Expressions are SQL text: one parse instead of hundreds of calls into the JVM.
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cmdlode.functions import distance
 from cmdlode.params import DEFAULTS, Params
 
+cloudpickle.register_pickle_by_value(distance)  # executors need not have the package
+
 
 def edit_ratio_at_least(a: str, b: str, longest: str, floor: float) -> str:
     """SQL: ``1 - distance / longest >= floor`` with an early exit of the distance.
@@ -21,10 +25,10 @@ def edit_ratio_at_least(a: str, b: str, longest: str, floor: float) -> str:
     Spark returns -1 and the ratio is certainly lower.
     """
     bound = f"CAST(floor({longest} * {1.0 - floor}D) AS INT) + 1"
-    distance = f"levenshtein({a}, {b}, {bound})"
+    edits = f"levenshtein({a}, {b}, {bound})"
     return (
-        f"CASE WHEN {longest} = 0 THEN false ELSE {distance} >= 0 AND "
-        f"1D - CAST({distance} AS DOUBLE) / CAST({longest} AS DOUBLE) >= {floor}D END"
+        f"CASE WHEN {longest} = 0 THEN false ELSE {edits} >= 0 AND "
+        f"1D - CAST({edits} AS DOUBLE) / CAST({longest} AS DOUBLE) >= {floor}D END"
     )
 
 
@@ -80,13 +84,21 @@ def with_same_intent(
 
 
 def with_similar(
-    df: DataFrame, a: str, b: str, out: str, when: str = "true", params: Params = DEFAULTS
+    df: DataFrame, a: str, b: str, out: str, when: str = "true", params: Params = DEFAULTS, long: bool = False
 ) -> DataFrame:
-    """Add boolean ``out``: different text, same intent, close in edit distance."""
+    """Add boolean ``out``: different text, same intent, close in edit distance.
+
+    Spark's own distance takes milliseconds for a pair of many hundred characters. Set ``long`` where
+    most texts are that long; then pairs that share an intent are compared side by side in numpy.
+    """
     limit = params.sim_max_bytes
     staged = with_same_intent(df, a, b, "_intent", f"({when}) AND {a} <> {b}", params)
     size = lambda c: f"octet_length({c})" if limit is None else f"least(octet_length({c}), {limit})"
     longest = f"greatest({size(a)}, {size(b)})"
+    if long:
+        close = F.pandas_udf(distance.ratio_udf(params.sim_low), "boolean")
+        asked = [F.expr(f"IF(_intent, {clipped(c, limit)}, NULL)") for c in (a, b)]
+        return staged.withColumn(out, F.coalesce(close(*asked, F.expr(longest)), F.lit(False))).drop("_intent")
     close = edit_ratio_at_least(clipped(a, limit), clipped(b, limit), longest, params.sim_low)
     verdict = f"CASE WHEN _intent THEN {close} ELSE false END"
     return staged.withColumn(out, F.expr(f"coalesce({verdict}, false)")).drop("_intent")

@@ -587,8 +587,8 @@ def similar_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.concat(F.repeat(F.lit(" -f"), (F.col("event_id") % 120 + 60).cast("int")), F.repeat(F.lit(" -g"), (F.col("event_id") % 90).cast("int")))
     ordered = Window.partitionBy("scope").orderBy("seq")
     pairs = log.withColumn("b", F.concat("cmd", tail)).withColumn("a", F.lag("b").over(ordered)).where("a is not null")
-    both = with_similar(with_same_intent(pairs, "a", "b", "intent"), "a", "b", "whole")
-    both = with_similar(both, "a", "b", "limited", params=LIMITED)
+    both = with_similar(with_same_intent(pairs, "a", "b", "intent"), "a", "b", "whole", long=True)
+    both = with_similar(both, "a", "b", "limited", params=LIMITED, long=True)
     return both.select("event_id", "intent", "whole", "limited")
 
 
