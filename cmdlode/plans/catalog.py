@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cmdlode.functions.format import duration, journal_line, status_text
@@ -25,6 +26,7 @@ from cmdlode.params import DEFAULTS, LIMITED
 from cmdlode.plans.eventlog import as_commands, event_log, project_roots
 from cmdlode.plans.rebuild import Rebuild, back_test, project_listing
 from cmdlode.session import configure, stored, work_folder
+from cmdlode.sources import files as file_tools
 from cmdlode.sources.growing import matching
 from cmdlode.sources.histories import PARSERS, Probe, discover, load_histories, source_status
 from cmdlode.sources.journal import accepted, append_journal, load_journal, read_journal, rejected, resolve_capture
@@ -433,13 +435,30 @@ for _format in PARSERS:
 # --- files ----------------------------------------------------------------------
 
 
+def _write_files(lines: DataFrame, folder: Column, order: list[str], root: str) -> None:
+    """``line`` in text files below ``root``, one for each ``folder``, those of a scope by one task.
+
+    Files are small and many, and Spark's writer takes far longer to open and commit one than to fill it.
+    """
+    ordered = lines.select("scope", folder.alias("folder"), *order, "line").repartition("scope").sortWithinPartitions("folder", *order)
+    ordered.select("folder", "line").mapInArrow(file_tools.file_writer(root), "files bigint").agg(F.sum("files")).collect()
+
+
+def _part(name: str) -> Column:
+    """Folder of one value of a column, named as Spark names partitions."""
+    return F.concat(F.lit(f"{name}="), F.coalesce(F.col(name).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")))
+
+
+def _shell_lines(log: DataFrame) -> DataFrame:
+    """Lines of the histories of all shells; ``source`` is the shell."""
+    parts = [history_lines(log.where(F.col("shell") == format), format) for format in PARSERS]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _history_files(spark: SparkSession, sf_dir: str) -> list[Probe]:
     """Every user's log as a history file of the user's shell, in the shared folder."""
     log, root = stored(event_log(spark, sf_dir), "log"), work_folder(spark, "histories")
-    for format in PARSERS:
-        lines = history_lines(log.where(F.col("shell") == format), format)
-        ordered = lines.repartition("scope").sortWithinPartitions("scope", "line_no")
-        ordered.select("scope", "line").write.partitionBy("scope").text(f"{root}/{format}")
+    _write_files(_shell_lines(log), F.concat("source", F.lit("/"), _part("scope")), ["line_no"], root)
     return [Probe(format, format, f"{root}/{format}/scope=*/part-*") for format in PARSERS]
 
 
@@ -468,8 +487,7 @@ def _journal_files(spark: SparkSession, sf_dir: str) -> str:
     lines = log.select(
         "scope", F.date_format("ts", "yyyy-MM").alias("month"), "seq", F.posexplode(F.array_compact(F.array(odd, tabbed))).alias("_i", "line")
     )
-    ordered = lines.repartition("scope").sortWithinPartitions("scope", "month", "seq", "_i")
-    ordered.select("scope", "month", "line").write.partitionBy("scope", "month").text(root)
+    _write_files(lines, F.concat(_part("scope"), F.lit("/"), _part("month")), ["seq", "_i"], root)
     return f"{root}/scope=*/month=*/part-*"
 
 
@@ -492,10 +510,8 @@ def journal_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _landed(spark: SparkSession, sf_dir: str) -> list[Probe]:
     """Every user's log in the user's folder, found by looking for histories there."""
     log, root = stored(event_log(spark, sf_dir), "log"), work_folder(spark, "landed")
-    for format in PARSERS:
-        lines = history_lines(log.where(F.col("shell") == format), format).withColumn("shell", F.lit(format))
-        ordered = lines.repartition("scope").sortWithinPartitions("scope", "line_no")
-        ordered.select("scope", "shell", "line").write.mode("append").partitionBy("scope", "shell").text(root)
+    lines = _shell_lines(log).withColumnRenamed("source", "shell")
+    _write_files(lines, F.concat(_part("scope"), F.lit("/"), _part("shell")), ["line_no"], root)
     return discover(root, landed=tuple((format, f"shell={format}/part-*") for format in PARSERS))
 
 

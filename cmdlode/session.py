@@ -13,6 +13,8 @@ _SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Tasks that list folders, each of which loads the settings of the store first.
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "256",
 }
 _STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 

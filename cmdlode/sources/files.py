@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -14,6 +15,7 @@ CODECS = {"gz": "gzip", "bz2": "bz2", "zst": "zstd"}
 UNCHECKED = ("deflate", "lz4", "snappy")
 COMPRESSED = rf"\.({'|'.join([*CODECS, *UNCHECKED])})$"
 _CHUNK = 1 << 22
+_WRITE_BYTES = 1 << 16
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -44,3 +46,26 @@ def find_faults(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         faults = [fault_of(path) for path in batch.column("path").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(faults, pa.string())], names=["key", "fault"])
+
+
+def file_writer(root: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For ``mapInArrow``: ``folder, line``, in order of folders, to one text file in each folder below ``root``.
+
+    Gives the number of files. A file is written beside and moved, so a task that runs again replaces its own.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, inside = file_system(root)
+        rows = (row for batch in batches for row in zip(batch.column("folder").to_pylist(), batch.column("line").to_pylist()))
+        count = 0
+        for folder, lines in groupby(rows, key=lambda row: row[0]):
+            place = f"{inside.rstrip('/')}/{folder}"
+            store.create_dir(place, recursive=True)
+            with store.open_output_stream(f"{place}/.new", buffer_size=_WRITE_BYTES) as out:
+                for _, line in lines:
+                    out.write((line or "").encode() + b"\n")
+            store.move(f"{place}/.new", f"{place}/part-00000.txt")
+            count += 1
+        yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64())], names=["files"])
+
+    return write

@@ -18,15 +18,19 @@ from pyspark.sql.window import Window
 from cmdlode.functions.text import compute_once, trim_ws
 from cmdlode.operators.sequence import dense_positions
 from cmdlode.params import DEFAULTS, Params
-from cmdlode.sources.lines import read_lines, scope_of
+from cmdlode.sources.lines import counted_lines, scope_of
 
 COMMANDS_SCHEMA = "scope string, source string, pos bigint, command string"
 STATUS_SCHEMA = "scope string, source string, path string, n_lines bigint, error string"
 
 
-def _positioned(kept: DataFrame, lines: DataFrame, params: Params) -> DataFrame:
-    """Number what was kept; the lines, which are no fewer, tell which files are hot without parsing."""
-    sizes = lines.groupBy("scope", "source").agg(F.count("*").alias("n"))
+def _positioned(kept: DataFrame, lines: DataFrame, params: Params, sizes: DataFrame | None = None) -> DataFrame:
+    """Number what was kept; the lines, which are no fewer, tell which files are hot without parsing.
+
+    ``sizes(scope, source, n)`` saves reading the lines for that.
+    """
+    if sizes is None:
+        sizes = lines.groupBy("scope", "source").agg(F.count("*").alias("n"))
     bucket = F.floor(F.col("line_no") / F.lit(params.bucket_rows))
     placed = dense_positions(kept, ["scope", "source"], ["line_no"], bucket, "pos", params, sizes, F.col("line_no"))
     return placed.select("scope", "source", "pos", "command")
@@ -65,19 +69,19 @@ def pwsh_commands(records: DataFrame) -> DataFrame:
     return kept.where(F.col("command") != "")
 
 
-def parse_bash(lines: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    return _positioned(bash_commands(lines), lines, params)
+def parse_bash(lines: DataFrame, params: Params = DEFAULTS, sizes: DataFrame | None = None) -> DataFrame:
+    return _positioned(bash_commands(lines), lines, params, sizes)
 
 
-def parse_zsh(lines: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    return _positioned(zsh_commands(lines), lines, params)
+def parse_zsh(lines: DataFrame, params: Params = DEFAULTS, sizes: DataFrame | None = None) -> DataFrame:
+    return _positioned(zsh_commands(lines), lines, params, sizes)
 
 
-def parse_fish(lines: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    return _positioned(fish_commands(lines), lines, params)
+def parse_fish(lines: DataFrame, params: Params = DEFAULTS, sizes: DataFrame | None = None) -> DataFrame:
+    return _positioned(fish_commands(lines), lines, params, sizes)
 
 
-def parse_pwsh(lines: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+def parse_pwsh(lines: DataFrame, params: Params = DEFAULTS, sizes: DataFrame | None = None) -> DataFrame:
     """Lines ending in a backtick continue on the next line.
 
     Continuations are joined inside buckets of line numbers; only the pieces at
@@ -119,7 +123,7 @@ def parse_pwsh(lines: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     text = F.array_join(F.transform("_parts", lambda p: p["_part"]), " ")
     kept = joined.select(*keys, F.col("_head").alias("line_no"), text.alias("_text"))
     kept = compute_once(kept, command=trim_ws(F.col("_text")))
-    return _positioned(kept.where(F.col("command") != ""), lines, params)
+    return _positioned(kept.where(F.col("command") != ""), lines, params, sizes)
 
 
 # Line by line, for streams; of ``pwsh`` each row is a whole record.
@@ -173,13 +177,12 @@ def read_history(spark: SparkSession, probe: Probe, params: Params = DEFAULTS) -
     return _read(spark, probe, params)[0]
 
 
-def _read(spark: SparkSession, probe: Probe, params: Params) -> tuple[DataFrame, DataFrame]:
-    lines, files = read_lines(spark, probe.path)
+def _read(spark: SparkSession, probe: Probe, params: Params, listed: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    lines, files, counted = counted_lines(spark, probe.path, listed=listed)
     lines = lines.withColumn("source", F.lit(probe.source))
-    status = files.select(
-        scope_of(F.col("path")).alias("scope"), F.lit(probe.source).alias("source"), "path", "n_lines", "error"
-    )
-    return PARSERS[probe.format](lines, params), status
+    scope, source = scope_of(F.col("path")).alias("scope"), F.lit(probe.source).alias("source")
+    status = files.select(scope, source, "path", "n_lines", "error")
+    return PARSERS[probe.format](lines, params, counted.select(scope, source, "n")), status
 
 
 def load_histories(
@@ -193,9 +196,10 @@ def load_histories(
     """
     commands = spark.createDataFrame([], COMMANDS_SCHEMA)
     status = spark.createDataFrame([], STATUS_SCHEMA)
+    listed: dict = {}
     for probe in probes:
         try:
-            read, files = _read(spark, probe, params)
+            read, files = _read(spark, probe, params, listed)
         except AnalysisException as problem:
             missing = [(None, probe.source, probe.path, 0, problem.getCondition() or str(problem))]
             status = status.unionByName(spark.createDataFrame(missing, STATUS_SCHEMA))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from py4j.protocol import Py4JJavaError
 from pyspark import cloudpickle
 from pyspark.errors import PySparkException
@@ -12,6 +14,7 @@ from pyspark.sql.window import Window
 from cmdlode.session import stored
 from cmdlode.sources import files as file_tools
 from cmdlode.sources.files import COMPRESSED, find_faults
+from cmdlode.store import inner_path
 
 cloudpickle.register_pickle_by_value(file_tools)  # executors need not have the package
 
@@ -24,15 +27,54 @@ def scope_of(path: Column) -> Column:
     return F.url_decode(F.regexp_replace(raw, r"\+", "%2B"))
 
 
-def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+# Names that listing a folder shows, even where a wildcard follows.
+_SHOWN = re.compile(r"[^*?\[\]{}\\._][^\[\]{}\\]*")
+
+
+def _rooted(spark: SparkSession, path: str | list[str]) -> tuple[str, str] | None:
+    """The folder before the first wildcard of a glob, and what the names of its files match.
+
+    Only for globs of folders: the driver would look into one after the other, while Spark lists what is
+    below one folder side by side. Not for those that might match hidden names, which listing skips.
+    """
+    segments = path.split("/") if isinstance(path, str) else []
+    fixed = next((i for i, s in enumerate(segments) if re.search(r"[*?\[{\\]", s)), len(segments))
+    if fixed >= len(segments) - 1 or not all(_SHOWN.fullmatch(s) for s in segments[fixed:]):
+        return None
+    root = "/".join(segments[:fixed])
+    if not root.rpartition(":")[2].strip("/"):
+        return None
+    parts = [re.sub(r"[*?]", lambda m: r"\E[^/]*\Q" if m[0] == "*" else r"\E[^/]\Q", s) for s in segments[fixed:]]
+    return root, rf"^(?:[^/:]+:(?://[^/]*)?)?\Q{inner_path(spark, root)}/{'/'.join(parts)}\E\z"
+
+
+def _plain(path: Column) -> Column:
+    """A path as ``_metadata`` has it, without its escapes."""
+    return F.url_decode(F.regexp_replace(path, r"\+", "%2B"))
+
+
+def _load(spark: SparkSession, path: str | list[str], format: str, listed: dict | None = None, **options: str) -> DataFrame:
+    """The files at a path or glob. ``listed`` keeps what lies below a folder for globs that share it."""
+    below = _rooted(spark, path)
+    if below is None or listed is None:
+        return spark.read.format(format).options(**options).load(path)
+    key = (below[0], format, *sorted(options.items()))
+    if key not in listed:
+        listed[key] = spark.read.format(format).options(recursiveFileLookup="true", **options).load(below[0])
+    return listed[key].where(_plain(F.col("_metadata.file_path")).rlike(below[1]))
+
+
+def _files(spark: SparkSession, path: str | list[str], listed: dict | None = None) -> DataFrame:
     """``(path, name, size)`` of the files at a path or glob: ``path`` as Spark's readers name it, ``name`` plain."""
-    found = spark.read.format("binaryFile").load(path)  # names only, no content
+    found = _load(spark, path, "binaryFile", listed)  # names only, no content
     return found.select(F.col("_metadata.file_path").alias("path"), F.col("path").alias("name"), F.col("length").alias("size"))
 
 
-def _rows(spark: SparkSession, path: str | list[str], without: list[str] | None = None, **options: str) -> DataFrame:
+def _rows(
+    spark: SparkSession, path: str | list[str], without: list[str] | None = None, listed: dict | None = None, **options: str
+) -> DataFrame:
     """Lines with their split and a number that grows in it; files ``without`` are not even opened."""
-    raw = spark.read.options(lineSep="\n", **options).text(path)
+    raw = _load(spark, path, "text", listed, lineSep="\n", **options)
     if without:
         raw = raw.where(~F.col("_metadata.file_path").isin(without))
     return raw.select(
@@ -71,7 +113,9 @@ def _broken(spark: SparkSession, path: str | list[str], files: DataFrame) -> Dat
     return stored(found, "broken")
 
 
-def read_lines(spark: SparkSession, path: str | list[str], together: bool = False) -> tuple[DataFrame, DataFrame]:
+def read_lines(
+    spark: SparkSession, path: str | list[str], together: bool = False, listed: dict | None = None
+) -> tuple[DataFrame, DataFrame]:
     """``(scope, path, line_no, line)`` with line numbers from 0, and ``(path, n_lines, error)``.
 
     A file that cannot be read to its end is reported with its error and left out
@@ -83,9 +127,20 @@ def read_lines(spark: SparkSession, path: str | list[str], together: bool = Fals
     Numbers restart per file, or run on through all files of a scope in name order when
     ``together`` is set. Files are split over tasks: within a split the row number grows
     in file order, and the table of splits gives each its place. Lines end at a line
-    feed; one carriage return before it is dropped.
+    feed; one carriage return before it is dropped. ``listed`` is a dict for calls that may share listings.
     """
-    files, rows = _files(spark, path), _rows(spark, path)
+    lines, status, _ = counted_lines(spark, path, together, listed)
+    return lines, status
+
+
+def counted_lines(
+    spark: SparkSession, path: str | list[str], together: bool = False, listed: dict | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As ``read_lines``, and ``(path, n)``: lines of each file that has any, as the first pass counted them."""
+    listed = {} if listed is None else listed
+    if _rooted(spark, path) is not None and _files(spark, path, listed).isEmpty():
+        spark.read.text(path)  # fails as for any location that does not exist
+    files, rows = _files(spark, path, listed), _rows(spark, path, listed=listed)
     error = F.lit(None).cast("string").alias("error")
     try:
         splits, status = _splits(rows), files.select("path", "name", error)
@@ -94,14 +149,14 @@ def read_lines(spark: SparkSession, path: str | list[str], together: bool = Fals
         names = [row["path"] for row in broken.select("path").collect()]
         if not names:  # not a file's fault
             raise
-        rows = _rows(spark, path, names)
+        rows = _rows(spark, path, names, listed)
         splits = _splits(rows)
         status = files.join(broken.select("path", "error"), "path", "left").select("path", "name", "error")
     read = splits.groupBy("path").agg(F.sum("_n").alias("n_lines"))
     status = status.join(read, "path", "left").select(
         F.col("name").alias("path"), F.coalesce("n_lines", F.lit(0)).cast("bigint").alias("n_lines"), "error"
     )
-    return _numbered(rows, splits, together), status
+    return _numbered(rows, splits, together), status, read.withColumnRenamed("n_lines", "n")
 
 
 def _numbered(rows: DataFrame, splits: DataFrame, together: bool) -> DataFrame:

@@ -10,6 +10,12 @@ def _at(spark: SparkSession, path: str):
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
 
 
+def inner_path(spark: SparkSession, path: str) -> str:
+    """A path inside its store: absolute, without scheme and host."""
+    files, place = _at(spark, path)
+    return files.makeQualified(place).toUri().getPath()
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     """Whole content of a small file; null if it does not exist."""
     files, place = _at(spark, path)
