@@ -525,7 +525,8 @@ def discovered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a scan of histories and journals reads and writes for each user."""
     commands, status = load_histories(spark, [*_landed(spark, sf_dir), Probe("none", "bash", f"{sf_dir}/no_such_history")])
-    journal = read_journal(spark, _journal_files(spark, sf_dir))
+    commands, status = stored(commands, "commands"), stored(status, "status")  # read for the job and for its counts
+    journal = stored(read_journal(spark, _journal_files(spark, sf_dir)), "journal")
     job = Rebuild(commands, journal, None, DAY)
     return usage.scan_summary(commands, status, journal, reports.with_content(job.reports))
 
