@@ -49,19 +49,20 @@ def _schema(rows: DataFrame) -> str:
 def _in_arrival_order(rows: DataFrame, keys: list[str], make, out: str | None = None) -> DataFrame:
     """Run a processor over ``rows``, which have ``ts`` and ``seq``, one task a key and batch."""
     plain = rows.withColumn("micros", F.unix_micros("ts")).drop("ts")
-    return plain.groupBy(*keys).transformWithStateInPandas(make(plain.columns), out or _schema(plain), "append", "None")
+    return plain.groupBy(*keys).transformWithState(make(plain.columns), out or _schema(plain), "append", "None")
 
 
 def _in_event_order(rows: DataFrame, keys: list[str], params: Params, make_slices, sums: str, make_joiner, out: str | None = None) -> DataFrame:
-    """Sum up slices of time of each key, then join the sums of a key."""
-    width = params.slice_s * 1_000_000
-    rows = rows.withColumn("micros", F.unix_micros("ts"))
-    plain = rows.drop("ts")
-    sliced = rows.withColumn("slice", F.floor(F.col("micros") / F.lit(width)).cast("bigint"))
-    slices = make_slices(plain.columns, _schema(plain), width)
-    summed = sliced.groupBy(*keys, "slice").transformWithStateInPandas(
-        slices, f"{sums}, told_at timestamp", "append", "EventTime", eventTimeColumnName="told_at"
-    )
+    """Sum up slices of time of each key, then join the sums of a key.
+
+    Slices are windows that Spark collects natively until the watermark has passed them: most hold few
+    rows, and a Python state for each would cost far more than its rows.
+    """
+    plain = rows.withColumn("micros", F.unix_micros("ts")).drop("ts")
+    held = ["micros", "seq", *[c for c in plain.columns if c not in (*keys, "micros", "seq")]]
+    windows = rows.withColumn("micros", F.unix_micros("ts")).groupBy(F.window("ts", f"{params.slice_s} seconds"), *keys)
+    sliced = windows.agg(F.sort_array(F.collect_list(F.struct(*held))).alias("rows")).select(*keys, "rows")
+    summed = sliced.mapInPandas(make_slices(plain.columns, keys, params.slice_s * 1_000_000), sums)
     return summed.groupBy(*keys).transformWithStateInPandas(make_joiner(plain.columns), out or _schema(plain), "append", "EventTime")
 
 

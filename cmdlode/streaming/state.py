@@ -7,9 +7,11 @@ package, so that it can be sent to workers by value.
 from __future__ import annotations
 
 import pickle
+from collections import namedtuple
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
@@ -66,15 +68,11 @@ def _towards_zero(a: int, b: int) -> int:
     return a // b if a >= 0 else -(-a // b)
 
 
-def _millis(told: int) -> pd.Timestamp:
-    """Event time of a row made when the watermark is ``told``: just behind it, so no later step drops it."""
-    return pd.Timestamp(told + 1, unit="ms")
-
-
 class ArrivalProcessor(StatefulProcessor):
     """Handle the rows of a key batch by batch, those of a batch in (ts, seq) order.
 
-    For logs that arrive in order. Subclasses keep one state tuple.
+    For logs that arrive in order. Subclasses keep one state tuple. Rows come and go as plain rows:
+    most keys have few, and a pandas frame for each key would take far longer than its rows.
     """
 
     state_schema = ""
@@ -89,19 +87,17 @@ class ArrivalProcessor(StatefulProcessor):
         """New state and output for one row (a named tuple with ``micros``)."""
         raise NotImplementedError
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        make = namedtuple("Named", self.columns)
         state = tuple(self.state.get()) if self.state.exists() else None
-        out = []
-        for row in pd.concat(list(rows), ignore_index=True).sort_values(["micros", "seq"]).itertuples(index=False):
+        for row in sorted((make(*row) for row in rows), key=lambda row: (row.micros, row.seq)):
             state, made = self.step(state, row)
             if made is not None:
-                out.append(made)
+                yield Row(**made)
         if state is None:
             self.state.clear()
         else:
             self.state.update(state)
-        if out:
-            yield pd.DataFrame(out)
 
 
 class FightProcessor(ArrivalProcessor):
@@ -148,38 +144,36 @@ class CooldownProcessor(ArrivalProcessor):
         return (row.micros,), row._asdict()
 
 
-class SliceProcessor(StatefulProcessor):
-    """Hold the rows of a key and slice of time until the watermark has passed the slice.
+class Slices:
+    """For ``mapInPandas``: whole slices of a key (its ``rows`` in order) to what the next step needs to know.
 
-    Rows are only appended to, and read once; nothing is written again. A busy key has
-    one state for each slice, and its slices are handled by different tasks.
+    Slices are handled by themselves, many in one batch, and those of a busy key by different tasks.
     """
 
-    def __init__(self, columns: list[str], row_schema: str, slice_micros: int) -> None:
-        self.columns, self.row_schema, self.slice = columns, row_schema, slice_micros
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getListState("held", self.row_schema)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if not self.held.exists():
-            self.handle.registerTimer((int(key[-1]) + 1) * self.slice // 1000)
-        for frame in rows:
-            self.held.appendList([tuple(r) for r in frame[self.columns].itertuples(index=False)])
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame(list(self.held.get()), columns=self.columns).sort_values(["micros", "seq"])
-        self.held.clear()
-        yield self.summary(key, list(held.itertuples(index=False)), _millis(timerValues.getCurrentWatermarkInMs()))
-
-    def summary(self, key, rows: list[tuple], told_at: pd.Timestamp) -> pd.DataFrame:
-        """Rows in order to what the next step needs to know of them."""
+    def __init__(self, columns: list[str], keys: list[str], slice_micros: int) -> None:
+        self.columns, self.keys, self.slice = list(columns), list(keys), slice_micros
+
+    def __call__(self, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        make = namedtuple("Row", self.columns)
+        for frame in frames:
+            made = []
+            for *key, held in zip(*(frame[c] for c in (*self.keys, "rows"))):
+                named = dict(zip(self.keys, key))
+                rows = [make(**named, **row) for row in held]
+                made += self.entries((*key, rows[0].micros // self.slice), rows)
+            if made:
+                yield pd.DataFrame(made)
+
+    def summary(self, key, rows: list[tuple], told_at: pd.Timestamp | None = None) -> pd.DataFrame:
+        """One slice; ``key`` ends in its number."""
+        made = pd.DataFrame(self.entries(key, rows))
+        return made if told_at is None else made.assign(told_at=told_at)
+
+    def entries(self, key, rows: list[tuple]) -> list[dict]:
         raise NotImplementedError
 
 
-class FightSlices(SliceProcessor):
+class FightSlices(Slices):
     """A slice to its whole fights, and the runs at its ends that may go on outside.
 
     A run goes on from a failure to the next row if that is recent and has the same intent. ``head``
@@ -187,11 +181,11 @@ class FightSlices(SliceProcessor):
     one follows. A run that is neither first nor open at the end is a fight or nothing.
     """
 
-    def __init__(self, columns, row_schema, slice_micros, gap_micros: int, near: int, floor: float) -> None:
-        super().__init__(columns, row_schema, slice_micros)
+    def __init__(self, columns, keys, slice_micros, gap_micros: int, near: int, floor: float) -> None:
+        super().__init__(columns, keys, slice_micros)
         self.gap, self.near, self.floor = gap_micros, near, floor
 
-    def summary(self, key, rows, told_at):
+    def entries(self, key, rows):
         runs: list[list] = []
         for row in rows:
             last = runs[-1][1] if runs else None
@@ -210,9 +204,9 @@ class FightSlices(SliceProcessor):
                 "scope": last.scope, "tool": last.tool, "shell": last.shell, "slice": int(key[-1]), "place": place,
                 "whole": whole, "head": head, "ends": not tail, "n": n, "first": first.micros, "first_cmd": first.cmd,
                 "micros": last.micros, "cmd": last.cmd, "exit": last.exit, "dur_ms": last.dur_ms, "cwd": last.cwd,
-                "seq": last.seq, "told_at": told_at,
+                "seq": last.seq,
             })
-        return pd.DataFrame(out)
+        return out
 
 
 class FightJoiner(StatefulProcessor):
@@ -261,12 +255,12 @@ class FightJoiner(StatefulProcessor):
         return iter(())
 
 
-class PackedSlices(SliceProcessor):
+class PackedSlices(Slices):
     """A slice to one row that holds its rows in order."""
 
-    def summary(self, key, rows, told_at):
+    def entries(self, key, rows):
         packed = pickle.dumps([tuple(r) for r in rows])
-        return pd.DataFrame([{"scope": key[0], "tool": key[1], "slice": int(key[2]), "packed": packed, "told_at": told_at}])
+        return [dict(zip(self.keys, key)) | {"slice": int(key[-1]), "packed": packed}]
 
 
 class CooldownJoiner(StatefulProcessor):

@@ -311,3 +311,23 @@ def test_ingest_by_month_and_quarantine(spark, tmp_path):
     assert sorted((r[0], r[1], r[2][:7]) for r in rows) == [(0, "make a", "2031-03"), (2, "make b", "2031-04")]
     bad = spark.read.parquet(f"{out}/rejected").collect()
     assert sorted((r.id, r.problem) for r in bad) == [(1, "invalid payload"), (3, "no command")]
+
+
+def test_slices_of_many_keys_are_summed_in_one_call():
+    """A Python state for each slice of each key took milliseconds; frames hold many whole slices."""
+    import pandas as pd
+
+    columns = ["scope", "tool", "shell", "seq", "cmd", "exit", "dur_ms", "cwd", "micros"]
+    failed = {"seq": 0, "cmd": "git push a", "exit": 1, "dur_ms": 5, "cwd": "/p", "micros": 70}
+    won = failed | {"seq": 1, "exit": 0, "micros": 80}
+    frame = pd.DataFrame({"scope": ["a", "b"], "tool": "git", "shell": "bash", "rows": [[failed, won], [failed]]})
+    slices = state.FightSlices(columns, ["scope", "tool", "shell"], 60, 20, 3, 0.5)
+    made = pd.concat(slices(iter([frame, frame.head(0)])))
+    assert made[["scope", "slice", "n", "exit", "seq"]].values.tolist() == [["a", 1, 2, 0, 1], ["b", 1, 1, 1, 0]]
+
+
+def test_arrival_order_takes_plain_rows(spark):
+    """Rows of a key come in one batch in any order; null values stay what they are."""
+    rows = [("u", i, T0 + timedelta(minutes=40 * i), f"git push {i}", 1, None, "", "bash") for i in (3, 0, 2, 1)]
+    seen = replay(spark.createDataFrame(rows, JOURNAL), lambda s: streams.stream_cooldown(s.withColumn("tool", F.lit("git")).withColumn("won_at", F.col("ts"))))
+    assert sorted((r.seq, r.dur_ms) for r in seen.collect()) == [(0, None), (2, None)]
