@@ -64,10 +64,19 @@ def same_intent(a: str, b: str, near: int = 3, floor: float = 0.5) -> bool:
     return most >= 0 and _within(x, y, most)
 
 
+_NAN = float("nan")  # a null number where steps reckon with it: compares false, and sorts last
+
+
 def _towards_zero(a: int, b: int) -> int:
     return a // b if a >= 0 else -(-a // b)
 
 
+def _by_time(row) -> tuple:
+    """By ``micros``, then ``seq``; missing ones last."""
+    timeless, unnumbered = row.micros != row.micros, row.seq is None
+    return timeless, 0 if timeless else row.micros, unnumbered, 0 if unnumbered else row.seq
+
+
 class ArrivalProcessor(StatefulProcessor):
     """Handle the rows of a key batch by batch, those of a batch in (ts, seq) order.
 
@@ -88,16 +97,18 @@ class ArrivalProcessor(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        make = namedtuple("Named", self.columns)
-        state = tuple(self.state.get()) if self.state.exists() else None
-        for row in sorted((make(*row) for row in rows), key=lambda row: (row.micros, row.seq)):
+        make, names = namedtuple("Named", self.columns), {"micros", "dur_ms"} & set(self.columns)
+        known = (make(*row) for row in rows)
+        known = [row._replace(**{c: _NAN for c in names if getattr(row, c) is None}) for row in known]
+        state = tuple(_NAN if v is None else v for v in self.state.get()) if self.state.exists() else None
+        for row in sorted(known, key=_by_time):
             state, made = self.step(state, row)
             if made is not None:
-                yield Row(**made)
+                yield Row(**{c: None if v != v else v for c, v in made.items()})
         if state is None:
             self.state.clear()
         else:
-            self.state.update(state)
+            self.state.update(tuple(None if v != v else v for v in state))
 
 
 class FightProcessor(ArrivalProcessor):

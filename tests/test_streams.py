@@ -331,3 +331,13 @@ def test_arrival_order_takes_plain_rows(spark):
     rows = [("u", i, T0 + timedelta(minutes=40 * i), f"git push {i}", 1, None, "", "bash") for i in (3, 0, 2, 1)]
     seen = replay(spark.createDataFrame(rows, JOURNAL), lambda s: streams.stream_cooldown(s.withColumn("tool", F.lit("git")).withColumn("won_at", F.col("ts"))))
     assert sorted((r.seq, r.dur_ms) for r in seen.collect()) == [(0, None), (2, None)]
+
+
+def test_rows_without_time_come_last_in_arrival_order(spark):
+    """A row without a time passes the cooldown and stops no other of its batch, as numbers that are missing do."""
+    rows = [("u", 0, None, "git push 0", 1, 5, "", "bash"), ("u", 1, T0, "git push 1", 1, None, "", "bash"), ("u", 2, T0, "git push 2", 1, 1, "", "bash")]
+    tag = lambda s: s.withColumn("tool", F.lit("git")).withColumn("won_at", F.col("ts"))
+    seen = replay(spark.createDataFrame(rows, JOURNAL), lambda s: streams.stream_cooldown(tag(s))).collect()
+    assert sorted((r.seq, r.ts_us is None, r.dur_ms) for r in seen) == [(0, True, 5), (1, False, None)]
+    fought = [("u", 0, T0, "git push a", 1, 5, "", "bash"), ("u", 1, T0 + timedelta(seconds=9), "git push a", 0, None, "", "bash"), ("u", 2, None, "git push a", 1, 5, "", "bash")]
+    assert fight_rows(replay(spark.createDataFrame(fought, JOURNAL), streams.stream_fights)) == [("git", "bash", 1, "git push a", 2, 0)]
