@@ -125,3 +125,42 @@ def test_names_of_added_tokens_give_their_id(spark, docs):
     assert sum(ids.count(50256) for ids in want) == 2
     lengths = K.encoded_lengths(docs(*ODD), keep=("doc_id",), names_are_text=False)
     assert {r["doc_id"]: r["length"] for r in lengths.collect()} == {i: len(ids) for i, ids in enumerate(want)}
+
+
+def test_words_with_marks_and_accents_are_asked_of_the_model(tokenizer):
+    letters = [c for c in map(chr, range(0x41, 0x260)) if c.isalpha()]
+    marks = [c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum()]
+    words = ["héé", "Œuvre", "don't", "l'été", "x'", "''s", "e-mail", "a" * 60 + ".", "été" * 30 + "!?", *(f"a{c}e" for c in letters)]
+    words += [f"{c}é{m}" for c in "zß" for m in [*marks, "...", "'s", "!'", "?!,", "1.", ".b"]]
+    texts = [" ".join(words), "é " + " ".join(words[::-1]) + "\nfin.", "one two  three", None, " ".join(f"{w}," for w in words)]
+    encoder = Encoder(read_vocabulary())
+    for _ in range(2):  # new to the encoder, then remembered
+        for text, data in zip(texts, encoder.encode(texts)):
+            assert np.frombuffer(data, encoder.dtype).tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
+
+    class Counting(Encoder):
+        sent: list[str] = []
+
+        def _plain(self, texts):
+            self.sent.extend(texts)
+            return super()._plain(texts)
+
+    Counting(read_vocabulary()).encode(["first été, où, garçon! ça... mot; mot. mot"])
+    assert Counting.sent == ["first"]
+
+
+@pytest.mark.parametrize("kind", ["lower", "marks", "letters"])
+def test_other_vocabularies_give_their_own_ids(kind):
+    from tokenizers import Regex, Tokenizer, normalizers, pre_tokenizers
+
+    made = Tokenizer.from_file(vocabulary_path())
+    if kind == "lower":
+        made.normalizer = normalizers.Lowercase()
+    else:
+        first = pre_tokenizers.Punctuation("isolated") if kind == "marks" else pre_tokenizers.Split(Regex("é"), "isolated")
+        made.pre_tokenizer = pre_tokenizers.Sequence([first, pre_tokenizers.ByteLevel(add_prefix_space=False)])
+    made.encode_special_tokens = True
+    texts = ["Le Café est là... Oui?! été, Été", "A bc, DÉ\nFin.", "x  Y é"]
+    encoder = Encoder(made.to_str())
+    for text, data in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(data, encoder.dtype).tolist() == made.encode(text, add_special_tokens=False).ids
