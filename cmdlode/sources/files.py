@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from itertools import groupby
 from urllib.parse import quote
 
@@ -16,6 +17,8 @@ UNCHECKED = ("deflate", "lz4", "snappy")
 COMPRESSED = rf"\.({'|'.join([*CODECS, *UNCHECKED])})$"
 _CHUNK = 1 << 22
 _WRITE_BYTES = 1 << 16
+_LIST_THREADS = 16
+_LIST_ROWS = 10_000
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -48,6 +51,66 @@ def find_faults(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(faults, pa.string())], names=["key", "fault"])
 
 
+LISTED_SCHEMA = "name string, size bigint"
+
+
+def _listed(found: Iterator[pafs.FileInfo], above: int) -> Iterator[pa.RecordBatch]:
+    """Names, without the first ``above`` characters, and sizes; folders have a null size."""
+    names, sizes = [], []
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["name", "size"])
+
+    for info in found:
+        names.append(info.path[above:])
+        sizes.append(info.size if info.type == pafs.FileType.File else None)
+        if len(names) == _LIST_ROWS:
+            yield batch()
+            names, sizes = [], []
+    yield batch()
+
+
+def folder_lister(root: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For ``mapInArrow`` of one row: what lies directly below ``root``, by its name there."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, inside = file_system(root)
+        inside = inside.rstrip("/")
+        for batch in batches:
+            for _ in range(batch.num_rows):
+                yield from _listed(store.get_file_info(pafs.FileSelector(inside, allow_not_found=True)), len(inside) + 1)
+
+    return read
+
+
+def tree_lister(root: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For ``mapInArrow`` of what ``folder_lister`` gives: that, and all at any depth, by names below ``root``."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, inside = file_system(root)
+        inside = inside.rstrip("/")
+
+        def below(name: str) -> list[pafs.FileInfo]:
+            return store.get_file_info(pafs.FileSelector(f"{inside}/{name}", allow_not_found=True, recursive=True))
+
+        with ThreadPoolExecutor(_LIST_THREADS) as pool:
+            for batch in batches:
+                yield batch
+                folders = batch.filter(batch.column("size").is_null()).column("name").to_pylist()
+                for first in range(0, len(folders), _LIST_ROWS):
+                    found = pool.map(below, folders[first : first + _LIST_ROWS])
+                    yield from _listed((info for some in found for info in some), len(inside) + 1)
+
+    return read
+
+
+def gone(root: str, names: list[str]) -> set[str]:
+    """Those of the files below ``root`` that are no longer there."""
+    store, inside = file_system(root)
+    found = store.get_file_info([f"{inside.rstrip('/')}/{name}" for name in names])
+    return {name for name, info in zip(names, found) if info.type == pafs.FileType.NotFound}
+
+
 def file_writer(root: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For ``mapInArrow``: ``folder, line``, in order of folders, to one text file in each folder below ``root``.
 

@@ -16,6 +16,12 @@ def inner_path(spark: SparkSession, path: str) -> str:
     return files.makeQualified(place).toUri().getPath()
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme and host of its store, without escapes."""
+    files, place = _at(spark, path)
+    return files.makeQualified(place).toString()
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     """Whole content of a small file; null if it does not exist."""
     files, place = _at(spark, path)

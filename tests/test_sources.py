@@ -352,6 +352,75 @@ def test_globs_of_folders_are_listed_from_their_root(spark, tmp_path):
         lines.read_lines(spark, f"{tmp_path}/scope=*/x=9/part-*")
 
 
+def test_many_files_are_listed_in_groups(spark, tmp_path, monkeypatch):
+    """No read lists more files than a group has; broken ones, odd names and numbers of a scope are as ever."""
+    from pyspark.sql.readwriter import DataFrameReader
+
+    from cmdlode.sources import lines
+
+    for i in range(60):
+        who = tmp_path / f"scope=u{i % 20}{' {x}' if i % 20 == 3 else ''}"
+        put(who / "shell=bash" / f"part-{i // 20}", f"make {i}\nmake all\n")
+        put(who / "month=1" / f"part-{i // 20}.jsonl", f'{{"cmd":"make {i}"}}\n\n')
+    (tmp_path / "scope=u7/shell=bash/part-9.gz").write_bytes(gzip.compress(b"make it\n" * 5000)[:-9])
+    most, load = [], DataFrameReader.load
+
+    def spied(self, *args, **options):
+        df = load(self, *args, **options)
+        most.append(len(df.inputFiles()))
+        return df
+
+    monkeypatch.setattr(lines, "_GROUP_FILES", 25, raising=False)
+    monkeypatch.setattr(DataFrameReader, "load", spied)
+    probes = histories.discover(str(tmp_path), landed=(("bash", "shell=bash/part-*"), ("fish", "shell=fish/part-*")))
+    commands, status = histories.load_histories(spark, probes)
+    entries = journal.read_journal(spark, f"{tmp_path}/scope=*/month=*/part-*")
+    assert most and max(most) <= 25
+    names = {f"u{i}{' {x}' if i == 3 else ''}" for i in range(20)}
+    got = sorted((r.scope, r.pos) for r in commands.collect())
+    assert got == sorted((name, pos) for name in names for pos in range(6))
+    assert sorted(r.command for r in commands.collect()) == sorted([f"make {i}" for i in range(60)] + ["make all"] * 60)
+    found = dicts(status)
+    assert len(found) == 62 and {(r["scope"], r["source"]) for r in found if r["error"]} == {("u7", "bash"), (None, "fish")}
+    assert sorted((r.scope, r.seq, r.cmd) for r in entries.select("scope", "seq", "cmd").collect()) == sorted(
+        (f"u{i % 20}{' {x}' if i % 20 == 3 else ''}", i // 20 * 2, f"make {i}") for i in range(60)
+    )
+
+
+def test_files_that_go_while_they_are_read_are_reported(spark, tmp_path, monkeypatch):
+    from cmdlode.sources import lines
+
+    for who in ("ann", "bob"):
+        put(tmp_path / f"scope={who}" / "bash_history", "make a\nmake b\n")
+    below = lines._groups
+
+    def late(names):
+        for group in below(names):
+            (tmp_path / "scope=bob" / "bash_history").unlink()
+            yield group
+
+    monkeypatch.setattr(lines, "_groups", late)
+    got, status = lines.read_lines(spark, f"{tmp_path}/scope=*/bash_*")
+    assert sorted((r.scope, r.line_no, r.line) for r in got.collect()) == [("ann", 0, "make a"), ("ann", 1, "make b")]
+    assert {(r.n_lines, r.error is None) for r in status.collect()} == {(2, True), (0, False)}
+
+
+def test_stores_that_only_spark_can_open_are_listed_by_spark(spark, tmp_path, monkeypatch):
+    from cmdlode.sources import lines
+
+    put(tmp_path / "scope=ann" / "bash_history", "make a\nmake b\n")
+
+    def closed(path):
+        raise ValueError(path)
+
+    monkeypatch.setattr(lines, "file_system", closed)
+    got, status = lines.read_lines(spark, f"{tmp_path}/scope=*/bash_*")
+    assert sorted((r.scope, r.line_no, r.line) for r in got.collect()) == [("ann", 0, "make a"), ("ann", 1, "make b")]
+    assert [(r.n_lines, r.error) for r in status.collect()] == [(2, None)]
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        lines.read_lines(spark, f"{tmp_path}/scope=*/fish_*")
+
+
 def test_files_are_written_one_a_folder(spark, tmp_path):
     from cmdlode.sources.files import file_writer
 
